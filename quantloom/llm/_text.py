@@ -69,7 +69,7 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan: file sizes for a scan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def blocks(df: DataFrame, mb: float = 16) -> int:
