@@ -25,6 +25,7 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: (contractions), no combining mark, no "<|" of a special token.
 _PLAIN = re.compile(rf"[^\t\n\r -&(-;=-~{_LETTERS}]")
 _UNITS = re.compile(rf"[{_LETTERS}]+|[^{_LETTERS}\s]+").findall
+_WORD = re.compile("[a-zß-öø-ÿ]+").fullmatch
 _GAPS = re.compile(r"[ \t\n\r]+")
 _CUT = "<|endoftext|>"
 
@@ -32,16 +33,28 @@ _CUT = "<|endoftext|>"
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes, with a bounded cache of units that tokenise independently."""
 
-    def __init__(self, path: str, entries: int = 300_000):
+    def __init__(self, path: str, entries: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.entries, self.cache = Tokenizer.from_file(path), entries, {}
         self.cut = self.tokenizer.token_to_id(_CUT)
 
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+
     def units(self, text: str) -> list[str]:
-        return [x for x in _GAPS.split(text) if x] if _PLAIN.search(text) else _UNITS(text)
+        return [x for x in _GAPS.split(text) if x] if _PLAIN.search(text) else _UNITS(text.lower())
 
     def learn(self, new: list[str]) -> None:
+        words = [x for x in new if _WORD(x)]
+        for i in range(0, len(words), 4000):  # a run of letters is one word to the tokenizer, and ends in one closing token
+            part = words[i : i + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
+            if len(ends) == len(part):
+                raw = ids.tobytes()
+                self.cache.update(zip(part, (raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist()))))
+        new = [x for x in new if x not in self.cache] if words else new
         odd = new if self.cut is None else [x for x in new if "<|" in x]
         for x in odd:
             self.cache[x] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
@@ -67,6 +80,16 @@ class Encoder:
             yield b"".join(map(get, x))
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One encoder per Python worker, so that its cache lasts from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def pieces_of(n: int, most: int = SEQUENCE) -> list[int]:
     """Powers of two that sum to n, longest first: whole sequences, then the binary digits of the rest."""
     rest = n % most
@@ -89,7 +112,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, most: int = SEQUENCE, wi
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), np.array([END], "<u4").tobytes()
+        encoder, end = encoder_of(tokenizer), np.array([END], "<u4").tobytes()
         for batch in batches:
             ids, text = ids_of(batch).to_pylist(), batch.column(batch.schema.get_field_index("text"))
             for at in range(0, len(ids), 256):
