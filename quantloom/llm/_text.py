@@ -68,14 +68,15 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan: file sizes for a scan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Catalyst's size of what a plan reads: file sizes for scans, 16 MB a partition where it knows none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(n if n < 1 << 60 else df.rdd.getNumPartitions() * 16_000_000 for n in sizes)
 
 
 def blocks(df: DataFrame, mb: float = 16) -> int:
     """A partition count that grows with the input, and is never under the session's own."""
-    n = min(input_bytes(df), 1 << 62) / (mb * 1e6)
-    return int(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(n, 200_000)))
+    return int(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(input_bytes(df) / (mb * 1e6), 200_000)))
 
 
 def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
