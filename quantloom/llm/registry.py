@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quantloom.llm import exact_dedup
+from quantloom.llm.decontamination import op5_decontamination
 from quantloom.llm.exact_dedup import op8_exact_dedup
 from quantloom.llm.jaccard_join import op9_jaccard_join
 from quantloom.llm.license_scan import op3_license_scan
@@ -10,5 +11,5 @@ from quantloom.llm.packing import op7_packing
 from quantloom.llm.suffix_dedup import op1_suffix_dedup
 from quantloom.llm.toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_license_scan, op7_packing, op8_exact_dedup, op9_jaccard_join, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_license_scan, op5_decontamination, op7_packing, op8_exact_dedup, op9_jaccard_join, op10_toxicity)}
 ORACLES: dict[str, str] = {"op8_exact_dedup": exact_dedup.ORACLE}
