@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -17,4 +18,12 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    out = df.checkpoint()
+    release(df)
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Lets the driver's JVM find that shuffles of finished steps are no longer referred to, so that their files go."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()

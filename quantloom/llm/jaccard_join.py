@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm._shared import cut
+from quantloom.llm._shared import cut, release
 from quantloom.llm._text import _R, SOLID, Words, blocks, column, ids_of, input_bytes, mix, pieces, shingles, table, texts
 from quantloom.llm.components import components
 from quantloom.llm.exact_dedup import owner_of, rice_decode, rice_encode
@@ -223,22 +223,40 @@ def _across(percent: int):
     return run
 
 
-def _sets(width: int):
+def _filter_of(sigs: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits bits with one set for each signature: 4 KB rows, 2**bits / 8 bytes in all at most."""
+    h = F.pmod("sig", F.lit(1 << bits))
+    rows = sigs.select((h + 1).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    out = np.zeros(max(1, (1 << bits) // 32768) * 4096, np.uint8)
+    for r in rows.toLocalIterator():
+        at = (r.bucket - 1) * 4096
+        out[at : at + len(r.bits)] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
+
+
+def _sets(width: int, wanted, bits: int):
+    """(sig, set) of the documents whose signature's bit is set, each signature once a task."""
+
     def run(batches):
+        bitmap, told = wanted.value, set()
         for batch in batches:
             buf, off = column(batch, "text")
-            for i, j, part, cut_ in pieces(buf, off):
+            for _, _, part, cut_ in pieces(buf, off):
                 h, at = sets_of(part, cut_, width)
-                raw = np.ascontiguousarray((h >> _U(16)).view(np.uint8).reshape(-1, 8)[:, :6])
-                yield table(["sig", "set"], signatures(h, at).view(np.int64), pa.array([raw[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary()))
+                sig = signatures(h, at)
+                place = (sig % _U(1 << bits)).astype(np.int64)
+                hit = np.flatnonzero(bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+                hit = [i for i in hit.tolist() if not (sig[i] in told or told.add(sig[i]))]
+                raw = np.ascontiguousarray((h >> _U(24)).view(np.uint8).reshape(-1, 8)[:, :5])
+                yield table(["sig", "set"], sig[hit].view(np.int64), pa.array([raw[at[i] : at[i + 1]].tobytes() for i in hit], pa.binary()))
 
     return run
 
 
 def _verified(percent: int):
     def unpack(x: bytes) -> np.ndarray:
-        out = np.zeros((len(x) // 6, 8), np.uint8)
-        out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
+        out = np.zeros((len(x) // 5, 8), np.uint8)
+        out[:, :5] = np.frombuffer(x, np.uint8).reshape(-1, 5)
         return out.view(_U).ravel()
 
     def run(batches):
@@ -266,21 +284,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rows = texts(docs)
     n_blocks = blocks(docs)
     owners = int(max(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"), input_bytes(docs) // (1 << 28), key=int))
-    bits = min(60, max(24, (input_bytes(docs) // 4).bit_length() + 12))
+    bits = min(60, max(24, (input_bytes(docs) // 4).bit_length() + 6))
     every = cut(rows.mapInArrow(_classes(width), "doc_id long, n long, sig long"))
     messages = rows.mapInArrow(_frequencies(width, owners, bits), "owner long, n long, base long, b int, unary binary, rest binary, many binary, counts binary")
     heavy = messages.groupBy("owner").applyInArrow(_heavy(FREQUENT), "token long, df long")
     # MOST_FREQUENT tokens of 8 bytes bound what the driver and every task hold; which tokens count as frequent changes no result
     frequent = np.sort(heavy.orderBy(F.desc("df"), "token").limit(MOST_FREQUENT).select("token").toPandas()["token"].to_numpy(np.int64).view(_U))
+    release(docs)
     postings = rows.filter("doc_id IS NOT NULL").mapInArrow(_postings(width, percent, frequent, bits), "key long, sig long, n int")
     found = cut(postings.repartition(n_blocks, "key").sortWithinPartitions("key", "sig").mapInArrow(_groups(percent), "group long, a long, b long, n int"))
     stars = found.filter("group IS NULL").select("a", "b").distinct()
     members = found.filter("group IS NOT NULL").select("group", F.col("a").alias("sig"), "n").distinct()
-    wanted = found.select(F.explode(F.array("a", "b")).alias("sig")).filter("sig IS NOT NULL").distinct()
-    spokesmen = every.filter("doc_id IS NOT NULL").join(wanted, "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    sets = cut(rows.join(spokesmen, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(width), "sig long, set binary").join(wanted, "sig", "left_semi").groupBy("sig").agg(F.first("set").alias("set")))
+    room = min(30, max(20, (input_bytes(docs) // 100).bit_length()))  # at most 2**30 bits; what passes by chance is joined away
 
     def verify(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig"))
+        bitmap = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted, room))
+        sets = rows.mapInArrow(_sets(width, bitmap, room), "sig long, set binary").repartition(n_blocks, "sig").dropDuplicates(["sig"])
         x = sets.select(F.col("sig").alias("a"), F.col("set").alias("set_a"))
         y = sets.select(F.col("sig").alias("b"), F.col("set").alias("set_b"))
         return pairs.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(_verified(percent), "a long, b long")
@@ -292,8 +312,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     labelled = members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("group", "sig", "n", F.coalesce("root", "sig").alias("root"))
     mixed = labelled.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("group")
     more = labelled.join(mixed, "group", "left_semi").groupBy("group").applyInArrow(_across(percent), "a long, b long").distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    late = cut(verify(more))
-    if late.limit(1).count():
+    more = cut(more)
+    if more.limit(1).count() and (late := cut(verify(more))).limit(1).count():
         roots = components(links.unionByName(late))
     placed = every.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("doc_id", "n", F.coalesce("root", "sig").alias("root"))
     least = placed.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component"))
