@@ -11,11 +11,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm._shared import cut
-from quantloom.llm._text import blocks, input_bytes, table, texts
+from quantloom.llm._text import blocks, input_bytes, table, texts, tune
 
 _U = np.uint64
 
@@ -110,6 +110,20 @@ def dedup(docs: DataFrame, normalise: Callable[[Column], Column] = lambda c: c)
     return alone.unionByName(joined.select("doc_id", F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep")).alias("kept"), F.col("sha").alias("text_sha256")))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs, with all their columns, with one row of each group of equal texts: one of those with the largest doc_id.
+
+    In a group of null ids, one stays for the group. The rows are joined with the decisions by doc_id and hash, which
+    no third of them shares.
+    """
+    told = dedup(docs).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("kept").alias("__kept")).distinct()
+    tune(docs)
+    rows = docs.withColumn("__key", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    joined = rows.join(told, rows["doc_id"].cast("long").eqNullSafe(told["__id"]) & (rows["__key"] == told["__sha"])).filter("__kept")
+    one = Window.partitionBy("__id", "__sha").orderBy("__kept")
+    return joined.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*docs.columns)
+
+
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

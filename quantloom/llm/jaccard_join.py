@@ -321,5 +321,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return out.unionByName(placed.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs, with all their columns, with the smallest doc_id of each component; rows with a null doc_id stay."""
+    drop = near_duplicates(docs, width, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(drop, docs["doc_id"].cast("long") == drop["__id"], "left_anti")
+
+
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, percent=85)

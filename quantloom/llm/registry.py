@@ -7,11 +7,12 @@ from quantloom.llm.decontamination import op5_decontamination
 from quantloom.llm.exact_dedup import op8_exact_dedup
 from quantloom.llm.jaccard_join import op9_jaccard_join
 from quantloom.llm.license_scan import op3_license_scan
+from quantloom.llm.lm_score import op4_lm_score
 from quantloom.llm.packing import op7_packing
 from quantloom.llm.quality import op6_quality
 from quantloom.llm.suffix_dedup import op1_suffix_dedup
 from quantloom.llm.toxicity import op10_toxicity
 from quantloom.llm.url_filter import op2_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_license_scan, op5_decontamination, op6_quality, op7_packing, op8_exact_dedup, op9_jaccard_join, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_license_scan, op4_lm_score, op5_decontamination, op6_quality, op7_packing, op8_exact_dedup, op9_jaccard_join, op10_toxicity)}
 ORACLES: dict[str, str] = {"op2_url_filter": url_filter.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
