@@ -90,11 +90,11 @@ def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(a.buffers()[2], dtype=np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def pieces(buf: np.ndarray, off: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cuts a batch into runs of whole documents of about `limit` bytes: first and last document, bytes, offsets."""
+def pieces(buf: np.ndarray, off: np.ndarray, limit: int = CHUNK, most: int = 4000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Cuts a batch into runs of whole documents, `most` at most, of about `limit` bytes: first and last document, bytes, offsets."""
     i, n = 0, len(off) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
+        j = min(i + most, max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1))
         yield i, j, buf[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
 

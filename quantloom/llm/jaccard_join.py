@@ -23,21 +23,22 @@ from quantloom.llm.components import components
 from quantloom.llm.exact_dedup import owner_of, rice_decode, rice_encode
 
 _U = np.uint64
-FREQUENT = 64  # documents above which a shingle counts as frequent
+FREQUENT = 8  # documents above which a shingle counts as frequent
 MOST_FREQUENT = 200_000  # of these, so many at most (the most frequent) are told apart; the rest are indexed as rare
 WIDE = 64  # longest extended prefix whose pairs are indexed
 FLUSH = 2_000_000
+BITS = 52  # of a shingle's hash; the other 12 hold its document within a run
 
 
 def sets_of(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each document, sorted: all of them, and where each document's begin."""
+    """Distinct shingles (52-bit hashes) of each document, sorted: all of them, and where each document's begin."""
     h, doc = shingles(Words(buf, off, SOLID), width)
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    if len(h):
-        one = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))
-        h, doc = h[one], doc[one]
-    return h, np.searchsorted(doc, np.arange(len(off)))
+    key = (doc.astype(_U) << _U(BITS)) | (h >> _U(64 - BITS))
+    key.sort()
+    if len(key):
+        key = key[np.append(True, key[1:] != key[:-1])]
+    at = np.searchsorted(key, np.arange(len(off), dtype=_U) << _U(BITS))
+    return key & _U((1 << BITS) - 1), at
 
 
 def signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -63,11 +64,14 @@ def _classes(width: int):
     return run
 
 
-def _frequencies(width: int, owners: int, bits: int):
-    """Per flush and owner, the sorted leading bits of shingle hashes with their counts, Rice coded."""
+def _frequencies(width: int, owners: int, bits: int, copied: np.ndarray, speak: np.ndarray):
+    """Per flush and owner, the sorted leading bits of shingle hashes with their counts, Rice coded.
+
+    Of the sets `copied` by many documents, only the document that speaks for them counts.
+    """
 
     def send(values: list[np.ndarray]) -> pa.RecordBatch | None:
-        u, c = np.unique(np.concatenate(values) >> _U(64 - bits), return_counts=True)
+        u, c = np.unique(np.concatenate(values) >> _U(BITS - bits), return_counts=True)
         own = owner_of(u << _U(64 - bits), owners)
         cuts = np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])), len(u))
         rows = []
@@ -81,8 +85,13 @@ def _frequencies(width: int, owners: int, bits: int):
         held, size = [], 0
         for batch in batches:
             buf, off = column(batch, "text")
-            for _, _, part, cut_ in pieces(buf, off):
-                h, _ = sets_of(part, cut_, width)
+            ids = ids_of(batch).fill_null(-(2**63)).to_numpy()
+            for i, j, part, cut_ in pieces(buf, off):
+                h, at = sets_of(part, cut_, width)
+                if len(copied):
+                    sig = signatures(h, at).view(np.int64)
+                    k = np.minimum(np.searchsorted(copied, sig), len(copied) - 1)
+                    h = h[np.repeat((copied[k] != sig) | (speak[k] == ids[i:j]), np.diff(at))]
                 held.append(h)
                 size += len(h)
                 if size >= FLUSH:
@@ -115,7 +124,7 @@ def _heavy(least: int):
 
 
 def _postings(width: int, percent: int, frequent: np.ndarray, bits: int):
-    """(key, sig, n): the index entries of each document's set."""
+    """(key, sig, pack): the index entries of each document's set; pack holds the rank of the key's first token, and n."""
     wide = next(n for n in range(2, 1 << 30) if n - need(n, percent) + 2 > WIDE)
 
     def run(batches):
@@ -126,76 +135,89 @@ def _postings(width: int, percent: int, frequent: np.ndarray, bits: int):
                 n = np.diff(at)
                 sig = signatures(h, at)
                 if len(frequent):
-                    top = h >> _U(64 - bits)
+                    top = h >> _U(BITS - bits)
                     i = np.minimum(np.searchsorted(frequent, top), len(frequent) - 1)
                     often = frequent[i] == top
                 else:
                     often = np.zeros(len(h), bool)
                 doc = np.repeat(np.arange(len(n)), n)
-                order = np.lexsort((h, often, doc)) if often.any() else np.arange(len(h))
-                h, often = h[order], often[order]
+                if often.any():
+                    order = np.argsort((doc.astype(np.uint32) << np.uint32(1)) | often, kind="stable")
+                    h, often = h[order], often[order]
                 rank = np.arange(len(h)) - at[:-1][doc]
                 size = n[doc]
                 prefix = np.minimum(size - need(size, percent) + 2, size)
                 inside = (rank < prefix) & (size >= 2)
                 alone = inside & (~often | (size >= need(wide, percent)))
-                key, of = [h[alone]], [doc[alone]]
+                key, of, at_rank = [h[alone]], [doc[alone]], [rank[alone]]
                 pair = inside & often & (size < wide)
                 if pair.any():
                     d = doc[pair]
                     a = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
                     z = np.append(a[1:], len(d))
-                    f = h[pair]
+                    f, r = h[pair], rank[pair]
                     for x, y in zip(a.tolist(), z.tolist()):
                         p, q = np.triu_indices(y - x, 1)
                         key.append(mix(f[x + p] * _U(_R) + f[x + q]))
                         of.append(np.full(len(p), d[x]))
-                key, of = np.concatenate(key), np.concatenate(of)
-                yield table(["key", "sig", "n"], key.view(np.int64), sig[of].view(np.int64), n[of].astype(np.int32))
+                        at_rank.append(r[x + p])
+                key, of, at_rank = np.concatenate(key), np.concatenate(of), np.concatenate(at_rank)
+                yield table(["key", "sig", "pack"], key.view(np.int64), sig[of].view(np.int64), at_rank << 32 | n[of])
 
     return run
 
 
+def may_link(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets with these packs can be similar if the key that they share is the first that they share: by their
+    sizes, and by what their tokens from that rank on allow."""
+    n, m, i, j = x & 0xFFFFFFFF, y & 0xFFFFFFFF, x >> 32, y >> 32
+    most = np.minimum(n - i, m - j)
+    return (np.minimum(n, m) * 100 >= percent * np.maximum(n, m)) & (most * (100 + percent) >= percent * (n + m))
+
+
 def _groups(percent: int):
-    """From rows sorted by key and sig: a star of pairs per key, and the members of keys with more than two."""
+    """From rows sorted by key, pack and sig: a star of pairs per key around the set of least rank, and the members of
+    keys with more than two; of keys with the same members, one, with each member's least rank."""
 
-    def told(key, sig, n):
+    def told(key, sig, pack):
         new = np.append(True, (key[1:] != key[:-1]) | (sig[1:] != sig[:-1]))
-        key, sig, n = key[new], sig[new], n[new]
+        key, sig, pack = key[new], sig[new], pack[new]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         m = np.diff(np.append(first, len(key)))
-        head = np.repeat(first, m)
-        at = np.arange(len(key))
+        head, at = np.repeat(first, m), np.arange(len(key))
         other = at > head
-        fits = lambda a, b: np.minimum(n[a], n[b]) * 100 >= percent * np.maximum(n[a], n[b])
-        star = other & fits(head, at)
-        chain = other & ~star & (at - 1 > head) & fits(np.maximum(at - 1, 0), at)
-        a, b = np.concatenate([head[star], at[chain] - 1]), np.concatenate([at[star], at[chain]])
-        pair = np.unique(np.stack([sig[a], sig[b]], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-        total = np.cumsum(mix(sig.view(_U)), dtype=_U)
-        start = np.concatenate([[_U(0)], total])[first]
-        name = mix(total[first + m - 1] - start + m.astype(_U))
-        _, one = np.unique(name, return_index=True)
-        pick = np.zeros(len(m), bool)
-        pick[one] = True
-        pick &= m > 2
-        member = np.repeat(pick, m)
-        group = np.repeat(name, m)[member].view(np.int64)
-        k, g = len(pair), int(member.sum())
-        return table(["group", "a", "b", "n"], pa.array([None] * k + group.tolist(), pa.int64()), pa.array(pair[:, 0].tolist() + sig[member].tolist(), pa.int64()), pa.array(pair[:, 1].tolist() + [None] * g, pa.int64()), pa.array([0] * k + n[member].tolist(), pa.int32()))
+        star = other & may_link(pack[head], pack, percent)
+        before = np.maximum(at - 1, 0)
+        chain = other & ~star & (before > head) & may_link(pack[before], pack, percent)
+        a, b = np.concatenate([sig[head[star]], sig[before[chain]]]), np.concatenate([sig[star], sig[chain]])
+        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
+        total = np.concatenate([[_U(0)], np.cumsum(mix(sig.view(_U)), dtype=_U)])
+        name = mix(total[first + m] - total[first] + m.astype(_U))
+        member = np.repeat(m > 2, m)
+        g, who, rank = np.repeat(name, m)[member].view(np.int64), sig[member], pack[member]
+        order = np.lexsort((rank, who, g))
+        g, who, rank = g[order], who[order], rank[order]
+        one = np.append(True, (g[1:] != g[:-1]) | (who[1:] != who[:-1])) if len(g) else np.zeros(0, bool)
+        g, who, rank = g[one], who[one], rank[one]
+        none = lambda k: pa.nulls(k, pa.int64())
+        join = lambda x, y: pa.concat_arrays([pa.array(x, pa.int64()) if isinstance(x, np.ndarray) else x, pa.array(y, pa.int64()) if isinstance(y, np.ndarray) else y])
+        k = len(pair)
+        return table(["group", "a", "b", "pack"], join(none(k), g), join(np.ascontiguousarray(pair[:, 0]), who), join(np.ascontiguousarray(pair[:, 1]), none(len(g))), join(none(k), rank))
 
     def run(batches):
         held: list[tuple] = []
+        size = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, sig, n = (batch.column(i).to_numpy() for i in range(3))
-            last = int(np.searchsorted(key, key[-1])) if key[0] != key[-1] else 0
-            if last or (held and held[0][0][0] != key[0]):
-                done = [*held, (key[:last], sig[:last], n[:last])]
-                yield told(*(np.concatenate(x) for x in zip(*done)))
-                held = []
-            held.append((key[last:], sig[last:], n[last:]))
+            held.append(tuple(batch.column(i).to_numpy() for i in range(3)))
+            size += batch.num_rows
+            last = held[-1][0]
+            if size >= 200_000 and last[0] != last[-1]:
+                key, sig, pack = (np.concatenate(x) for x in zip(*held))
+                end = int(np.searchsorted(key, key[-1]))
+                yield told(key[:end], sig[:end], pack[:end])
+                held, size = [(key[end:], sig[end:], pack[end:])], len(key) - end
         if held:
             yield told(*(np.concatenate(x) for x in zip(*held)))
 
@@ -203,18 +225,20 @@ def _groups(percent: int):
 
 
 def _across(percent: int):
-    """Of a group's members, the pairs that are in different components and may be similar by their sizes."""
+    """Of a group's members, the pairs that are in different components and may be similar."""
 
     def run(t: pa.Table) -> Iterator[pa.Table]:
-        sig, n, root = (t.column(c).to_numpy() for c in ("sig", "n", "root"))
-        order = np.argsort(n, kind="stable")
-        sig, n, root = sig[order], n[order].astype(np.int64), root[order]
+        sig, pack, root = (t.column(c).to_numpy() for c in ("sig", "pack", "root"))
+        order = np.argsort(pack & 0xFFFFFFFF, kind="stable")
+        sig, pack, root = sig[order], pack[order], root[order]
+        n = pack & 0xFFFFFFFF
         a, b = [], []
         if len(np.unique(root)) > 1:
             stop = np.searchsorted(n * percent, n * 100, "right")
             for i in range(len(n)):
                 j = np.arange(i + 1, stop[i])
                 j = j[root[j] != root[i]]
+                j = j[may_link(pack[i], pack[j], percent)]
                 a.append(np.full(len(j), sig[i]))
                 b.append(sig[j])
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
@@ -247,7 +271,7 @@ def _sets(width: int, wanted, bits: int):
                 place = (sig % _U(1 << bits)).astype(np.int64)
                 hit = np.flatnonzero(bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1)
                 hit = [i for i in hit.tolist() if not (sig[i] in told or told.add(sig[i]))]
-                raw = np.ascontiguousarray((h >> _U(24)).view(np.uint8).reshape(-1, 8)[:, :5])
+                raw = np.ascontiguousarray((h >> _U(BITS - 40)).view(np.uint8).reshape(-1, 8)[:, :5])
                 yield table(["sig", "set"], sig[hit].view(np.int64), pa.array([raw[at[i] : at[i + 1]].tobytes() for i in hit], pa.binary()))
 
     return run
@@ -284,17 +308,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rows = texts(docs)
     n_blocks = blocks(docs)
     owners = int(max(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"), input_bytes(docs) // (1 << 28), key=int))
-    bits = min(60, max(24, (input_bytes(docs) // 4).bit_length() + 6))
+    bits = min(BITS, max(24, (input_bytes(docs) // 4).bit_length() + 6))
     every = cut(rows.mapInArrow(_classes(width), "doc_id long, n long, sig long"))
-    messages = rows.mapInArrow(_frequencies(width, owners, bits), "owner long, n long, base long, b int, unary binary, rest binary, many binary, counts binary")
+    hot = every.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.count("*").alias("k"), F.min("doc_id").alias("doc_id")).filter(f"k > {FREQUENT // 2}")
+    hot = hot.orderBy(F.desc("k"), "sig").limit(MOST_FREQUENT // 2).toPandas().sort_values("sig")  # bounded, as the frequent shingles are
+    copied, speak = hot["sig"].to_numpy(np.int64), hot["doc_id"].to_numpy(np.int64)
+    messages = rows.mapInArrow(_frequencies(width, owners, bits, copied, speak), "owner long, n long, base long, b int, unary binary, rest binary, many binary, counts binary")
     heavy = messages.groupBy("owner").applyInArrow(_heavy(FREQUENT), "token long, df long")
     # MOST_FREQUENT tokens of 8 bytes bound what the driver and every task hold; which tokens count as frequent changes no result
     frequent = np.sort(heavy.orderBy(F.desc("df"), "token").limit(MOST_FREQUENT).select("token").toPandas()["token"].to_numpy(np.int64).view(_U))
     release(docs)
-    postings = rows.filter("doc_id IS NOT NULL").mapInArrow(_postings(width, percent, frequent, bits), "key long, sig long, n int")
-    found = cut(postings.repartition(n_blocks, "key").sortWithinPartitions("key", "sig").mapInArrow(_groups(percent), "group long, a long, b long, n int"))
+    postings = rows.filter("doc_id IS NOT NULL").mapInArrow(_postings(width, percent, frequent, bits), "key long, sig long, pack long")
+    found = cut(postings.repartition(n_blocks, "key").sortWithinPartitions("key", "pack", "sig").mapInArrow(_groups(percent), "group long, a long, b long, pack long"))
     stars = found.filter("group IS NULL").select("a", "b").distinct()
-    members = found.filter("group IS NOT NULL").select("group", F.col("a").alias("sig"), "n").distinct()
+    members = found.filter("group IS NOT NULL").groupBy("group", F.col("a").alias("sig")).agg(F.min("pack").alias("pack"))
     room = min(30, max(20, (input_bytes(docs) // 100).bit_length()))  # at most 2**30 bits; what passes by chance is joined away
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -309,7 +336,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     several = every.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("sig").alias("b")).filter("a <> b")  # one doc_id, several texts
     links = cut(verify(stars).unionByName(several.distinct()))
     roots = components(links)
-    labelled = members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("group", "sig", "n", F.coalesce("root", "sig").alias("root"))
+    labelled = members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("group", "sig", "pack", F.coalesce("root", "sig").alias("root"))
     mixed = labelled.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("group")
     more = labelled.join(mixed, "group", "left_semi").groupBy("group").applyInArrow(_across(percent), "a long, b long").distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = cut(more)
