@@ -74,9 +74,11 @@ def input_bytes(df: DataFrame) -> int:
     return sum(n if n < 1 << 60 else df.rdd.getNumPartitions() * 16_000_000 for n in sizes)
 
 
-def blocks(df: DataFrame, mb: float = 16) -> int:
-    """A partition count that grows with the input, and is never under the session's own."""
-    return int(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(input_bytes(df) / (mb * 1e6), 200_000)))
+def blocks(df: DataFrame, mb: float = 16, least: int | None = None) -> int:
+    """A partition count that grows with the input, and is never under `least` (the session's own if None)."""
+    if least is None:
+        least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return int(max(least, min(input_bytes(df) / (mb * 1e6), 200_000)))
 
 
 def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
