@@ -24,7 +24,7 @@ def family(spec: Column) -> Column:
     """The idea without parameter values: sorted conditions, logic, positions."""
     rules = F.array_sort(F.transform(spec["conditions"], lambda c: F.to_json(F.struct(c["feature"].alias("feature"), c["field"].alias("field"), c["operator"].alias("operator")))))
     logic = F.when(F.size(rules) > 1, F.coalesce(spec["logic"], F.lit("AND"))).otherwise("AND")
-    return F.to_json(F.struct(rules.alias("conditions"), logic.alias("logic"), F.coalesce(spec["true_position"], F.lit(1)).alias("true_position"), F.coalesce(spec["false_position"], F.lit(0)).alias("false_position")))
+    return F.when(spec["conditions"].isNotNull(), F.to_json(F.struct(rules.alias("conditions"), logic.alias("logic"), F.coalesce(spec["true_position"], F.lit(1)).alias("true_position"), F.coalesce(spec["false_position"], F.lit(0)).alias("false_position"))))
 
 
 def with_flags(records: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.operators.backtest import HOURS_PER_YEAR, METRICS, activity, period
-from quantloom.operators.sweep import ArrowEvaluator, Candidates, Evaluator, with_parameters
+from quantloom.operators.backtest import HOURS_PER_YEAR, METRICS, column_of, period, wide
+from quantloom.operators.sweep import HOLDS, SPEC, ArrowEvaluator, Candidates, Evaluator, compiled, with_parameters
 from quantloom.plans.spec import BENCHMARKS, Strategy, candidates
 
 #: Candidates that agree in these traded alike.
@@ -179,6 +179,20 @@ def evaluate_benchmarks(bars: DataFrame, settings: Settings, benchmarks: dict[st
     return parts[0].unionByName(parts[1])
 
 
+def best_activity(bars: DataFrame, base: Strategy, chosen: list[tuple[int, Strategy]], selected: DataFrame, p: Period) -> DataFrame:
+    """Per symbol, the share of defined bars on which each condition of its best candidate holds; of the base strategy
+    where a symbol has none. One scan for all symbols: the strategies differ in parameters only."""
+    sources, specs = compiled([({}, base), *(({}, s) for _, s in chosen)], [-1, *(i for i, _ in chosen)])
+    x = period(wide(period(bars, None, p.end), sources), p.start)
+    values = F.array(*(F.col(column_of(s)) for s in sources))
+    best = F.broadcast(selected.filter("train_rank = 1").select("symbol", "candidate"))  # a row per symbol
+    x = x.select("symbol", values.alias("v")).join(best, "symbol", "left").withColumn("candidate", F.coalesce("candidate", F.lit(-1)))
+    x = x.join(F.broadcast(bars.sparkSession.createDataFrame(specs, SPEC)), "candidate")
+    one = x.select("symbol", F.posexplode(F.expr(HOLDS)).alias("at", "holds"))
+    names = F.array(*(F.lit(c.key) for c in base.conditions))
+    return one.groupBy("symbol", F.get(names, F.col("at")).alias("condition")).agg(F.avg(F.col("holds").cast("double")).alias("share"))
+
+
 def run_experiment(bars: DataFrame, base: Strategy, space: dict[str, list], settings: Settings, benchmarks: dict[str, Strategy] | None = None, evaluator: Evaluator | None = None) -> Experiment:
     """Sweep TRAIN, select, retest the selected on VALIDATION with frozen parameters.
 
@@ -192,8 +206,7 @@ def run_experiment(bars: DataFrame, base: Strategy, space: dict[str, list], sett
     frozen = sorted({r.candidate for r in selected.select("candidate").distinct().collect()})  # top_n a symbol at most
     chosen: Candidates = [all_[i] for i in frozen]
     validation = go(chosen, settings.validation, frozen) if chosen else train.drop("params").limit(0)
-    shape = base if not chosen else chosen[0][1]
     return Experiment(
         settings, base, space, train, selected, validation, compare(train, validation, selected, settings.metric),
-        evaluate_benchmarks(bars, settings, benchmarks, run), activity(bars, shape, settings.train.start, settings.train.end), {"n_candidates": len(all_)},
+        evaluate_benchmarks(bars, settings, benchmarks, run), best_activity(bars, base, [(i, all_[i][1]) for i in frozen], selected, settings.train), {"n_candidates": len(all_)},
     )

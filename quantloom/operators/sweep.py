@@ -37,6 +37,7 @@ def compiled(candidates: Candidates, ids: list[int] | None) -> tuple[list, list[
 
 
 SPEC = "candidate long, conditions array<struct<at:int,op:string,t:double>>, logic string, yes double, no double"
+HOLDS = "transform(conditions, c -> CASE c.op WHEN '>' THEN v[c.at] > c.t WHEN '>=' THEN v[c.at] >= c.t WHEN '<' THEN v[c.at] < c.t ELSE v[c.at] <= c.t END)"
 
 
 @dataclass
@@ -49,8 +50,7 @@ class SqlEvaluator:
         values = F.array(*(F.col(column_of(s)) for s in sources)) if sources else F.array().cast("array<double>")
         grid = F.broadcast(bars.sparkSession.createDataFrame(specs, SPEC))  # as many rows as the grid, bounded by its budget
         x = x.select("symbol", "timestamp", "close", values.alias("v")).crossJoin(grid)
-        holds = "transform(conditions, c -> CASE c.op WHEN '>' THEN v[c.at] > c.t WHEN '>=' THEN v[c.at] >= c.t WHEN '<' THEN v[c.at] < c.t ELSE v[c.at] <= c.t END)"
-        x = x.withColumn("h", F.expr(holds)).withColumn(
+        x = x.withColumn("h", F.expr(HOLDS)).withColumn(
             "position",
             F.expr("CASE WHEN size(h) = 0 THEN yes WHEN exists(h, x -> x IS NULL) THEN 0D WHEN IF(logic = 'AND', forall(h, x -> x), exists(h, x -> x)) THEN yes ELSE no END"),
         )
