@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,29 +76,47 @@ def segments(buf: np.ndarray, edges: np.ndarray, length: int = LENGTH) -> tuple[
 
 
 def _anchors(length: int):
+    """Every segment of the texts, and whether an equal one comes earlier in the same batch: that one speaks for it, so
+    it need not meet the others of its anchor."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = column(batch, "text")
             doc, th = batch.column(0), batch.column(1)
+            parts = []
             for a in range(0, max(1, len(buf) - length + 1), STEP):
                 part = buf[a : a + STEP + length - 1]
-                inner = off[(off > a) & (off < a + len(part))] - a
-                h, s, lo, hi = segments(part, inner, length)
-                if not len(h):
-                    continue
-                row = np.searchsorted(off, lo + a, "right") - 1
-                at = a - off[row]
-                take = pa.array(row)
-                yield table(["doc", "th", "h", "s", "lo", "hi"], doc.take(take), th.take(take), h.view(np.int64), s.view(np.int64), (lo + at).astype(np.int32), (hi + at).astype(np.int32))
+                h, s, lo, hi = segments(part, off[(off > a) & (off < a + len(part))] - a, length)
+                parts.append((h, s, lo + a, hi + a))
+            h, s, lo, hi = (np.concatenate(x) for x in zip(*parts))
+            if not len(h):
+                continue
+            row = np.searchsorted(off, lo, "right") - 1
+            lo, hi = lo - off[row], hi - off[row]
+            ids, texts_ = doc.fill_null(-(2**63)).to_numpy(zero_copy_only=False), th.to_numpy()
+            by_place = np.lexsort((texts_, ids))
+            place = np.empty(len(ids), np.int64)
+            place[by_place] = np.cumsum(np.append(0, (np.diff(ids[by_place]) != 0) | (np.diff(texts_[by_place]) != 0)))  # repeated rows share one
+            order = np.lexsort((lo, place[row], s, h))
+            h, s, lo, hi, row = h[order], s[order], lo[order], hi[order], row[order]
+            new = np.append(True, (h[1:] != h[:-1]) | (s[1:] != s[:-1]))
+            first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+            again = (place[row] != place[row[first]]) | (lo != lo[first])
+            take = pa.array(row)
+            yield table(["doc", "th", "h", "s", "lo", "hi", "again"], doc.take(take), th.take(take), h.view(np.int64), s.view(np.int64), lo.astype(np.int32), hi.astype(np.int32), again)
 
     return run
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by anchor, segment and place: later copies of a segment are repeats; first ones of an anchor with several segments are contested."""
+    """Of rows sorted by anchor, segment and place: later copies of a segment are repeats; first ones of an anchor with several segments are contested. Rows told `again` are repeats as they come."""
     held: pa.RecordBatch | None = None  # the first place of the current segment, emitted if its anchor turns out contested
     held_told = False
     for batch in batches:
+        told = batch.filter(batch.column(6))
+        if told.num_rows:
+            yield table(["doc", "th", "h", "lo", "hi", "contested"], *(told.column(i) for i in (0, 1, 2, 4, 5)), np.zeros(told.num_rows, bool))
+            batch = batch.filter(pa.compute.invert(batch.column(6)))
         if not batch.num_rows:
             continue
         b = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0] if held is not None else batch
@@ -264,8 +283,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     n = blocks(docs, 8)
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int").alias("block")
     texts_by_block = rows.select(block("doc_id"), "doc_id", "th", "text")
-    anchors = rows.mapInArrow(_anchors(length), "doc long, th long, h long, s long, lo int, hi int")
-    dealt = anchors.repartition(n, "h").sortWithinPartitions("h", "s", "doc", "th", "lo")
+    anchors = rows.mapInArrow(_anchors(length), "doc long, th long, h long, s long, lo int, hi int, again boolean")
+    key = F.when(F.col("again"), F.xxhash64("doc", "lo")).otherwise(F.col("h"))  # what is decided goes anywhere
+    dealt = anchors.repartition(n, key).sortWithinPartitions("again", "h", "s", "doc", "th", "lo")
     decided = dealt.mapInArrow(_decide, "doc long, th long, h long, lo int, hi int, contested boolean")
     asked = decided.filter("contested").select(block("doc"), "h", "doc", "th", "lo", "hi")
     cut = texts_by_block.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_cut_out, "h long, doc long, th long, lo int, segment binary")
