@@ -6,6 +6,8 @@ and every word carries a 64-bit hash of its (ASCII-lower-cased) bytes. Nothing h
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 _U = np.uint64
 _R = 0x9E3779B97F4A7C15
 _RINV = pow(_R, -1, 1 << 64)
@@ -165,6 +167,20 @@ def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(of).astype(np.int64)
 
 
+def lean(run):
+    """A map over batches that, when its task ends, hands freed memory back: Python workers stay for later tasks."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return inner
+
+
 def table(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in columns], names=names)
 

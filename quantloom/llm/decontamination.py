@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm._text import WORDY, Words, column, ids_of, pieces, table, texts, tune
+from quantloom.llm._text import WORDY, Words, column, ids_of, lean, pieces, table, texts, tune
 
 WINDOW, STRIDE = 32, 16
 BLOCK = 2048  # benchmark items handled in one pass over the documents
@@ -61,7 +61,7 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.nd
         some = np.flatnonzero(total)
         yield table(["term", "df"], np.append(some, -1), np.append(total[some], n))
 
-    got = dict(texts(docs).select("text").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df")).collect())
+    got = dict(texts(docs).select("text").mapInArrow(lean(run), "term long, df long").groupBy("term").agg(F.sum("df")).collect())
     return int(got.get(-1, 0)), np.array([got.get(i, 0) for i in range(len(terms))], np.int64)
 
 
@@ -84,7 +84,7 @@ def randomised_svd(rows: DataFrame, features: int, rank: int, extra: int = 8, po
             yield table(["y"], pa.array([y.tobytes()], pa.binary()))
 
         y = np.zeros_like(q)
-        for r in rows.mapInArrow(run, "y binary").toLocalIterator():
+        for r in rows.mapInArrow(lean(run), "y binary").toLocalIterator():
             y += np.frombuffer(bytes(r.y)).reshape(q.shape)
         q, _ = np.linalg.qr(y)
     return q[:, :rank]
@@ -202,7 +202,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 256, least: float =
                     d, k, first, cosine, share, answer = zip(*got) if got else [()] * 6
                     yield table(["item_id", "doc_id", "first_word", "cosine", "share", "answer"], pa.array([index.items[x] for x in k], pa.int64()), ids.slice(i, j - i).take(pa.array(d, pa.int64())), pa.array(first, pa.int64()), pa.array(cosine, pa.float64()), pa.array(share, pa.float64()), pa.array(answer, pa.bool_()))
 
-        out = out.unionByName(texts(docs).mapInArrow(run, schema))
+        out = out.unionByName(texts(docs).mapInArrow(lean(run), schema))
     return out
 
 
@@ -221,7 +221,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, rank: int = 256, least: float =
                     bad = {m[0] for m in matches(index, Words(part, cut, WORDY), least, sure, likely)}
                     yield batch.slice(i, j - i).filter(pa.array([d not in bad for d in range(j - i)]))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(lean(run), docs.schema)
     return out
 
 

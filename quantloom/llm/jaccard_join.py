@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm._shared import cut, release
-from quantloom.llm._text import _R, SOLID, Words, blocks, column, ids_of, input_bytes, mix, pieces, shingles, table, texts
+from quantloom.llm._text import SOLID, _R, Words, blocks, column, ids_of, input_bytes, lean, mix, pieces, shingles, table, texts
 from quantloom.llm.components import components
 from quantloom.llm.exact_dedup import owner_of, rice_decode, rice_encode
 
@@ -309,17 +309,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     n_blocks = blocks(docs)
     owners = int(max(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"), input_bytes(docs) // (1 << 28), key=int))
     bits = min(BITS, max(24, (input_bytes(docs) // 4).bit_length() + 6))
-    every = cut(rows.mapInArrow(_classes(width), "doc_id long, n long, sig long"))
+    every = cut(rows.mapInArrow(lean(_classes(width)), "doc_id long, n long, sig long"))
     hot = every.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.count("*").alias("k"), F.min("doc_id").alias("doc_id")).filter(f"k > {FREQUENT // 2}")
     hot = hot.orderBy(F.desc("k"), "sig").limit(MOST_FREQUENT // 2).toPandas().sort_values("sig")  # bounded, as the frequent shingles are
     copied, speak = hot["sig"].to_numpy(np.int64), hot["doc_id"].to_numpy(np.int64)
-    messages = rows.mapInArrow(_frequencies(width, owners, bits, copied, speak), "owner long, n long, base long, b int, unary binary, rest binary, many binary, counts binary")
+    messages = rows.mapInArrow(lean(_frequencies(width, owners, bits, copied, speak)), "owner long, n long, base long, b int, unary binary, rest binary, many binary, counts binary")
     heavy = messages.groupBy("owner").applyInArrow(_heavy(FREQUENT), "token long, df long")
     # MOST_FREQUENT tokens of 8 bytes bound what the driver and every task hold; which tokens count as frequent changes no result
     frequent = np.sort(heavy.orderBy(F.desc("df"), "token").limit(MOST_FREQUENT).select("token").toPandas()["token"].to_numpy(np.int64).view(_U))
     release(docs)
-    postings = rows.filter("doc_id IS NOT NULL").mapInArrow(_postings(width, percent, frequent, bits), "key long, sig long, pack long")
-    found = cut(postings.repartition(n_blocks, "key").sortWithinPartitions("key", "pack", "sig").mapInArrow(_groups(percent), "group long, a long, b long, pack long"))
+    postings = rows.filter("doc_id IS NOT NULL").mapInArrow(lean(_postings(width, percent, frequent, bits)), "key long, sig long, pack long")
+    found = cut(postings.repartition(n_blocks, "key").sortWithinPartitions("key", "pack", "sig").mapInArrow(lean(_groups(percent)), "group long, a long, b long, pack long"))
     stars = found.filter("group IS NULL").select("a", "b").distinct()
     members = found.filter("group IS NOT NULL").groupBy("group", F.col("a").alias("sig")).agg(F.min("pack").alias("pack"))
     room = min(30, max(20, (input_bytes(docs) // 100).bit_length()))  # at most 2**30 bits; what passes by chance is joined away
@@ -327,10 +327,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig"))
         bitmap = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted, room))
-        sets = rows.mapInArrow(_sets(width, bitmap, room), "sig long, set binary").repartition(n_blocks, "sig").dropDuplicates(["sig"])
+        sets = rows.mapInArrow(lean(_sets(width, bitmap, room)), "sig long, set binary").repartition(n_blocks, "sig").dropDuplicates(["sig"])
         x = sets.select(F.col("sig").alias("a"), F.col("set").alias("set_a"))
         y = sets.select(F.col("sig").alias("b"), F.col("set").alias("set_b"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(_verified(percent), "a long, b long")
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(lean(_verified(percent)), "a long, b long")
 
     several = every.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("sig").alias("a"), F.max("sig").alias("b")).filter("a <> b")
     several = every.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("sig").alias("b")).filter("a <> b")  # one doc_id, several texts

@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quantloom.llm._text import WORDY, Words, column, ids_of, pieces, table, texts
+from quantloom.llm._text import WORDY, Words, column, ids_of, lean, pieces, table, texts
 
 #: Phrases counted exactly, by label.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -140,7 +140,7 @@ def scan(docs: DataFrame, notices=NOTICES, base=BASE, per_edit: int = 10) -> Dat
                     pa.array([[dict(zip(("label", "start", "end", "edits", "length"), s)) for s in spans.get(k, [])] for k in range(n)], pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32()), ("length", pa.int32())]))),
                 )
 
-    return texts(docs).mapInArrow(run, SCHEMA)
+    return texts(docs).mapInArrow(lean(run), SCHEMA)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm._text import ids_of, table, texts
+from quantloom.llm._text import ids_of, lean, table, texts
 
 #: The corpus contract's end-of-document id.
 END = 1
@@ -33,7 +33,7 @@ _CUT = "<|endoftext|>"
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes, with a bounded cache of units that tokenise independently."""
 
-    def __init__(self, path: str, entries: int = 800_000):
+    def __init__(self, path: str, entries: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.entries, self.cache = Tokenizer.from_file(path), entries, {}
@@ -129,7 +129,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, most: int = SEQUENCE, wi
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket", "ids"]
                 yield table(names[: 6 + with_ids], *(pa.array(c, k) for c, k in list(zip(cols, kinds))[: 6 + with_ids]))
 
-    out = texts(docs).mapInArrow(run, schema)
+    out = texts(docs).mapInArrow(lean(run), schema)
     return out.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 

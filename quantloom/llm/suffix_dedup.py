@@ -20,7 +20,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm._text import _BYTE, blocks, column, mix, table, texts
+from quantloom.llm._text import _BYTE, blocks, column, lean, mix, table, texts
 
 _U = np.uint64
 LENGTH, SEED = 100, 32
@@ -283,13 +283,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     n = blocks(docs, 8)
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int").alias("block")
     texts_by_block = rows.select(block("doc_id"), "doc_id", "th", "text")
-    anchors = rows.mapInArrow(_anchors(length), "doc long, th long, h long, s long, lo int, hi int, again boolean")
+    anchors = rows.mapInArrow(lean(_anchors(length)), "doc long, th long, h long, s long, lo int, hi int, again boolean")
     key = F.when(F.col("again"), F.xxhash64("doc", "lo")).otherwise(F.col("h"))  # what is decided goes anywhere
     dealt = anchors.repartition(n, key).sortWithinPartitions("again", "h", "s", "doc", "th", "lo")
-    decided = dealt.mapInArrow(_decide, "doc long, th long, h long, lo int, hi int, contested boolean")
+    decided = dealt.mapInArrow(lean(_decide), "doc long, th long, h long, lo int, hi int, contested boolean")
     asked = decided.filter("contested").select(block("doc"), "h", "doc", "th", "lo", "hi")
     cut = texts_by_block.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_cut_out, "h long, doc long, th long, lo int, segment binary")
-    found = cut.repartition(n, "h").sortWithinPartitions("h", "doc", "th", "lo").mapInArrow(_index(length), "doc long, th long, lo int, hi int")
+    found = cut.repartition(n, "h").sortWithinPartitions("h", "doc", "th", "lo").mapInArrow(lean(_index(length)), "doc long, th long, lo int, hi int")
     marks = decided.filter("NOT contested").select("doc", "th", "lo", "hi").unionByName(found).select(block("doc"), "doc", "th", "lo", "hi")
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
     return texts_by_block.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_remove, out)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm._text import WORDY, Words, column, ids_of, mix, pieces, table, texts
+from quantloom.llm._text import WORDY, Words, column, ids_of, lean, mix, pieces, table, texts, tune
 
 PREFIXES = (6, 5, 4)
 _U = np.uint64
@@ -113,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, prior: float =
     """
     few = F.broadcast(sample(labels, most))  # at most `most` rows of 16 bytes
     rows = texts(docs).join(few, "doc_id").select("doc_id", "text", "toxic")
-    counts = rows.mapInArrow(_counted, "feature long, level int, toxic long, other long").groupBy("feature", "level").agg(F.sum("toxic").alias("t"), F.sum("other").alias("c")).filter(f"t + c >= {least}")
+    counts = rows.mapInArrow(lean(_counted), "feature long, level int, toxic long, other long").groupBy("feature", "level").agg(F.sum("toxic").alias("t"), F.sum("other").alias("c")).filter(f"t + c >= {least}")
     found = counts.select("feature", "level", "t", "c")
     total = counts.groupBy("level").agg(F.sum("t").alias("nt"), F.sum("c").alias("nc"))
     a = f"({prior} * (t + c) / (nt + nc))"
@@ -145,7 +145,7 @@ def calibrate(model: Model, rows: DataFrame, step: float = 0.25) -> Model:
                 bins = [np.unique(np.round(s[a:b] / step).astype(int), return_counts=True) if t == 0 else ((), ()) for a, b, t in zip(w.first, w.first[1:], toxic[i:j])]
                 yield table(["toxic", "n", "segments", "bins", "counts"], toxic[i:j], np.diff(w.first).astype(np.int64), pa.array(per, pa.list_(pa.float64())), pa.array([list(map(int, x[0])) for x in bins], pa.list_(pa.int64())), pa.array([list(map(int, x[1])) for x in bins], pa.list_(pa.int64())))
 
-    seen = rows.mapInArrow(run, "toxic double, n long, segments array<double>, bins array<long>, counts array<long>").toPandas()
+    seen = rows.mapInArrow(lean(run), "toxic double, n long, segments array<double>, bins array<long>, counts array<long>").toPandas()
     if not len(seen):
         return model
     toxic, n = seen["toxic"].to_numpy(float), seen["n"].to_numpy(int)
@@ -215,7 +215,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 p = [model.probability(model.evidence(f, max(1, k))) for f, k in zip(found, n.tolist())]
                 yield table(["doc_id", "score", "predicted", "passages"], ids.slice(i, j - i), pa.array(p, pa.float64()), pa.array([int(x >= model.threshold) for x in p], pa.int32()), pa.array([[dict(zip(("start", "end", "score"), x)) for x in k] for k in kept], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))))
 
-    return texts(docs).mapInArrow(run, "doc_id long, score double, predicted int, passages array<struct<start:long,end:long,score:double>>")
+    return texts(docs).mapInArrow(lean(run), "doc_id long, score double, predicted int, passages array<struct<start:long,end:long,score:double>>")
 
 
 HELD_OUT = "coalesce(crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 4 = 2, false)"
@@ -243,7 +243,6 @@ def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:
     """docs without the rows that the model predicts toxic."""
-    from quantloom.llm._text import tune
 
     tune(docs)
 
@@ -256,4 +255,4 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
                 good = [model.probability(model.evidence(segments(s[a:b]), max(1, int(b - a)))) < model.threshold for a, b in zip(w.first, w.first[1:])]
                 yield batch.slice(i, j - i).filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
