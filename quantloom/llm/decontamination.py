@@ -179,7 +179,7 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield sorted((r.item_id, r.text) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toLocalIterator())
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 256, least: float = 0.4, sure: float = 0.7, likely: float = 0.5) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 256, least: float = 0.3, sure: float = 0.7, likely: float = 0.5) -> DataFrame:
     """Verified pairs of items and documents: item_id, doc_id, first_word, cosine, share, answer.
 
     Every window of 32 words (16 apart) of every whole text is compared with every item. `least`: the cosine of a
@@ -206,7 +206,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 256, least: float =
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rank: int = 256, least: float = 0.4, sure: float = 0.7, likely: float = 0.5) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, rank: int = 256, least: float = 0.3, sure: float = 0.7, likely: float = 0.5) -> DataFrame:
     """docs, with all their columns, without the rows that `leaks` finds."""
     tune(docs)
     out = docs
