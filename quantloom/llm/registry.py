@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantloom.llm import exact_dedup, url_filter
+from quantloom.llm import exact_dedup, jaccard_join, suffix_dedup, url_filter
 from quantloom.llm.decontamination import op5_decontamination
 from quantloom.llm.exact_dedup import op8_exact_dedup
 from quantloom.llm.jaccard_join import op9_jaccard_join
@@ -15,4 +15,4 @@ from quantloom.llm.toxicity import op10_toxicity
 from quantloom.llm.url_filter import op2_url_filter
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_license_scan, op4_lm_score, op5_decontamination, op6_quality, op7_packing, op8_exact_dedup, op9_jaccard_join, op10_toxicity)}
-ORACLES: dict[str, str] = {"op2_url_filter": url_filter.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op1_suffix_dedup": suffix_dedup.ORACLE, "op2_url_filter": url_filter.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op9_jaccard_join": jaccard_join.ORACLE}
