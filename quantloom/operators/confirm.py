@@ -31,6 +31,14 @@ def frozen(base: Strategy, rows: list[dict[str, Any]]) -> tuple[list[int], Candi
     return [int(r["candidate"]) for r in rows], [(p, base.with_parameters(p)) for p in params]
 
 
+def settings_of(record: dict[str, Any]) -> Settings:
+    """The settings that an experiment ran with; what older records lack takes its default."""
+    known = {k: v for k, v in (record.get("settings") or {}).items() if v is not None}
+    for name in ("train", "validation"):
+        known[name] = Period(**known[name])
+    return Settings(**known)
+
+
 def sharpe_stats(table: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     s = F.col("sharpe")
     return table.groupBy(*keys).agg(F.median(s).alias("median"), F.max(s).alias("best"), F.min(s).alias("worst"), F.avg((s > 0).cast("double")).alias("share_positive"), F.median("n_trades").alias("median_trades"), F.count("*").alias("n"))
@@ -57,4 +65,4 @@ def final_test(bars: DataFrame, ids: list[int], chosen: Candidates, period: Peri
     return before, evaluate_frozen(bars, ids, chosen, period, settings.cost_bps, settings.per_year, evaluator)
 
 
-__all__ = ["cross_asset", "evaluate_benchmarks", "evaluate_frozen", "final_test", "frozen", "select_records", "sharpe_stats"]
+__all__ = ["cross_asset", "evaluate_benchmarks", "evaluate_frozen", "final_test", "frozen", "select_records", "settings_of", "sharpe_stats"]

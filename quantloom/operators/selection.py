@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -201,12 +202,14 @@ def run_experiment(bars: DataFrame, base: Strategy, space: dict[str, list], sett
     run, all_ = evaluator or ArrowEvaluator(), candidates(base, space, settings.budget)
     bars = period(bars, None, settings.validation.end)
     go = lambda c, p, ids=None: run(bars, c, p.start, p.end, settings.cost_bps, settings.per_year, ids)
+    began = time.perf_counter()
     train = with_parameters(go(all_, settings.train), all_).persist()  # one row per candidate and symbol
     selected = select_top(train, settings.top_n, settings.metric, settings.min_trades_per_year, settings.per_year).persist()
     frozen = sorted({r.candidate for r in selected.select("candidate").distinct().collect()})  # top_n a symbol at most
+    spent = time.perf_counter() - began
     chosen: Candidates = [all_[i] for i in frozen]
     validation = go(chosen, settings.validation, frozen) if chosen else train.drop("params").limit(0)
     return Experiment(
         settings, base, space, train, selected, validation, compare(train, validation, selected, settings.metric),
-        evaluate_benchmarks(bars, settings, benchmarks, run), best_activity(bars, base, [(i, all_[i][1]) for i in frozen], selected, settings.train), {"n_candidates": len(all_)},
+        evaluate_benchmarks(bars, settings, benchmarks, run), best_activity(bars, base, [(i, all_[i][1]) for i in frozen], selected, settings.train), {"n_candidates": len(all_), "train_seconds": spent, "ms_per_candidate": 1000 * spent / len(all_)},
     )
