@@ -76,8 +76,8 @@ def accounts(df: DataFrame, cost_bps: float = 10.0, keys: tuple[str, ...] = ("sy
     return df.withColumn("cumulative_return", F.product(F.col("strategy_return") + 1).over(w.rowsBetween(W.unboundedPreceding, 0)) - 1)
 
 
-def metrics(account: DataFrame, per_year: float = HOURS_PER_YEAR, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """One row per key with the ten metrics in their order. Undefined ones are NULL."""
+def metrics(account: DataFrame, per_year: float = HOURS_PER_YEAR, keys: tuple[str, ...] = ("symbol",), more: tuple[Column, ...] = ()) -> DataFrame:
+    """One row per key with the ten metrics in their order, and `more` aggregates. Undefined ones are NULL."""
     up_to = by_time(*keys).rowsBetween(W.unboundedPreceding, 0)
     equity = F.col("cumulative_return") + 1
     x = account.withColumn("_peak", F.greatest(F.lit(1.0), F.max(equity).over(up_to))).withColumn("_drawdown", F.try_divide(equity, F.col("_peak")) - 1)
@@ -95,6 +95,7 @@ def metrics(account: DataFrame, per_year: float = HOURS_PER_YEAR, keys: tuple[st
         F.count_if(F.col("turnover") > 0).alias("n_trades"),
         F.avg((F.col("held_position") != 0).cast("double")).alias("exposure"),
         n.alias("n_bars"),
+        *more,
     )
 
 

@@ -56,7 +56,7 @@ class SqlEvaluator:
         )
         keys = ("candidate", "symbol")
         a = accounts(x.select("candidate", "symbol", "timestamp", "close", "position"), cost_bps, keys)
-        return metrics(a, per_year, keys).join(a.groupBy(*keys).agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last")), list(keys)).select("candidate", "symbol", "first", "last", *METRICS)
+        return metrics(a, per_year, keys, (F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))).select("candidate", "symbol", "first", "last", *METRICS)
 
 
 def kernel(close: np.ndarray, values: np.ndarray, specs: list[tuple], begin: int, cost: float, per_year: float) -> dict[str, np.ndarray]:
