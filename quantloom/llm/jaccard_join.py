@@ -124,7 +124,8 @@ def _heavy(least: int):
 
 
 def _postings(width: int, percent: int, frequent: np.ndarray, bits: int):
-    """(key, sig, pack): the index entries of each document's set; pack holds the rank of the key's first token, and n."""
+    """(key, sig, pack): the index entries of each document's set; pack holds n and the rank
+    from which the set's tokens can be shared if the key is the first that is."""
     wide = next(n for n in range(2, 1 << 30) if n - need(n, percent) + 2 > WIDE)
 
     def run(batches):
@@ -160,7 +161,7 @@ def _postings(width: int, percent: int, frequent: np.ndarray, bits: int):
                         p, q = np.triu_indices(y - x, 1)
                         key.append(mix(f[x + p] * _U(_R) + f[x + q]))
                         of.append(np.full(len(p), d[x]))
-                        at_rank.append(r[x + p])
+                        at_rank.append(r[x + q] - 1)  # as if the second token were the first shared one, and one more were
                 key, of, at_rank = np.concatenate(key), np.concatenate(of), np.concatenate(at_rank)
                 yield table(["key", "sig", "pack"], key.view(np.int64), sig[of].view(np.int64), at_rank << 32 | n[of])
 
@@ -191,9 +192,13 @@ def _groups(percent: int):
         chain = other & ~star & (before > head) & may_link(pack[before], pack, percent)
         a, b = np.concatenate([sig[head[star]], sig[before[chain]]]), np.concatenate([sig[star], sig[chain]])
         pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-        total = np.concatenate([[_U(0)], np.cumsum(mix(sig.view(_U)), dtype=_U)])
-        name = mix(total[first + m] - total[first] + m.astype(_U))
-        member = np.repeat(m > 2, m)
+        n, rank = pack & 0xFFFFFFFF, pack >> 32  # a member that can link with no size in its group by what is left from its rank is none
+        low = np.maximum(np.repeat(np.minimum.reduceat(n, first), m), need(n, percent))
+        able = (n - rank) * (100 + percent) >= percent * (n + low)
+        count = np.add.reduceat(able.astype(np.int64), first)
+        total = np.concatenate([[_U(0)], np.cumsum(np.where(able, mix(sig.view(_U)), _U(0)), dtype=_U)])
+        name = mix(total[first + m] - total[first] + count.astype(_U))
+        member = able & np.repeat((m > 2) & (count > 1), m)
         g, who, rank = np.repeat(name, m)[member].view(np.int64), sig[member], pack[member]
         order = np.lexsort((rank, who, g))
         g, who, rank = g[order], who[order], rank[order]
