@@ -180,6 +180,12 @@ def evaluate_benchmarks(bars: DataFrame, settings: Settings, benchmarks: dict[st
     return parts[0].unionByName(parts[1])
 
 
+def summarize_benchmarks(table: DataFrame) -> DataFrame:
+    """Per symbol and period, a map from each benchmark to its first and last bar and its metrics."""
+    entry = F.struct("benchmark", F.struct("first", "last", *METRICS))
+    return table.groupBy("symbol", "period").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("benchmarks"))
+
+
 def best_activity(bars: DataFrame, base: Strategy, chosen: list[tuple[int, Strategy]], selected: DataFrame, p: Period) -> DataFrame:
     """Per symbol, the share of defined bars on which each condition of its best candidate holds; of the base strategy
     where a symbol has none. One scan for all symbols: the strategies differ in parameters only."""

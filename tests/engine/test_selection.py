@@ -38,6 +38,8 @@ def test_experiment_tables(experiment):
     assert [r.train_rank for r in c if r.symbol == "A"] == [1, 2, 3]
     assert all(r.sharpe_change == pytest.approx(r.validation_sharpe - r.train_sharpe) for r in c)
     assert {(r.period, r.benchmark) for r in experiment.benchmarks.collect()} == {(p, b) for p in ("train", "validation") for b in ("buy_and_hold", "flat", "naive_momentum_24")}
+    nested = {(r.symbol, r.period): r.benchmarks for r in X.summarize_benchmarks(experiment.benchmarks).collect()}
+    assert nested["A", "validation"]["flat"].n_trades == 0 and nested["B", "train"]["buy_and_hold"].exposure > 0.9
     assert summary(experiment.train).filter("n_candidates = 16").count() == 2 and sensitivity(experiment.train).count() == 16
     assert "m.lookback" in columns_of(experiment.train, SPACE).columns
     rules = {r.symbol: r.rules for r in experiment.warnings().collect()}
