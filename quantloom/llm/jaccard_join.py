@@ -332,7 +332,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig"))
         bitmap = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted, room))
-        sets = rows.mapInArrow(lean(_sets(width, bitmap, room)), "sig long, set binary").repartition(n_blocks, "sig").dropDuplicates(["sig"])
+        # read back from the checkpoint, the joins' exchanges are plain ones, which adaptive execution splits for a hot centre
+        sets = cut(rows.mapInArrow(lean(_sets(width, bitmap, room)), "sig long, set binary").repartition(n_blocks, "sig").dropDuplicates(["sig"]))
         x = sets.select(F.col("sig").alias("a"), F.col("set").alias("set_a"))
         y = sets.select(F.col("sig").alias("b"), F.col("set").alias("set_b"))
         return pairs.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(lean(_verified(percent)), "a long, b long")
@@ -348,7 +349,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     if more.limit(1).count() and (late := cut(verify(more))).limit(1).count():
         roots = components(links.unionByName(late))
     placed = every.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("doc_id", "n", F.coalesce("root", "sig").alias("root"))
-    least = placed.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component"))
+    least = cut(placed.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component")))
     out = placed.filter("n > 0").join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return out.unionByName(placed.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
