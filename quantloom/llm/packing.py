@@ -28,6 +28,7 @@ _UNITS = re.compile(rf"[{_LETTERS}]+|[^{_LETTERS}\s]+").findall
 _WORD = re.compile("[a-zß-öø-ÿ]+").fullmatch
 _GAPS = re.compile(r"[ \t\n\r]+")
 _CUT = "<|endoftext|>"
+STEP = 2_000_000  # characters
 
 
 class Encoder:
@@ -68,16 +69,42 @@ class Encoder:
             raw = ids.tobytes()
             self.cache.update(zip(part, (raw[a:b] for a, b in zip([0, *(cut + 4).tolist()], [*cut.tolist(), len(raw)]))))
 
-    def encode(self, many: list[str]) -> Iterator[bytes]:
-        split = [self.units(x) for x in many]
+    def encode(self, many: list[str]) -> list[bytes]:
+        """The ids of each text, in steps of about STEP characters, so that a very long text is not held as units at once."""
+        out: list[list[bytes]] = [[] for _ in many]
+        held, size = [], 0
+        for i, text in enumerate(many):
+            for part in slices(text):
+                held.append((i, part))
+                size += len(part)
+                if size >= STEP:
+                    self._encode(held, out)
+                    held, size = [], 0
+        self._encode(held, out)
+        return [b"".join(x) for x in out]
+
+    def _encode(self, held: list[tuple[int, str]], out: list[list[bytes]]) -> None:
+        split = [self.units(x) for _, x in held]
         if new := set().union(*split).difference(self.cache):
             if len(self.cache) + len(new) > self.entries:
                 self.cache = {}
                 new = set().union(*split)
             self.learn(sorted(new))
         get = self.cache.__getitem__
-        for x in split:
-            yield b"".join(map(get, x))
+        for (i, _), x in zip(held, split):
+            out[i].append(b"".join(map(get, x)))
+
+
+def slices(text: str, size: int = STEP) -> Iterator[str]:
+    """A text cut at spaces, line feeds, tabs or returns, which no token spans; a longer run without them stays whole."""
+    at = 0
+    while len(text) - at > size:
+        gap = _GAPS.search(text, at + size)
+        if gap is None:
+            break
+        yield text[at : gap.end()]
+        at = gap.end()
+    yield text[at:] if at else text
 
 
 _encoders: dict[str, Encoder] = {}

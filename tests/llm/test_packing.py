@@ -38,6 +38,15 @@ def test_odd(odd):
     check([r for r in rows if r.doc_id != 3] + twice[: len(twice) // 2], [(d, t) for d, t, _ in ODD if d != 3] + [(3, "One")])
 
 
+def test_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(P, "STEP", 50)
+    assert ["".join(P.slices(t, 7)) for t in ("", "abc def ghi\njkl  mno", "abcdefghijkl", "a bcdefghijklm n")] == ["", "abc def ghi\njkl  mno", "abcdefghijkl", "a bcdefghijklm n"]
+    long = [(1, "Words, and more words: don't 12 é " * 300), (2, "x" * 500), (3, ("y" * 70 + " ") * 9), (4, "")]
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = P.Encoder(public_tokenizers.path("word_bpe_49k.json")).encode([x for _, x in long])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for _, x in long]
+
+
 def test_pieces():
     assert P.pieces_of(5000) == [2048, 2048, 512, 256, 128, 8] and P.pieces_of(1) == [1]
 
