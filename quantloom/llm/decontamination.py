@@ -90,22 +90,29 @@ def randomised_svd(rows: DataFrame, features: int, rank: int, extra: int = 8, po
     return q[:, :rank]
 
 
-def build(docs: DataFrame, items: list[tuple[int, str]], rank: int, spark) -> Index | None:
-    words = [(i, words_of(t)) for i, t in items]
+def build(docs: DataFrame, items: list[tuple[int, str]], rank: int, spark) -> list[Index]:
+    """Indices of at most `rank` items each, so that every item lies whole in its latent space; items of like length share one."""
+    words = sorted(((i, words_of(t)) for i, t in items), key=lambda x: len(x[1]))
     words = [(i, w) for i, w in words if len(w)]
     if not words:
-        return None
-    terms = np.unique(np.concatenate([w for _, w in words]))
-    n, df = document_frequencies(docs, terms)
-    idf, unseen = np.log1p(n / (df + 1.0)), math.log1p(n)
-    vectors = []
-    for _, w in words:
-        at, tf = np.unique(np.searchsorted(terms, w), return_counts=True)
-        vectors.append((at, tf * idf[at]))
-    rows = spark.createDataFrame([(a.tolist(), v.tolist()) for a, v in vectors], "at array<int>, weight array<double>")
-    space = randomised_svd(rows, len(terms), min(rank, len(vectors), len(terms)))
-    latent = np.stack([(v @ space[a]) / max(np.linalg.norm(v), 1e-12) for a, v in vectors])
-    return Index(terms, idf, unseen, space.astype(np.float32), [i for i, _ in words], [w for _, w in words], latent.astype(np.float32))
+        return []
+    every = np.unique(np.concatenate([w for _, w in words]))
+    n, df = document_frequencies(docs, every)
+    weights, unseen = np.log1p(n / (df + 1.0)), math.log1p(n)
+    out = []
+    for k in range(0, len(words), rank):
+        some = words[k : k + rank]
+        terms = np.unique(np.concatenate([w for _, w in some]))
+        idf = weights[np.searchsorted(every, terms)]
+        vectors = []
+        for _, w in some:
+            at, tf = np.unique(np.searchsorted(terms, w), return_counts=True)
+            vectors.append((at, tf * idf[at]))
+        rows = spark.createDataFrame([(a.tolist(), v.tolist()) for a, v in vectors], "at array<int>, weight array<double>")
+        space = randomised_svd(rows, len(terms), min(len(vectors), len(terms)))
+        latent = np.stack([(v @ space[a]) / max(np.linalg.norm(v), 1e-12) for a, v in vectors])
+        out.append(Index(terms, idf, unseen, space.astype(np.float32), [i for i, _ in some], [w for _, w in some], latent.astype(np.float32)))
+    return out
 
 
 def common(passage: np.ndarray, text: np.ndarray) -> int:
@@ -184,23 +191,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 256, least: float =
 
     Every window of 32 words (16 apart) of every whole text is compared with every item. `least`: the cosine of a
     candidate; `sure`: the share of the item's words that must be found in order, or `likely` if its answer is found.
+    `rank`: the items of one latent space, which has as many directions.
     Empty or null items and texts match nothing; repeated rows are each reported; doc_id may be null.
     """
     spark = docs.sparkSession
     schema = "item_id long, doc_id long, first_word long, cosine double, share double, answer boolean"
     out = spark.createDataFrame([], schema)
     for items in item_blocks(benchmark):
-        if (index := build(docs, items, rank, spark)) is None:
+        if not (indices := build(docs, items, rank, spark)):
             continue
 
-        def run(batches, index=index):
+        def run(batches, indices=indices):
             for batch in batches:
                 buf, off = column(batch, "text")
                 ids = ids_of(batch)
                 for i, j, part, cut in pieces(buf, off):
-                    got = matches(index, Words(part, cut, WORDY), least, sure, likely)
-                    d, k, first, cosine, share, answer = zip(*got) if got else [()] * 6
-                    yield table(["item_id", "doc_id", "first_word", "cosine", "share", "answer"], pa.array([index.items[x] for x in k], pa.int64()), ids.slice(i, j - i).take(pa.array(d, pa.int64())), pa.array(first, pa.int64()), pa.array(cosine, pa.float64()), pa.array(share, pa.float64()), pa.array(answer, pa.bool_()))
+                    w = Words(part, cut, WORDY)
+                    got = [(index.items[m[1]], *m) for index in indices for m in matches(index, w, least, sure, likely)]
+                    item, d, _, first, cosine, share, answer = zip(*got) if got else [()] * 7
+                    yield table(["item_id", "doc_id", "first_word", "cosine", "share", "answer"], pa.array(item, pa.int64()), ids.slice(i, j - i).take(pa.array(d, pa.int64())), pa.array(first, pa.int64()), pa.array(cosine, pa.float64()), pa.array(share, pa.float64()), pa.array(answer, pa.bool_()))
 
         out = out.unionByName(texts(docs).mapInArrow(lean(run), schema))
     return out
@@ -211,14 +220,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, rank: int = 256, least: float =
     tune(docs)
     out = docs
     for items in item_blocks(benchmark):
-        if (index := build(docs, items, rank, docs.sparkSession)) is None:
+        if not (indices := build(docs, items, rank, docs.sparkSession)):
             continue
 
-        def run(batches, index=index):
+        def run(batches, indices=indices):
             for batch in batches:
                 buf, off = column(batch, "text")
                 for i, j, part, cut in pieces(buf, off):
-                    bad = {m[0] for m in matches(index, Words(part, cut, WORDY), least, sure, likely)}
+                    w = Words(part, cut, WORDY)
+                    bad = {m[0] for index in indices for m in matches(index, w, least, sure, likely)}
                     yield batch.slice(i, j - i).filter(pa.array([d not in bad for d in range(j - i)]))
 
         out = out.mapInArrow(lean(run), docs.schema)

@@ -71,3 +71,21 @@ def test_odd_and_empty(spark, odd, empty):
     b = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
     assert D.leaks(odd, b).count() == 0 and D.leaks(empty, b).count() == 0 and D.leaks(odd, b.limit(0)).count() == 0
     assert D.clean(odd, b).count() == odd.count() and D.clean(odd, b).columns == odd.columns
+
+
+def _passages(n, seed=8):
+    """Passages of 15 to 40 words, of which half are frequent in all of them, and documents that hold every one of them."""
+    rnd = random.Random(seed)
+    words = ["w" + "".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(6000)]
+    items = [" ".join(words[rnd.randrange(40)] if rnd.random() < 0.5 else rnd.choice(words) for _ in range(rnd.randint(15, 40))) for _ in range(n)]
+    filler = lambda k: " ".join(rnd.choice(words) for _ in range(k))
+    return items, [f"{filler(30)} {t} {filler(30)}" for t in items]
+
+
+def test_more_items_than_the_rank(spark):
+    items, docs = _passages(600)
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(i, i) for i in range(600)} <= {(r.item_id, r.doc_id) for r in D.leaks(d, b).collect()}
+    for index in D.build(d, list(enumerate(items)), 256, spark):
+        assert len(index.items) <= 256 and np.linalg.norm(index.latent, axis=1).min() > 0.999
