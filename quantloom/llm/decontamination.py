@@ -1,10 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Benchmark passages are TF-IDF vectors over their own vocabulary, weighted by document frequencies of the whole corpus.
-A distributed randomised SVD gives their latent space; every window of every document is folded into it and compared by
-cosine. Windows whose weight in the vocabulary is too small to reach the cosine threshold are left out beforehand.
-Each candidate is verified by the longest common subsequence of words and by the presence of the passage's answer, its
-closing words, so that paraphrases are found and mere likeness of vocabulary is not.
+A distributed randomised SVD gives their latent space; every stretch of every document is folded into it and compared
+with every passage. A passage's cutoff is the least product that a text can have that holds the accepted share of its words
+and enough of its weight. It rests on the passage's own words alone, so that neither the words around a copy nor the size
+of the corpus hide it. Each candidate is verified by the longest
+common subsequence of words and by the presence of the passage's answer, its closing words, so that paraphrases are
+found and mere likeness of vocabulary is not.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +31,37 @@ BLOCK = 2048  # benchmark items handled in one pass over the documents
 class Index:
     terms: np.ndarray  # sorted hashes of the benchmark's words
     idf: np.ndarray
-    unseen: float  # the weight of any other word
     space: np.ndarray  # terms x rank
     items: list[int]
     words: list[np.ndarray]
-    latent: np.ndarray  # items x rank, by full norms
+    latent: np.ndarray  # items x rank
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
         return np.where(self.terms[at] == h, at, -1)
 
+    @cached_property
+    def counts(self) -> np.ndarray:
+        """How often each item has each term; the last column is for other words."""
+        out = np.zeros((len(self.words), len(self.terms) + 1), np.int32)
+        for k, w in enumerate(self.words):
+            np.add.at(out[k], np.searchsorted(self.terms, w), 1)
+        return out
+
+    @cached_property
+    def products(self) -> np.ndarray:
+        """What each term adds to a text's product with each item, by way of the latent space; the last row is for other words."""
+        return np.vstack([(self.idf[:, None] * self.space).astype(np.float32) @ self.latent.T, np.zeros((1, len(self.words)), np.float32)])
+
+    def least(self, share: float) -> np.ndarray:
+        """The least product with each item of a text that has `share` of its words: its lightest ones, each at idf**2."""
+        return np.array([np.sort(self.idf[np.searchsorted(self.terms, w)] ** 2)[: needed(share, len(w))].sum() for w in self.words])
+
+
+def needed(share: float, n: int) -> int:
+    """The fewest of n words that are `share` of them."""
+    return math.ceil(share * n - 1e-9)
+
 
 def words_of(text: str) -> np.ndarray:
     raw = np.frombuffer((text or "").encode(), np.uint8)
@@ -98,7 +122,7 @@ def build(docs: DataFrame, items: list[tuple[int, str]], rank: int, spark) -> li
         return []
     every = np.unique(np.concatenate([w for _, w in words]))
     n, df = document_frequencies(docs, every)
-    weights, unseen = np.log1p(n / (df + 1.0)), math.log1p(n)
+    weights = np.log1p(n / (df + 1.0))
     out = []
     for k in range(0, len(words), rank):
         some = words[k : k + rank]
@@ -110,8 +134,8 @@ def build(docs: DataFrame, items: list[tuple[int, str]], rank: int, spark) -> li
             vectors.append((at, tf * idf[at]))
         rows = spark.createDataFrame([(a.tolist(), v.tolist()) for a, v in vectors], "at array<int>, weight array<double>")
         space = randomised_svd(rows, len(terms), min(len(vectors), len(terms)))
-        latent = np.stack([(v @ space[a]) / max(np.linalg.norm(v), 1e-12) for a, v in vectors])
-        out.append(Index(terms, idf, unseen, space.astype(np.float32), [i for i, _ in some], [w for _, w in some], latent.astype(np.float32)))
+        latent = np.stack([v @ space[a] for a, v in vectors])
+        out.append(Index(terms, idf, space.astype(np.float32), [i for i, _ in some], [w for _, w in some], latent.astype(np.float32)))
     return out
 
 
@@ -132,49 +156,82 @@ def common(passage: np.ndarray, text: np.ndarray) -> int:
 def verified(passage: np.ndarray, text: np.ndarray, sure: float, likely: float) -> tuple[float, bool] | None:
     """The share of the passage found in order, and whether its answer is there; None if it is not contamination."""
     share = common(passage, text) / len(passage)
+    if share < min(sure, likely):
+        return None
     answer = passage[-max(3, len(passage) // 5) :]
     has = common(answer, text) >= 0.6 * len(answer)
     return (share, has) if share >= sure or share >= likely and has else None
 
 
+def distinct(at: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The distinct terms of stretches of words, -1 where there are no more."""
+    span = start[:, None] + np.arange(int((stop - start).max()))
+    t = at[np.minimum(span, len(at) - 1)]
+    t[span >= stop[:, None]] = -1
+    t.sort(axis=1)
+    t[:, 1:][t[:, 1:] == t[:, :-1]] = -1
+    t = -np.sort(-t, axis=1)
+    return t[:, : max(1, int((t >= 0).sum(axis=1).max()))]
+
+
 def matches(index: Index, w: Words, least: float, sure: float, likely: float) -> list[tuple[int, int, int, float, float, bool]]:
-    """(document, item position, first word, cosine, share, answer) of the verified candidates of a run of documents."""
-    at = index.lookup(w.hash)
-    known = at >= 0
-    gain = np.where(known, index.idf[np.maximum(at, 0)] ** 2, 0.0)
-    inside = np.concatenate([[0.0], np.cumsum(gain)])
-    norm = np.concatenate([[0.0], np.cumsum(np.where(known, gain, index.unseen**2))])
+    """(document, item position, first word, cosine, share, answer) of the verified windows of a run of documents.
+
+    A window is verified on the words around it as well, as many on either side as the item has. So windows are compared
+    in groups, by the stretch of words that any of a group's verifications sees.
+    """
+    at = index.lookup(w.hash).astype(np.int32)
+    size = np.array([len(p) for p in index.words])
+    accepted = min(sure, likely)
+    full = (index.latent.astype(np.float64) ** 2).sum(axis=1)
+    cutoff, fewest = 0.99 * np.maximum(index.least(accepted), least**2 * full), np.array([needed(accepted, n) for n in size])  # 0.99: single precision
+    longest = int(size.max())
+    group = max(1, longest // STRIDE)
     n = np.diff(w.first)
-    count = np.maximum(-(-(n - WINDOW) // STRIDE), 0) + 1
-    count[n == 0] = 0
+    windows = np.maximum(-(-(n - WINDOW) // STRIDE), 0) + 1
+    windows[n == 0] = 0
+    count = -(-windows // group)
     doc = np.repeat(np.arange(len(n)), count)
-    start = w.first[doc] + STRIDE * (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count))
-    stop = np.minimum(start + WINDOW, w.first[doc + 1])
-    good = np.flatnonzero(inside[stop] - inside[start] >= least * least * (norm[stop] - norm[start]))
+    window = group * (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count))  # the first of the group
+    upto = np.minimum(window + group, windows[doc])
+    low, high = w.first[doc], w.first[doc + 1]
+    start = np.maximum(low, low + STRIDE * window - longest)
+    stop = np.minimum(high, low + STRIDE * (upto - 1) + WINDOW + longest)
+    width = WINDOW + STRIDE * group + 2 * longest
     best: dict[tuple[int, int], tuple] = {}
-    for part in np.array_split(good, max(1, len(good) // 512)):
+    for part in np.array_split(np.arange(len(doc)), max(1, len(doc) * width // 100_000)):
         if not len(part):
             continue
-        s, e = start[part], stop[part]
-        span = s[:, None] + np.arange(WINDOW)
-        t = at[np.minimum(span, len(at) - 1)]
-        t[span >= e[:, None]] = -1
-        t.sort(axis=1)
-        t[:, 1:][t[:, 1:] == t[:, :-1]] = -1  # each word of a window counts once
-        weight = np.where(t >= 0, index.idf[np.maximum(t, 0)], 0).astype(np.float32)
-        x = np.zeros((len(part), index.space.shape[1]), np.float32)
-        for c in range(WINDOW):
-            x += weight[:, c, None] * index.space[np.maximum(t[:, c], 0)]
-        cosine = (x @ index.latent.T) / np.sqrt(np.maximum(norm[e] - norm[s], 1e-12)).astype(np.float32)[:, None]
-        for i, j in zip(*np.nonzero(cosine >= least)):
-            d, passage = int(doc[part[i]]), index.words[j]
-            if best.get((d, j), (0, 0, 0, 0, 2.0))[4] == 1.0:
+        t = distinct(at, start[part], stop[part])
+        n_terms = (t >= 0).sum(axis=1)
+        order = np.argsort(-n_terms, kind="stable")
+        part, t = part[order], t[order]
+        product = np.zeros((len(t), len(size)), np.float32)
+        for c in range(t.shape[1]):
+            k = int((n_terms > c).sum())
+            product[:k] += index.products[t[:k, c]]
+        rows, items = np.nonzero(product >= cutoff)
+        step = max(1, 1_000_000 // t.shape[1])
+        held = [index.counts[items[k : k + step, None], t[rows[k : k + step]]].sum(axis=1) for k in range(0, len(rows), step)]
+        enough = np.concatenate(held) >= fewest[items] if held else np.zeros(0, bool)
+        for i, j in zip(part[rows[enough]].tolist(), items[enough].tolist()):
+            d, passage = int(doc[i]), index.words[j]
+            if best.get((d, j), (0, 0, 0, 0, 0.0))[4] == 1.0:
+                continue
+            known = index.counts[j, at[start[i] : stop[i]]] > 0  # other words play no part in a subsequence
+            if not verified(passage, w.hash[start[i] : stop[i]][known], sure, likely):
                 continue
-            a, b = max(int(w.first[d]), int(s[i]) - len(passage)), min(int(w.first[d + 1]), int(e[i]) + len(passage))
-            if found := verified(passage, w.hash[a:b], sure, likely):
-                row = (d, int(j), int(s[i] - w.first[d]), float(cosine[i, j]), *found)
-                if (d, j) not in best or row[4] > best[d, j][4]:
-                    best[d, j] = row
+            for k in range(int(window[i]), int(upto[i])):
+                s = int(low[i]) + STRIDE * k
+                e = min(s + WINDOW, int(high[i]))
+                a, b = max(int(low[i]), s - len(passage)), min(int(high[i]), e + len(passage))
+                if found := verified(passage, w.hash[a:b], sure, likely):
+                    cosine = math.sqrt(max(0.0, float(index.products[np.unique(at[a:b][at[a:b] >= 0]), j].sum(dtype=np.float64) / full[j])))
+                    if cosine < least * (1 - 1e-5):
+                        continue
+                    row = (d, j, s - int(low[i]), cosine, *found)
+                    if (d, j) not in best or (row[4], row[3], -row[2]) > (best[d, j][4], best[d, j][3], -best[d, j][2]):
+                        best[d, j] = row
     return sorted(best.values())
 
 
@@ -189,8 +246,10 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 256, least: float = 0.3, sure: float = 0.7, likely: float = 0.5) -> DataFrame:
     """Verified pairs of items and documents: item_id, doc_id, first_word, cosine, share, answer.
 
-    Every window of 32 words (16 apart) of every whole text is compared with every item. `least`: the cosine of a
-    candidate; `sure`: the share of the item's words that must be found in order, or `likely` if its answer is found.
+    Every window of 32 words (16 apart) of every whole text is compared with every item, and no window that the shares
+    and the cosine accept is left out. `least`: the cosine of an item's vector and of the part of it that is found, which
+    is 1 for a copy among any words; `sure`: the share of the item's words that must be found in order, or `likely` if its answer is
+    found.
     `rank`: the items of one latent space, which has as many directions.
     Empty or null items and texts match nothing; repeated rows are each reported; doc_id may be null.
     """

@@ -89,3 +89,41 @@ def test_more_items_than_the_rank(spark):
     assert {(i, i) for i in range(600)} <= {(r.item_id, r.doc_id) for r in D.leaks(d, b).collect()}
     for index in D.build(d, list(enumerate(items)), 256, spark):
         assert len(index.items) <= 256 and np.linalg.norm(index.latent, axis=1).min() > 0.999
+
+
+def test_recall_does_not_fall_with_the_corpus(spark, monkeypatch):
+    """Copies of short items of frequent words, and over 2,000 items, in a corpus of 100 million documents by its counts."""
+    few = D.document_frequencies
+    monkeypatch.setattr(D, "document_frequencies", lambda docs, terms: tuple(x * 50_000 for x in few(docs, terms)))
+    items, docs = _passages(2200)
+    items = items[:2100] + [" ".join(x.split()[:15]) for x in items[2100:]]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(i, i) for i in range(2200)} <= {(r.item_id, r.doc_id) for r in D.leaks(d, b).collect()}
+
+
+def test_finds_all_that_verifies(spark):
+    """The pairs found are those that verifying every item on every window finds, no more and no fewer."""
+    at = "/root/testdata/sf0.001"
+    docs, bench = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/benchmark.parquet")
+    rnd = random.Random(3)
+    items = [(r.item_id, D.words_of(r.text)) for r in bench.collect()]
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    for k, r in enumerate(bench.collect()):  # damaged copies, with words put in or left out
+        w = [x for x in r.text.split() if rnd.random() < 0.75]
+        texts.append((10_000 + k, " ".join(["zzz"] * 20 + [y for x in w for y in ([x, "zz"] if rnd.random() < 0.6 else [x])] + ["zzz"] * 20)))
+    terms = np.unique(np.concatenate([p for _, p in items]))
+    n, df = D.document_frequencies(spark.createDataFrame(texts, "doc_id long, text string"), terms)
+    weigh = lambda p: np.log1p(n / (df[np.searchsorted(terms, p)] + 1.0)) ** 2
+
+    def accepted(p, text):
+        return D.verified(p, text, 0.7, 0.5) and weigh(p[np.isin(p, text)]).sum() >= 0.3**2 * weigh(p).sum()
+
+    want = set()
+    for d, t in texts:
+        w = D.words_of(t)
+        for i, p in items:
+            if np.isin(p, w).sum() >= 0.5 * len(p) and any(accepted(p, w[max(0, s - len(p)) : min(s + D.WINDOW, len(w)) + len(p)]) for s in range(0, max(1, len(w) - D.WINDOW + D.STRIDE), D.STRIDE)):
+                want.add((i, d))
+    got = {(r.item_id, r.doc_id) for r in D.leaks(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()}
+    assert got == want and len(want) > 20
