@@ -1,10 +1,13 @@
 """Toxic passages by maximum-scoring segments.
 
-Tokens get log-odds of toxic against other documents under an informative Dirichlet prior (the corpus frequencies),
-shrunk by two standard deviations; words too rare to tell take the log-odds of their beginnings. A linear-time scan
-finds all maximal segments of a text's token scores. Segment scores are calibrated by extreme-value statistics (the
-Karlin-Altschul parameters of the background), and a document's calibrated evidence is mapped to a probability by a
-one-variable logistic fit on the training rows.
+A token is known by its word and by the word's beginnings. Each of these features gets the log-odds of toxic against
+other documents under a Dirichlet prior whose mean is the feature's share of the labelled sample, shrunk by two standard
+deviations. A token takes the log-odds of its most specific feature that enough labelled documents hold, so that rare
+and unseen forms of a word are judged by how other rare words begin, less a constant drift. A linear-time scan finds all maximal
+segments of a text's token scores. Their scores are calibrated by extreme-value statistics: the Karlin-Altschul
+parameters of the background normalise them, and the sum statistics of the best r segments, for the r that tells most,
+give a document's evidence. A one-variable logistic fit maps that to a probability. Calibration and map see every
+training document through a model of the half of the sample that it is not in, so that they hold for other documents.
 """
 
 from __future__ import annotations
@@ -14,13 +17,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm._text import WORDY, Words, column, ids_of, lean, mix, pieces, table, texts, tune
+from quantloom.llm._shared import cut
+from quantloom.llm._text import WORDY, Words, column, ids_of, lean, mix, pieces, shingles, table, texts, tune
 
-PREFIXES = (6, 5, 4)
+PREFIXES = (8, 7, 6, 5, 4, 3)
+#: Evidence beyond this many nats counts as this many: e**-30 is certain for any corpus.
+MOST_EVIDENCE = 30.0
 _U = np.uint64
 
 
@@ -28,6 +35,7 @@ _U = np.uint64
 class Model:
     keys: np.ndarray  # sorted feature hashes
     scores: np.ndarray  # their token scores
+    firm: np.ndarray  # whether a feature is held by enough documents to be used before its beginnings
     drift: float  # the score of any other token is -drift
     decay: float = 1.0  # Karlin-Altschul lambda
     scale: float = 0.1  # Karlin-Altschul K
@@ -36,24 +44,46 @@ class Model:
     threshold: float = 0.3
 
     def tokens(self, w: Words) -> np.ndarray:
-        out = np.full(len(w.hash), -self.drift)
-        if not len(self.keys):
-            return out
-        open_ = np.ones(len(out), bool)
-        for h in (w.hash, *(w.prefix[k] for k in PREFIXES)):
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            hit = open_ & (self.keys[at] == h)
-            out[hit] = self.scores[at[hit]]
-            open_ &= ~hit
-        return out
+        """The score of each word: that of its longest firm feature, else of its longest feature."""
+        _, first, inv = np.unique(w.hash, return_index=True, return_inverse=True)
+        out = np.full(len(first), -self.drift)
+        if len(self.keys):
+            todo, met = np.arange(len(first)), np.zeros(len(first), bool)
+            for h in features(w):
+                h = h[first[todo]]
+                at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+                hit = self.keys[at] == h
+                firm = hit & self.firm[at]
+                use = firm | hit & ~met[todo]
+                out[todo[use]] = self.scores[at[use]]
+                met[todo[hit]] = True
+                todo = todo[~firm]
+        return out[inv]
 
     def evidence(self, segments: list[tuple[int, int, float]], n: int) -> float:
-        """Nats by which the segments exceed what a text of n tokens shows by chance."""
+        """Nats by which the best segments, taken together, exceed what a text of n tokens shows by chance.
+
+        With x the normalised scores, largest first, and T the sum of the first r, chance reaches T with a probability
+        of about e**-T T**(r-1) / (r! (r-1)!); 2**-r pays for the choice of r.
+        """
         base = math.log(max(self.scale * n, 1e-9))
-        return sum(max(0.0, self.decay * s - base) for _, _, s in segments)
+        best = total = 0.0
+        for r, s in enumerate(sorted((s for _, _, s in segments), reverse=True), 1):
+            x = self.decay * s - base
+            if x <= 0 and r > 1:
+                break
+            total += x
+            if total > r:  # the approximation holds in the tail
+                best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) - r * math.log(2))
+        return min(best, MOST_EVIDENCE)
 
     def probability(self, x: float) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.offset + self.slope * min(x, 20.0)))))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.offset + self.slope * x))))
+
+
+def features(w: Words) -> tuple[np.ndarray, ...]:
+    """Hashes of the words and of their beginnings (0 where a word is shorter)."""
+    return (w.hash, *(w.prefix[k] for k in PREFIXES))
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -78,92 +108,134 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, right - left) for a, b, left, right, _ in stack]
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with each feature, by class."""
-    for batch in batches:
-        buf, off = column(batch, "text")
-        toxic = batch.column(batch.schema.get_field_index("toxic")).to_numpy(zero_copy_only=False)
-        for i, j, part, cut in pieces(buf, off):
-            w = Words(part, cut, WORDY, prefixes=PREFIXES)
-            doc = w.doc()
-            f = np.concatenate([w.hash, *(w.prefix[k] for k in PREFIXES)])
-            d = np.tile(doc, 1 + len(PREFIXES))
-            level = np.repeat(np.arange(1 + len(PREFIXES)), len(doc))
-            ok = f != 0
-            f, d, level = f[ok], d[ok], level[ok]
-            _, one = np.unique(f ^ mix(d.astype(_U) + _U(1)), return_index=True)
-            f, level, t = f[one], level[one], toxic[i:j][d[one]]
-            u, first, inv = np.unique(f, return_index=True, return_inverse=True)
-            a = np.bincount(inv, weights=t, minlength=len(u)).astype(np.int64)
-            n = np.bincount(inv, minlength=len(u)).astype(np.int64)
-            yield table(["feature", "level", "toxic", "other"], u.view(np.int64), level[first].astype(np.int32), a, n - a)
+def _counts(rows: DataFrame, least: int, most: int, own: np.ndarray | None = None) -> pd.DataFrame:
+    """Documents with each word by half of the sample and class (c0, t0, c1, t1); of the beginnings of all words but `own`, if given.
+
+    A word that is judged by itself says nothing about others that begin like it.
+    """
+
+    def run(batches):
+        for batch in batches:
+            buf, off = column(batch, "text")
+            kind = (2 * _numbers(batch, "half") + _numbers(batch, "toxic")).astype(np.int64)
+            for i, j, part, cut in pieces(buf, off):
+                w = Words(part, cut, WORDY, prefixes=PREFIXES)
+                f, d = w.hash, w.doc()
+                if own is not None:
+                    rest = ~np.isin(f, own)
+                    f, d = np.concatenate([w.prefix[k][rest] for k in PREFIXES]), np.tile(d[rest], len(PREFIXES))
+                    f, d = f[f != 0], d[f != 0]
+                _, one = np.unique(f ^ mix(d.astype(_U) + _U(1)), return_index=True)
+                u, inv = np.unique(f[one], return_inverse=True)
+                n = np.bincount(inv * 4 + kind[i:j][d[one]], minlength=4 * len(u)).reshape(-1, 4).astype(np.int64)
+                yield table(["feature", "c0", "t0", "c1", "t1"], u.view(np.int64), *n.T)
+
+    names = ("c0", "t0", "c1", "t1")
+    counts = rows.mapInArrow(lean(run), "feature long, c0 long, t0 long, c1 long, t1 long").groupBy("feature").agg(*(F.sum(x).alias(x) for x in names))
+    top = counts.withColumn("n", F.expr(" + ".join(names))).filter(f"n >= {least}").orderBy(F.desc("n"), "feature").limit(most).toPandas()
+    return top.assign(key=top["feature"].to_numpy(np.int64).view(_U))
+
+
+def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
 
 def sample(labels: DataFrame, most: int) -> DataFrame:
     """Labelled rows for training: at most `most`, those first by a hash of doc_id. Conflicting labels count as toxic."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
-    return rows.groupBy("doc_id").agg((F.max("toxic") > 0).cast("double").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return rows.groupBy("doc_id").agg((F.max("toxic") > 0).cast("long").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, prior: float = 5000.0, deviations: float = 2.0, drift: float = 0.5, least: int = 5, most_terms: int = 50_000) -> Model:
-    """Fits the model on a bounded sample of labelled rows (`most`), read by one scan of docs each for counts and calibration.
+def distinct(rows: DataFrame) -> DataFrame:
+    """One row of the sample for each group of copies (doc_id, toxic by majority, half), so that none counts many times.
 
-    `prior`: weight of the Dirichlet prior in documents' tokens. `least`: documents that a feature needs. `most_terms`:
-    the features kept, by significance. Without labels of both classes, every text scores the same.
+    Copies, near ones mostly, share the least hash of their four-word shingles; a group falls into one half.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for i, j, part, cut in pieces(*column(batch, "text")):
+                key = np.full(j - i, np.uint64(0))
+                h, of = shingles(Words(part, cut, WORDY), 4)
+                order = np.lexsort((h, of))
+                docs, first = np.unique(of[order], return_index=True)
+                key[docs] = h[order][first]
+                yield table(["doc_id", "toxic", "key"], ids_of(batch).slice(i, j - i), _numbers(batch, "toxic")[i:j], key.view(np.int64))
+
+    keys = rows.select("doc_id", "text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(lean(run), "doc_id long, toxic long, key long")
+    return keys.groupBy("key").agg(F.min("doc_id").alias("doc_id"), (F.avg("toxic") >= 0.5).cast("long").alias("toxic")).select("doc_id", "toxic", F.pmod(F.xxhash64("key"), F.lit(2)).alias("half"))
+
+
+def log_odds(t: np.ndarray, nt: float, c: np.ndarray, nc: float, share: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of a feature in toxic (t of nt) against other documents (c of nc), and their standard deviations.
+
+    Each class has the prior Dirichlet(prior * share + 1/2, prior * (1 - share) + 1/2).
+    """
+    a, b = prior * share + 0.5, prior * (1 - share) + 0.5
+    delta = np.log(t + a) - np.log(nt - t + b) - np.log(c + a) + np.log(nc - c + b)
+    return delta, np.sqrt(1 / (t + a) + 1 / (nt - t + b) + 1 / (c + a) + 1 / (nc - c + b))
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, prior: float = 20.0, deviations: float = 2.0, drift: float = 0.5, least: int = 5, firm: int = 10, most_terms: int = 500_000) -> Model:
+    """Fits the model on a bounded sample of labelled rows (`most`), read by one scan of docs each for copies, counts and calibration.
+
+    `prior`: weight of a feature's share of the sample, in documents. `deviations`: by which log-odds are shrunk.
+    Near copies within the
+    sample count once. `least`, `firm`: labelled documents that a feature needs, and that it needs to be used before its beginnings.
+    `most_terms`: size of the model, so many words and so many beginnings, the most frequent ones, stay. Without labels of both classes, and without
+    documents, every text scores the same.
+    """
+    few = cut(distinct(texts(docs).join(F.broadcast(sample(labels, most)), "doc_id")))  # at most `most` rows of 24 bytes
+    rows = texts(docs).join(F.broadcast(few), "doc_id").select("doc_id", "text", "toxic", "half")
+    n = {f"{x}{h}": 0.0 for x in "ct" for h in (0, 1)}
+    n.update({f"{'ct'[r.toxic]}{r.half}": float(r["count"]) for r in rows.groupBy("half", "toxic").count().collect()})
+    words = _counts(rows, least, most_terms)
+    top = pd.concat([words, _counts(rows, least, most_terms, words["key"][words["n"] >= firm].to_numpy())]).sort_values("key")
+
+    def fitted(*halves):
+        t, c = (sum(top[f"{x}{h}"].to_numpy(float) for h in halves) for x in "tc")
+        nt, nc = (sum(n[f"{x}{h}"] for h in halves) for x in "tc")
+        ok = (t + c >= least) & (nt > 0) & (nc > 0)
+        t, c = t[ok], c[ok]
+        delta, sd = log_odds(t, nt, c, nc, (t + c) / max(1, nt + nc), prior)
+        return Model(top["key"].to_numpy()[ok], np.sign(delta) * np.maximum(np.abs(delta) - deviations * sd, 0) - drift, t + c >= firm, drift)
+
+    return calibrate(fitted(0, 1), [fitted(1), fitted(0)], rows)
+
+
+def calibrate(model: Model, others: list[Model], rows: DataFrame, step: float = 0.25) -> Model:
+    """Karlin-Altschul parameters from the non-toxic training texts, then the logistic map of evidence.
+
+    others[h] scores the texts of half h. What a task returns of a text are the bins of its token scores and its segments.
     """
-    few = F.broadcast(sample(labels, most))  # at most `most` rows of 16 bytes
-    rows = texts(docs).join(few, "doc_id").select("doc_id", "text", "toxic")
-    counts = rows.mapInArrow(lean(_counted), "feature long, level int, toxic long, other long").groupBy("feature", "level").agg(F.sum("toxic").alias("t"), F.sum("other").alias("c")).filter(f"t + c >= {least}")
-    found = counts.select("feature", "level", "t", "c")
-    total = counts.groupBy("level").agg(F.sum("t").alias("nt"), F.sum("c").alias("nc"))
-    a = f"({prior} * (t + c) / (nt + nc))"
-    odds = found.join(F.broadcast(total), "level").filter("nt > 0 AND nc > 0").selectExpr(
-        "feature",
-        f"ln((t + {a}) / (nt + {prior} - t - {a})) - ln((c + {a}) / (nc + {prior} - c - {a})) AS delta",
-        f"sqrt(1 / (t + {a}) + 1 / (c + {a})) AS sd",
-    )
-    top = odds.filter(f"abs(delta) > {deviations} * sd").orderBy(F.desc(F.abs(F.col("delta") / F.col("sd"))), "feature").limit(most_terms).toPandas()
-    keys = top["feature"].to_numpy(np.int64).view(_U)
-    s = np.sign(top["delta"].to_numpy(float)) * (np.abs(top["delta"].to_numpy(float)) - deviations * top["sd"].to_numpy(float))
-    order = np.argsort(keys)
-    model = Model(keys[order], np.where(s > 0, s, np.minimum(s, 0) - drift)[order], drift)
-    return calibrate(model, rows)
-
-
-def calibrate(model: Model, rows: DataFrame, step: float = 0.25) -> Model:
-    """Karlin-Altschul parameters from the non-toxic training texts, then the logistic map of evidence."""
 
     def run(batches):
         for batch in batches:
             buf, off = column(batch, "text")
-            toxic = batch.column(batch.schema.get_field_index("toxic")).to_numpy(zero_copy_only=False)
+            toxic, half = _numbers(batch, "toxic"), _numbers(batch, "half")
             for i, j, part, cut in pieces(buf, off):
                 w = Words(part, cut, WORDY, prefixes=PREFIXES)
-                s = model.tokens(w)
-                up = s > 0
-                per = [[float(x[2]) for x in segments(s[a:b])] if up[a:b].any() else [] for a, b in zip(w.first, w.first[1:])]
-                bins = [np.unique(np.round(s[a:b] / step).astype(int), return_counts=True) if t == 0 else ((), ()) for a, b, t in zip(w.first, w.first[1:], toxic[i:j])]
-                yield table(["toxic", "n", "segments", "bins", "counts"], toxic[i:j], np.diff(w.first).astype(np.int64), pa.array(per, pa.list_(pa.float64())), pa.array([list(map(int, x[0])) for x in bins], pa.list_(pa.int64())), pa.array([list(map(int, x[1])) for x in bins], pa.list_(pa.int64())))
-
-    seen = rows.mapInArrow(lean(run), "toxic double, n long, segments array<double>, bins array<long>, counts array<long>").toPandas()
+                both = [m.tokens(w) for m in others]
+                own = [both[h][a:b] for h, a, b in zip(half[i:j], w.first, w.first[1:])]
+                per = [[float(x[2]) for x in segments(s)] for s in own]
+                bins = [np.unique(np.round(s / step).astype(int), return_counts=True) if t == 0 else ((), ()) for s, t in zip(own, toxic[i:j])]
+                lists = pa.list_(pa.int64())
+                yield table(["toxic", "n", "segments", "bins", "counts"], toxic[i:j], np.diff(w.first).astype(np.int64), pa.array(per, pa.list_(pa.float64())), *(pa.array([list(map(int, x[k])) for x in bins], lists) for k in (0, 1)))
+
+    seen = rows.mapInArrow(lean(run), "toxic long, n long, segments array<double>, bins array<long>, counts array<long>").toPandas()
     if not len(seen):
         return model
     toxic, n = seen["toxic"].to_numpy(float), seen["n"].to_numpy(int)
-    hist: dict[int, float] = {}
-    for b, c in zip(seen["bins"], seen["counts"]):
-        for x, y in zip(b, c):
-            hist[x] = hist.get(x, 0) + y
+    hist = pd.Series(np.concatenate(seen["counts"].to_numpy()).astype(float), np.concatenate(seen["bins"].to_numpy()).astype(int)).groupby(level=0).sum()
     gains = model.scores[model.scores > 0]
-    for x in np.unique(np.round(gains / step).astype(int)):  # one pseudo-count spread over the gains, none of which may show
-        hist[int(x)] = hist.get(int(x), 0) + 1 / max(1, len(gains))
-    values, weights = np.array(sorted(hist)) * step, np.array([hist[k] for k in sorted(hist)])
-    model.decay = solve_decay(values, weights / max(weights.sum(), 1e-9))
+    # One pseudo-count spread over the gains, none of which may show.
+    hist = hist.add(pd.Series(1 / max(1, len(gains)), np.round(gains / step).astype(int), float).groupby(level=0).sum(), fill_value=0)
+    model.decay = solve_decay(hist.index.to_numpy(float) * step, hist.to_numpy() / max(hist.sum(), 1e-9))
     if len(gains):
-        s0 = float(np.median(gains))
-        clean = toxic == 0
+        s0, clean = float(np.median(gains)), toxic == 0
         above = sum(x >= s0 for s, c in zip(seen["segments"], clean) if c for x in s)
         model.scale = float(min(1.0, (above + 0.5) / max(1, n[clean].sum()) * math.exp(min(700.0, model.decay * s0))))
-    x = np.array([min(20.0, model.evidence([(0, 0, v) for v in s], max(1, k))) for s, k in zip(seen["segments"], n)])
+    x = np.array([model.evidence([(0, 0, v) for v in s], max(1, k)) for s, k in zip(seen["segments"], n)])
     model.offset, model.slope = logistic(x, toxic)
     return model
 
@@ -242,7 +314,11 @@ def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without the rows that the model predicts toxic."""
+    """docs without the rows that the model predicts toxic, with all their columns.
+
+    Null and empty texts have no passage, so they stay unless the model calls a text without evidence toxic; each repeated
+    row, and each row with a null doc_id, is decided by its own text; an empty table stays empty.
+    """
 
     tune(docs)
 

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pyspark.sql.functions as F
 from hypothesis import given
@@ -28,11 +30,79 @@ def test_decay():
     assert abs(T.solve_decay(np.array([-1.0, 1.0]), np.array([0.75, 0.25])) - np.log(3)) < 1e-6
 
 
+def test_score_against_brute_force(spark):
+    """Features, log-odds, tokens, segments and evidence by plain loops over Python strings, given the calibration."""
+    rng = np.random.default_rng(5)
+    stems = ["alp", "bertol", "cormo", "du", "elinda"]
+    rows = []
+    for i in range(400):
+        words = [stems[k] + "xyzw"[j] * (j + 1) for k, j in zip(rng.integers(0, 5, 30), rng.integers(0, 4, 30))]
+        rows.append((i, " ".join(words + ["scorn" + "abcdefgh"[i % 8] + "klmnopq"[i % 7]] * (3 * (i % 5 == 0)) + [f"own{i}"])))
+    labels = [(i, int(i % 5 == 0)) for i in range(0, 400, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = T.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+
+    def beginnings(word):
+        return [word, *(word[:k] + "*" for k in T.PREFIXES if len(word) >= k)]
+
+    count = {0: {}, 1: {}}
+
+    def add(features):
+        for i, toxic in labels:
+            for f in {f for w in rows[i][1].split() for f in features(w)}:
+                count[toxic][f] = count[toxic].get(f, 0) + 1
+
+    add(lambda w: [w])
+    own = {w for c in count.values() for w in c if count[0].get(w, 0) + count[1].get(w, 0) >= 10}
+    add(lambda w: [] if w in own else beginnings(w)[1:])
+    nt, nc = sum(t for _, t in labels), sum(1 - t for _, t in labels)
+
+    def weight(f):
+        t, c = count[1].get(f, 0), count[0].get(f, 0)
+        a, b = 20 * (t + c) / (nt + nc) + 0.5, 20 * (1 - (t + c) / (nt + nc)) + 0.5
+        delta = np.log((t + a) / (nt - t + b)) - np.log((c + a) / (nc - c + b))
+        return np.sign(delta) * max(0, abs(delta) - 2 * np.sqrt(1 / (t + a) + 1 / (nt - t + b) + 1 / (c + a) + 1 / (nc - c + b))) - 0.5
+
+    def token(word):
+        size = {f: count[1].get(f, 0) + count[0].get(f, 0) for f in beginnings(word)}
+        return next((weight(f) for least in (10, 5) for f in size if size[f] >= least), -0.5)
+
+    got = {r.doc_id: r for r in T.score(docs, model).collect()}
+    for i, text in rows:
+        s = [token(w) for w in text.split()]
+        x = sorted((model.decay * v[2] - np.log(model.scale * len(s)) for v in brute(s)), reverse=True)
+        best = 0
+        for r in range(1, len(x) + 1):
+            total = sum(x[:r])
+            if (x[r - 1] > 0 or r == 1) and total > r:
+                chance = np.exp(-total) * total ** (r - 1) / (math.factorial(r) * math.factorial(r - 1)) * 2**r
+                best = max(best, -np.log(chance))
+        assert abs(got[i].score - 1 / (1 + np.exp(-(model.offset + model.slope * min(best, 30))))) < 1e-6
+        assert got[i].predicted == int(got[i].score >= 0.3)
+    assert sum(got[i].predicted == int(i % 5 == 0) for i, _ in rows) >= 0.98 * 400
+
+
+def test_near_copies_count_once(spark):
+    base = "one two three four five six seven eight nine ten eleven twelve "
+    docs = spark.createDataFrame([(i, base + ("x" if i % 9 else "y")) for i in range(50)] + [(99, "another text altogether here")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 30)) for i in range(50)] + [(99, 0)], "doc_id long, toxic int")
+    got = T.distinct(docs.join(labels, "doc_id")).collect()
+    assert len(got) <= 3 and sum(r.toxic for r in got) >= 1 and {r.half for r in got} <= {0, 1}
+
+
+def test_long_text(spark):
+    """A text of more than one chunk is scored whole: the passage is at its end."""
+    docs = spark.createDataFrame([(i, f"plain words {i} " + ("vile filth " if i % 3 == 0 else "")) for i in range(300)] + [(1000, "plain words here " * 120_000 + "vile filth " * 9)], "doc_id long, text string")
+    model = T.train(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int"))
+    r = T.score(docs, model).filter("doc_id = 1000").first()
+    assert r.predicted == 1 and r.passages[-1].start >= 359_000
+
+
 def test_held_out_accuracy(spark):
     at = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{at}/labels.parquet")
     r = T.op10_toxicity(spark, at).join(labels, "doc_id").filter("held_out").select(F.count("*"), F.sum("toxic"), F.sum((F.col("predicted") == F.col("toxic")).cast("int")), F.sum(F.col("predicted") * F.col("toxic"))).first()
-    assert r[0] > 500 and r[2] / r[0] > 0.985 and r[3] / r[1] > 0.9
+    assert r[0] > 500 and r[2] / r[0] > 0.985 and r[3] / r[1] > 0.92
 
 
 def test_odd_and_empty(spark, odd, empty):
