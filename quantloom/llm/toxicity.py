@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm._shared import cut
@@ -146,24 +146,27 @@ def sample(labels: DataFrame, most: int) -> DataFrame:
     return rows.groupBy("doc_id").agg((F.max("toxic") > 0).cast("long").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def distinct(rows: DataFrame) -> DataFrame:
-    """One row of the sample for each group of copies (doc_id, toxic by majority, half), so that none counts many times.
+def thinned(rows: DataFrame) -> DataFrame:
+    """The sample (doc_id, toxic, half) with about sqrt(n) rows of each group of n copies: they tell less than n texts do.
 
     Copies, near ones mostly, share the least hash of their four-word shingles; a group falls into one half.
     """
 
     def run(batches):
         for batch in batches:
-            for i, j, part, cut in pieces(*column(batch, "text")):
-                key = np.full(j - i, np.uint64(0))
-                h, of = shingles(Words(part, cut, WORDY), 4)
+            for i, j, part, off in pieces(*column(batch, "text")):
+                key = np.zeros(j - i, _U)
+                h, of = shingles(Words(part, off, WORDY), 4)
                 order = np.lexsort((h, of))
                 docs, first = np.unique(of[order], return_index=True)
                 key[docs] = h[order][first]
                 yield table(["doc_id", "toxic", "key"], ids_of(batch).slice(i, j - i), _numbers(batch, "toxic")[i:j], key.view(np.int64))
 
     keys = rows.select("doc_id", "text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(lean(run), "doc_id long, toxic long, key long")
-    return keys.groupBy("key").agg(F.min("doc_id").alias("doc_id"), (F.avg("toxic") >= 0.5).cast("long").alias("toxic")).select("doc_id", "toxic", F.pmod(F.xxhash64("key"), F.lit(2)).alias("half"))
+    keys = keys.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("key").alias("key"))
+    w = Window.partitionBy("key", "toxic")
+    keys = keys.withColumn("place", F.row_number().over(w.orderBy(F.xxhash64("doc_id"), "doc_id"))).withColumn("n", F.count("*").over(w))
+    return keys.filter("place <= ceil(sqrt(n))").select("doc_id", "toxic", F.pmod(F.xxhash64("key"), F.lit(2)).alias("half"))
 
 
 def log_odds(t: np.ndarray, nt: float, c: np.ndarray, nc: float, share: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
@@ -176,16 +179,16 @@ def log_odds(t: np.ndarray, nt: float, c: np.ndarray, nc: float, share: np.ndarr
     return delta, np.sqrt(1 / (t + a) + 1 / (nt - t + b) + 1 / (c + a) + 1 / (nc - c + b))
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, prior: float = 20.0, deviations: float = 2.0, drift: float = 0.5, least: int = 5, firm: int = 10, most_terms: int = 500_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, prior: float = 5.0, deviations: float = 2.0, drift: float = 0.5, least: int = 5, firm: int = 10, most_terms: int = 500_000) -> Model:
     """Fits the model on a bounded sample of labelled rows (`most`), read by one scan of docs each for copies, counts and calibration.
 
     `prior`: weight of a feature's share of the sample, in documents. `deviations`: by which log-odds are shrunk.
-    Near copies within the
-    sample count once. `least`, `firm`: labelled documents that a feature needs, and that it needs to be used before its beginnings.
+    Copies within the
+    sample are thinned out. `least`, `firm`: labelled documents that a feature needs, and that it needs to be used before its beginnings.
     `most_terms`: size of the model, so many words and so many beginnings, the most frequent ones, stay. Without labels of both classes, and without
     documents, every text scores the same.
     """
-    few = cut(distinct(texts(docs).join(F.broadcast(sample(labels, most)), "doc_id")))  # at most `most` rows of 24 bytes
+    few = cut(thinned(texts(docs).join(F.broadcast(sample(labels, most)), "doc_id")))  # at most `most` rows of 24 bytes
     rows = texts(docs).join(F.broadcast(few), "doc_id").select("doc_id", "text", "toxic", "half")
     n = {f"{x}{h}": 0.0 for x in "ct" for h in (0, 1)}
     n.update({f"{'ct'[r.toxic]}{r.half}": float(r["count"]) for r in rows.groupBy("half", "toxic").count().collect()})
@@ -200,7 +203,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, prior: float =
         delta, sd = log_odds(t, nt, c, nc, (t + c) / max(1, nt + nc), prior)
         return Model(top["key"].to_numpy()[ok], np.sign(delta) * np.maximum(np.abs(delta) - deviations * sd, 0) - drift, t + c >= firm, drift)
 
-    return calibrate(fitted(0, 1), [fitted(1), fitted(0)], rows)
+    whole = fitted(0, 1)
+    # A half without both classes has no model of its own; the other is then judged by that of the whole.
+    return calibrate(whole, [fitted(h) if n[f"t{h}"] and n[f"c{h}"] else whole for h in (1, 0)], rows)
 
 
 def calibrate(model: Model, others: list[Model], rows: DataFrame, step: float = 0.25) -> Model:
