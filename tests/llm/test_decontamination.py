@@ -127,3 +127,18 @@ def test_finds_all_that_verifies(spark):
                 want.add((i, d))
     got = {(r.item_id, r.doc_id) for r in D.leaks(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()}
     assert got == want and len(want) > 20
+
+
+def test_long_items(spark):
+    """Copies of items of 1,000 words, whole ones and ones that lack every fourth word, in texts of more than one chunk."""
+    rnd = random.Random(6)
+    words = ["w" + "".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(6000)]
+    items = [[rnd.choice(words) for _ in range(n)] for n in (400, 550, 700, 1000, 1000)]
+    filler = [rnd.choice(words) for _ in range(5000)]
+    docs = [(i, " ".join(filler[:200] + w + filler[200:400])) for i, w in enumerate(items)]
+    docs += [(10 + i, " ".join(filler[:300] + [x for k, x in enumerate(w) if k % 4] + filler[:100])) for i, w in enumerate(items)]
+    docs.append((20, " ".join(filler * 40 + items[3] + filler)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.item_id, r.doc_id) for r in D.leaks(d, b).collect()}
+    assert got == {(i, i) for i in range(5)} | {(i, 10 + i) for i in range(5)} | {(3, 20)}
