@@ -3,7 +3,8 @@
 Each notice of length L tolerates k edits. Split into k + 1 pieces, at least one piece of any occurrence is intact
 (the pigeonhole principle), so exact searches for the pieces find every candidate; the regex library's bounded-error
 matching then verifies the edits around each candidate and gives the span. Texts are reduced to lower-case words
-joined by single spaces first, so that line breaks and punctuation do not count as edits.
+joined by single spaces first, so that line breaks and punctuation do not count as edits. Where notices compete for a
+place, the one with the fewest edits for its length has it, and the words that name a licence must be mostly intact.
 """
 
 from __future__ import annotations
@@ -20,33 +21,47 @@ from quantloom.llm._text import WORDY, Words, column, ids_of, lean, pieces, tabl
 
 #: Phrases counted exactly, by label.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Notices searched with edits, by label.
+#: Notices searched with edits: text, label, and the words that name the licence, of which each must be mostly intact.
 NOTICES = (
-    ("permission is hereby granted free of charge to any person obtaining a copy", "mit-notice"),
-    ("licensed under the apache license version 2 0", "apache-notice"),
-    ("licensed under the gnu general public license", "gpl-notice"),
-    ("licensed under cc by nc", "cc-by-nc"),
-    ("licensed under cc by sa", "cc-by-sa"),
-    ("licensed under the mit license", "mit-notice"),
-    ("redistribution and use in source and binary forms with or without modification", "bsd-notice"),
-    ("subject to the terms of the mozilla public license", "mpl-notice"),
-    ("all rights reserved", "reserved"),
+    ("permission is hereby granted free of charge to any person obtaining a copy", "mit-notice", ""),
+    ("permission to use copy modify and or distribute this software for any purpose", "isc-notice", ""),
+    ("redistribution and use in source and binary forms with or without modification", "bsd-notice", ""),
+    ("subject to the terms of the mozilla public license", "mpl-notice", "mozilla"),
+    ("licensed under the apache license version 2 0", "apache-notice", "apache"),
+    ("licensed under the gnu general public license", "gpl-notice", "general public"),
+    ("licensed under the gnu lesser general public license", "lgpl-notice", "lesser"),
+    ("licensed under the mit license", "mit-notice", "mit"),
+    ("licensed under the bsd license", "bsd-notice", "bsd"),
+    ("licensed under the mpl license", "mpl-notice", "mpl"),
+    ("licensed under cc by nc", "cc-by-nc", "cc nc"),
+    ("licensed under cc by sa", "cc-by-sa", "cc sa"),
+    ("licensed under cc by nd", "cc-by-nd", "cc nd"),
+    ("all rights reserved", "reserved", ""),
 )
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, spans array<struct<label:string,start:long,end:long,edits:int,length:int>>"
 
 
 class Notice:
-    def __init__(self, text: str, label: str, per_edit: int):
+    def __init__(self, text: str, label: str, names: str, per_edit: int):
         self.text, self.label, self.k = text.encode(), label, max(1, len(text) // per_edit)
+        self.names = [regex.compile(b"(?:%s){e<=%d}" % (x.encode(), len(x) // 2)) for x in names.split()]
         cuts = [len(text) * i // (self.k + 1) for i in range(self.k + 2)]
         self.seeds = [(a, self.text[a:b]) for a, b in zip(cuts, cuts[1:])]
         self.match = regex.compile(b"(?b)(?:%s){e<=%d}" % (regex.escape(self.text, special_only=True), self.k))
 
     def verify(self, text: bytes, lo: int, hi: int):
-        """The best occurrence between lo and hi: start, end, edits."""
-        if m := self.match.search(text, lo, hi):
-            return m.start(), m.end(), sum(m.fuzzy_counts)
-        return None
+        """The best occurrence between lo and hi: start, end, edits. Each name is a word of it, or half a name at least is."""
+        if not (m := self.match.search(text, lo, hi)):
+            return None
+        a, b = m.span()
+        while a > lo and text[a - 1] not in b" \n":
+            a -= 1
+        while b < hi and text[b] not in b" \n":
+            b += 1
+        words = iter(text[a:b].split())
+        if not all(any(name.fullmatch(x) for x in words) for name in self.names):  # in their order, each a word of its own
+            return None
+        return *m.span(), sum(m.fuzzy_counts)
 
 
 def find_all(text: bytes, what: bytes) -> list[int]:
@@ -108,10 +123,10 @@ def scan_bytes(buf: np.ndarray, off: np.ndarray, notices: list[Notice], base=BAS
 
 
 def merge(spans: list[tuple]) -> list[tuple]:
-    """Of overlapping spans with one label, the one with the fewest edits for its length stays."""
+    """Of overlapping spans, whatever their labels, the one with the fewest edits for its length stays; exact ones all do."""
     out: list[tuple] = []
     for s in sorted(set(spans), key=lambda s: (s[3] / s[4], -s[4], s[1], s[2])):
-        if not any(t[0] == s[0] and t[1] < s[2] and s[1] < t[2] for t in out):
+        if not any((t[0] == s[0] or s[3]) and t[1] < s[2] and s[1] < t[2] for t in out):
             out.append(s)
     return sorted(out, key=lambda s: (s[1], s[0]))
 
@@ -125,7 +140,7 @@ def scan(docs: DataFrame, notices=NOTICES, base=BASE, per_edit: int = 10) -> Dat
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [Notice(t, label, per_edit) for t, label in notices]
+        compiled = [Notice(*notice, per_edit) for notice in notices]
         for batch in batches:
             buf, off = column(batch, "text")
             ids = ids_of(batch)
@@ -155,3 +170,20 @@ def digest(found: DataFrame) -> DataFrame:
 
 def op3_license_scan(spark, sf_dir: str) -> DataFrame:
     return digest(scan(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def license_base_phrases(spark, sf_dir: str) -> DataFrame:
+    """What op3 returns of the base phrases, which SQL can express."""
+    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (
+  SELECT doc_id, i, CASE WHEN w[i + 1] = 'mit' AND w[i + 2] = 'license' THEN 'mit' WHEN w[i + 1] = 'apache' AND w[i + 2] = 'license' THEN 'apache'
+    WHEN w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license' THEN 'gpl' END AS label
+  FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM w)),
+f AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM p WHERE label IS NOT NULL GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_base, a AS first_word, z AS last_word, coalesce(l, '') AS base_labels FROM w LEFT JOIN f USING (doc_id)
+"""

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HOST = "regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:]*)', 1), '^www[.]', '')"
-SEGMENT = "regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://[^/?#]*/([^/?#]*)', 1)"
+#: What stands between a scheme and the path, without user names, port, final dots and a leading www.
+HOST = r"regexp_replace(regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#\\\\]*@)?(\\[[^/?#\\\\]*\\]|[^/?#:\\\\]*)', 1), '[.]+$', ''), '^www[.]', '')"
+SEGMENT = r"regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://[^/?#\\\\]*[/\\\\]([^/?#\\\\]*)', 1)"
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -83,15 +84,20 @@ def op2_url_filter(spark, sf_dir: str) -> DataFrame:
     return evaluate(pages.withColumn("day", (F.col("page_id") * 37 % 730).cast("int")), demo_entries(pages))
 
 
-_H = "regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:]*)', 1), '^www[.]', '')"
-
-
 def _duck_hex(s: str, a: int, n: int) -> str:
     return f"CAST('0x' || substr(md5({s}), {a}, {n}) AS INT)"
 
 
+#: Hosts and first path segments by cutting at separators, where the query has expressions of its own.
 ORACLE = f"""
-WITH p AS (SELECT page_id, url, CAST(page_id * 37 % 730 AS INT) AS day, {_H} AS host, {SEGMENT} AS segment FROM pages),
+WITH u AS (SELECT page_id, url, replace(lower(trim(url)), '\\', '/') AS x FROM pages),
+a AS (SELECT page_id, url, split_part(split_part(x, '?', 1), '#', 1) AS x FROM u WHERE regexp_matches(x, '^[a-z][a-z0-9+.-]*://')),
+b AS (SELECT page_id, url, string_split(x[strpos(x, '://') + 3:], '/') AS parts FROM a),
+c AS (SELECT page_id, url, list_last(string_split(parts[1], '@')) AS h, coalesce(parts[2], '') AS segment FROM b),
+d AS (SELECT page_id, url, rtrim(CASE WHEN starts_with(h, '[') THEN h[:strpos(h, ']')] ELSE split_part(h, ':', 1) END, '.') AS h, segment FROM c),
+p AS (
+  SELECT pages.page_id, pages.url, CAST(pages.page_id * 37 % 730 AS INT) AS day, coalesce(CASE WHEN starts_with(h, 'www.') THEN h[5:] ELSE h END, '') AS host, coalesce(segment, '') AS segment
+  FROM pages LEFT JOIN (SELECT DISTINCT * FROM d) d ON pages.page_id = d.page_id AND pages.url = d.url),
 hosts AS (SELECT DISTINCT host FROM p WHERE host <> ''),
 paths AS (SELECT DISTINCT host || '/' || segment AS key FROM p WHERE host <> '' AND segment <> ''),
 events AS (

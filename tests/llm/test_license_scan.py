@@ -32,7 +32,7 @@ def test_every_occurrence_within_the_edits_is_found(spark):
 
     rnd = random.Random(3)
     rows = []
-    for i, (notice, label) in enumerate(L.NOTICES * 6):
+    for i, (notice, label, _) in enumerate(L.NOTICES * 6):
         s, k = list(notice), max(1, len(notice) // 10)
         for _ in range(k):
             at = rnd.randrange(len(s))
@@ -49,3 +49,27 @@ def test_clean_text_has_no_label(spark):
 
 def test_empty(empty):
     assert L.digest(L.scan(empty)).count() == 0
+
+
+def labels_of(spark, lines):
+    d = spark.createDataFrame([(i, "some words before " + t + " and some after") for i, t in enumerate(lines)], "doc_id long, text string")
+    return {r.doc_id: r.labels for r in L.digest(L.scan(d)).collect()}
+
+
+def test_no_label_of_another_licence(spark):
+    want = {
+        "licensed under CC BY-SA 4.0": "cc-by-sa", "licensed under CC BY-NC": "cc-by-nc", "licensed under CC BY-ND 3.0": "cc-by-nd", "licensed under CC BY 4.0": "",
+        "licensed under the BSD license": "bsd-notice", "licensed under the MPL license": "mpl-notice", "licensed under the ISC license": "", "Licensed under the MIT License.": "mit,mit-notice",
+        "licensed under the XYZ license": "", "licensed under the GNU Lesser General Public License": "gpl,lgpl-notice", "licensed under the GNU General Public License": "gpl,gpl-notice",
+        "lisensed under the mitt license": "mit-notice", "licenced under the GNU Generall Public License": "gpl-notice", "licenced under cc by sa": "cc-by-sa",
+        "subject to the terms of the microsoft public license": "", "All rights reserved.": "reserved", "all lights preserved": "",
+    }
+    got = labels_of(spark, list(want))
+    assert [got[i] for i in range(len(want))] == list(want.values())
+
+
+def test_long_text(spark):
+    """A text of more than one chunk is scanned whole."""
+    text = "plain words " * 120_000 + "licensed under the mit license " + "more words " * 60_000
+    r = L.digest(L.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert (r.n_words, r.n_base, r.first_word, r.labels) == (360_005, 1, 240_003, "mit,mit-notice")
