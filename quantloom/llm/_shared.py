@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,6 +23,35 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which goes when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4()}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a path that no later step reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def housed(df: DataFrame) -> DataFrame:
+    """The rows of df, written as they lie, with home, the partition that holds them, and place, theirs in it.
+
+    The table is bucketed by home without a shuffle, and read by bucket: what is grouped by home, or joined by it, meets
+    the rows where they are.
+    """
+    spark = df.sparkSession
+    name, n = f"housed_{uuid.uuid4().hex}", max(1, min(df.rdd.getNumPartitions(), 50_000))
+    rows = df.select(F.spark_partition_id().alias("home"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place"), "*")
+    rows.write.bucketBy(n, "home").format("parquet").option("path", scratch(spark, name)).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name; the files are not the catalog's
+    return out
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, computed now and read from the checkpoint folder from here on; survives lost executors."""
     shared_folder(df.sparkSession)

@@ -50,3 +50,29 @@ def test_hot_group(spark):
 
 def test_empty(empty):
     assert D.dedup(empty).count() == 0
+
+
+def test_one_row_of_each_group_with_any_columns(spark, odd, empty):
+    """Against plain Python; columns named as the operator's own, with dots, and of nested types."""
+    clash = odd.selectExpr("*", "doc_id AS fp", "text AS row", "n_chars AS __id", "'s' AS sha", "true AS suspect", "1 AS home", "2 AS place", "3 AS bits", "4 AS `a.b`", "array(1, 2) AS n", "doc_id AS __kept", "lang AS __sha", "lang AS __key")
+    rows = D.keep_one(clash).collect()
+    best = {}
+    for d, t, _ in ODD:
+        best[t or ""] = max((d if d is not None else -1, best.get(t or "", -1)))
+    assert Counter((r.text or "", -1 if r.doc_id is None else r.doc_id) for r in rows) == Counter(best.items())
+    assert D.keep_one(clash).columns == clash.columns and all(r["a.b"] == 4 and r["row"] == r.text for r in rows)
+    assert D.keep_one(empty).count() == 0 and D.keep_one(empty).columns == empty.columns
+
+
+def test_texts_do_not_move_before_the_exchange(spark):
+    """No exchange of the plan that marks suspects holds texts."""
+    d = spark.createDataFrame([(i, f"text {i % 70}") for i in range(100)], "doc_id long, text string").repartition(5)
+    plan = D._marked(d, D.F.coalesce("row.text", D.F.lit(""))).filter("NOT suspect").select("row.*")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and not any("Exchange" in line and ("text" in line or "row" in line) for line in plan.split("\n"))
+    assert "Bucketed: true" in plan
+
+
+def test_long_text(spark):
+    long = "x" * 3_000_000
+    rows = [(1, long), (2, long), (3, long + "y"), (4, "z")]
+    assert got(D.dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
