@@ -1,11 +1,13 @@
 """Near-duplicate documents: a Jaccard self-join on word shingles by token-combination prefixes.
 
-Documents with one shingle set form a class. Shingles are ordered with the frequent ones last, by hash within; the
-first n - ceil(t n) + 2 of a class are its extended prefix, and similar classes share at least two tokens there. If
-one of those is rare, it is in the index by itself; if all are frequent, each pair of them is. In sets so large that
-pairs would be many, frequent tokens are indexed alone; sets that may be similar to those are indexed both ways.
-Candidates are verified on whole sets. Within an index entry only a star of pairs is tried first; what is in
-different components after that is tried in full, so no link between components is lost and no group is expanded.
+Documents with one shingle set form a class. Shingles are ordered with the frequent ones last, by hash within. The first
+n - ceil(t n) + g + 1 of a class of n are its extended prefix: similar classes share at least g + 1 tokens there. If one
+of those is rare, it is in the index by itself. If all are frequent, two of them fall into the same of g hash buckets,
+so pairs of frequent tokens within a bucket are in the index. g is a power of two that grows with n (1 for small sets),
+so that buckets hold a few tokens at every size; buckets of fewer are unions of buckets of more, so classes of unlike
+sizes meet by the buckets of the lesser. Candidates are verified on whole sets. Within an index entry only a star of
+pairs is tried first, within salted parts where an entry is hot, and then a star of their heads; what is in different
+components after that is tried in full, in blocks of members, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ from quantloom.llm.exact_dedup import owner_of, rice_decode, rice_encode
 _U = np.uint64
 FREQUENT = 8  # documents above which a shingle counts as frequent
 MOST_FREQUENT = 200_000  # of these, so many at most (the most frequent) are told apart; the rest are indexed as rare
-WIDE = 64  # longest extended prefix whose pairs are indexed
+SPLIT = 50_000  # documents in each salted part of an index entry
+BUCKET = 4  # frequent tokens of a prefix in a bucket, at least, before buckets are halved
+MEMBERS = 256  # of a group, in each block of those compared in full
 FLUSH = 2_000_000
 BITS = 52  # of a shingle's hash; the other 12 hold its document within a run
 
@@ -52,6 +56,12 @@ def need(n, percent: int):
     return (percent * n + 99) // 100
 
 
+def buckets(n: np.ndarray, percent: int) -> np.ndarray:
+    """The number of hash buckets for the frequent tokens of a set of n: a power of two, never less for more tokens."""
+    spare = (n - need(n, percent)) // BUCKET
+    return np.left_shift(1, np.floor(np.log2(np.maximum(spare, 1))).astype(np.int64))
+
+
 def _classes(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,10 +133,21 @@ def _heavy(least: int):
     return run
 
 
-def _postings(width: int, percent: int, frequent: np.ndarray, bits: int):
-    """(key, sig, pack): the index entries of each document's set; pack holds n and the rank
-    from which the set's tokens can be shared if the key is the first that is."""
-    wide = next(n for n in range(2, 1 << 30) if n - need(n, percent) + 2 > WIDE)
+def _postings(width: int, percent: int, frequent: np.ndarray, df: np.ndarray, bits: int):
+    """(key, part, sig, pack): the index entries of each document's set; pack holds n and the rank from which the set's
+    tokens can be shared if the key is the first that is. part: which of an entry's parts, -1 where it has one."""
+
+    def pairs(f, rank, slot, heat, of, ext):
+        """Keys, documents, ranks and heat of the pairs within each (document, bucket): f sorted by these, then rank."""
+        new = np.append(True, (of[1:] != of[:-1]) | (slot[1:] != slot[:-1]))
+        begin = np.flatnonzero(new)
+        run = np.cumsum(new) - 1
+        later = np.append(begin[1:], len(f))[run] - np.arange(len(f)) - 1  # tokens of the bucket after this one
+        p = np.repeat(np.arange(len(f)), later)
+        q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(later) - later, later)
+        lo, hi = np.minimum(f[p], f[q]), np.maximum(f[p], f[q])
+        # at most ext + 1 tokens up to the second of the pair are shared
+        return mix(lo * _U(_R) + hi), of[p], np.maximum(np.maximum(rank[p], rank[q]) - ext[of[p]], 0), np.minimum(heat[p], heat[q])
 
     def run(batches):
         for batch in batches:
@@ -135,35 +156,31 @@ def _postings(width: int, percent: int, frequent: np.ndarray, bits: int):
                 h, at = sets_of(part, cut_, width)
                 n = np.diff(at)
                 sig = signatures(h, at)
+                doc = np.repeat(np.arange(len(n)), n)
+                heat = np.zeros(len(h), np.int64)
                 if len(frequent):
                     top = h >> _U(BITS - bits)
                     i = np.minimum(np.searchsorted(frequent, top), len(frequent) - 1)
-                    often = frequent[i] == top
-                else:
-                    often = np.zeros(len(h), bool)
-                doc = np.repeat(np.arange(len(n)), n)
-                if often.any():
-                    order = np.argsort((doc.astype(np.uint32) << np.uint32(1)) | often, kind="stable")
-                    h, often = h[order], often[order]
+                    heat = np.where(frequent[i] == top, df[i], 0)
+                if heat.any():
+                    order = np.argsort((doc.astype(np.uint32) << np.uint32(1)) | (heat > 0), kind="stable")
+                    h, heat = h[order], heat[order]
                 rank = np.arange(len(h)) - at[:-1][doc]
-                size = n[doc]
-                prefix = np.minimum(size - need(size, percent) + 2, size)
-                inside = (rank < prefix) & (size >= 2)
-                alone = inside & (~often | (size >= need(wide, percent)))
-                key, of, at_rank = [h[alone]], [doc[alone]], [rank[alone]]
-                pair = inside & often & (size < wide)
-                if pair.any():
-                    d = doc[pair]
-                    a = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-                    z = np.append(a[1:], len(d))
-                    f, r = h[pair], rank[pair]
-                    for x, y in zip(a.tolist(), z.tolist()):
-                        p, q = np.triu_indices(y - x, 1)
-                        key.append(mix(f[x + p] * _U(_R) + f[x + q]))
-                        of.append(np.full(len(p), d[x]))
-                        at_rank.append(r[x + q] - 1)  # as if the second token were the first shared one, and one more were
-                key, of, at_rank = np.concatenate(key), np.concatenate(of), np.concatenate(at_rank)
-                yield table(["key", "sig", "pack"], key.view(np.int64), sig[of].view(np.int64), at_rank << 32 | n[of])
+                ext = buckets(n, percent)
+                prefix = np.minimum(n - need(n, percent) + ext + 1, n)
+                inside = (rank < prefix[doc]) & (n[doc] >= 2)
+                alone, many = inside & (heat == 0), inside & (heat > 0)
+                key, of, low, hot = [h[alone]], [doc[alone]], [rank[alone]], [heat[alone]]
+                if many.any():
+                    f, d = h[many], doc[many]
+                    slot = mix(f) & (buckets(need(n, percent), percent)[d] - 1).astype(_U)
+                    order = np.lexsort((slot, d))
+                    for x, y in zip((key, of, low, hot), pairs(f[order], rank[many][order], slot[order], heat[many][order], d[order], ext)):
+                        x.append(y)
+                key, of, low, hot = (np.concatenate(x) for x in (key, of, low, hot))
+                parts = (hot // SPLIT + 1).astype(_U)
+                part_ = np.where(parts > 1, (mix(sig[of]) % parts).astype(np.int64), -1)
+                yield table(["key", "part", "sig", "pack"], key.view(np.int64), part_, sig[of].view(np.int64), low << 32 | n[of])
 
     return run
 
@@ -177,13 +194,14 @@ def may_link(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _groups(percent: int):
-    """From rows sorted by key, pack and sig: a star of pairs per key around the set of least rank, and the members of
-    keys with more than two; of keys with the same members, one, with each member's least rank."""
-
-    def told(key, sig, pack):
-        new = np.append(True, (key[1:] != key[:-1]) | (sig[1:] != sig[:-1]))
-        key, sig, pack = key[new], sig[new], pack[new]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    """From rows sorted by key, part, pack and sig: a star of pairs per key and part around the set of least rank, and
+    the members of keys with more than two; of keys with the same members, one, with each member's least rank. An entry
+    in parts is one group, named by its key, and tells each part's first set as its head."""
+
+    def told(key, part, sig, pack):
+        new = np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (sig[1:] != sig[:-1]))
+        key, part, sig, pack = key[new], part[new], sig[new], pack[new]
+        first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
         m = np.diff(np.append(first, len(key)))
         head, at = np.repeat(first, m), np.arange(len(key))
         other = at > head
@@ -192,22 +210,26 @@ def _groups(percent: int):
         chain = other & ~star & (before > head) & may_link(pack[before], pack, percent)
         a, b = np.concatenate([sig[head[star]], sig[before[chain]]]), np.concatenate([sig[star], sig[chain]])
         pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
+        split = part >= 0
         n, rank = pack & 0xFFFFFFFF, pack >> 32  # a member that can link with no size in its group by what is left from its rank is none
-        low = np.maximum(np.repeat(np.minimum.reduceat(n, first), m), need(n, percent))
+        low = np.maximum(np.where(split, 0, np.repeat(np.minimum.reduceat(n, first), m)), need(n, percent))
         able = (n - rank) * (100 + percent) >= percent * (n + low)
         count = np.add.reduceat(able.astype(np.int64), first)
         total = np.concatenate([[_U(0)], np.cumsum(np.where(able, mix(sig.view(_U)), _U(0)), dtype=_U)])
-        name = mix(total[first + m] - total[first] + count.astype(_U))
-        member = able & np.repeat((m > 2) & (count > 1), m)
+        name = np.where(split[first], mix(key[first].view(_U) ^ _U(_R)), mix(total[first + m] - total[first] + count.astype(_U)))
+        member = able & (split | np.repeat((m > 2) & (count > 1), m))
         g, who, rank = np.repeat(name, m)[member].view(np.int64), sig[member], pack[member]
         order = np.lexsort((rank, who, g))
         g, who, rank = g[order], who[order], rank[order]
         one = np.append(True, (g[1:] != g[:-1]) | (who[1:] != who[:-1])) if len(g) else np.zeros(0, bool)
         g, who, rank = g[one], who[one], rank[one]
-        none = lambda k: pa.nulls(k, pa.int64())
-        join = lambda x, y: pa.concat_arrays([pa.array(x, pa.int64()) if isinstance(x, np.ndarray) else x, pa.array(y, pa.int64()) if isinstance(y, np.ndarray) else y])
-        k = len(pair)
-        return table(["group", "a", "b", "pack"], join(none(k), g), join(np.ascontiguousarray(pair[:, 0]), who), join(np.ascontiguousarray(pair[:, 1]), none(len(g))), join(none(k), rank))
+        heads = split[first]
+        rows = ((np.zeros(len(pair), bool), pair[:, 0], pair[:, 1], None), (g, who, None, rank), (name[heads].view(np.int64), sig[first][heads], None, None))
+
+        def joined(k):
+            return pa.concat_arrays([pa.array(np.ascontiguousarray(r[k]), pa.int64()) if r[k] is not None and r[k].dtype != bool else pa.nulls(len(r[0]), pa.int64()) for r in rows])
+
+        return table(["group", "a", "b", "pack"], *(joined(k) for k in range(4)))
 
     def run(batches):
         held: list[tuple] = []
@@ -215,14 +237,15 @@ def _groups(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(tuple(batch.column(i).to_numpy() for i in range(3)))
+            held.append(tuple(batch.column(i).to_numpy() for i in range(4)))
             size += batch.num_rows
-            last = held[-1][0]
-            if size >= 200_000 and last[0] != last[-1]:
-                key, sig, pack = (np.concatenate(x) for x in zip(*held))
-                end = int(np.searchsorted(key, key[-1]))
-                yield told(key[:end], sig[:end], pack[:end])
-                held, size = [(key[end:], sig[end:], pack[end:])], len(key) - end
+            last = held[-1]
+            if size >= 200_000 and (last[0][0], last[1][0]) != (last[0][-1], last[1][-1]):
+                whole = [np.concatenate(x) for x in zip(*held)]
+                same = (whole[0] == whole[0][-1]) & (whole[1] == whole[1][-1])
+                end = int(np.argmax(same))
+                yield told(*(x[:end] for x in whole))
+                held, size = [tuple(x[end:] for x in whole)], size - end
         if held:
             yield told(*(np.concatenate(x) for x in zip(*held)))
 
@@ -230,19 +253,19 @@ def _groups(percent: int):
 
 
 def _across(percent: int):
-    """Of a group's members, the pairs that are in different components and may be similar."""
+    """Of the members of two blocks of a group (lo, hi: a cell), the pairs that are in different components and may be similar."""
 
     def run(t: pa.Table) -> Iterator[pa.Table]:
-        sig, pack, root = (t.column(c).to_numpy() for c in ("sig", "pack", "root"))
+        sig, pack, root, block, lo, hi = (t.column(c).to_numpy() for c in ("sig", "pack", "root", "block", "lo", "hi"))
         order = np.argsort(pack & 0xFFFFFFFF, kind="stable")
-        sig, pack, root = sig[order], pack[order], root[order]
+        sig, pack, root, block = sig[order], pack[order], root[order], block[order]
         n = pack & 0xFFFFFFFF
         a, b = [], []
         if len(np.unique(root)) > 1:
             stop = np.searchsorted(n * percent, n * 100, "right")
             for i in range(len(n)):
                 j = np.arange(i + 1, stop[i])
-                j = j[root[j] != root[i]]
+                j = j[(root[j] != root[i]) & ((block[j] != block[i]) | (lo[0] == hi[0]))]
                 j = j[may_link(pack[i], pack[j], percent)]
                 a.append(np.full(len(j), sig[i]))
                 b.append(sig[j])
@@ -252,6 +275,20 @@ def _across(percent: int):
     return run
 
 
+def _cells(labelled: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) within groups whose members (group, sig, pack, root) are in different components.
+
+    A group's members are dealt to blocks; each pair of blocks is a cell, so no task holds more than two of them. A
+    cell whose members are in one component has no pairs.
+    """
+    size = labelled.groupBy("group").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("m")).filter("least <> most")
+    size = size.select("group", F.expr(f"CAST((m - 1) DIV {MEMBERS} + 1 AS INT)").alias("blocks"))
+    dealt = labelled.join(size, "group").withColumn("block", F.expr("CAST(pmod(xxhash64(sig), blocks) AS INT)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    cells = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    return cells.groupBy("group", "lo", "hi").applyInArrow(_across(percent), "a long, b long").distinct()
+
+
 def _filter_of(sigs: DataFrame, bits: int) -> np.ndarray:
     """A bitmap of 2**bits bits with one set for each signature: 4 KB rows, 2**bits / 8 bytes in all at most."""
     h = F.pmod("sig", F.lit(1 << bits))
@@ -321,12 +358,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     messages = rows.mapInArrow(lean(_frequencies(width, owners, bits, copied, speak)), "owner long, n long, base long, b int, unary binary, rest binary, many binary, counts binary")
     heavy = messages.groupBy("owner").applyInArrow(_heavy(FREQUENT), "token long, df long")
     # MOST_FREQUENT tokens of 8 bytes bound what the driver and every task hold; which tokens count as frequent changes no result
-    frequent = np.sort(heavy.orderBy(F.desc("df"), "token").limit(MOST_FREQUENT).select("token").toPandas()["token"].to_numpy(np.int64).view(_U))
+    frequent = heavy.orderBy(F.desc("df"), "token").limit(MOST_FREQUENT).toPandas().sort_values("token")
     release(docs)
-    postings = rows.filter("doc_id IS NOT NULL").mapInArrow(lean(_postings(width, percent, frequent, bits)), "key long, sig long, pack long")
-    found = cut(postings.repartition(n_blocks, "key").sortWithinPartitions("key", "pack", "sig").mapInArrow(lean(_groups(percent)), "group long, a long, b long, pack long"))
-    stars = found.filter("group IS NULL").select("a", "b").distinct()
-    members = found.filter("group IS NOT NULL").groupBy("group", F.col("a").alias("sig")).agg(F.min("pack").alias("pack"))
+    postings = rows.filter("doc_id IS NOT NULL").mapInArrow(lean(_postings(width, percent, frequent["token"].to_numpy(np.int64).view(_U), frequent["df"].to_numpy(np.int64), bits)), "key long, part long, sig long, pack long")
+    found = cut(postings.repartition(n_blocks, "key", "part").sortWithinPartitions("key", "part", "pack", "sig").mapInArrow(lean(_groups(percent)), "group long, a long, b long, pack long"))
+    heads = found.filter("group IS NOT NULL AND pack IS NULL").select("group", "a").distinct()
+    first = heads.groupBy("group").agg(F.min("a").alias("b"))
+    heads = heads.join(first, "group").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    stars = found.filter("group IS NULL").select("a", "b").unionByName(heads).distinct()
+    members = found.filter("pack IS NOT NULL").groupBy("group", F.col("a").alias("sig")).agg(F.min("pack").alias("pack"))
     room = min(30, max(20, (input_bytes(docs) // 100).bit_length()))  # at most 2**30 bits; what passes by chance is joined away
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -343,8 +383,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = cut(verify(stars).unionByName(several.distinct()))
     roots = components(links)
     labelled = members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("group", "sig", "pack", F.coalesce("root", "sig").alias("root"))
-    mixed = labelled.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("group")
-    more = labelled.join(mixed, "group", "left_semi").groupBy("group").applyInArrow(_across(percent), "a long, b long").distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    more = _cells(labelled, percent).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = cut(more)
     if more.limit(1).count() and (late := cut(verify(more))).limit(1).count():
         roots = components(links.unionByName(late))

@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quantloom.llm import jaccard_join as J
@@ -70,12 +72,51 @@ def test_near_copies(spark, monkeypatch, frequent):
 
 
 def test_wide_sets(spark, monkeypatch):
-    monkeypatch.setattr(J, "WIDE", 8)
+    monkeypatch.setattr(J, "BUCKET", 1)
     monkeypatch.setattr(J, "FREQUENT", 5)
     rows = near_copies(11, 120)
     assert got(J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows, 5, 80)
 
 
+def test_hot_entries_in_parts_and_blocks(spark, monkeypatch):
+    """Entries in many parts, groups in many blocks: as brute force, and no cell holds more than two blocks."""
+    monkeypatch.setattr(J, "FREQUENT", 3)
+    monkeypatch.setattr(J, "SPLIT", 6)
+    monkeypatch.setattr(J, "MEMBERS", 4)
+    rows = near_copies(21, 160)
+    assert got(J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows, 5, 80)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_similar_sets_share_an_entry(percent):
+    """For sets of all sizes, all of whose tokens are frequent: two similar ones have a key in common, with packs that may link."""
+    rng = np.random.default_rng(percent)
+    for n in (2, 3, 7, 20, 60, 130, 300, 700, 1500, 4000):
+        for _ in range(6):
+            words = [f"w{k}" for k in rng.integers(0, 1 << 30, n + 3)]
+            other = list(words)
+            drop = int(rng.integers(0, 1 + int(0.04 * n)))
+            other = other[drop // 2 : len(other) - (drop - drop // 2)]
+            for k in rng.integers(0, len(other), int(rng.integers(0, 1 + int(0.006 * n)))):
+                other[k] = "z" + other[k]
+            raw = [" ".join(words).encode(), " ".join(other).encode()]
+            h, at = J.sets_of(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 4)
+            x, y = (set(h[at[i] : at[i + 1]].tolist()) for i in (0, 1))
+            if 100 * len(x & y) < percent * len(x | y) or min(len(x), len(y)) < 2:
+                continue
+            every = np.unique(h)
+            batch = pa.RecordBatch.from_arrays([pa.array([r.decode() for r in raw])], names=["text"])
+            (out,) = J._postings(4, percent, every, np.full(len(every), 9), J.BITS)(iter([batch]))
+            of = {}
+            for key, sig, pack in zip(*(out.column(c).to_pylist() for c in ("key", "sig", "pack"))):
+                of.setdefault(key, {}).setdefault(sig, []).append(pack)
+            if x == y:
+                continue
+            both = [v for v in of.values() if len(v) == 2]
+            assert any(J.may_link(np.array(min(a)), np.array(min(b)), percent) for a, b in (v.values() for v in both))
+            assert out.num_rows <= 8 * (len(x) + len(y))
+
+
 def test_documents(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert got(J.near_duplicates(d, 4, 85)) == brute([(r.doc_id, r.text) for r in d.collect()])
