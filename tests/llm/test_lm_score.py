@@ -76,3 +76,59 @@ def test_odd_and_empty(odd, empty):
         v = L.vocabulary(d, 2, 8, 4)
         rows = L.score(d, v, L.fit(d, v, L.Network.start(v))).collect()
         assert len(rows) == d.count() and all((r.mean_log_p is None) == (r.n_words == 0) for r in rows)
+
+
+def test_model_and_scores_do_not_depend_on_the_layout(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = []
+    for n in (4, 16):
+        d = docs.repartition(n, "source")
+        counts = L.lexicon(d)
+        v = L.vocabulary(d, counts=counts)
+        model = L.fit(d, v, L.Network.start(v), words=60_000)
+        got.append((model.flat(), {r.doc_id: r.log_p for r in L.score(d, v, model, counts).collect()}))
+    assert np.array_equal(got[0][0], got[1][0])
+    assert all(got[1][1][d] == pytest.approx(x, rel=1e-4) for d, x in got[0][1].items())
+
+
+def test_words_share_their_buckets(spark):
+    """Against plain Python: bucket masses, and log-probabilities with the share of each rare word."""
+    rows = [(1, "a b c d e f g a a b"), (2, "a a a h i j k k"), (3, ""), (4, None), (4, "z a"), (4, "z a"), (None, "q")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = L.lexicon(d)
+    v = L.vocabulary(d, 2, 4, 5, counts=counts)
+    words = [(t or "").split() for _, t in rows]
+    total = {w: sum(x.count(w) for x in words) for x in words for w in x}
+    assert v.total == sum(total.values())
+    hashes = {w: L.Words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)])).hash for w in total}
+    known = {w for w in total if hashes[w][0] in v.words}
+    assert len(known) == 3 and v.mass.sum() == sum(c for w, c in total.items() if w not in known)
+    net = L.fit(d, v, L.Network.start(v, dim=3, hidden=4), words=10)
+    got = sorted((r.doc_id or 0, r.n_words, r.log_p) for r in L.score(d, v, net, counts).collect())
+    want = []
+    for (i, _), x in zip(rows, words):
+        ids = np.concatenate([v.lookup(hashes[w]) for w in x]) if x else np.zeros(0, np.int32)
+        lp = net.log_p(L.windows(ids, np.array([0, len(ids)]), 8), ids).sum() if x else 0.0
+        for w, k in zip(x, ids):
+            if w not in known:
+                lp += np.log(total[w]) - np.log(sum(c for u, c in total.items() if u not in known and v.lookup(hashes[u])[0] == k))
+        want.append((i or 0, len(x), lp))
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in sorted(want)], abs=1e-4)
+    # over all words of the corpus, the probabilities at one place sum to one
+    c = np.array([[0, 1, 2, 8]])
+    share = lambda w: np.exp(net.log_p(c, v.lookup(hashes[w]))[0]) * (1 if w in known else total[w] / v.mass[v.lookup(hashes[w])[0] - 3])
+    empty = sum(np.exp(net.log_p(c, np.array([3 + b]))[0]) for b in range(5) if not v.mass[b])
+    assert sum(share(w) for w in total) + empty == pytest.approx(1, rel=1e-4)
+
+
+def test_documents_that_occur_twice_score_higher(spark):
+    rng = np.random.default_rng(3)
+    text = lambda: " ".join("".join(rng.choice(list("abcdefghijklm"), 4)) if k % 2 else "the" for k in range(200))
+    rows = [(i, text()) for i in range(200)]
+    rows += [(1000 + i, rows[i][1]) for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = L.lexicon(d)
+    v = L.vocabulary(d, 4, 8, 16, counts=counts)
+    got = {r.doc_id: r.mean_log_p for r in L.score(d, v, L.fit(d, v, L.Network.start(v)), counts).collect()}
+    assert min(got[i] for i in range(20)) > max(got[i] for i in range(20, 200))
