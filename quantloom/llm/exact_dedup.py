@@ -94,12 +94,12 @@ def duplicates(rows: DataFrame, owners: int) -> DataFrame:
 def _marked(docs: DataFrame, text: Column) -> DataFrame:
     """The rows of docs (as `row`, a struct) with home, place, text, fp, sha and suspect; their texts have not moved."""
     tune(docs)
-    rows = docs.select(F.struct("*").alias("row")).withColumn("text", text)
-    rows = housed(rows.select("row", "text", F.xxhash64("text").alias("fp"), F.sha2("text", 256).alias("sha")))
+    rows = docs.select(F.struct("*").alias("row"))
+    rows = housed(rows.select("row", F.xxhash64(text).alias("fp"), F.sha2(text, 256).alias("sha")))
     owners = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // (16 << 30))
     bits = cut(duplicates(rows.select("home", "place", "fp"), int(owners)))
     suspect = "shiftright(bits[CAST(place DIV 64 AS INT)], CAST(place % 64 AS INT)) & 1 = 1"
-    return rows.join(bits.hint("shuffle_hash"), "home").withColumn("suspect", F.expr(suspect)).drop("bits")
+    return rows.join(bits.hint("shuffle_hash"), "home").withColumn("suspect", F.expr(suspect)).drop("bits").withColumn("text", text)
 
 
 def dedup(docs: DataFrame, normalise: Callable[[Column], Column] = lambda c: c) -> DataFrame:
