@@ -6,7 +6,8 @@ one anchor inside it, the `seed`-byte string of smallest hash, by its content al
 The windows of one anchor form a segment of the text. Anchors that occur once cannot repeat and are dropped; equal
 segments of an anchor are entered once, with their first place, and the rest are repeats in full. What differs
 goes to the index: its batches, in document order, get suffix arrays, each is merge-scanned against the levels built
-so far, and levels of equal size merge, so that an anchor's index has logarithmically many.
+so far, and levels of equal size merge, so that an anchor's index has logarithmically many. An anchor with very many
+segments has several indices, which share out its windows by their hashes.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm._text import _BYTE, blocks, column, lean, mix, table, texts
+from quantloom.llm._text import _BYTE, blocks, column, lean, mix, powers, table, texts
 
 _U = np.uint64
 LENGTH, SEED = 100, 32
 STEP = 1 << 20  # windows handled at once
+PART = 20_000  # contested segments of one anchor in one index, about
 _PLACE = _U((1 << 24) - 1)
 _C = [_U(pow(0xD6E8FEB86659FD93, 1 << i, 1 << 64)) for i in range(8)]
 
@@ -148,76 +150,115 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = b.slice(at, 1)
 
 
+class SuffixArray:
+    """Places in a string of bytes, sorted by the `length` bytes that begin there; those bytes are not stored again."""
+
+    def __init__(self, raw: np.ndarray, places: np.ndarray, length: int):
+        self.raw, self.places, self.length = raw, places, length
+
+    @classmethod
+    def of(cls, raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[SuffixArray, np.ndarray]:
+        """The array of the suffixes at starts, ties in order of starts, and that order."""
+        self = cls(raw, starts, length)
+        order = np.argsort(self.windows(), kind="stable")
+        self.places = starts[order]
+        return self, order
+
+    def windows(self, i: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """The bytes at the i-th places, as strings. UTF-8 has no byte 255, so one more than each is no NUL."""
+        view = np.lib.stride_tricks.sliding_window_view(self.raw, self.length)
+        return np.ascontiguousarray(view[self.places[i]] + np.uint8(1)).view(f"S{self.length}").ravel()
+
+    def find(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each window, how many suffixes come before it, and whether one begins with it: a binary search for all at once."""
+        lo, hi = np.zeros(len(windows), np.int64), np.full(len(windows), len(self.places))
+        while (open_ := np.flatnonzero(lo < hi)).size:
+            mid = (lo[open_] + hi[open_]) // 2
+            less = self.windows(mid) < windows[open_]
+            lo[open_[less]], hi[open_[~less]] = mid[less] + 1, mid[~less]
+        last = np.minimum(lo, len(self.places) - 1)
+        return lo, (lo < len(self.places)) & (self.windows(last) == windows)
+
+    def merged(self, other: SuffixArray) -> SuffixArray:
+        """One array of both, by merging."""
+        at, _ = self.find(other.windows())
+        raw = np.concatenate([self.raw, other.raw])
+        return SuffixArray(raw, np.insert(self.places, at, other.places + len(self.raw)), self.length)
+
+
 class IndexFamily:
-    """Sorted arrays of windows whose sizes differ by factors; a batch is merged with every level of its own size."""
+    """Suffix arrays whose sizes differ by factors; a new one is merged with every level of its own size."""
 
     def __init__(self):
-        self.levels: list[np.ndarray | None] = []
+        self.levels: list[SuffixArray | None] = []
 
     def holds(self, windows: np.ndarray) -> np.ndarray:
         """Which of the sorted windows some level has: one merge scan per level."""
         out = np.zeros(len(windows), bool)
         for level in self.levels:
             if level is not None and len(windows):
-                at = np.minimum(np.searchsorted(level, windows), len(level) - 1)
-                out |= level[at] == windows
+                out |= level.find(windows)[1]
         return out
 
-    def add(self, windows: np.ndarray) -> None:
-        carry = windows
-        while len(carry):
-            i = max(0, len(carry).bit_length() - 8)
+    def add(self, carry: SuffixArray) -> None:
+        while len(carry.places):
+            i = max(0, len(carry.places).bit_length() - 8)
             self.levels += [None] * (i + 1 - len(self.levels))
             if self.levels[i] is None:
                 self.levels[i] = carry
                 return
-            both = np.concatenate([self.levels[i], carry])
-            both.sort(kind="stable")
-            carry, self.levels[i] = both, None
+            carry, self.levels[i] = self.levels[i].merged(carry), None
 
 
-def suffix_array(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The windows that begin at starts, sorted (ties in order of place), and their order."""
-    view = np.lib.stride_tricks.sliding_window_view(raw, length)
-    windows = np.ascontiguousarray(view[starts] + np.uint8(1)).view(f"S{length}").ravel()  # UTF-8 has no byte 255: no NULs after this
-    order = np.argsort(windows, kind="stable")
-    return windows[order], order
+def window_hashes(raw: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    up, down = powers(len(raw) + 1)
+    c = np.concatenate([[_U(0)], np.cumsum(_BYTE[raw] * up[: len(raw)], dtype=_U)])
+    return mix((c[starts + length] - c[starts]) * down[starts])
 
 
 def _index(length: int):
+    """Of rows sorted by anchor, part and place, the runs of windows that also begin earlier. Of an anchor in several
+    parts, a row's windows count where their hash says."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, current = IndexFamily(), None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, lo = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            h, part, parts, lo = (batch.column(k).to_numpy() for k in (0, 1, 2, 5))
             raw, off = column(batch, "segment")
             count = np.diff(off) - length + 1
             row = np.repeat(np.arange(len(h)), count)
             shift = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            windows, order = suffix_array(raw, off[row] + shift, length)
+            if (parts > 1).any():
+                own = (parts[row] == 1) | (window_hashes(raw, off[row] + shift, length) % parts[row].astype(_U) == part[row].astype(_U))
+                row, shift = row[own], shift[own]
+            suffixes, order = SuffixArray.of(raw, off[row] + shift, length)
+            windows = suffixes.windows()
+            of = row[order]
+            # equal windows have one anchor and one part, so the first of equal ones is the earliest of the batch
             fresh = np.append(True, windows[1:] != windows[:-1])
-            known = np.zeros(len(windows), bool)
-            mine = h[row[order]] == current if current is not None else known
-            if mine.any():
-                ask = mine & fresh
-                hit = np.zeros(len(windows), bool)
-                hit[ask] = family.holds(windows[ask])
-                known = ~fresh | hit
-            else:
-                known = ~fresh
-            if h[-1] != current:
-                family, current = IndexFamily(), h[-1]
-            last = (h[row[order]] == current) & ~known
-            family.add(windows[last])
+            known = ~fresh
+            ask = fresh & (h[of] == current[0]) & (part[of] == current[1]) if current is not None else np.zeros(len(of), bool)
+            if ask.any():
+                known[ask] = family.holds(windows[ask])
+            if current != (h[-1], part[-1]):
+                family, current = IndexFamily(), (h[-1], part[-1])
+            last = (h[of] == current[0]) & (part[of] == current[1]) & ~known
+            if last.any():
+                mine = np.unique(of[last])  # the index keeps the bytes of these rows alone
+                keep = np.concatenate([np.arange(off[i], off[i + 1]) for i in mine.tolist()])
+                begin = np.zeros(len(h), np.int64)
+                begin[mine] = np.cumsum(np.append(0, np.diff(off)[mine]))[:-1]
+                family.add(SuffixArray(raw[keep], begin[of[last]] + shift[order[last]], length))
             dup = np.empty(len(windows), bool)
             dup[order] = known
-            edge = np.append(True, (row[1:] != row[:-1]) | (dup[1:] != dup[:-1]))
+            edge = np.append(True, (row[1:] != row[:-1]) | (dup[1:] != dup[:-1]) | (shift[1:] != shift[:-1] + 1))
             a = np.flatnonzero(edge)
             z = np.append(a[1:], len(dup)) - 1
             a, z = a[dup[a]], z[dup[a]]
             take = pa.array(row[a])
-            yield table(["doc", "th", "lo", "hi"], batch.column(1).take(take), batch.column(2).take(take), (lo[row[a]] + shift[a]).astype(np.int32), (lo[row[a]] + shift[z] + length).astype(np.int32))
+            yield table(["doc", "th", "lo", "hi"], batch.column(3).take(take), batch.column(4).take(take), (lo[row[a]] + shift[a]).astype(np.int32), (lo[row[a]] + shift[z] + length).astype(np.int32))
 
     return run
 
@@ -226,14 +267,27 @@ def _row_keys(doc: pa.ChunkedArray, th: pa.ChunkedArray) -> np.ndarray:
     return mix(doc.fill_null(-(2**63)).to_numpy().view(_U)) + th.to_numpy().view(_U)
 
 
-def _cut_out(docs: pa.Table, asked: pa.Table) -> pa.Table:
-    """The bytes of contested segments."""
-    keys = _row_keys(docs.column("doc_id"), docs.column("th"))
-    order = np.argsort(keys)
-    at = order[np.searchsorted(keys[order], _row_keys(asked.column("doc"), asked.column("th")))] if asked.num_rows else np.empty(0, int)
-    text = docs.column("text").cast(pa.large_binary()).to_pylist()
-    out = [text[i][a:b] for i, a, b in zip(at.tolist(), asked.column("lo").to_pylist(), asked.column("hi").to_pylist())]
-    return pa.table({"h": asked.column("h"), "doc": asked.column("doc"), "th": asked.column("th"), "lo": asked.column("lo"), "segment": pa.array(out, pa.binary())})
+def _cut_out(length: int):
+    """The bytes of contested segments, once for each part of their anchor that some window of theirs falls into."""
+
+    def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        keys = _row_keys(docs.column("doc_id"), docs.column("th"))
+        order = np.argsort(keys)
+        at = order[np.searchsorted(keys[order], _row_keys(asked.column("doc"), asked.column("th")))] if asked.num_rows else np.empty(0, int)
+        text = docs.column("text").cast(pa.large_binary()).to_pylist()
+        row, part, out = [], [], []
+        for k, (i, a, b, n) in enumerate(zip(at.tolist(), asked.column("lo").to_pylist(), asked.column("hi").to_pylist(), asked.column("parts").to_pylist())):
+            own = [0]
+            if n > 1:
+                raw = np.frombuffer(text[i][a:b], np.uint8)
+                own = np.unique(window_hashes(raw, np.arange(len(raw) - length + 1), length) % _U(n)).tolist()
+            row += [k] * len(own)
+            part += own
+            out += [text[i][a:b]] * len(own)
+        asked = asked.take(pa.array(row, pa.int64()))
+        return pa.table({"h": asked.column("h"), "part": pa.array(part, pa.int64()), "parts": asked.column("parts"), "doc": asked.column("doc"), "th": asked.column("th"), "lo": asked.column("lo"), "segment": pa.array(out, pa.binary())})
+
+    return run
 
 
 def _remove(docs: pa.Table, marks: pa.Table) -> pa.Table:
@@ -281,15 +335,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     odd = bool(ids.limit(1).count())
     rows = rows.select("doc_id", (F.xxhash64("text") if odd else F.lit(0).cast("long")).alias("th"), "text")
     n = blocks(docs, 8)
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int").alias("block")
+    block = lambda c: F.pmod(F.xxhash64(F.coalesce(c, "th")), F.lit(n)).cast("int").alias("block")  # noqa: E731  null ids are spread
     texts_by_block = rows.select(block("doc_id"), "doc_id", "th", "text")
     anchors = rows.mapInArrow(lean(_anchors(length)), "doc long, th long, h long, s long, lo int, hi int, again boolean")
     key = F.when(F.col("again"), F.xxhash64("doc", "lo")).otherwise(F.col("h"))  # what is decided goes anywhere
     dealt = anchors.repartition(n, key).sortWithinPartitions("again", "h", "s", "doc", "th", "lo")
     decided = dealt.mapInArrow(lean(_decide), "doc long, th long, h long, lo int, hi int, contested boolean")
     asked = decided.filter("contested").select(block("doc"), "h", "doc", "th", "lo", "hi")
-    cut = texts_by_block.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_cut_out, "h long, doc long, th long, lo int, segment binary")
-    found = cut.repartition(n, "h").sortWithinPartitions("h", "doc", "th", "lo").mapInArrow(lean(_index(length)), "doc long, th long, lo int, hi int")
+    many = asked.groupBy("h").count().filter(f"count > {PART}").select("h", F.expr(f"count DIV {PART} + 1").alias("parts"))
+    asked = asked.join(many, "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    cut_ = texts_by_block.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_cut_out(length), "h long, part long, parts long, doc long, th long, lo int, segment binary")
+    found = cut_.repartition(n, "h", "part").sortWithinPartitions("h", "part", "doc", "th", "lo").mapInArrow(lean(_index(length)), "doc long, th long, lo int, hi int")
     marks = decided.filter("NOT contested").select("doc", "th", "lo", "hi").unionByName(found).select(block("doc"), "doc", "th", "lo", "hi")
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
     return texts_by_block.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_remove, out)

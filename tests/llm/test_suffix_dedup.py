@@ -57,15 +57,52 @@ def test_hot_anchor_over_many_batches(spark):
     assert got(S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
+def suffixes(words):
+    raw = np.frombuffer(b"".join(words), np.uint8)
+    return S.SuffixArray.of(raw, np.arange(0, len(raw), 6), 6)[0]
+
+
 def test_index_family_is_logarithmic():
     f, all_ = S.IndexFamily(), []
     for i in range(200):
-        x = np.array([f"{(i * 977 + j * 31) % 100003:06d}" for j in range(64)], "S6")
-        x.sort()
-        f.add(x)
-        all_ += x.tolist()
-    assert sum(v is not None for v in f.levels) <= 12 and f.holds(np.sort(np.array(all_, "S6"))).all()
-    assert not f.holds(np.array(["999999"], "S6")).any()
+        x = [f"{(i * 977 + j * 31) % 100003:06d}".encode() for j in range(64)]
+        f.add(suffixes(x))
+        all_ += x
+    asked = np.sort(suffixes(all_).windows())
+    assert sum(v is not None for v in f.levels) <= 12 and f.holds(asked).all()
+    assert not f.holds(suffixes([b"999999"]).windows()).any()
+
+
+def test_suffix_arrays_merge_in_order():
+    rng = np.random.default_rng(2)
+    raws = [rng.integers(97, 100, n).astype(np.uint8) for n in (300, 170, 12)]
+    arrays = [S.SuffixArray.of(r, np.arange(len(r) - 9), 10)[0] for r in raws]
+    both = arrays[0].merged(arrays[1]).merged(arrays[2])
+    want = sorted(bytes(r[i : i + 10]) for r in raws for i in range(len(r) - 9))
+    assert [bytes(both.raw[p : p + 10]) for p in both.places] == want
+    lo, has = arrays[0].find(arrays[1].windows())
+    have = sorted(bytes(raws[0][i : i + 10]) for i in range(len(raws[0]) - 9))
+    for w, a, h in zip((bytes(raws[1][p : p + 10]) for p in arrays[1].places), lo, has):
+        assert a == sum(x < w for x in have) and h == (w in have)
+
+
+def test_hot_anchor_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(S, "PART", 40)
+    shared = "the one passage that every document of this table holds, and long enough to be found again in each one"
+    rnd = random.Random(9)
+    rows = [(i, f"{rnd.randrange(40):020d} {i:020d} " + shared + f" {rnd.randrange(30):06d} and then it goes on in a way of its own {i % 50}" + "ab" * 60) for i in range(400)]
+    assert got(S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_null_ids_and_long_texts(spark):
+    """Many rows without doc_id, told apart by their texts; a text longer than what is handled at once."""
+    rnd = random.Random(1)
+    long = "".join(rnd.choice("abcdefghij ") for _ in range(S.STEP + 500))
+    rows = [(1, long), (2, "x" * 50 + long[-300:] + "y" * 20), (3, long[1000:1200])]
+    assert got(S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    nulls = [(None, f"{i:03d} " * 60) for i in range(200)]
+    r = S.remove_repeats(spark.createDataFrame(nulls + [(None, nulls[5][1])], "doc_id long, text string")).collect()
+    assert len(r) == 201 and len({(x.kept_sha256, x.n_removed) for x in r}) == 200
 
 
 def test_odd(odd, empty):
