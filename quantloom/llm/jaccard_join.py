@@ -28,7 +28,7 @@ _U = np.uint64
 FREQUENT = 8  # documents above which a shingle counts as frequent
 MOST_FREQUENT = 200_000  # of these, so many at most (the most frequent) are told apart; the rest are indexed as rare
 SPLIT = 50_000  # documents in each salted part of an index entry
-BUCKET = 4  # frequent tokens of a prefix in a bucket, at least, before buckets are halved
+BUCKET = 16  # spare tokens of a set for each of its buckets, at least; fewer loosen the bounds on what sets may link
 MEMBERS = 256  # of a group, in each block of those compared in full
 FLUSH = 2_000_000
 BITS = 52  # of a shingle's hash; the other 12 hold its document within a run
@@ -275,17 +275,18 @@ def _across(percent: int):
     return run
 
 
-def _cells(labelled: DataFrame, percent: int) -> DataFrame:
+def _cells(labelled: DataFrame, percent: int, n: int) -> DataFrame:
     """Candidate pairs (a, b) within groups whose members (group, sig, pack, root) are in different components.
 
-    A group's members are dealt to blocks; each pair of blocks is a cell, so no task holds more than two of them. A
-    cell whose members are in one component has no pairs.
+    A group's members are dealt to blocks; each pair of blocks is a cell, so no call holds more than two of them, and
+    cells are dealt to n partitions one by one. A cell whose members are in one component has no pairs.
     """
     size = labelled.groupBy("group").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("m")).filter("least <> most")
     size = size.select("group", F.expr(f"CAST((m - 1) DIV {MEMBERS} + 1 AS INT)").alias("blocks"))
     dealt = labelled.join(size, "group").withColumn("block", F.expr("CAST(pmod(xxhash64(sig), blocks) AS INT)"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     cells = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    cells = cells.repartition(n, "group", "lo", "hi")  # else a group's cells would stay together
     return cells.groupBy("group", "lo", "hi").applyInArrow(_across(percent), "a long, b long").distinct()
 
 
@@ -383,7 +384,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = cut(verify(stars).unionByName(several.distinct()))
     roots = components(links)
     labelled = members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("group", "sig", "pack", F.coalesce("root", "sig").alias("root"))
-    more = _cells(labelled, percent).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    more = _cells(labelled, percent, n_blocks).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = cut(more)
     if more.limit(1).count() and (late := cut(verify(more))).limit(1).count():
         roots = components(links.unionByName(late))
