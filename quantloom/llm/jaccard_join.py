@@ -282,7 +282,7 @@ def _cells(labelled: DataFrame, percent: int, n: int) -> DataFrame:
     cells are dealt to n partitions one by one. A cell whose members are in one component has no pairs.
     """
     size = labelled.groupBy("group").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("m")).filter("least <> most")
-    size = size.select("group", F.expr(f"CAST((m - 1) DIV {MEMBERS} + 1 AS INT)").alias("blocks"))
+    size = cut(size.select("group", F.expr(f"CAST((m - 1) DIV {MEMBERS} + 1 AS INT)").alias("blocks")))  # so that the join can split a hot group
     dealt = labelled.join(size, "group").withColumn("block", F.expr("CAST(pmod(xxhash64(sig), blocks) AS INT)"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     cells = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
