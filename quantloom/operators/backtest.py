@@ -114,8 +114,9 @@ def activity(bars: DataFrame, strategy: Strategy, start: str | None = None, end:
 
 def feature_ranges(bars: DataFrame, start: str | None = None, end: str | None = None, lookback: int = 24, fields: tuple[str, ...] = ("close", "volume")) -> DataFrame:
     """Per symbol, feature and field: the exact 5th, 50th and 95th percentile of the defined values."""
-    sources = [(k, f, None if v.least is None else lookback) for k, v in FEATURES.items() for f in fields]
-    x = period(wide(period(bars, None, end), sources), start)
-    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), F.lit(f).alias("field"), F.col(column_of((k, f, n))).alias("value")) for k, f, n in sources)))
-    q = x.select("symbol", rows.alias("x")).filter("x.value IS NOT NULL").groupBy("symbol", "x.feature", "x.field")
-    return q.agg(*(F.percentile("x.value", p).alias(name) for p, name in ((0.05, "p5"), (0.5, "median"), (0.95, "p95"))))
+    sources = {column_of(s): s for s in ((k, f, None if v.least is None else lookback) for k, v in FEATURES.items() for f in fields)}
+    x = period(wide(period(bars, None, end), sources.values()), start)
+    shares = F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))
+    q = x.groupBy("symbol").agg(*(F.percentile(c, shares).alias(c) for c in sources))
+    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), F.lit(f).alias("field"), F.col(c).alias("q")) for c, (k, f, _) in sources.items())))
+    return q.select("symbol", rows.alias("x")).filter("x.q IS NOT NULL").select("symbol", "x.feature", "x.field", *(F.get("x.q", i).alias(n) for i, n in enumerate(("p5", "median", "p95"))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from typing import Any
 
 import numpy as np
@@ -92,20 +93,26 @@ def paired_summary(p: DataFrame, by: list[str] | None = None) -> DataFrame:
     return p.groupBy(*(by or [])).agg(F.count("*").alias("pairs"), F.count_if(d > 0).alias("wins"), F.count_if(d < 0).alias("losses"), F.avg(d).alias("mean_difference"))
 
 
+def interval(differences: Iterable[float], draws: int = 10_000, seed: int = 0) -> tuple[float, float]:
+    """The 95% bootstrap interval of the mean, by numpy's seeded generator; pairs of runs are few, so the driver draws."""
+    x = np.fromiter(differences, float)
+    low, high = np.percentile(np.random.default_rng(seed).choice(x, size=(draws, len(x))).mean(axis=1), [2.5, 97.5])
+    return round(float(low), 2), round(float(high), 2)
+
+
 def paired_comparison(table: DataFrame, metric: str = "useful_per_10_calls", n_boot: int = 10_000, seed: int = 0) -> dict[str, Any] | None:
     """Two models on the same (dataset, seed) pairs, with a bootstrap interval of the mean difference. None unless there
-    are exactly two models and a pair; the base is the one of the shorter name. Pairs of runs are few, so the bootstrap
-    draws on the driver."""
+    are exactly two models and a pair; the base is the one of the shorter name."""
     models = sorted((r.model for r in table.select("model").distinct().limit(3).collect()), key=len)
     if len(models) != 2:
         return None
     p = pairs(table, *models, metric).orderBy("dataset", "seed")
-    diff = np.array([r.difference for r in p.select("difference").collect()])
-    if not len(diff):
+    whole = paired_summary(p).first().asDict()
+    if not whole["pairs"]:
         return None
-    means = np.random.default_rng(seed).choice(diff, size=(n_boot, len(diff))).mean(axis=1)
-    per = {r.dataset: {"pairs": r.pairs, "wins": r.wins, "mean_difference": round(r.mean_difference, 2)} for r in paired_summary(p, ["dataset"]).collect()}
-    return {"base": models[0], "other": models[1], "metric": metric, "pairs": len(diff), "wins": int((diff > 0).sum()), "losses": int((diff < 0).sum()), "mean_difference": round(float(diff.mean()), 2), "ci95": tuple(round(float(x), 2) for x in np.percentile(means, [2.5, 97.5])), "per_dataset": per}
+    shown = lambda r: {**r, "mean_difference": round(r["mean_difference"], 2)}
+    each = {r.dataset: shown({k: v for k, v in r.asDict().items() if k != "dataset"}) for r in paired_summary(p, ["dataset"]).collect()}
+    return dict(zip(("base", "other"), models)) | shown(whole) | {"metric": metric, "ci95": interval((r.difference for r in p.collect()), n_boot, seed), "per_dataset": each}
 
 
 def top_per_group(table: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
@@ -137,15 +144,44 @@ def rejection_reason(flagged: DataFrame) -> Column:
     )
 
 
-def build_examples(records: DataFrame, held_out: list[str]) -> DataFrame:
-    """records with `reason`: held-out datasets first, then what rejection_reason says, then repeats of an earlier kept
-    example by (run, number); "kept" for the rest."""
+def build_examples(records: DataFrame, held_out: list[str], runs: DataFrame | None = None) -> DataFrame:
+    """records with `reason`, the first that applies: a run without a system prompt or of replies replayed (where `runs`
+    tells), held-out datasets, what rejection_reason says, repeats of an earlier kept example by (run, number); "kept"
+    for the rest, which have `messages` (system, user, assistant) if `runs` tells the prompts.
+
+    An example repeats another if rules, positions and the values asked for are the same.
+    """
     x = with_flags(records)
-    x = x.withColumn("reason", F.when(F.col("dataset").isin(*held_out), "held-out market").otherwise(rejection_reason(x)))
+    x = x.join(runs.select("run", "system_prompt", "replayed"), "run", "left") if runs is not None else x.withColumns({"system_prompt": F.lit(None).cast("string"), "replayed": F.lit(False)})
+    silent = F.lit(runs is not None) & (F.coalesce("replayed", F.lit(False)) | (F.coalesce("system_prompt", F.lit("")) == ""))
+    x = x.withColumn("reason", F.when(silent, NO_PROMPT).when(F.col("dataset").isin(*held_out), "held-out market").otherwise(rejection_reason(x)))
     rules = F.array_sort(F.transform("strategy_spec.conditions", lambda c: F.to_json(F.struct(*(c[f].alias(f) for f in ("feature", "field", "operator", "lookback", "threshold"))))))
-    key = F.to_json(F.struct(rules.alias("r"), F.col("strategy_spec.logic").alias("l"), F.col("strategy_spec.true_position").alias("t"), F.col("strategy_spec.false_position").alias("f")))
+    asked = space_asked()
+    key = F.to_json(F.struct(rules.alias("r"), F.col("strategy_spec.logic").alias("l"), F.col("strategy_spec.true_position").alias("t"), F.col("strategy_spec.false_position").alias("f"), F.array_sort(F.map_entries(asked)).alias("s")))
     rank = F.row_number().over(Window.partitionBy("reason", key).orderBy("run", "number"))
-    return x.withColumn("reason", F.when(F.col("reason").isNotNull(), F.col("reason")).when(rank > 1, "duplicate example").otherwise("kept"))
+    x = x.withColumn("reason", F.when(F.col("reason").isNotNull(), F.col("reason")).when(rank > 1, "duplicate example").otherwise("kept"))
+    if runs is None:
+        return x.drop("system_prompt", "replayed")
+    said = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    reply = F.to_json(F.struct("hypothesis", "rationale", F.col("strategy_spec").alias("strategy"), asked.alias("parameter_space")))
+    messages = F.array(said("system", F.col("system_prompt")), said("user", F.col("llm.context")), said("assistant", reply))
+    return x.withColumn("messages", F.when(F.col("reason") == "kept", messages)).drop("system_prompt", "replayed")
+
+
+#: Why no record of a run is an example.
+NO_PROMPT = "no system prompt / replay run"
+
+
+def space_asked() -> Column:
+    """The values or ranges that a proposal asked for, as JSON by parameter; of older records, those tested."""
+    tested = F.transform_values("parameter_space", lambda _, v: F.to_json(v))
+    return F.coalesce("requested_space", tested, F.expr("CAST(map() AS map<string,string>)"))
+
+
+def reason_counts(examples: DataFrame) -> DataFrame:
+    """(reason, n): how many records have each reason; a run without a prompt counts once."""
+    n = F.when(F.col("reason") == NO_PROMPT, F.count_distinct("run")).otherwise(F.count("*"))
+    return examples.groupBy("reason").agg(n.alias("n"))
 
 
 def in_validation(run: Column, fraction: float = 0.1) -> Column:

@@ -39,7 +39,7 @@ def show(x: Any, percent: bool = False) -> str:
 
 def values(items: list) -> str:
     """A value list, shortened: first..last (n values)."""
-    return ", ".join(map(str, items)) if len(items) <= 4 else f"{items[0]}..{items[-1]} ({len(items)} values)"
+    return ", ".join(map(str, items)) if len(items) <= 5 else f"{items[0]}..{items[-1]} ({len(items)} values)"
 
 
 def table(df: DataFrame, most: int = 20) -> str:

@@ -62,11 +62,12 @@ def required_trades(n_bars: Column, rate: float, per_year: float = HOURS_PER_YEA
 
 def ranked(table: DataFrame, metric: str = "sharpe", rate: float = 0.0, per_year: float = HOURS_PER_YEAR, distinct: bool = True, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Eligible candidates with train_rank per key: by the metric, ties to the lower id; of those that traded alike,
-    the best-ranked only. Signatures are compared to 12 digits, as distributed sums may differ in the last bits."""
+    the best-ranked only. Metrics are compared to 12 digits, as distributed sums may differ in the last bits."""
+    told = lambda c: F.format_string("%.11e", F.col(c).cast("double"))
     ok = table.filter(F.col(metric).isNotNull() & (F.col("n_trades") >= required_trades(F.col("n_bars"), rate, per_year)))
-    best = [F.col(metric).desc(), F.col("candidate").asc()]
+    best = [told(metric).cast("double").desc(), F.col("candidate").asc()]
     if distinct:
-        same = [F.format_string("%.11e", F.col(c).cast("double")).alias(f"_{c}") for c in SIGNATURE]
+        same = [told(c).alias(f"_{c}") for c in SIGNATURE]
         ok = ok.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, *same).orderBy(*best))).filter("_n = 1").drop("_n")
     return ok.withColumn("train_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*best)))
 
@@ -163,6 +164,17 @@ class Experiment:
     benchmarks: DataFrame
     activity: DataFrame
     extra: dict[str, Any] = field(default_factory=dict)
+    held: tuple[DataFrame, ...] = ()  # what is cached for the tables; let go by close() or the end of a with block
+
+    def __enter__(self) -> Experiment:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        for df in self.held:
+            df.unpersist()
 
     def warnings(self) -> DataFrame:
         return warnings(self.train, self.selected, self.comparison, self.benchmarks.filter("period = 'validation'"), self.activity, self.settings, self.strategy, self.space)
@@ -171,13 +183,19 @@ class Experiment:
 def evaluate_benchmarks(bars: DataFrame, settings: Settings, benchmarks: dict[str, Strategy] | None = None, evaluator: Evaluator | None = None) -> DataFrame:
     """The benchmarks' metrics in both periods, by the same evaluator: period, benchmark, symbol and metrics."""
     named, run = list((BENCHMARKS if benchmarks is None else benchmarks).items()), evaluator or ArrowEvaluator()
-    spark = bars.sparkSession
-    names = F.broadcast(spark.createDataFrame([(i, n) for i, (n, _) in enumerate(named)], "candidate long, benchmark string"))
-    parts = []
-    for what, p in (("train", settings.train), ("validation", settings.validation)):
-        got = run(bars, [({}, s) for _, s in named], p.start, p.end, settings.cost_bps, settings.per_year)
-        parts.append(got.join(names, "candidate").withColumn("period", F.lit(what)).drop("candidate"))
-    return parts[0].unionByName(parts[1])
+    ids = [-1 - i for i in range(len(named))]
+    sides = [run(bars, [({}, s) for _, s in named], p.start, p.end, settings.cost_bps, settings.per_year, ids) for p in (settings.train, settings.validation)]
+    return benchmark_rows(*sides, [n for n, _ in named])
+
+
+def benchmark_rows(train: DataFrame, validation: DataFrame, names: list[str]) -> DataFrame:
+    """Of sweeps in which benchmark i is candidate -1 - i: period, benchmark, symbol, first and last bar, and metrics."""
+    if not names:
+        train, validation = train.limit(0), validation.limit(0)
+    name = F.get(F.array(*map(F.lit, names)).cast("array<string>"), (-1 - F.col("candidate")).cast("int"))
+    row = ("symbol", "first", "last", *METRICS)
+    sides = [t.filter("candidate < 0").select(F.lit(p).alias("period"), name.alias("benchmark"), *row) for t, p in ((train, "train"), (validation, "validation"))]
+    return sides[0].unionByName(sides[1])
 
 
 def summarize_benchmarks(table: DataFrame) -> DataFrame:
@@ -192,7 +210,7 @@ def best_activity(bars: DataFrame, base: Strategy, chosen: list[tuple[int, Strat
     sources, specs = compiled([({}, base), *(({}, s) for _, s in chosen)], [-1, *(i for i, _ in chosen)])
     x = period(wide(period(bars, None, p.end), sources), p.start)
     values = F.array(*(F.col(column_of(s)) for s in sources))
-    best = F.broadcast(selected.filter("train_rank = 1").select("symbol", "candidate"))  # a row per symbol
+    best = selected.filter("train_rank = 1").select("symbol", "candidate")  # a row per symbol; broadcast if Spark finds it small
     x = x.select("symbol", values.alias("v")).join(best, "symbol", "left").withColumn("candidate", F.coalesce("candidate", F.lit(-1)))
     x = x.join(F.broadcast(bars.sparkSession.createDataFrame(specs, SPEC)), "candidate")
     one = x.select("symbol", F.posexplode(F.expr(HOLDS)).alias("at", "holds"))
@@ -203,19 +221,25 @@ def best_activity(bars: DataFrame, base: Strategy, chosen: list[tuple[int, Strat
 def run_experiment(bars: DataFrame, base: Strategy, space: dict[str, list], settings: Settings, benchmarks: dict[str, Strategy] | None = None, evaluator: Evaluator | None = None) -> Experiment:
     """Sweep TRAIN, select, retest the selected on VALIDATION with frozen parameters.
 
-    Bars at or after the end of validation are cut off before anything is computed. Each symbol selects its own.
+    Bars at or after the end of validation are cut off before anything is computed. Each symbol selects its own. The bars
+    are derived once, and the benchmarks ride along in both sweeps. Close the experiment to let its cached tables go.
     """
     run, all_ = evaluator or ArrowEvaluator(), candidates(base, space, settings.budget)
-    bars = period(bars, None, settings.validation.end)
-    go = lambda c, p, ids=None: run(bars, c, p.start, p.end, settings.cost_bps, settings.per_year, ids)
+    named = list((BENCHMARKS if benchmarks is None else benchmarks).items())
+    marks: Candidates = [({}, s) for _, s in named]
+    numbers = [-1 - i for i in range(len(named))]
+    bars = period(bars, None, settings.validation.end).persist()
+    go = lambda c, p, ids: run(bars, c, p.start, p.end, settings.cost_bps, settings.per_year, ids)
     began = time.perf_counter()
-    train = with_parameters(go(all_, settings.train), all_).persist()  # one row per candidate and symbol
+    ids = [*range(len(all_)), *numbers]
+    swept = with_parameters(go([*all_, *marks], settings.train, ids), [*all_, *marks], ids).persist()  # one row per candidate and symbol
+    train = swept.filter("candidate >= 0")
     selected = select_top(train, settings.top_n, settings.metric, settings.min_trades_per_year, settings.per_year).persist()
-    frozen = sorted({r.candidate for r in selected.select("candidate").distinct().collect()})  # top_n a symbol at most
+    frozen = sorted({r.candidate for r in selected.select("candidate").distinct().collect()})  # the budget at most
     spent = time.perf_counter() - began
-    chosen: Candidates = [all_[i] for i in frozen]
-    validation = go(chosen, settings.validation, frozen) if chosen else train.drop("params").limit(0)
+    retested = go([*(all_[i] for i in frozen), *marks], settings.validation, [*frozen, *numbers]).persist()
+    validation = retested.filter("candidate >= 0")
     return Experiment(
-        settings, base, space, train, selected, validation, compare(train, validation, selected, settings.metric),
-        evaluate_benchmarks(bars, settings, benchmarks, run), best_activity(bars, base, [(i, all_[i][1]) for i in frozen], selected, settings.train), {"n_candidates": len(all_), "train_seconds": spent, "ms_per_candidate": 1000 * spent / len(all_)},
+        settings, base, space, train, selected, validation, compare(train, validation, selected, settings.metric), benchmark_rows(swept, retested, [n for n, _ in named]),
+        best_activity(bars, base, [(i, all_[i][1]) for i in frozen], selected, settings.train), {"n_candidates": len(all_), "train_seconds": spent, "ms_per_candidate": 1000 * spent / len(all_)}, (bars, swept, selected, retested),
     )

@@ -1,14 +1,13 @@
 """Parameter sweeps: every candidate over all bars, to one row of metrics per candidate and symbol.
 
-`SqlEvaluator` defines the results with windows alone. `ArrowEvaluator` gives the same ones for large grids: features
-are Spark columns, computed once for all candidates that share them; each task then takes one symbol's arrays and a
-chunk of candidates and returns metrics only, so bars x candidates never exist as rows.
+`SqlEvaluator` defines the results with windows alone. `ArrowEvaluator` gives the same ones for large grids: a
+task takes one symbol's arrays and its share of the candidates, computes each feature once and returns metrics only, so
+bars x candidates never exist as rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any, Protocol
 
@@ -17,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.functions.arrays import ARRAYS
+from quantloom.functions.features import clean
 from quantloom.operators.backtest import HOURS_PER_YEAR, METRICS, accounts, column_of, metrics, period, wide
 from quantloom.plans.spec import Strategy
 
@@ -59,93 +60,113 @@ class SqlEvaluator:
         return metrics(a, per_year, keys, (F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))).select("candidate", "symbol", "first", "last", *METRICS)
 
 
+def holds(values: np.ndarray, op: str, threshold: float) -> np.ndarray:
+    with np.errstate(invalid="ignore"):
+        return {">": np.greater, ">=": np.greater_equal, "<": np.less, "<=": np.less_equal}[op](values, threshold)
+
+
+def bar_returns(close: np.ndarray) -> np.ndarray:
+    """The move of each close against the last known one; a gap earns nothing."""
+    n = len(close)
+    seen = np.maximum.accumulate(np.where(np.isnan(close), -1, np.arange(n)))
+    known = np.where(seen >= 0, close[np.maximum(seen, 0)], np.nan)
+    out = np.zeros(n)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        move = known[1:] / known[:-1] - 1
+    out[1:] = np.where(np.isfinite(move), move, 0.0)
+    return out
+
+
 def kernel(close: np.ndarray, values: np.ndarray, specs: list[tuple], begin: int, cost: float, per_year: float) -> dict[str, np.ndarray]:
-    """Metrics of the candidates over one symbol: bars x candidates matrices, from the period's first bar on."""
-    n, k = len(close) - begin, len(specs)
-    held = np.zeros((n, k))
+    """Metrics of the candidates over one symbol, from the period's first bar on: one candidate's arrays at a time, which
+    fit a core's cache. Conditions that candidates share are compared once."""
+    ret, n = bar_returns(close[begin:]), len(close) - begin
+    tested: dict[tuple, np.ndarray] = {}
+    unknown: dict[frozenset, np.ndarray] = {}
+    out = {m: np.full(len(specs), np.nan) for m in METRICS}
+    held = np.zeros(n)
     for j, (_, conditions, logic, yes, no) in enumerate(specs):
-        if not conditions:
-            pos = np.full(n, yes)
-        else:
-            total, undefined = None, np.zeros(n, bool)
+        if conditions:
             for at, op, t in conditions:
-                v = values[at, begin:]
-                undefined |= np.isnan(v)
-                with np.errstate(invalid="ignore"):
-                    h = v > t if op == ">" else v >= t if op == ">=" else v < t if op == "<" else v <= t
-                total = h if total is None else total & h if logic == "AND" else total | h
-            pos = np.where(undefined, 0.0, np.where(total, yes, no))
-        held[1:, j] = pos[:-1]
-    c = close[begin:]
-    seen = np.maximum.accumulate(np.where(np.isnan(c), -1, np.arange(n)))
-    known = np.where(seen >= 0, c[np.maximum(seen, 0)], np.nan)
-    ret = np.zeros(n)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        move = known[1:] / known[:-1] - 1
-    ret[1:] = np.where(np.isfinite(move), move, 0.0)
-    turnover = np.abs(np.diff(held, axis=0, prepend=0.0))
-    r = held * ret[:, None] - turnover * cost
-    equity = np.cumprod(1 + r, axis=0)
-    growth = equity[-1]
-    flat = r.min(0) == r.max(0)
-    std = np.where(flat, 0.0, r.std(0, ddof=1)) if n > 1 else np.full(k, np.nan)
-    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-        annual = np.where(growth > 0, np.power(np.maximum(growth, 1e-300), per_year / n) - 1, -1.0)
-        sharpe = np.where(std > 0, r.mean(0) / std, np.nan) * math.sqrt(per_year)
-        drawdown = np.minimum(0, (equity / np.maximum(1, np.maximum.accumulate(equity, 0)) - 1).min(0))
-    sums = turnover.sum(0)
-    return {
-        "cumulative_return": growth - 1, "annualized_return": annual, "sharpe": sharpe, "annualized_volatility": std * math.sqrt(per_year), "max_drawdown": drawdown,
-        "turnover": sums, "annual_turnover": sums / (n / per_year), "n_trades": (turnover > 0).sum(0), "exposure": (held != 0).mean(0), "n_bars": np.full(k, n),
-    }
+                if (at, op, t) not in tested:
+                    tested[at, op, t] = holds(values[at, begin:], op, t)
+            places = frozenset(at for at, *_ in conditions)
+            if places not in unknown:
+                unknown[places] = np.isnan(values[sorted(places), begin:]).any(axis=0)
+            whole = (np.logical_and if logic == "AND" else np.logical_or).reduce([tested[c] for c in conditions])
+            position = np.where(whole, yes, no)
+            position[unknown[places]] = 0.0
+        else:
+            position = np.full(n, yes)
+        held[1:] = position[:-1]
+        change = np.diff(held, prepend=0.0)
+        traded = np.flatnonzero(change)
+        paid = np.abs(change[traded])
+        r = held * ret
+        r[traded] -= paid * cost
+        equity = np.cumprod(1 + r)
+        growth, turnover = equity[-1], paid.sum()
+        std = (0.0 if r.min() == r.max() else r.std(ddof=1)) if n > 1 else np.nan
+        peak = np.maximum(1.0, np.maximum.accumulate(equity))
+        with np.errstate(over="ignore"):
+            annual = np.power(growth, per_year / n) - 1 if growth > 0 else -1.0
+        got = {
+            "cumulative_return": growth - 1, "annualized_return": annual, "sharpe": r.mean() / std * math.sqrt(per_year) if std > 0 else np.nan, "annualized_volatility": std * math.sqrt(per_year),
+            "max_drawdown": min(0.0, (equity / peak).min() - 1), "turnover": turnover, "annual_turnover": turnover / (n / per_year), "n_trades": len(traded), "exposure": np.count_nonzero(held) / n, "n_bars": n,
+        }
+        for m, x in got.items():
+            out[m][j] = x
+    return out
 
 
 @dataclass
 class ArrowEvaluator:
-    """numpy over one symbol's arrays and a chunk of candidates at a time; `chunk` bounds a task's matrices."""
+    """numpy over one symbol's arrays and a chunk of candidates at a time. A symbol's bars move once, or as often as
+    there are cores left idle by the number of symbols; features are computed where they arrive."""
 
     chunk: int = 64
 
     def __call__(self, bars, candidates, start=None, end=None, cost_bps=10.0, per_year=HOURS_PER_YEAR, ids=None):
         sources, specs = compiled(candidates, ids)
-        x = wide(period(bars, None, end), sources)
+        spark = bars.sparkSession
+        bars = period(bars, None, end)
+        windows = [s for s in sources if s[0] not in ARRAYS]  # features without an array twin are Spark columns
+        fields = sorted({f for k, f, _ in sources if k in ARRAYS} - {"close"})
+        x = wide(bars, windows) if windows else bars
         inside = F.lit(True) if start is None else F.col("timestamp") >= F.lit(start).cast(x.schema["timestamp"].dataType)
-        x = x.select("symbol", "timestamp", F.col("close").cast("double").alias("close"), inside.alias("inside"), *(F.col(column_of(s)).alias(f"v{i}") for i, s in enumerate(sources)))
+        x = x.select("symbol", "timestamp", inside.alias("inside"), *(clean(F.col(f)).alias(f"f{i}") for i, f in enumerate(["close", *fields])), *(F.col(column_of(s)).alias(f"v{i}") for i, s in enumerate(windows)))
         kind = x.schema["timestamp"].dataType.simpleString()
+        cores = spark.sparkContext.defaultParallelism
+        chunks = [specs[i : i + self.chunk] for i in range(0, len(specs), self.chunk)]
+        symbols = max(1, bars.select("symbol").distinct().limit(cores).count()) if len(chunks) > 1 else cores
+        shares = max(1, min(len(chunks), -(-cores // symbols)))
+        shared = spark.sparkContext.broadcast(chunks)  # as long as the grid, which its budget bounds
 
-        def pack(t: pa.Table) -> pa.Table:
+        def run(key: tuple, t: pa.Table) -> pa.Table:
             t = t.sort_by("timestamp")
             live = t.column("inside").to_numpy()
             begin = int(np.argmax(live)) if live.any() else len(live)
+            own = [c for i, c in enumerate(shared.value) if i % shares == key[1].as_py()]
+            own = [s for c in own for s in c] if begin < len(live) else []
             get = lambda c: t.column(c).to_numpy(zero_copy_only=False).astype(np.float64)
-            rows = [get("close"), *(get(f"v{i}") for i in range(len(sources)))]
-            ts = t.column("timestamp")
-            return pa.table({"symbol": t.column("symbol")[:1], "begin": pa.array([begin]), "n": pa.array([t.num_rows]), "first": ts.slice(begin, 1) if begin < len(ts) else pa.nulls(1, ts.type), "last": ts[-1:], "data": pa.array([np.stack(rows).tobytes()], pa.binary())})
-
-        packed = x.groupBy("symbol").applyInArrow(pack, f"symbol string, begin long, n long, first {kind}, last {kind}, data binary")
-        chunks = [(i, specs[i : i + self.chunk]) for i in range(0, len(specs), self.chunk)]
-        spark = bars.sparkSession
-        tasks = spark.createDataFrame([(i,) for i, _ in chunks], "chunk long")
-        work = packed.crossJoin(F.broadcast(tasks)).repartition(max(1, min(len(chunks) * 4, 4 * spark.sparkContext.defaultParallelism)), "symbol", "chunk")
-        shared = spark.sparkContext.broadcast(dict(chunks))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for r in range(b.num_rows):
-                    symbol, begin, n = b.column(0)[r].as_py(), b.column(1)[r].as_py(), b.column(2)[r].as_py()
-                    if begin >= n:
-                        continue
-                    data, own = np.frombuffer(b.column(5)[r].as_buffer(), np.float64).reshape(-1, n), shared.value[b.column(6)[r].as_py()]
-                    got = kernel(data[0], data[1:], own, begin, cost_bps / 10_000, per_year)
-                    k = len(own)
-                    cols = [pa.array([s[0] for s in own], pa.int64()), pa.array([symbol] * k), b.column(3).take(pa.array([r] * k)), b.column(4).take(pa.array([r] * k))]
-                    for m in METRICS:
-                        v = got[m]
-                        cols.append(pa.array(v.astype(np.int64)) if m in ("n_trades", "n_bars") else pa.array(v, pa.float64(), mask=np.isnan(v)))
-                    yield pa.RecordBatch.from_arrays(cols, names=["candidate", "symbol", "first", "last", *METRICS])
+            raw = {f: get(f"f{i}") for i, f in enumerate(["close", *fields])}
+            used = {at for s in own for at, *_ in s[1]}  # a share needs the features of its own candidates
+            values = [None] * len(sources)
+            for i, s in enumerate(sources):
+                values[i] = np.empty(len(live)) if i not in used else ARRAYS[s[0]](raw[s[1]], s[2]) if s[0] in ARRAYS else get(f"v{windows.index(s)}")
+            got = kernel(raw["close"], np.stack(values) if values else np.empty((0, len(live))), own, begin, cost_bps / 10_000, per_year) if own else {m: np.empty(0) for m in METRICS}
+            k, ts = len(own), t.column("timestamp").combine_chunks()
+            ends = [pa.nulls(0, ts.type)] * 2 if not k else [ts.take(pa.array(np.full(k, i))) for i in (begin, len(ts) - 1)]
+            counts = ("n_trades", "n_bars")
+            columns = [pa.array([s[0] for s in own], pa.int64()), pa.array([key[0].as_py()] * k, pa.string()), *ends]
+            columns += [pa.array(got[m].astype(np.int64)) if m in counts else pa.array(got[m], pa.float64(), mask=np.isnan(got[m])) for m in METRICS]
+            return pa.table(columns, names=["candidate", "symbol", "first", "last", *METRICS])
 
         kinds = ", ".join(f"{m} {'long' if m in ('n_trades', 'n_bars') else 'double'}" for m in METRICS)
-        return work.mapInArrow(run, f"candidate long, symbol string, first {kind}, last {kind}, {kinds}")
+        dealt = x.withColumn("share", F.explode(F.array(*map(F.lit, range(shares)))))
+        if shares > 1:
+            dealt = dealt.repartition(4 * cores, "symbol", "share")  # else a few shares may meet in one task
+        return dealt.groupBy("symbol", "share").applyInArrow(run, f"candidate long, symbol string, first {kind}, last {kind}, {kinds}")
 
 
 def with_parameters(table: DataFrame, candidates: Candidates, ids: list[int] | None = None) -> DataFrame:

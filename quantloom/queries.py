@@ -17,7 +17,7 @@ from quantloom.operators import backtest as B
 from quantloom.operators import history as H
 from quantloom.operators import selection as X
 from quantloom.operators import sweep as G
-from quantloom.operators.confirm import cross_asset, evaluate_frozen, sharpe_stats
+from quantloom.operators.confirm import cross_asset, evaluate_frozen, replicate, sharpe_stats, transfer, with_benchmarks
 from quantloom.plans.spec import BENCHMARKS, Strategy, candidates
 from quantloom.sources import bars as S
 
@@ -235,8 +235,8 @@ def parameter_sensitivity(spark, d):
 
 
 SELECTED = f"""WITH {sql_sweep(TRAIN, False)},
-e AS (SELECT *, row_number() OVER (PARTITION BY symbol, n_trades, printf('%.11e', turnover), printf('%.11e', exposure), printf('%.11e', cumulative_return), printf('%.11e', sharpe) ORDER BY sharpe DESC, candidate) AS n FROM m WHERE sharpe IS NOT NULL AND n_trades >= {SETTINGS.min_trades_per_year} * n_bars / {MONTH}),
-s AS (SELECT symbol, candidate, row_number() OVER (PARTITION BY symbol ORDER BY sharpe DESC, candidate) AS train_rank, sharpe, n_trades, exposure, cumulative_return FROM e WHERE n = 1),
+e AS (SELECT *, row_number() OVER (PARTITION BY symbol, n_trades, printf('%.11e', turnover), printf('%.11e', exposure), printf('%.11e', cumulative_return), printf('%.11e', sharpe) ORDER BY CAST(printf('%.11e', sharpe) AS DOUBLE) DESC, candidate) AS n FROM m WHERE sharpe IS NOT NULL AND n_trades >= {SETTINGS.min_trades_per_year} * n_bars / {MONTH}),
+s AS (SELECT symbol, candidate, row_number() OVER (PARTITION BY symbol ORDER BY CAST(printf('%.11e', sharpe) AS DOUBLE) DESC, candidate) AS train_rank, sharpe, n_trades, exposure, cumulative_return FROM e WHERE n = 1),
 sel AS (SELECT * FROM s WHERE train_rank <= {SETTINGS.top_n})"""
 
 
@@ -277,10 +277,45 @@ def benchmarks(spark, d):
     return rounded(X.evaluate_benchmarks(hourly(spark, d), SETTINGS, BENCHMARKS))
 
 
-@query("experiment_warnings")
-def experiment_warnings(spark, d):
-    """All red flags of a whole experiment; its tables have SQL of their own above."""
-    return X.run_experiment(hourly(spark, d), BASE, SPACE, SETTINGS).warnings().select("symbol", F.array_join("rules", ",").alias("rules"))
+def sql_warnings(base: Strategy, space: dict) -> str:
+    """The red flags of an experiment with this base, rule by rule; `shares` are those of each symbol's best candidate."""
+    no = base.false_position
+    sel, cmp = (x.replace("ELSE -1 END::DOUBLE AS position", f"ELSE {no} END::DOUBLE AS position") for x in (SELECTED, COMPARED.removeprefix(SELECTED)))
+    bh = sql_accounts("symbol") + ", " + sql_metrics("symbol", MONTH, False)
+    for n in ("acc0", "acc1", "acc2", "acc", "dd", "m"):
+        bh = bh.replace(f"{n} AS (", f"h_{n} AS (").replace(f"FROM {n} ", f"FROM h_{n} ").replace(f"FROM {n})", f"FROM h_{n})")
+    edges = " OR ".join(f"{_params[k]} IN ({min(v)}, {max(v)})" for k, v in space.items() if len(set(v)) >= 3)
+    long_only = base.false_position != -1 and base.true_position != -1 and 1 in (base.true_position, base.false_position)
+    rules = {
+        "multiple_testing": "n > 1", "redundant_candidates": "n > n_distinct", "never_traded": "never > 0", "condition_always_true": "greatest(s1, s2) >= 0.99", "condition_rarely_true": "least(s1, s2) <= 0.01",
+        "median_train_not_positive": "train_median <= 0", "nothing_selected": "NOT has", "best_at_edge": f"has AND ({edges})", "high_costs": "has AND cost > 0.05", "validation_not_positive": "has AND vm <= 0",
+        "kept_less_than_half": "has AND NOT vm <= 0 AND tm > 0 AND vm < 0.5 * tm", "few_validation_trades": "has AND few > 0", "near_buy_and_hold": f"has AND {str(long_only).lower()} AND exposure >= 0.9",
+        "did_not_beat_buy_and_hold": "has AND best < bh", "some_beat_buy_and_hold": "has AND best >= bh",
+    }
+    names = ", ".join(f"CASE WHEN {rule} THEN '{name}' END" for name, rule in rules.items())
+    return f"""{sel}{cmp},
+h_pos AS (SELECT symbol, timestamp, close, 1::DOUBLE AS position FROM bars WHERE timestamp >= TIMESTAMP '{VALIDATION.start}' AND timestamp < TIMESTAMP '{VALIDATION.end}'),
+{bh.replace("FROM pos", "FROM h_pos")},
+t AS (SELECT symbol, count(*) AS n, count(DISTINCT (n_trades, coalesce(printf('%.11e', turnover), ''), coalesce(printf('%.11e', exposure), ''), coalesce(printf('%.11e', cumulative_return), ''), coalesce(printf('%.11e', sharpe), ''))) AS n_distinct, count(*) FILTER (WHERE n_trades = 0) AS never, median(sharpe) AS train_median FROM m GROUP BY symbol),
+top AS (SELECT symbol, candidate, ml, mt, vl, vt FROM sel JOIN cand USING (candidate) WHERE train_rank = 1),
+shares AS (SELECT symbol, avg((mom > mt)::INT) AS s1, avg((vol < vt)::INT) AS s2 FROM fc JOIN (SELECT symbol, candidate FROM top) USING (symbol, candidate) WHERE timestamp < TIMESTAMP '{TRAIN.end}' GROUP BY symbol),
+base AS (SELECT symbol, avg((m6 > 0.0123)::INT) AS b1, avg((v12 < 0.2345)::INT) AS b2 FROM f WHERE timestamp < TIMESTAMP '{TRAIN.end}' GROUP BY symbol),
+costs AS (SELECT symbol, median(annual_turnover * {SETTINGS.cost}) AS cost FROM m JOIN sel USING (symbol, candidate) GROUP BY symbol),
+v AS (SELECT cmp.symbol, count(*) AS k, median(train_sharpe) AS tm, median(validation_sharpe) AS vm, max(validation_sharpe) AS best, any_value(h.sharpe) AS bh, median(validation_exposure) AS exposure,
+  sum((validation_n_trades < {SETTINGS.min_trades_per_year} * h.n_bars / {MONTH})::INT) AS few FROM cmp JOIN h_m h ON h.symbol = cmp.symbol GROUP BY cmp.symbol),
+x AS (SELECT t.*, coalesce(s1, b1) AS s1, coalesce(s2, b2) AS s2, ml, mt, vl, vt, cost, tm, vm, best, bh, exposure, few, coalesce(k, 0) > 0 AS has FROM t LEFT JOIN shares USING (symbol) LEFT JOIN base USING (symbol) LEFT JOIN top USING (symbol) LEFT JOIN costs USING (symbol) LEFT JOIN v USING (symbol))
+SELECT symbol, array_to_string([{names}], ',') AS rules FROM x"""
+
+
+def _warnings_query(name: str, base: Strategy, sql: str):
+    @query(name, sql)
+    def run(spark, d):
+        """All red flags of a whole experiment."""
+        return X.run_experiment(hourly(spark, d), base, SPACE, SETTINGS).warnings().select("symbol", F.array_join("rules", ",").alias("rules"))
+
+
+_warnings_query("experiment_warnings", BASE, sql_warnings(BASE, SPACE))
+_warnings_query("experiment_warnings_long", _spec(1, 0), sql_warnings(_spec(1, 0), SPACE))
 
 
 FINAL = X.Period("2024-01-24", "2024-02-01")
@@ -300,6 +335,32 @@ def cross(spark, d):
     return rounded(cross_asset(hourly(spark, d), "click", [0, 7], [GRID[0], GRID[7]], SETTINGS))
 
 
+def sql_against(p: X.Period, ids: str, what: str) -> str:
+    """Frozen candidates and buy-and-hold on a period: one SELECT with its own CTEs."""
+    low = f"timestamp >= TIMESTAMP '{p.start}' AND " if p.start else ""
+    held = f"SELECT -1 AS candidate, symbol, timestamp, close, 1::DOUBLE AS position FROM bars"
+    own = sql_sweep(p, False).replace("pos AS (SELECT * FROM allpos WHERE", f"pos AS (SELECT * FROM (SELECT * FROM allpos UNION ALL {held}) WHERE", 1)
+    return f"(WITH {own} SELECT s.*, b.sharpe AS buy_and_hold, b.first, b.last, '{what}' AS period FROM (SELECT symbol, {_STATS} FROM m WHERE candidate IN ({ids}) GROUP BY symbol) s JOIN (SELECT symbol, round(sharpe, 8) AS sharpe, first, last FROM m WHERE candidate = -1) b USING (symbol))"
+
+
+@query("cross_asset_transfer", f"SELECT * FROM {sql_against(TRAIN, '0, 7', 'train')} WHERE symbol <> 'click' UNION ALL BY NAME SELECT * FROM {sql_against(VALIDATION, '0, 7', 'validation')} WHERE symbol <> 'click'")
+def cross_transfer(spark, d):
+    return rounded(transfer(hourly(spark, d), "click", [0, 7], [GRID[0], GRID[7]], SETTINGS))
+
+
+@query("cross_asset_replicate", f"{COMPARED}, h AS (SELECT symbol, buy_and_hold FROM {sql_against(VALIDATION, '0', 'validation')}), tr AS (SELECT symbol, count(*) AS train_n_candidates, round(median(sharpe), 8) AS train_median, round(max(sharpe), 8) AS train_max FROM m GROUP BY symbol), va AS (SELECT symbol, count(*) AS validation_n_retested, round(median(validation_sharpe), 8) AS validation_median, round(max(validation_sharpe), 8) AS validation_best, min_by(candidate, train_rank) AS validation_train_best FROM cmp GROUP BY symbol) SELECT symbol, train_n_candidates, train_median, train_max, validation_n_retested, validation_median, validation_best, validation_train_best, buy_and_hold FROM tr LEFT JOIN va USING (symbol) LEFT JOIN h USING (symbol) WHERE symbol <> 'click'")
+def cross_replicate(spark, d):
+    return rounded(replicate(hourly(spark, d), "click", BASE, SPACE, SETTINGS).select("symbol", "train_n_candidates", "train_median", "train_max", "validation_n_retested", "validation_median", "validation_best", "validation_train_best", "buy_and_hold"))
+
+
+_BENCH_POS = f"SELECT 'buy_and_hold' AS benchmark, symbol, timestamp, close, 1::DOUBLE AS position FROM b UNION ALL SELECT 'flat', symbol, timestamp, close, 0 FROM b UNION ALL SELECT 'naive_momentum_24', symbol, timestamp, close, CASE WHEN mom24 IS NULL THEN 0 WHEN mom24 > 0 THEN 1 ELSE -1 END FROM b"
+
+
+@query("final_test_benchmarks", f"WITH {HOURLY}, {SWEEP_F}, b AS (SELECT *, {sql_feature('momentum', 'close', 24)} AS mom24 FROM bars), pos AS (SELECT * FROM (SELECT candidate, NULL AS benchmark, symbol, timestamp, close, position FROM allpos WHERE candidate IN (1, 5) UNION ALL SELECT NULL, * FROM ({_BENCH_POS})) WHERE timestamp >= TIMESTAMP '{FINAL.start}' AND timestamp < TIMESTAMP '{FINAL.end}'), {sql_accounts('candidate, benchmark, symbol')}, {sql_metrics('candidate, benchmark, symbol')} SELECT {SWEEP_COLUMNS}, benchmark FROM m")
+def final_test_benchmarks(spark, d):
+    return rounded(with_benchmarks(hourly(spark, d), [1, 5], [GRID[1], GRID[5]], FINAL, SETTINGS))
+
+
 # ---- sources -------------------------------------------------------------------------------------------------------
 
 
@@ -372,3 +433,76 @@ def direction_mismatch(spark, d):
     k = F.col("p_partkey") % 4
     text = F.concat("p_name", F.when(k == 0, " a Rally").when(k == 1, " bearish").when(k == 2, " rise and decline").otherwise(""))
     return p.select("p_partkey", H.direction_mismatch(text, F.col("p_size") % 3 - 1).alias("mismatch"))
+
+
+# ---- analytics over experiment records, made of orders ---------------------------------------------------------------
+
+#: A record's parts by expressions that both engines read alike.
+RECORD = {
+    "run": "concat('r', o_custkey % 40)", "number": "CAST(o_orderkey AS INT)", "dataset": "o_orderpriority", "yes": "CAST(o_orderkey % 3 - 1 AS INT)", "no": "CAST(o_custkey % 3 - 1 AS INT)",
+    "status": "CASE WHEN o_orderkey % 5 = 0 THEN 'rejected' WHEN o_orderkey % 11 = 0 THEN 'failed' ELSE 'completed' END", "median": "CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice / 100000 - 1 END",
+    "e1": "(o_orderkey % 100) / CAST(100 AS DOUBLE)", "e2": "(o_custkey % 50 + 50) / CAST(100 AS DOUBLE)", "t1": "CAST(o_custkey % 50 AS DOUBLE)", "t2": "CAST(o_orderkey % 30 AS DOUBLE)",
+    "share": "(o_orderkey % 101) / CAST(100 AS DOUBLE)", "bh": "CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE (o_custkey % 9 - 4) / CAST(2 AS DOUBLE) END", "lookback": "CAST(3 + o_orderkey % 4 AS INT)",
+    "feature": "CASE o_custkey % 4 WHEN 0 THEN 'momentum' WHEN 1 THEN 'zscore' WHEN 2 THEN 'volatility' ELSE 'rolling_mean' END", "threshold": "(o_custkey % 5) / CAST(4 AS DOUBLE)",
+    "swept": "CAST(o_orderkey % 7 AS DOUBLE)", "code": "CASE o_orderkey % 4 WHEN 0 THEN 'MALFORMED_JSON' WHEN 1 THEN 'INVALID_SPEC' END", "again": "CASE WHEN o_orderkey % 4 < 2 THEN CASE o_orderkey % 5 WHEN 0 THEN 'DUPLICATE_PROPOSAL' END END",
+    "hypothesis": "CASE o_custkey % 6 WHEN 0 THEN 'prices RISE after calm' WHEN 1 THEN 'a bearish decline' WHEN 2 THEN 'a rally, then lower' ELSE 'no view' END", "context": "CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE 'c' END",
+    "notes": "CASE WHEN o_orderkey % 19 = 0 THEN 'returns rewritten' ELSE '' END",
+}
+_R = f"r AS (SELECT {', '.join(f'{e} AS {n}' for n, e in RECORD.items())} FROM orders)"
+_FLAGS = f"""{_R}, g AS (SELECT *, CASE WHEN status = 'completed' THEN coalesce(median > 0, false) ELSE false END AS holds_up,
+  status = 'completed' AND (share <= 0.01 OR share >= 0.99) AS unit_problem, yes <> -1 AND no <> -1 AND (e1 + e2) / 2 >= 0.9 AS near, (t1 + t2) / 2 >= 12 AS enough FROM r),
+x AS (SELECT * EXCLUDE (near, enough), holds_up AND enough AND NOT near AS useful, coalesce(holds_up AND enough AND NOT near AND bh > 0 AND median > bh, false) AS beats_buy_and_hold, (feature, yes, no) AS family FROM g)"""
+
+
+def records(spark, d) -> DataFrame:
+    o = spark.read.parquet(f"{d}/orders.parquet").selectExpr(*(f"{e} AS {n}" for n, e in RECORD.items()))
+    return o.selectExpr(
+        "run", "number", "dataset", "status", "hypothesis", "notes", "'why' AS rationale", "12D AS min_trades_per_year", "map('a.lookback', array(swept)) AS parameter_space", "CAST(NULL AS map<string,string>) AS requested_space",
+        "named_struct('name', 's', 'logic', 'AND', 'true_position', yes, 'false_position', no, 'conditions', array(named_struct('id', 'a', 'feature', feature, 'field', 'close', 'operator', '>', 'threshold', threshold, 'lookback', lookback))) AS strategy_spec",
+        "array(named_struct('candidate', 0L, 'validation_exposure', e1, 'validation_annual_turnover', t1), named_struct('candidate', 1L, 'validation_exposure', e2, 'validation_annual_turnover', t2)) AS comparison",
+        "named_struct('median', median) AS validation_summary", "named_struct('shares', map('a', share), 'scope', 'all') AS condition_activity", "map('validation', map('buy_and_hold', map('sharpe', CAST(bh AS STRING)))) AS benchmarks",
+        "named_struct('context', context, 'attempts', IF(code IS NULL, array(named_struct('code', code, 'response', '')), array(named_struct('code', code, 'response', ''), named_struct('code', again, 'response', '')))) AS llm",
+    )
+
+
+FLAGS = ("holds_up", "useful", "beats_buy_and_hold", "unit_problem")
+
+
+@query("experiment_flags", f"WITH {_FLAGS} SELECT run, number, {', '.join(FLAGS)} FROM x")
+def experiment_flags(spark, d):
+    return H.with_flags(records(spark, d)).select("run", "number", *FLAGS)
+
+
+_CALLS = "CASE WHEN code IS NULL THEN 1 ELSE 2 END"
+
+
+@query("run_summaries", f"WITH {_FLAGS} SELECT run, count(*) AS iterations, count(*) FILTER (WHERE status = 'completed') AS completed, sum({_CALLS})::BIGINT AS llm_calls, round(avg((code IS NULL)::INT), 3) AS first_try_valid, {', '.join(f'count(*) FILTER (WHERE {c}) AS {c}' for c in FLAGS[:3])}, count(*) FILTER (WHERE unit_problem) AS unit_problems, count(*) FILTER (WHERE notes LIKE '%rewritten%') AS auto_corrections, count(DISTINCT family) FILTER (WHERE status = 'completed') AS families, count(DISTINCT feature) FILTER (WHERE status = 'completed') AS features, round(sum({_CALLS}) / nullif(count(*) FILTER (WHERE status = 'completed'), 0)::DOUBLE, 2) AS calls_per_completed, round(10 * count(*) FILTER (WHERE useful) / sum({_CALLS})::DOUBLE, 2) AS useful_per_10_calls FROM x GROUP BY run")
+def run_summaries(spark, d):
+    return H.summarize_runs(records(spark, d)).drop("rejection_codes", "dataset", "model", "seed")
+
+
+@query("rejection_codes", f"WITH {_R} SELECT dataset, code, count(*) AS n FROM (SELECT dataset, code FROM r UNION ALL SELECT dataset, again FROM r WHERE code IS NOT NULL) WHERE code IS NOT NULL GROUP BY ALL")
+def rejection_codes(spark, d):
+    return H.rejection_codes(records(spark, d), ["dataset"])
+
+
+@query("ranked_experiments", f"WITH {_FLAGS}, b AS (SELECT *, row_number() OVER (PARTITION BY dataset, family ORDER BY median DESC, run, number) AS n FROM x WHERE useful AND NOT unit_problem), k AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY median DESC, run, number)::INT AS rank FROM b WHERE n = 1) SELECT dataset, round(median, 8) AS validation_median, run, number, rank FROM k WHERE rank <= 3")
+def ranked_experiments(spark, d):
+    return rounded(H.ranked_experiments(records(spark, d), 3).drop("family"))
+
+
+_says = lambda words: " OR ".join(f"contains(lower(hypothesis), '{w}')" for w in words)
+_REASONS = f"""{_FLAGS}, w AS (SELECT *, ({_says(H.UP_WORDS)}) AS up, ({_says(H.DOWN_WORDS)}) AS down, run IN ('r1', 'r2') AS silent FROM x),
+y AS (SELECT *, CASE WHEN silent THEN '{H.NO_PROMPT}' WHEN dataset = '5-LOW' THEN 'held-out market' WHEN status <> 'completed' THEN 'not completed' WHEN context IS NULL THEN 'no LLM context' WHEN NOT useful THEN 'not useful' WHEN unit_problem THEN 'unit problem'
+  WHEN (up AND NOT down AND yes = -1) OR (down AND NOT up AND yes = 1) THEN 'hypothesis contradicts rule' END AS reason FROM w),
+z AS (SELECT run, number, coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY reason, feature, lookback, threshold, yes, no, swept ORDER BY run, number) > 1 THEN 'duplicate example' ELSE 'kept' END) AS reason FROM y)"""
+
+
+def examples(spark, d) -> DataFrame:
+    r = records(spark, d)
+    runs = r.select("run").distinct().selectExpr("run", "IF(run = 'r1', NULL, 'Propose.') AS system_prompt", "run = 'r2' AS replayed")
+    return H.build_examples(r, ["5-LOW"], runs)
+
+
+query("example_reasons", f"WITH {_REASONS} SELECT run, number, reason FROM z")(lambda spark, d: examples(spark, d).select("run", "number", "reason"))
+query("example_reason_counts", f"WITH {_REASONS} SELECT reason, CASE WHEN reason = '{H.NO_PROMPT}' THEN count(DISTINCT run) ELSE count(*) END AS n FROM z GROUP BY reason")(lambda spark, d: H.reason_counts(examples(spark, d)))

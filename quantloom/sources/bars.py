@@ -34,6 +34,14 @@ def from_daily(history: DataFrame) -> DataFrame:
     return x.withColumn("volume", F.when(traded, F.col("volume")))
 
 
+def to_millis(time: Column) -> Column:
+    """Epoch milliseconds of a time or its text; one without a zone is UTC."""
+    t = time.cast("string")
+    zoned = t.rlike(r"(?:[zZ]|[+-][0-9]{2}:?[0-9]{2})$")
+    plain = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.when(~zoned, t).cast("timestamp_ntz"))
+    return F.when(zoned, F.unix_millis(F.when(zoned, t).cast("timestamp"))).otherwise(plain)
+
+
 def closed_only(candles: DataFrame, timeframe_ms: int, start_ms: int, end_ms: int) -> DataFrame:
     """Candles that open at or after start and close by end."""
     return candles.filter((F.col("ms") >= start_ms) & (F.col("ms") + timeframe_ms <= end_ms))
@@ -66,6 +74,14 @@ def check(bars: DataFrame) -> DataFrame:
     return bars
 
 
+def usable(bars: DataFrame) -> DataFrame:
+    """bars, if no symbol has a time twice and none is missing; raises otherwise, after one aggregate."""
+    bad = check(bars).groupBy("symbol", "timestamp").count().filter("count > 1 OR timestamp IS NULL").limit(3).collect()
+    if bad:
+        raise ValueError(f"times that are missing or there more than once: {[(r.symbol, str(r.timestamp), r['count']) for r in bad]}")
+    return bars
+
+
 def read(spark, path: str) -> DataFrame:
     """Bars from Parquet. Order lives in windows, so nothing is sorted here."""
     return check(spark.read.parquet(path))

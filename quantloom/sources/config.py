@@ -8,6 +8,7 @@ from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quantloom.plans.spec import Strategy
 
@@ -52,20 +53,24 @@ def _scalar(text: str) -> Any:
         return text.strip("'\"") or None
 
 
-def load_strategies(folder: str) -> dict[str, Strategy]:
-    """Every *.json in a folder, by its name; two of one name raise."""
+def load_strategies(folder: str, spark: SparkSession | None = None) -> dict[str, Strategy]:
+    """Every *.json in a folder, by its name; two of one name raise. With spark, from any file system it reads."""
+    if spark is None:
+        texts = [p.read_text() for p in sorted(Path(folder).glob("*.json"))]
+    else:
+        texts = [r.value for r in spark.read.text(f"{folder}/*.json", wholetext=True).orderBy(F.input_file_name()).collect()]
     out: dict[str, Strategy] = {}
-    for p in sorted(Path(folder).glob("*.json")):
-        s = Strategy.parse(p.read_text())
+    for s in map(Strategy.parse, texts):
         if s.name in out:
             raise ValueError(f"two strategies are named {s.name!r}")
         out[s.name] = s
     return out
 
 
-def file_name(symbol: str, timeframe: str) -> str:
-    """BTC/USD, 1h: btc_usd_1h.parquet"""
-    return "".join(c if c.isalnum() else "_" for c in symbol.lower()) + f"_{timeframe}.parquet"
+def file_name(symbol: str, timeframe: str, exchange: str = "") -> str:
+    """BTC/USD, 1h, kraken: kraken_btc_usd_1h.parquet. Symbols that differ in more than case never share a name."""
+    plain = "".join("_" if c == "/" else c if c.isalnum() or c in "-." else f"%{ord(c):02x}" for c in symbol.lower())
+    return "_".join(x for x in (exchange, plain, timeframe) if x) + ".parquet"
 
 
 def ingest(spark: SparkSession, symbols: Iterable[str], load: Callable[[str], DataFrame], save: Callable[[DataFrame, str], None], strict: bool = True) -> DataFrame:

@@ -1,7 +1,8 @@
 """A paged candle source as a Spark data source; the network client is a seam.
 
 Register `CandleSource` and read format("candles") with a `client` that imports to a function
-fetch(symbol, timeframe_ms, since_ms, limit) -> rows [ms, open, high, low, close, volume]. Each symbol is a partition.
+fetch(symbol, timeframe_ms, since_ms, limit) -> rows [ms, open, high, low, close, volume]. Each symbol, or each window of
+`window_ms` of each symbol, is a partition. Without a `limit`, the first page tells how many candles a page has.
 """
 
 from __future__ import annotations
@@ -24,10 +25,16 @@ def with_retries(call: Callable, most: int = 5, base: float = 2.0, ceiling: floa
             sleep(min(base * 2**k, ceiling))
 
 
-def fetch_range(fetch: Callable, symbol: str, timeframe_ms: int, start_ms: int, end_ms: int, limit: int = 500, **retry) -> Iterator[tuple]:
+def page_limit(fetch: Callable, symbol: str, timeframe_ms: int, start_ms: int, ask: int = 5000, default: int = 500, **retry) -> int:
+    """The size of the page that `ask` candles come as; the default if there are none. Too few only means more pages."""
+    return len(with_retries(lambda: fetch(symbol, timeframe_ms, start_ms, ask), **retry)) or default
+
+
+def fetch_range(fetch: Callable, symbol: str, timeframe_ms: int, start_ms: int, end_ms: int, limit: int | None = 500, first: int = 0, **retry) -> Iterator[tuple]:
     """Candles that open at or after the cursor and close by the end. The cursor moves behind the last candle of a page;
-    an empty page is a gap of its length."""
-    cursor, seq = start_ms, 0
+    an empty page is a gap of its length. limit: None to find it out; first: the number of the first candle."""
+    cursor, seq = start_ms, first
+    limit = page_limit(fetch, symbol, timeframe_ms, start_ms, **retry) if limit is None else limit
     while cursor < end_ms:
         page = with_retries(lambda at=cursor: fetch(symbol, timeframe_ms, at, limit), **retry)
         good = [c for c in page if c[0] >= cursor and c[0] + timeframe_ms <= end_ms]
@@ -37,22 +44,27 @@ def fetch_range(fetch: Callable, symbol: str, timeframe_ms: int, start_ms: int,
         cursor = max(c[0] for c in good) + timeframe_ms if good else cursor + limit * timeframe_ms
 
 
-class SymbolPartition(InputPartition):
-    def __init__(self, symbol: str):
-        self.symbol = symbol
+class WindowPartition(InputPartition):
+    def __init__(self, symbol: str, number: int, start: int, end: int):
+        self.symbol, self.number, self.start, self.end = symbol, number, start, end
 
 
 class CandleReader(DataSourceReader):
     def __init__(self, options):
         self.options = options
+        self.timeframe, self.start, self.end = (int(options[k]) for k in ("timeframe_ms", "start_ms", "end_ms"))
 
     def partitions(self):
-        return [SymbolPartition(s.strip()) for s in self.options["symbols"].split(",")]
+        width = int(self.options.get("window_ms", max(1, self.end - self.start)))
+        width = max(1, width // self.timeframe) * self.timeframe  # a candle lies in one window
+        symbols = [s.strip() for s in self.options["symbols"].split(",")]
+        starts = range(self.start, max(self.end, self.start + 1), width)
+        return [WindowPartition(s, i, a, min(a + width, self.end)) for s in symbols for i, a in enumerate(starts)]
 
-    def read(self, partition):
+    def read(self, p):
         module, _, name = self.options["client"].rpartition(".")
-        o = {k: int(self.options[k]) for k in ("timeframe_ms", "start_ms", "end_ms")}
-        yield from fetch_range(getattr(importlib.import_module(module), name), partition.symbol, o["timeframe_ms"], o["start_ms"], o["end_ms"], int(self.options.get("limit", 500)))
+        limit = self.options.get("limit")
+        yield from fetch_range(getattr(importlib.import_module(module), name), p.symbol, self.timeframe, p.start, p.end, None if limit is None else int(limit), p.number << 40)
 
 
 class CandleSource(DataSource):

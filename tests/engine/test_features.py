@@ -1,8 +1,10 @@
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quantloom.functions import arrays
 from quantloom.functions.features import FEATURES
 from quantloom.operators.backtest import column_of, wide
 
@@ -48,3 +50,18 @@ def test_no_feature_sees_the_future(spark):
     sources = [(k, f, None if v.least is None else 5) for k, v in FEATURES.items() for f in ("close", "volume")]
     rows = lambda d: {r.timestamp: r for r in wide(d, sources).drop("open", "high", "low", "close", "volume").filter(F.col("timestamp") <= F.lit(cut)).collect()}
     assert rows(bars) == rows(changed)
+
+
+@pytest.mark.parametrize("name", list(FEATURES))
+def test_arrays_equal_columns(spark, name, monkeypatch):
+    monkeypatch.setattr(arrays, "CELLS", 500)
+    n = None if FEATURES[name].least is None else 7
+    bars = walk(spark, 420)
+    for field in ("close", "volume"):
+        source = (name, field, n)
+        rows = wide(bars, [source]).orderBy("timestamp").select(field, column_of(source)).collect()
+        x = np.array([np.nan if r[0] is None else r[0] for r in rows])
+        got = arrays.ARRAYS[name](x, n)
+        assert [np.isnan(g) for g in got] == [r[1] is None for r in rows]
+        assert [g for g in got if not np.isnan(g)] == pytest.approx([r[1] for r in rows if r[1] is not None], rel=1e-9, abs=1e-12)
+        assert np.isnan(arrays.ARRAYS[name](x[:1], n)).all() or n is not None and name in ("rolling_mean", "rolling_min", "rolling_max")

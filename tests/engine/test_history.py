@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.operators import history as H
-from quantloom.operators.research import Memory, Replay, extract_json, normalise, parse, request, run_research
+from quantloom.operators.research import Memory, Replay, extract_json, feedback, normalise, parse, request, run_research
 from quantloom.plans.spec import DUPLICATE_PROPOSAL, FAMILY_EXHAUSTED, MALFORMED_JSON, Rejected
 from quantloom.sources import records as R
 
@@ -122,3 +122,64 @@ def test_loop_with_replay(spark, tmp_path):
     assert [r["status"] for r in done] == ["completed", "rejected", "rejected"]
     rows = R.read(spark, path).orderBy("number").collect()
     assert [r.status for r in rows] == ["completed", "rejected", "rejected"] and rows[0].comparison and rows[0].run == "r" and rows[1].llm.attempts[0].code == MALFORMED_JSON
+
+
+def test_records_documents_and_prompts(spark, tmp_path):
+    """What a run leaves: full records with ids and stamps, run.json with the prompt, and each train table if asked for."""
+    path = f"{tmp_path}/r2/experiments.jsonl"
+    done = run_research(Replay([PROPOSAL, PROPOSAL, {**PROPOSAL, "parameter_space": {"m.lookback": {"min": 4, "max": 40}}}]), walk(spark, 480), SETTINGS, path, iterations=2, retries=1, save_sweeps=f"{tmp_path}/r2/sweeps")
+    assert [r["status"] for r in done] == ["completed", "completed"] and len({r["experiment_id"] for r in done}) == 2 and done[0]["timestamp"].endswith("+00:00")
+    run = json.loads((tmp_path / "r2/run.json").read_text())
+    assert run["dataset"] == "A" == done[0]["dataset"] and run["generator"]["replay"] and run["loop"]["iterations"] == 2
+    for text in ("momentum: ", "Operators: > >= < <=", "Logic: AND OR", "Usual values", "costs 0.001", "up to 12 values"):
+        assert text in run["system_prompt"]
+    told = done[1]["llm"]["context"]
+    for text in ("searched: 2 combinations; m.lookback 5, 7", "conditions hold on: m", "costs: median_trades_per_year", "warnings: ", "validation: n_retested", "benchmarks: buy_and_hold"):
+        assert text in told
+    assert "validation" not in feedback(done, blind=True).replace("no valid", "") and "validation" in feedback(done)
+    rows = R.read(spark, path).orderBy("number").collect()
+    assert rows[0].parameter_space == {"m.lookback": [5.0, 7.0]} and json.loads(rows[1].requested_space["m.lookback"]) == {"min": 4, "max": 40} and rows[0].warnings
+    assert spark.read.option("header", True).csv(done[0]["sweep_csv"]).columns[:2] == ["candidate", "symbol"] and all(round(v, 4) == v for v in done[0]["train_summary"].values() if isinstance(v, float))
+    examples = H.build_examples(R.read(spark, path), [], R.read_runs(spark, str(tmp_path)))
+    assert {r.reason for r in examples.collect()} == {H.NO_PROMPT} and H.reason_counts(examples).first().n == 1  # replayed runs give none
+    R.write_document(f"{tmp_path}/r2/run.json", {**run, "generator": {"model_id": "base"}})
+    kept = H.build_examples(R.read(spark, path), [], R.read_runs(spark, str(tmp_path))).collect()
+    for r in kept:
+        assert (r.messages is None) == (r.reason != "kept")
+
+
+def test_examples_differ_by_their_space(spark, tmp_path):
+    for i, space in enumerate(({"m.lookback": [5, 7]}, {"m.lookback": [9]}, {"m.lookback": [5, 7]}), 1):
+        R.append(f"{tmp_path}/run1/experiments.jsonl", record(i, parameter_space=space, rationale="r"))
+    R.write_document(f"{tmp_path}/run1/run.json", {"generator": {"model_id": "base"}, "system_prompt": "Propose."})
+    rows = H.build_examples(R.read(spark, f"{tmp_path}/run1/experiments.jsonl"), [], R.read_runs(spark, str(tmp_path))).orderBy("number").collect()
+    assert [r.reason for r in rows] == ["kept", "kept", "duplicate example"]
+    assert [m.role for m in rows[0].messages] == ["system", "user", "assistant"] and json.loads(rows[0].messages[2].content)["strategy"]["conditions"][0]["lookback"] == 5
+
+
+@pytest.mark.parametrize("bad", [dict(iterations=0), dict(iterations=101), dict(retries=6), dict(retries=-1), dict(most_rejections=0), dict(recent=0), dict(most_per_family=0), dict(temperatures=()), dict(temperatures=(0.0,))])
+def test_loop_limits(spark, tmp_path, bad):
+    with pytest.raises(Rejected):
+        run_research(Replay([]), walk(spark, 10), SETTINGS, f"{tmp_path}/x/e.jsonl", **bad)
+    assert not (tmp_path / "x").exists()
+
+
+def test_a_reply_that_was_cut_off():
+    class G(Replay):
+        last_stats = {"hit_max_new_tokens": True}
+
+    _, attempts, error = request(G(['{"a": ', '{"a": ']), [{"role": "user", "content": "go"}], 100, Memory(), retries=1)
+    assert "token limit" in str(error) and [a["code"] for a in attempts] == [MALFORMED_JSON] * 2 and attempts[1]["attempt"] == 1
+
+
+def test_only(spark):
+    t = spark.createDataFrame([("a", "m"), ("b", "m"), ("c", "n")], "dataset string, model string")
+    assert R.only(t, dataset=["a", "c"], model=["m"]).count() == 1 and R.only(t, dataset=None, model=None).count() == 3
+
+
+def test_log_in_a_file_system_that_spark_names(spark, tmp_path):
+    path = f"file://{tmp_path}/log.jsonl"
+    assert R.count_lines(spark, path) == 0
+    for i in range(3):
+        R.append(path, {"number": i, "status": "completed"})
+    assert R.count_lines(spark, path) == 3 and R.read(spark, path).count() == 3

@@ -19,7 +19,7 @@ def test_report(spark):
 
 def test_formats():
     assert [show(x) for x in (None, 1234.5, 0.5, 0.01234, 3, "a")] == ["n/a", "1234", "0.50", "0.01234", "3", "a"] and show(0.123, True) == "12.3%"
-    assert values([1, 2, 3, 4, 9]) == "1..9 (5 values)" and json_safe({1: float("nan"), "b": (1, float("inf"))}) == {"1": None, "b": [1, None]}
+    assert values([1, 2, 3, 4, 9]) == "1, 2, 3, 4, 9" and values([1, 2, 3, 4, 5, 9]) == "1..9 (6 values)" and json_safe({1: float("nan"), "b": (1, float("inf"))}) == {"1": None, "b": [1, None]}
 
 
 def test_config(tmp_path):
@@ -28,7 +28,8 @@ def test_config(tmp_path):
     assert C._flat_yaml((tmp_path / "c.yaml").read_text())["symbols"] == ["A/B", "C"]
     with pytest.raises(ValueError, match="limit"):
         C.load_config(f"{tmp_path}/c.yaml", ["timeframe", "symbols"])
-    assert C.file_name("BTC/USD", "1h") == "btc_usd_1h.parquet"
+    assert C.file_name("BTC/USD", "1h") == "btc_usd_1h.parquet" and C.file_name("SPY", "1d", "yahoo") == "yahoo_spy_1d.parquet"
+    assert len({C.file_name(s, "1h") for s in ("BTC/USD", "BTC-USD", "BTC_USD", "BTC USD", "BTCUSD")}) == 5
 
 
 def test_strategy_folder(tmp_path):

@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.operators import selection as X
-from quantloom.operators.confirm import cross_asset, evaluate_frozen, final_test, frozen, select_records
+from quantloom.operators.confirm import cross_asset, evaluate_frozen, final_test, frozen, replicate, select_records, transfer
 from quantloom.operators.sweep import ArrowEvaluator, SqlEvaluator, columns_of, sensitivity, summary
-from quantloom.plans.spec import Strategy
+from quantloom.plans.spec import Strategy, candidates
 
 from .data import walk
 
@@ -91,7 +91,26 @@ def test_final_test_is_logged_first(bars, tmp_path):
     with pytest.raises(RuntimeError):
         final_test(bars, [0], [({}, BASE)], X.Period("2020-01-18", None), SETTINGS, log, 7, Broken())
     before, got = final_test(bars, [0], [({}, BASE)], X.Period("2020-01-18", None), SETTINGS, log, 7)
-    assert before == 1 and got.count() == 2
+    assert before == 1 and got.filter("benchmark IS NULL").count() == 2 and got.filter("benchmark = 'flat'").count() == 2
+    assert final_test(bars, [0], [({}, BASE)], X.Period("2020-01-18", None), SETTINGS, log, 8)[0] == 2  # a use by any experiment counts
+
+
+def test_replicate_and_transfer(bars, experiment):
+    """On the other symbol: its own experiment, and the frozen candidates, as the whole-table experiment has them."""
+    own = experiment.comparison.filter("symbol = 'B'").orderBy("train_rank").collect()
+    r = replicate(bars, "A", BASE, SPACE, SETTINGS).collect()
+    assert [x.symbol for x in r] == ["B"] and r[0].train_n_candidates == 16 and r[0].validation_n_retested == len(own) == 3
+    assert r[0].validation_best == pytest.approx(max(x.validation_sharpe for x in own))
+    ids = [x.candidate for x in own]
+    got = {x.period: x for x in transfer(bars, "A", ids, [candidates(BASE, SPACE)[i] for i in ids], SETTINGS).collect()}
+    assert set(got) == {"train", "validation"} and got["validation"].best == pytest.approx(r[0].validation_best) and got["train"].n == 3
+    bh = {x.period: x.sharpe for x in experiment.benchmarks.filter("symbol = 'B' AND benchmark = 'buy_and_hold'").collect()}
+    assert {k: x.buy_and_hold for k, x in got.items()} == pytest.approx(bh) and r[0].buy_and_hold == pytest.approx(bh["validation"])
+
+
+def test_benchmarks_alone_equal_those_of_the_experiment(bars, experiment):
+    rows = lambda d: {(r.period, r.benchmark, r.symbol): (r.sharpe, r.n_trades, r.first) for r in d.collect()}
+    assert rows(X.evaluate_benchmarks(bars, SETTINGS)) == rows(experiment.benchmarks)
 
 
 def test_select_records(spark):

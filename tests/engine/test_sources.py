@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.sources import bars as S
-from quantloom.sources.exchange import CandleSource, fetch_range, with_retries
+from quantloom.sources.exchange import CandleSource, fetch_range, page_limit, with_retries
 from quantloom.streaming.bars import hourly_stream
 
 HOUR = 3_600_000
@@ -40,6 +40,25 @@ def test_source(spark):
     assert b.count() == 18 and b.filter("volume IS NULL").count() == 18
 
 
+def test_source_in_windows_and_page_limit(spark):
+    spark.dataSource.register(CandleSource)
+    o = dict(symbols="A", client="tests.engine.test_sources.fetch", timeframe_ms=HOUR, start_ms=0, end_ms=13 * HOUR)
+    one = spark.read.format("candles").options(**o).load()
+    many = spark.read.format("candles").options(**o, window_ms=3 * HOUR + 5).load()
+    assert many.rdd.getNumPartitions() == 5 and one.rdd.getNumPartitions() == 1
+    assert sorted(r.ms for r in many.collect()) == sorted(r.ms for r in one.collect()) and one.count() == 9
+    assert page_limit(lambda *a: [0] * 7, "A", HOUR, 0) == 7 and page_limit(lambda *a: [], "A", HOUR, 0) == 500
+
+
+def test_millis_and_usable(spark):
+    t = spark.createDataFrame([("2024-01-01",), ("2024-01-01 01:00:00",), ("2024-01-01T02:00:00+01:00",), ("2024-01-01T00:00:00Z",), (None,)], "t string")
+    assert [r[0] for r in t.select(S.to_millis(F.col("t"))).collect()] == [1704067200000, 1704070800000, 1704070800000, 1704067200000, None]
+    b = spark.createDataFrame([("A", datetime(2020, 1, 1), 1.0), ("A", datetime(2020, 1, 2), 1.0), ("B", datetime(2020, 1, 2), 1.0)], "symbol string, timestamp timestamp_ntz, close double")
+    assert S.usable(b).count() == 3
+    with pytest.raises(ValueError, match="more than once"):
+        S.usable(b.unionAll(b.limit(1)))
+
+
 def test_keep_last_and_daily(spark):
     c = spark.createDataFrame([("A", 0, 1.0, 0), ("A", HOUR, 2.0, 1), ("A", 0, float("nan"), 2)], "symbol string, ms long, close double, seq long").withColumns({k: F.col("close") for k in ("open", "high", "low", "volume")})
     assert [(r.timestamp.hour, r.close) for r in S.from_candles(c).orderBy("timestamp").collect()] == [(0, None), (1, 2.0)]
