@@ -77,10 +77,15 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def blocks(df: DataFrame, mb: float = 16, least: int | None = None) -> int:
-    """A partition count that grows with the input, and is never under `least` (the session's own if None)."""
+    """A number of blocks of about `mb` that grows with the input, and is never under `least` (the session's own if None)."""
     if least is None:
         least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return int(max(least, min(input_bytes(df) / (mb * 1e6), 200_000)))
+    return int(max(least, input_bytes(df) / (mb * 1e6)))
+
+
+def tasks(n_blocks: int) -> int:
+    """Partitions for so many blocks: one each, up to what a driver schedules well; beyond, a task streams through several."""
+    return min(n_blocks, 100_000)
 
 
 def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:

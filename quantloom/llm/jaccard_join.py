@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm._shared import cut, release
-from quantloom.llm._text import SOLID, _R, Words, blocks, column, ids_of, input_bytes, lean, mix, pieces, shingles, table, texts
+from quantloom.llm._text import SOLID, _R, Words, blocks, column, ids_of, input_bytes, lean, mix, pieces, shingles, table, tasks, texts
 from quantloom.llm.components import components
 from quantloom.llm.exact_dedup import owner_of, rice_decode, rice_encode
 
@@ -349,7 +349,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     component from documents with equal sets, and is null where those have none; it adds no links of its own.
     """
     rows = texts(docs)
-    n_blocks = blocks(docs)
+    n_blocks = tasks(blocks(docs))
     owners = int(max(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"), input_bytes(docs) // (1 << 28), key=int))
     bits = min(BITS, max(24, (input_bytes(docs) // 4).bit_length() + 6))
     every = cut(rows.mapInArrow(lean(_classes(width)), "doc_id long, n long, sig long"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm._shared import cut
-from quantloom.llm._text import WORDY, Words, blocks, column, ids_of, lean, pieces, table, texts
+from quantloom.llm._text import WORDY, Words, blocks, column, ids_of, lean, pieces, table, tasks, texts
 
 _U = np.uint64
 SPAN = (-2, -1, 1, 2)
@@ -223,7 +223,7 @@ def dealt(docs: DataFrame, v: Vocabulary, words: int) -> DataFrame:
 
     rows = texts(docs).select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("block"), "doc_id", F.xxhash64("text").alias("th"), "text")
     rows = rows.mapInArrow(lean(run), "block long, doc_id long, th long, ids binary")
-    return rows.repartition(blocks(docs), "block").sortWithinPartitions("block", "doc_id", "th")
+    return rows.repartition(tasks(blocks(docs)), "block").sortWithinPartitions("block", "doc_id", "th")
 
 
 def train(net: Network, documents: Iterator[np.ndarray], pad: int, batch_size: int, rate: float) -> tuple[Network, int]:

@@ -21,7 +21,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm._text import _BYTE, blocks, column, lean, mix, powers, table, texts
+from quantloom.llm._text import _BYTE, blocks, column, lean, mix, powers, table, tasks, texts
 
 _U = np.uint64
 LENGTH, SEED = 100, 32
@@ -335,17 +335,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     odd = bool(ids.limit(1).count())
     rows = rows.select("doc_id", (F.xxhash64("text") if odd else F.lit(0).cast("long")).alias("th"), "text")
     n = blocks(docs, 8)
-    block = lambda c: F.pmod(F.xxhash64(F.coalesce(c, "th")), F.lit(n)).cast("int").alias("block")  # noqa: E731  null ids are spread
+    block = lambda c: F.pmod(F.xxhash64(F.coalesce(c, "th")), F.lit(n)).alias("block")  # noqa: E731  null ids are spread
     texts_by_block = rows.select(block("doc_id"), "doc_id", "th", "text")
     anchors = rows.mapInArrow(lean(_anchors(length)), "doc long, th long, h long, s long, lo int, hi int, again boolean")
     key = F.when(F.col("again"), F.xxhash64("doc", "lo")).otherwise(F.col("h"))  # what is decided goes anywhere
-    dealt = anchors.repartition(n, key).sortWithinPartitions("again", "h", "s", "doc", "th", "lo")
+    dealt = anchors.repartition(tasks(n), key).sortWithinPartitions("again", "h", "s", "doc", "th", "lo")
     decided = dealt.mapInArrow(lean(_decide), "doc long, th long, h long, lo int, hi int, contested boolean")
     asked = decided.filter("contested").select(block("doc"), "h", "doc", "th", "lo", "hi")
     many = asked.groupBy("h").count().filter(f"count > {PART}").select("h", F.expr(f"count DIV {PART} + 1").alias("parts"))
     asked = asked.join(many, "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
     cut_ = texts_by_block.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_cut_out(length), "h long, part long, parts long, doc long, th long, lo int, segment binary")
-    found = cut_.repartition(n, "h", "part").sortWithinPartitions("h", "part", "doc", "th", "lo").mapInArrow(lean(_index(length)), "doc long, th long, lo int, hi int")
+    found = cut_.repartition(tasks(n), "h", "part").sortWithinPartitions("h", "part", "doc", "th", "lo").mapInArrow(lean(_index(length)), "doc long, th long, lo int, hi int")
     marks = decided.filter("NOT contested").select("doc", "th", "lo", "hi").unionByName(found).select(block("doc"), "doc", "th", "lo", "hi")
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
     return texts_by_block.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_remove, out)
