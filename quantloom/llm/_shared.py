@@ -23,16 +23,22 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: What `scratch` has given out and `discard` has not taken back.
+open_paths: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, which goes when the application ends."""
+    """A new path in the shared folder, which goes when the application ends, or by `discard` once nothing reads it."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4()}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    open_paths.append(path)
     return path
 
 
 def discard(spark: SparkSession, path: str) -> None:
     """Removes a path that no later step reads."""
+    open_paths.remove(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 

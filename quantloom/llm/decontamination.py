@@ -275,7 +275,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 256, least: float =
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rank: int = 256, least: float = 0.3, sure: float = 0.7, likely: float = 0.5) -> DataFrame:
-    """docs, with all their columns, without the rows that `leaks` finds."""
+    """docs, with all their columns, without the rows that `leaks` finds.
+
+    Each row is decided by its own text, repeated rows and null ids too. Null, empty and wordless texts stay, as does
+    everything if the benchmark has no words; an empty table stays empty.
+    """
     tune(docs)
     out = docs
     for items in item_blocks(benchmark):

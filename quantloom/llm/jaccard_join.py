@@ -29,7 +29,7 @@ FREQUENT = 8  # documents above which a shingle counts as frequent
 MOST_FREQUENT = 200_000  # of these, so many at most (the most frequent) are told apart; the rest are indexed as rare
 SPLIT = 50_000  # documents in each salted part of an index entry
 BUCKET = 16  # spare tokens of a set for each of its buckets, at least; fewer loosen the bounds on what sets may link
-MEMBERS = 256  # of a group, in each block of those compared in full
+MEMBERS = 128  # of a group, in each block of those compared in full
 FLUSH = 2_000_000
 BITS = 52  # of a shingle's hash; the other 12 hold its document within a run
 
@@ -395,7 +395,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs, with all their columns, with the smallest doc_id of each component; rows with a null doc_id stay."""
+    """docs, with all their columns, with the smallest doc_id of each component; rows with a null doc_id stay.
+
+    Null, empty and wordless texts link with nothing and stay. Rows that share a doc_id stay or go together; an empty
+    table stays empty.
+    """
     drop = near_duplicates(docs, width, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(drop, docs["doc_id"].cast("long") == drop["__id"], "left_anti")
 

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm._shared import cut
@@ -164,9 +164,9 @@ def thinned(rows: DataFrame) -> DataFrame:
 
     keys = rows.select("doc_id", "text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(lean(run), "doc_id long, toxic long, key long")
     keys = keys.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("key").alias("key"))
-    w = Window.partitionBy("key", "toxic")
-    keys = keys.withColumn("place", F.row_number().over(w.orderBy(F.xxhash64("doc_id"), "doc_id"))).withColumn("n", F.count("*").over(w))
-    return keys.filter("place <= ceil(sqrt(n))").select("doc_id", "toxic", F.pmod(F.xxhash64("key"), F.lit(2)).alias("half"))
+    sizes = keys.groupBy("key", "toxic").agg(F.min("doc_id").alias("one"), F.ceil(F.sqrt(F.count("*"))).alias("of"))
+    some = keys.join(sizes, ["key", "toxic"]).filter("doc_id = one OR pmod(xxhash64(doc_id), of) = 0")
+    return some.select("doc_id", "toxic", F.pmod(F.xxhash64("key"), F.lit(2)).alias("half"))
 
 
 def log_odds(t: np.ndarray, nt: float, c: np.ndarray, nc: float, share: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
