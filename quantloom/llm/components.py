@@ -8,26 +8,27 @@ from pyspark.sql import functions as F
 from quantloom.llm._shared import cut
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def settled(e: DataFrame) -> bool:
+    """Whether edges (u, v), u > v, are stars: every u has one v, and no v is a u."""
+    if e.groupBy("u").count().filter("count > 1").limit(1).count():
+        return False
+    return not e.join(e.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b) that is not its component's smallest node, whose root that is.
 
     Each step replaces edges by ones nearer the smallest node, by a minimum per node and a join, never by a node's list
     of neighbours; the number of rounds grows with the logarithm of the components' size. Rows are cut from their
-    lineage after each round. No edges give no rows.
+    lineage after each round, and minima before they are joined, so that the join can split a node of many neighbours.
+    No edges give no rows.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    seen = None
-    for _ in range(most_rounds):
+    while not settled(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").filter("u <> v").distinct()
         e = cut(small)
-        state = tuple(e.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == seen:
-            break
-        seen = state
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

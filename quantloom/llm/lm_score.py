@@ -127,20 +127,21 @@ class Network:
         x = self.p["embed"][context].reshape(len(context), -1)
         return x, np.tanh(x @ self.p["mix"] + self.p["shift"])
 
+    def by_class(self, cls: np.ndarray):
+        """The rows of each class that has any."""
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
+        edges = np.searchsorted(cls[order], np.arange(self.classes + 1)).tolist()
+        return [(c, order[a:b]) for c, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+
     def log_p(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each target between its context words."""
         _, h = self.hidden_of(context)
         cls, word = target // self.width, target % self.width
-        at = np.arange(len(target))
         z = h @ self.p["cls"] + self.p["cls_b"]
-        out = z[at, cls] - _log_sum(z)
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            i = order[edges[c] : edges[c + 1]]
-            if len(i):
-                z = h[i] @ self.p["word"][c] + self.p["word_b"][c]
-                out[i] += z[np.arange(len(i)), word[i]] - _log_sum(z)
+        out = z[np.arange(len(target)), cls] - np.log(_exp(z)[1])
+        for c, i in self.by_class(cls):
+            z = h[i] @ self.p["word"][c] + self.p["word_b"][c]
+            out[i] += z[np.arange(len(i)), word[i]] - np.log(_exp(z)[1])
         return out
 
     def gradients(self, context: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
@@ -148,25 +149,25 @@ class Network:
         n = len(target)
         x, h = self.hidden_of(context)
         cls, word = target // self.width, target % self.width
-        g = {k: np.zeros_like(v) for k, v in self.p.items() if k != "embed"}
+        g = {k: np.zeros_like(v) for k, v in self.p.items()}
         z = _softmax(h @ self.p["cls"] + self.p["cls_b"])
         z[np.arange(n), cls] -= 1
         g["cls"], g["cls_b"] = h.T @ z, z.sum(0)
         dh = z @ self.p["cls"].T
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            i = order[edges[c] : edges[c + 1]]
-            if len(i):
-                z = _softmax(h[i] @ self.p["word"][c] + self.p["word_b"][c])
-                z[np.arange(len(i)), word[i]] -= 1
-                g["word"][c], g["word_b"][c] = h[i].T @ z, z.sum(0)
-                dh[i] += z @ self.p["word"][c].T
+        for c, i in self.by_class(cls):
+            own = h[i]
+            z = _softmax(own @ self.p["word"][c] + self.p["word_b"][c])
+            z[np.arange(len(i)), word[i]] -= 1
+            g["word"][c], g["word_b"][c] = own.T @ z, z.sum(0)
+            dh[i] += z @ self.p["word"][c].T
         da = dh * (1 - h * h)
         g["mix"], g["shift"] = x.T @ da, da.sum(0)
         dx = (da @ self.p["mix"].T).reshape(-1, self.dim)
-        at = context.ravel()
-        g["embed"] = np.stack([np.bincount(at, weights=dx[:, k], minlength=len(self.p["embed"])) for k in range(self.dim)], 1).astype(np.float32)
+        at = context.ravel().astype(np.uint16)
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        g["embed"][at[first]] = np.add.reduceat(dx[order], first, axis=0)
         return {k: v / n for k, v in g.items()}
 
     def flat(self) -> np.ndarray:
@@ -181,14 +182,16 @@ class Network:
         return Network(self.classes, self.width, self.dim, self.hidden, p)
 
 
-def _log_sum(z: np.ndarray) -> np.ndarray:
-    m = z.max(1, keepdims=True)
-    return m[:, 0] + np.log(np.exp(z - m).sum(1))
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(z) and its sums by row; beyond 80, which single precision still holds, z counts as 80."""
+    e = np.exp(np.minimum(z, 80))
+    return e, e @ np.ones(z.shape[1], e.dtype) + np.finfo(np.float32).tiny
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(1, keepdims=True))
-    return z / z.sum(1, keepdims=True)
+    e, total = _exp(z)
+    e /= total[:, None]
+    return e
 
 
 def windows(ids: np.ndarray, first: np.ndarray, pad: int) -> np.ndarray:

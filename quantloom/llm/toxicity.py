@@ -165,7 +165,8 @@ def thinned(rows: DataFrame) -> DataFrame:
     keys = rows.select("doc_id", "text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(lean(run), "doc_id long, toxic long, key long")
     keys = keys.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("key").alias("key"))
     sizes = keys.groupBy("key", "toxic").agg(F.min("doc_id").alias("one"), F.ceil(F.sqrt(F.count("*"))).alias("of"))
-    some = keys.join(sizes, ["key", "toxic"]).filter("doc_id = one OR pmod(xxhash64(doc_id), of) = 0")
+    some = keys.join(F.broadcast(sizes), ["key", "toxic"])  # no more rows than the sample
+    some = some.filter("doc_id = one OR pmod(xxhash64(doc_id), of) = 0")
     return some.select("doc_id", "toxic", F.pmod(F.xxhash64("key"), F.lit(2)).alias("half"))
 
 

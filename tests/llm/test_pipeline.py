@@ -74,3 +74,23 @@ def test_run_and_odd(spark, stages, odd, empty):
         assert kept.count() >= 0
     assert C.exact_dedup_stage(spark, odd, AT).count() == 8  # "" twice, doc 3 twice
     assert C.exact_dedup_stage(spark, odd, AT).columns == odd.columns
+
+
+def test_stages_with_clashing_columns(spark, odd):
+    """Every stage, on columns named like its own and like nothing Spark would choose, keeps the rows that it keeps without."""
+    clash = odd.selectExpr("*", "doc_id AS __id", "doc_id AS root", "text AS row", "1 AS home", "2 AS place", "3 AS block", "4 AS fp", "'s' AS sha", "5 AS sig", "6 AS n", "true AS suspect", "7 AS `a.b`", "array(1) AS key", "1 AS toxic")
+    for name, stage in C.STAGES[:-1]:
+        plain, more = stage(spark, odd, AT), stage(spark, clash, AT)
+        assert more.columns == clash.columns, name
+        rows = lambda d: sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in d.select("doc_id", "text").collect())
+        assert rows(more) == rows(plain), name
+    assert C.packing_stage(spark, clash, AT).count() == C.packing_stage(spark, odd, AT).count()
+
+
+def test_run_leaves_only_what_is_read(spark):
+    from quantloom.llm import _shared
+
+    before = list(_shared.open_paths)
+    out = C.run(spark, "/root/testdata/sf0.001")
+    left = [p for p in _shared.open_paths if p not in before]
+    assert len(left) == 1 and "pipeline-decontamination" in left[0] and out.count() > 0

@@ -87,7 +87,8 @@ def test_copies_count_less(spark):
     docs = spark.createDataFrame([(i, base + ("x" if i % 9 else "y")) for i in range(100)] + [(999, "another text altogether here"), (999, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i < 64)) for i in range(100)] + [(999, 0)], "doc_id long, toxic int")
     got = T.thinned(docs.join(labels, "doc_id")).collect()
-    assert 8 <= sum(r.toxic for r in got) <= 12 and len({r.doc_id for r in got}) == len(got) <= 20 and {r.half for r in got} <= {0, 1}
+    assert 4 <= sum(r.toxic for r in got) <= 16 and len({r.doc_id for r in got}) == len(got) <= 30 and {r.half for r in got} <= {0, 1}
+    assert {r.doc_id for r in got} >= {0, 64, 999}  # the first of each group, at least
 
 
 def test_long_text(spark):
