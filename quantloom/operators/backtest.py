@@ -7,10 +7,12 @@ with the period's filter between them: `wide` and `positions` before it, `accoun
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, TimestampType
 
 from quantloom.functions.features import FEATURES, by_time, clean
 from quantloom.functions.predicates import COMPARE, LOGIC, position
@@ -50,13 +52,28 @@ def positions(bars: DataFrame, strategy: Strategy, each: bool = False) -> DataFr
     return x.withColumns({f"condition__{k}": v for k, v in parts.items()}) if each else x
 
 
+def utc(text: str) -> datetime:
+    """A time as text, without a zone: one with a zone in UTC, one without as it is."""
+    t = datetime.fromisoformat(text)
+    return t if t.tzinfo is None else t.astimezone(timezone.utc).replace(tzinfo=None)
+
+
+def moment(text: str, kind: DataType) -> Column:
+    """A time in UTC as a literal of a timestamp column's kind, whatever the session's zone."""
+    t = utc(text)
+    return F.lit(t.replace(tzinfo=timezone.utc)) if isinstance(kind, TimestampType) else F.lit(t.isoformat(sep=" ")).cast(kind)
+
+
 def period(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Rows from start up to, not including, end; None is open."""
-    t = F.col("timestamp")
-    for value, keep in ((start, lambda v: t >= v), (end, lambda v: t < v)):
-        if value is not None:
-            df = df.filter(keep(F.lit(value).cast(df.schema["timestamp"].dataType)))
-    return df
+    """Rows from start up to, not including, end (UTC); None is open."""
+    t, kind = F.col("timestamp"), df.schema["timestamp"].dataType
+    if start is not None:
+        df = df.filter(t >= moment(start, kind))
+    return df if end is None else df.filter(t < moment(end, kind))
+
+
+#: What is said of bars that no account can be kept of.
+TWICE = "bars need one row for each symbol and time"
 
 
 def period_returns(w) -> Column:
@@ -67,9 +84,14 @@ def period_returns(w) -> Column:
 
 
 def accounts(df: DataFrame, cost_bps: float = 10.0, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Per bar: return, held_position (one bar late), turnover, cost, strategy_return, cumulative_return."""
+    """Per bar: return, held_position (one bar late), turnover, cost, strategy_return, cumulative_return.
+
+    Bars with a missing time, or with one that is there twice, fail the query.
+    """
     w = by_time(*keys)
-    df = df.withColumns({"return": period_returns(w), "held_position": F.lag("position", 1, 0.0).over(w)})
+    bad = F.col("timestamp").isNull() | (F.lag("timestamp").over(w) == F.col("timestamp"))
+    moved = F.when(bad, F.raise_error(F.lit(TWICE)).cast("double")).otherwise(period_returns(w))
+    df = df.withColumns({"return": moved, "held_position": F.lag("position", 1, 0.0).over(w)})
     df = df.withColumn("turnover", F.abs(F.col("held_position") - F.lag("held_position", 1, 0.0).over(w)))
     df = df.withColumn("cost", F.col("turnover") * (cost_bps / 10_000))
     df = df.withColumn("strategy_return", F.col("held_position") * F.col("return") - F.col("cost"))

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.operators.backtest import HOURS_PER_YEAR, METRICS, column_of, period, wide
+from quantloom.operators.backtest import HOURS_PER_YEAR, METRICS, column_of, period, utc, wide
 from quantloom.operators.sweep import HOLDS, SPEC, ArrowEvaluator, Candidates, Evaluator, compiled, with_parameters
 from quantloom.plans.spec import BENCHMARKS, Strategy, candidates
 
@@ -20,13 +20,13 @@ COMPARED = ("sharpe", "cumulative_return", "annualized_return", "max_drawdown",
 
 @dataclass(frozen=True)
 class Period:
-    """From start up to, not including, end (UTC); None is open."""
+    """From start up to, not including, end (UTC, or with a zone); None is open."""
 
     start: str | None = None
     end: str | None = None
 
     def __post_init__(self):
-        if self.start is not None and self.end is not None and not self.start < self.end:
+        if self.start is not None and self.end is not None and not utc(self.start) < utc(self.end):
             raise ValueError(f"a period must start before it ends: {self.start}, {self.end}")
 
 
@@ -42,7 +42,7 @@ class Settings:
     per_year: float = HOURS_PER_YEAR
 
     def __post_init__(self):
-        if self.train.end is None or self.validation.start is None or self.train.end > self.validation.start:
+        if self.train.end is None or self.validation.start is None or utc(self.train.end) > utc(self.validation.start):
             raise ValueError("validation must start at or after the end of train")
         if not 0 <= self.cost < 0.1:
             raise ValueError("the cost must be a share from 0 to 0.1")

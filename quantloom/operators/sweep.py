@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.arrays import ARRAYS
 from quantloom.functions.features import clean
-from quantloom.operators.backtest import HOURS_PER_YEAR, METRICS, accounts, column_of, metrics, period, wide
+from quantloom.operators.backtest import HOURS_PER_YEAR, METRICS, TWICE, accounts, column_of, metrics, moment, period, wide
 from quantloom.plans.spec import Strategy
 
 Candidates = list[tuple[dict[str, Any], Strategy]]
@@ -133,7 +133,7 @@ class ArrowEvaluator:
         windows = [s for s in sources if s[0] not in ARRAYS]  # features without an array twin are Spark columns
         fields = sorted({f for k, f, _ in sources if k in ARRAYS} - {"close"})
         x = wide(bars, windows) if windows else bars
-        inside = F.lit(True) if start is None else F.col("timestamp") >= F.lit(start).cast(x.schema["timestamp"].dataType)
+        inside = F.lit(True) if start is None else F.col("timestamp") >= moment(start, x.schema["timestamp"].dataType)
         x = x.select("symbol", "timestamp", inside.alias("inside"), *(clean(F.col(f)).alias(f"f{i}") for i, f in enumerate(["close", *fields])), *(F.col(column_of(s)).alias(f"v{i}") for i, s in enumerate(windows)))
         kind = x.schema["timestamp"].dataType.simpleString()
         cores = spark.sparkContext.defaultParallelism
@@ -144,6 +144,9 @@ class ArrowEvaluator:
 
         def run(key: tuple, t: pa.Table) -> pa.Table:
             t = t.sort_by("timestamp")
+            time = t.column("timestamp")
+            if time.null_count or (np.diff(time.to_numpy().astype("int64")) == 0).any():
+                raise ValueError(TWICE)
             live = t.column("inside").to_numpy()
             begin = int(np.argmax(live)) if live.any() else len(live)
             own = [c for i, c in enumerate(shared.value) if i % shares == key[1].as_py()]

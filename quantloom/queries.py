@@ -18,8 +18,9 @@ from quantloom.operators import history as H
 from quantloom.operators import selection as X
 from quantloom.operators import sweep as G
 from quantloom.operators.confirm import cross_asset, evaluate_frozen, replicate, sharpe_stats, transfer, with_benchmarks
-from quantloom.plans.spec import BENCHMARKS, Strategy, candidates
+from quantloom.plans.spec import BENCHMARKS, Strategy, candidates, expand
 from quantloom.sources import bars as S
+from quantloom.sources import records as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,6 +119,16 @@ for _name, _f in FEATURES.items():
     _feature_query(_name, "volume" if _name == "volume_change" else "close", None if _f.least is None else 7)
 
 
+_OTHER = {"momentum": "open", "distance_to_max": "high", "rolling_min": "low"}
+
+
+@query("feature_fields", f"WITH {HOURLY} SELECT symbol, timestamp, {', '.join(f'round({sql_feature(k, x, 9)}, 8) AS {k}_{x}' for k, x in _OTHER.items())} FROM bars")
+def feature_fields(spark, d):
+    """Features over the fields that no other query asks for."""
+    sources = {f"{k}_{x}": (k, x, 9) for k, x in _OTHER.items()}
+    return B.wide(hourly(spark, d), sources.values()).select("symbol", "timestamp", *(F.round(B.column_of(v), 8).alias(n) for n, v in sources.items()))
+
+
 def _spec(yes: int = 1, no: int = 0, logic: str = "AND", ops: tuple[str, str] = (">", "<")) -> Strategy:
     rule = lambda i, f, n, op, t: {"id": i, "feature": f, "field": "close", "lookback": n, "operator": op, "threshold": t}
     return Strategy.parse({"name": "s", "conditions": [rule("mom", "momentum", 6, ops[0], 0.0123), rule("vol", "volatility", 12, ops[1], 0.2345)], "logic": logic, "true_position": yes, "false_position": no})
@@ -277,6 +288,15 @@ def benchmarks(spark, d):
     return rounded(X.evaluate_benchmarks(hourly(spark, d), SETTINGS, BENCHMARKS))
 
 
+_nested = {"bh_sharpe": ("buy_and_hold", "sharpe"), "flat_trades": ("flat", "n_trades"), "naive_turnover": ("naive_momentum_24", "turnover"), "first": ("flat", "first"), "last": ("flat", "last")}
+
+
+@query("benchmark_summary", ORACLES["benchmarks"].replace("SELECT period, benchmark, symbol, first", ", q AS (SELECT period, benchmark, symbol, first") + ") SELECT symbol, period, " + ", ".join(f"any_value({m}) FILTER (WHERE benchmark = '{b}') AS {n}" for n, (b, m) in _nested.items()) + " FROM q GROUP BY symbol, period")
+def benchmark_summary(spark, d):
+    nested = X.summarize_benchmarks(X.evaluate_benchmarks(hourly(spark, d), SETTINGS, BENCHMARKS))
+    return rounded(nested.select("symbol", "period", *(F.col("benchmarks")[b][m].alias(n) for n, (b, m) in _nested.items())))
+
+
 def sql_warnings(base: Strategy, space: dict) -> str:
     """The red flags of an experiment with this base, rule by rule; `shares` are those of each symbol's best candidate."""
     no = base.false_position
@@ -382,6 +402,41 @@ query("missing_bars", f"WITH {HOURLY} SELECT symbol, count(*) AS n_bars, min(tim
 query("bar_label", f"WITH {HOURLY}, g AS (SELECT symbol, epoch(timestamp) - epoch(lag(timestamp) OVER {W}) AS gap FROM bars) SELECT symbol, median(gap)::DOUBLE AS seconds, CASE WHEN median(gap) % 3600 = 0 THEN (median(gap) / 3600)::INT || 'h' ELSE (median(gap) / 60)::INT || 'm' END AS label FROM g GROUP BY symbol")(lambda spark, d: S.bar_seconds(hourly(spark, d)))
 query("duplicate_bars", f"WITH {HOURLY} SELECT symbol, timestamp, count(*) AS count FROM bars GROUP BY ALL HAVING count(*) > 1")(lambda spark, d: S.duplicates(hourly(spark, d)))
 
+query("dataset_label", f"WITH {HOURLY} SELECT symbol FROM bars ORDER BY timestamp, symbol LIMIT 1")(lambda spark, d: R.first_symbol(hourly(spark, d)))
+query("epoch_millis", "SELECT o_orderkey, epoch_ms(o_orderdate) AS naive, epoch_ms(o_orderdate) - 5400000 AS zoned FROM orders")(lambda spark, d: spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", S.to_millis(F.col("o_orderdate")).alias("naive"), S.to_millis(F.concat(F.col("o_orderdate").cast("string"), F.lit("+01:30"))).alias("zoned")))
+
+
+@query("usable_bars", f"WITH {HOURLY} SELECT symbol, timestamp, close FROM bars")
+def usable_bars(spark, d):
+    """The bars after the check that no symbol has a time twice."""
+    return S.usable(hourly(spark, d)).select("symbol", "timestamp", "close")
+
+
+# ---- plans ---------------------------------------------------------------------------------------------------------
+
+_grid_columns = ", ".join(f'"{k}"' for k in SPACE)
+
+
+_places = ", ".join(f"i{j}" for j in range(len(SPACE)))
+
+
+@query("parameter_grid", f"SELECT row_number() OVER (ORDER BY {_places}) - 1 AS candidate, {_grid_columns} FROM " + " CROSS JOIN ".join(f'(SELECT unnest({[float(x) for x in v]}::DOUBLE[]) AS "{k}", unnest(range({len(v)})) AS i{j})' for j, (k, v) in enumerate(SPACE.items())))
+def parameter_grid(spark, d):
+    """Every combination with its number, the first parameter slowest."""
+    rows = [(i, *(float(p[k]) for k in SPACE)) for i, (p, _) in enumerate(GRID)]
+    return spark.createDataFrame(rows, "candidate long, " + ", ".join(f"`{k}` double" for k in SPACE))
+
+
+_RANGES = {"a.lookback": {"min": 168, "max": 6}, "b.threshold": {"min": -0.037, "max": 0.1}, "b.lookback": [5.0, 9.0]}
+
+
+@query("range_expansion", "WITH n AS (SELECT max(k) AS n FROM range(2, 13) t(k) WHERE k = 2 OR 2 * k * k <= 100), i AS (SELECT unnest(range(n)) AS i, n FROM n), v AS (SELECT 'a.lookback' AS parameter, round(6 * pow(168 / 6.0, i / (n - 1)::DOUBLE)) AS value FROM i UNION SELECT 'b.threshold', CAST(printf('%.4g', -0.037::DOUBLE + (0.1::DOUBLE - -0.037::DOUBLE) * i / (n - 1)) AS DOUBLE) FROM i UNION SELECT 'b.lookback', unnest([5.0::DOUBLE, 9.0::DOUBLE])) SELECT parameter, value FROM v")
+def range_expansion(spark, d):
+    """Ranges as lists that fit a budget of 100, beside a list that stays."""
+    rows = [(k, float(x)) for k, v in expand(_RANGES, 100).items() for x in v]
+    return spark.createDataFrame(rows, "parameter string, value double")
+
+
 # ---- history analytics over runs made of conversations and events ---------------------------------------------------
 
 _RUNS = "SELECT user_id AS seed, event_type AS dataset, CASE WHEN event_id % 2 = 0 THEN 'base' ELSE 'base+v1' END AS model, count(*) AS iterations, count(*) FILTER (WHERE value > 5) AS completed, sum(user_id % 7)::BIGINT AS llm_calls, count(*) FILTER (WHERE value > 20) AS holds_up, count(*) FILTER (WHERE value > 40) AS useful, count(*) FILTER (WHERE value > 60) AS beats_buy_and_hold, count(*) FILTER (WHERE value < 1) AS unit_problems, count(*) FILTER (WHERE value < 2) AS auto_corrections, avg((value > 10)::INT)::DOUBLE AS first_try_valid, count(DISTINCT user_id % 5) AS families, avg(value) AS score FROM events GROUP BY ALL"
@@ -401,6 +456,11 @@ def totals_by_model(spark, d):
     return H.totals(run_table(spark, d), "model")
 
 
+@query("filtered_totals", f"WITH t AS ({_RUNS}) SELECT dataset, {', '.join(f'sum({c})::BIGINT AS {c}' for c in ('iterations', 'completed', 'llm_calls', 'holds_up', 'useful', 'beats_buy_and_hold', 'unit_problems', 'auto_corrections'))}, count(*) AS runs, round(avg(first_try_valid), 3) AS first_try_valid, round(avg(families), 1) AS families_per_run, round(10 * sum(useful)::DOUBLE / nullif(sum(llm_calls), 0), 2) AS useful_per_10_calls FROM t WHERE model = 'base+v1' AND dataset IN ('click', 'error') GROUP BY dataset")
+def filtered_totals(spark, d):
+    return H.totals(R.only(run_table(spark, d), dataset=["click", "error"], model=["base+v1"]), "dataset")
+
+
 _PAIRS = f"WITH t AS ({_RUNS}), p AS (SELECT dataset, seed, avg(score) FILTER (WHERE model = 'base') AS base, avg(score) FILTER (WHERE model = 'base+v1') AS other FROM t GROUP BY ALL)"
 
 

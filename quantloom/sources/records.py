@@ -106,9 +106,14 @@ def write_sweep(experiment: Any, path: str) -> str:
     return path
 
 
+def first_symbol(bars: DataFrame) -> DataFrame:
+    """The symbol of the first bar; of several at that time, the first by name."""
+    return bars.agg(F.min(F.struct("timestamp", "symbol"))["symbol"].alias("symbol"))
+
+
 def dataset_label(bars: DataFrame, path: str = "") -> str:
     """The first symbol of the bars; without any, the stem of their file's name."""
-    first = bars.agg(F.min_by("symbol", "timestamp")).first()[0] if "symbol" in bars.columns else None
+    first = first_symbol(bars).first()[0] if "symbol" in bars.columns else None
     return first if first is not None else path.rstrip("/").rpartition("/")[2].partition(".")[0]
 
 

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.operators import backtest as B
+from quantloom.operators import selection as X
 from quantloom.operators import sweep as G
 from quantloom.plans.spec import BENCHMARKS, Strategy, candidates
 
@@ -82,3 +83,21 @@ def test_columns_are_pruned_and_the_end_is_pushed_down(spark, tmp_path):
     walk(spark, 60).write.parquet(f"{tmp_path}/bars")
     plan = B.evaluate(spark.read.parquet(f"{tmp_path}/bars"), BENCHMARKS["naive_momentum_24"], "2020-01-02", "2020-01-03")._jdf.queryExecution().executedPlan().toString()
     assert "LessThan(timestamp" in plan and "ReadSchema: struct<symbol:string,timestamp:timestamp_ntz,close:double>" in plan
+
+
+@pytest.mark.parametrize("evaluator", [G.SqlEvaluator(), G.ArrowEvaluator()])
+def test_a_time_that_is_there_twice_fails(spark, evaluator):
+    bars, s = walk(spark, 60, holes=False), Strategy.parse({"name": "x", "conditions": [{"feature": "momentum", "field": "close", "lookback": 3, "operator": ">", "threshold": 0.0}]})
+    assert evaluator(bars, [({}, s)]).count() == 1
+    with pytest.raises(Exception, match="one row for each symbol and time"):
+        evaluator(bars.unionAll(bars.limit(1)), [({}, s)]).collect()
+
+
+def test_periods_with_zones(spark):
+    bars = walk(spark, 100, holes=False)
+    n = lambda d, *p: B.period(d, *p).count()
+    assert n(bars, "2020-01-02T01:00:00+01:00", "2020-01-03") == n(bars, "2020-01-02", "2020-01-03") == 24 == n(bars, "2020-01-02 00:00:00", "2020-01-02T19:00:00-05:00")
+    instants = bars.withColumn("timestamp", F.expr("to_utc_timestamp(timestamp, 'UTC')"))
+    assert n(instants, "2020-01-02T01:00:00+01:00", "2020-01-03") == 24
+    with pytest.raises(ValueError):
+        X.Period("2020-01-02T00:00:00+00:00", "2020-01-02T01:00:00+01:00")
