@@ -299,4 +299,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, rank: int = 256, least: float =
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
+    """All documents against all benchmark items; nulls, empties and repeated rows as in `leaks`."""
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -133,6 +133,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """The whole table, texts as they are; nulls, empties, ties and repeated rows as in `dedup`."""
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

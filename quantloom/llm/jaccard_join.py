@@ -405,6 +405,7 @@ def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """The whole table by four-word shingles and a similarity of 0.85; odd inputs as in `near_duplicates`."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, percent=85)
 
 

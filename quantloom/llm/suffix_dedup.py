@@ -352,6 +352,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """The whole table by 100-byte strings; nulls, empties, ties and repeated rows as in `remove_repeats`."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 

@@ -305,6 +305,7 @@ def fold_model(spark, docs: DataFrame, sf_dir: str) -> Model:
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Every document by a model of the labels that are not held out; odd inputs as in `score`, a null doc_id is not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score(docs, fold_model(spark, docs, sf_dir)).selectExpr("doc_id", f"{HELD_OUT} AS held_out", "score", "predicted", "passages")
 

@@ -132,3 +132,14 @@ def test_odd(odd, empty):
     rows = J.near_duplicates(odd, 4, 85).collect()
     assert len(rows) == len(ODD) and all(r.component_id == r.doc_id for r in rows if r.doc_id is not None)
     assert J.near_duplicates(empty, 4, 85).count() == 0
+
+
+def test_long_texts(spark):
+    """Texts of more than one chunk: near copies link, a text that shares half does not."""
+    rnd = random.Random(5)
+    w = [f"w{rnd.randrange(10**7)}" for _ in range(150_000)]
+    other = list(w)
+    for _ in range(2000):
+        other[rnd.randrange(len(w))] = "zz"
+    rows = [(1, " ".join(w)), (2, " ".join(other)), (3, " ".join(w[:75_000] + ["x"] * 75_000)), (4, "a b c d e f")]
+    assert got(J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows, 5, 80)

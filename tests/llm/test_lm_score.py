@@ -132,3 +132,13 @@ def test_documents_that_occur_twice_score_higher(spark):
     v = L.vocabulary(d, 4, 8, 16, counts=counts)
     got = {r.doc_id: r.mean_log_p for r in L.score(d, v, L.fit(d, v, L.Network.start(v)), counts).collect()}
     assert min(got[i] for i in range(20)) > max(got[i] for i in range(20, 200))
+
+
+def test_long_text(spark):
+    """A text of more than one chunk is scored whole: as twice its half, but for the words at the seam."""
+    half = " ".join(f"word{i % 50}" for i in range(100_000))
+    d = spark.createDataFrame([(1, half + " " + half), (2, half)], "doc_id long, text string")
+    counts = L.lexicon(d)
+    v = L.vocabulary(d, 4, 8, 8, counts=counts)
+    r = {x.doc_id: x for x in L.score(d, v, L.fit(d, v, L.Network.start(v)), counts).collect()}
+    assert r[1].n_words == 200_000 and r[1].log_p == pytest.approx(2 * r[2].log_p, rel=1e-3)
