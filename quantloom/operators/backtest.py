@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, TimestampType
 
-from quantloom.functions.features import FEATURES, by_time, clean
+from quantloom.functions.features import FEATURES, LONG, by_time, clean, with_blocks
 from quantloom.functions.predicates import COMPARE, LOGIC, position
 from quantloom.plans.spec import Condition, Strategy
 
@@ -28,14 +28,15 @@ def column_of(source: tuple[str, str, int | None]) -> str:
 
 
 def wide(bars: DataFrame, sources: Iterable[tuple[str, str, int | None]], keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """bars with one column for each distinct (feature, field, lookback); all share one exchange and one sort."""
-    sources, w = sorted(set(sources), key=str), by_time(*keys)
-    fields = {f for _, f, _ in sources}
-    bars = bars.withColumns({f: clean(F.col(f)) for f in fields})
-    stacked = {f for k, f, _ in sources if FEATURES[k].stacked}
-    bars = bars.withColumns({f"_returns__{f}": FEATURES["returns"].build(F.col(f), None, w) for f in stacked})
-    bars = bars.withColumns({column_of(s): FEATURES[s[0]].build(F.col(f"_returns__{s[1]}" if FEATURES[s[0]].stacked else s[1]), s[2], w) for s in sources})
-    return bars.drop(*(f"_returns__{f}" for f in stacked))
+    """bars with one column for each distinct (feature, field, lookback); all share one exchange, and short windows one sort."""
+    sources, w, columns = sorted(set(sources), key=str), by_time(*keys), bars.columns
+    bars = bars.withColumns({f: clean(F.col(f)) for f in {f for _, f, _ in sources}})
+    base = {s: f"_returns__{s[1]}" if FEATURES[s[0]].stacked else s[1] for s in sources}
+    bars = bars.withColumns({base[s]: FEATURES["returns"].build(s[1], None, w) for s in sources if FEATURES[s[0]].stacked})
+    if long := {(base[s], s[2]) for s in sources if FEATURES[s[0]].trailing is not None and s[2] >= LONG}:
+        bars = with_blocks(bars, long, keys)
+    bars = bars.withColumns({column_of(s): FEATURES[s[0]].build(base[s], s[2], w) for s in sources})
+    return bars.select(*dict.fromkeys([*columns, *map(column_of, sources)]))
 
 
 def condition(c: Condition) -> Column:

@@ -1,11 +1,13 @@
+import re
 import statistics
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.functions import arrays
+from quantloom.functions import arrays, features
 from quantloom.functions.features import FEATURES
+from quantloom.operators import backtest
 from quantloom.operators.backtest import column_of, wide
 
 from .data import series, walk
@@ -65,3 +67,26 @@ def test_arrays_equal_columns(spark, name, monkeypatch):
         assert [np.isnan(g) for g in got] == [r[1] is None for r in rows]
         assert [g for g in got if not np.isnan(g)] == pytest.approx([r[1] for r in rows if r[1] is not None], rel=1e-9, abs=1e-12)
         assert np.isnan(arrays.ARRAYS[name](x[:1], n)).all() or n is not None and name in ("rolling_mean", "rolling_min", "rolling_max")
+
+
+def test_blocks_equal_frames(spark, monkeypatch):
+    """Windows put together from blocks, with gaps, flat runs and windows longer than the history, against moving frames."""
+    bars = walk(spark, 420, symbols=("A", "B"))
+    sources = [(k, f, n) for k, v in FEATURES.items() if v.trailing for f in ("close", "volume") for n in (2, 7, 20, 500)]
+    rows = lambda: {(r.symbol, r.timestamp): r for r in wide(bars, sources).collect()}
+    want = rows()
+    monkeypatch.setattr(features, "LONG", 2)
+    monkeypatch.setattr(backtest, "LONG", 2)
+    got = rows()
+    for key, r in want.items():
+        for s in sources:
+            a, b = r[column_of(s)], got[key][column_of(s)]
+            assert (a is None) == (b is None), (s, key, a, b)
+            if a is not None:
+                assert b == pytest.approx(a, rel=1e-7, abs=1e-9), (s, key)
+
+
+def test_long_lookbacks_cost_no_moving_frames(spark):
+    plan = wide(walk(spark, 50), [("zscore", "close", 5000), ("volume_change", "volume", 5000)])._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedpreceding" in plan and not re.search(r"RowFrame, -(4999|5000), (currentrow|-1)", plan)  # lags stay
+    assert plan.count("Exchange hashpartitioning") <= 1
