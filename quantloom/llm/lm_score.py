@@ -105,12 +105,12 @@ def vocabulary(docs: DataFrame, classes: int = 32, width: int = 64, buckets: int
 class Network:
     classes: int
     width: int
-    dim: int = 16
-    hidden: int = 32
+    dim: int = 12
+    hidden: int = 24
     p: dict[str, np.ndarray] = field(default_factory=dict)
 
     @classmethod
-    def start(cls, v: Vocabulary, dim: int = 16, hidden: int = 32, seed: int = 5) -> Network:
+    def start(cls, v: Vocabulary, dim: int = 12, hidden: int = 24, seed: int = 5) -> Network:
         """Random weights, with output biases at the corpus's word frequencies."""
         rng = np.random.default_rng(seed)
         k, w = v.classes, v.width
@@ -332,8 +332,8 @@ def score(docs: DataFrame, v: Vocabulary, model: Network, counts: DataFrame | No
         return found.select("doc_id", "n_words", "log_p", mean)
     found = cut(found.withColumn("row", F.monotonically_increasing_id()))
     asked = found.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("n"))
-    # fixed-point, so that sums do not depend on their order
-    told = asked.join(counts, "h").groupBy("row").agg(F.sum(F.round(F.col("n") * F.ln("c") * (1 << 20)).cast("long")).alias("more"))
+    # fixed-point, so that sums do not depend on their order; a count of one adds nothing
+    told = asked.join(counts.filter("c > 1"), "h").groupBy("row").agg(F.sum(F.round(F.col("n") * F.ln("c") * (1 << 20)).cast("long")).alias("more"))
     out = found.select("row", "doc_id", "n_words", "log_p").join(told, "row", "left")
     return out.select("doc_id", "n_words", (F.col("log_p") + F.coalesce("more", F.lit(0)) / (1 << 20)).alias("log_p")).select("doc_id", "n_words", "log_p", mean)
 
