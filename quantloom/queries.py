@@ -337,6 +337,46 @@ def _warnings_query(name: str, base: Strategy, sql: str):
 _warnings_query("experiment_warnings", BASE, sql_warnings(BASE, SPACE))
 _warnings_query("experiment_warnings_long", _spec(1, 0), sql_warnings(_spec(1, 0), SPACE))
 
+#: What the tables that a warning reads hold, so that each rule is raised for some symbols and not for others.
+_V = {
+    "n_trades": "CAST(candidate * (k % 4) AS BIGINT)", "sharpe": "CASE WHEN k % 11 = 0 THEN NULL ELSE base + candidate / CAST(4 AS DOUBLE) END", "n_bars": "CAST(100 AS BIGINT)", "turnover": "CAST(candidate * (k % 4) AS DOUBLE)",
+    "exposure": "CASE WHEN k % 5 = 0 THEN CAST(0.95 AS DOUBLE) ELSE candidate / CAST(10 AS DOUBLE) END", "cumulative_return": "base / 10", "annual_turnover": "CAST(k % 4 * 20 * candidate AS DOUBLE)", "annualized_return": "base / 5",
+}
+
+
+def rule_tables(spark, d):
+    """Train, comparison, benchmark and activity tables for each customer, by rules on its key."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("k")).distinct()
+    x = o.withColumns({"symbol": F.concat(F.lit("s"), F.col("k")), "base": F.col("k") % 3 - F.lit(1.0), "candidate": F.explode(F.sequence(F.lit(0), F.lit(3)))}).withColumn("candidate", F.col("candidate").cast("long"))
+    train = x.select("symbol", "k", "candidate", *(F.expr(e).alias(n) for n, e in _V.items()), F.create_map(F.lit("a.threshold"), F.col("candidate") * 1.0).alias("params"))
+    selected = X.select_top(train, 2, "sharpe", 0.02, 1.0)
+    validation = train.withColumns({"sharpe": F.expr("CASE k % 7 WHEN 0 THEN -0.5D WHEN 1 THEN sharpe / 3 ELSE sharpe + 0.1D END"), "n_trades": F.expr("CASE WHEN k % 6 = 0 THEN 0L ELSE n_trades END")}).withColumns({m: F.lit(0.0) for m in ("max_drawdown",)})
+    compared = X.compare(train.withColumn("max_drawdown", F.lit(0.0)), validation, selected)
+    benches = o.select(F.concat(F.lit("s"), F.col("k")).alias("symbol"), F.lit("buy_and_hold").alias("benchmark"), F.lit(100).cast("long").alias("n_bars"), F.expr("CASE WHEN k % 8 = 0 THEN NULL ELSE k % 2 - 0.5D END").alias("sharpe"))
+    shares = o.select(F.concat(F.lit("s"), F.col("k")).alias("symbol"), F.explode(F.expr("array(named_struct('condition', 'a', 'share', k % 101 / 100D), named_struct('condition', 'b', 'share', CAST(NULL AS DOUBLE)))")).alias("x")).select("symbol", "x.*")
+    return train.drop("k"), selected, compared, benches, shares
+
+
+@query("warning_rules", f"""
+WITH o AS (SELECT DISTINCT o_custkey AS k FROM orders), x AS (SELECT k, 's' || k AS symbol, k % 3 - 1.0::DOUBLE AS base, unnest([0, 1, 2, 3])::BIGINT AS candidate FROM o),
+t AS (SELECT symbol, k, candidate, {', '.join(f'{e} AS {n}' for n, e in _V.items())} FROM x),
+e AS (SELECT *, row_number() OVER (PARTITION BY symbol, n_trades, turnover, exposure, cumulative_return, sharpe ORDER BY sharpe DESC, candidate) AS d FROM t WHERE sharpe IS NOT NULL AND n_trades >= 2),
+sel AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY sharpe DESC, candidate) AS train_rank FROM e WHERE d = 1) WHERE train_rank <= 2),
+c AS (SELECT symbol, k, sharpe AS ts, exposure, CASE k % 7 WHEN 0 THEN -0.5 WHEN 1 THEN sharpe / 3 ELSE sharpe + 0.1::DOUBLE END AS vs, CASE WHEN k % 6 = 0 THEN 0 ELSE n_trades END AS vn FROM sel),
+v AS (SELECT symbol, median(ts) AS tm, median(vs) AS vm, max(vs) AS best, median(exposure) AS ex, count(*) FILTER (WHERE vn < 0.02 * 100) AS few FROM c GROUP BY symbol),
+s AS (SELECT symbol, any_value(k) AS k, count(*) AS n, count(DISTINCT (n_trades, turnover, exposure, cumulative_return, coalesce(sharpe, 1e9))) AS nd, count(*) FILTER (WHERE n_trades = 0) AS never, median(sharpe) AS tr FROM t GROUP BY symbol),
+cost AS (SELECT symbol, median(annual_turnover * 0.001::DOUBLE) AS cost FROM sel GROUP BY symbol), b AS (SELECT symbol, candidate AS top FROM sel WHERE train_rank = 1),
+j AS (SELECT s.*, tm, vm, best, ex, few, cost, top, v.symbol IS NOT NULL AS has, (s.k % 101) / 100::DOUBLE AS share, CASE WHEN s.k % 8 = 0 THEN NULL ELSE s.k % 2 - 0.5::DOUBLE END AS bh FROM s LEFT JOIN v USING (symbol) LEFT JOIN cost USING (symbol) LEFT JOIN b USING (symbol))
+SELECT symbol, array_to_string([CASE WHEN n > 1 THEN 'multiple_testing' END, CASE WHEN n > nd THEN 'redundant_candidates' END, CASE WHEN never > 0 THEN 'never_traded' END, CASE WHEN share >= 0.99 THEN 'condition_always_true' END,
+  CASE WHEN share <= 0.01 THEN 'condition_rarely_true' END, CASE WHEN tr <= 0 THEN 'median_train_not_positive' END, CASE WHEN NOT has THEN 'nothing_selected' END, CASE WHEN has AND top IN (0, 3) THEN 'best_at_edge' END,
+  CASE WHEN has AND cost > 0.05 THEN 'high_costs' END, CASE WHEN has AND vm <= 0 THEN 'validation_not_positive' END, CASE WHEN has AND vm > 0 AND tm > 0 AND vm < 0.5 * tm THEN 'kept_less_than_half' END, CASE WHEN has AND few > 0 THEN 'few_validation_trades' END,
+  CASE WHEN has AND ex >= 0.9 THEN 'near_buy_and_hold' END, CASE WHEN has AND best < bh THEN 'did_not_beat_buy_and_hold' END, CASE WHEN has AND best >= bh THEN 'some_beat_buy_and_hold' END], ',') AS rules FROM j""")
+def warning_rules(spark, d):
+    """Each red flag on tables that raise it for some symbols and not for others."""
+    base = Strategy.parse({"name": "a", "conditions": [{"id": "a", "feature": "momentum", "field": "close", "lookback": 3, "operator": ">", "threshold": 0.0}]})
+    s = X.Settings(TRAIN, VALIDATION, min_trades_per_year=0.02, per_year=1.0)
+    return X.warnings(*rule_tables(spark, d), s, base, {"a.threshold": [0.0, 1.0, 2.0, 3.0]}).select("symbol", F.array_join("rules", ",").alias("rules"))
+
 
 FINAL = X.Period("2024-01-24", "2024-02-01")
 

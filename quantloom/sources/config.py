@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 from typing import Any
 
@@ -73,17 +74,20 @@ def file_name(symbol: str, timeframe: str, exchange: str = "") -> str:
     return "_".join(x for x in (exchange, plain, timeframe) if x) + ".parquet"
 
 
-def ingest(spark: SparkSession, symbols: Iterable[str], load: Callable[[str], DataFrame], save: Callable[[DataFrame, str], None], strict: bool = True) -> DataFrame:
-    """Loads and saves each symbol; one that fails does not stop the others. Returns (symbol, status, error); if
-    `strict`, raises after the last symbol if any failed."""
-    rows = []
-    for s in symbols:
+def ingest(spark: SparkSession, symbols: Iterable[str], load: Callable[[str], DataFrame], save: Callable[[DataFrame, str], None], strict: bool = True, at_once: int = 4) -> DataFrame:
+    """Loads and saves the symbols, `at_once` jobs at a time; one that fails does not stop the others. Returns (symbol,
+    status, error) in their order; if `strict`, raises after the last symbol if any failed."""
+
+    def one(symbol: str) -> tuple[str, str, str | None]:
         try:
-            save(load(s), s)
-            rows.append((s, "saved", None))
+            save(load(symbol), symbol)
         except Exception as e:  # kept in the result
-            rows.append((s, "failed", f"{type(e).__name__}: {e}"))
-    if strict and (bad := [f"{r[0]}: {r[2]}" for r in rows if r[1] == "failed"]):
+            return symbol, "failed", f"{type(e).__name__}: {e}"
+        return symbol, "saved", None
+
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        rows = list(pool.map(one, symbols))
+    if strict and (bad := [f"{s}: {error}" for s, status, error in rows if status == "failed"]):
         raise RuntimeError("; ".join(bad))
     return spark.createDataFrame(rows, "symbol string, status string, error string")
 
