@@ -186,6 +186,14 @@ def lean(run):
     return inner
 
 
+def filtered(docs: DataFrame, run) -> DataFrame:
+    """The rows of docs that `run`, a map over batches that have the column text, lets through; other columns, whatever
+    their names, are not looked at."""
+    tune(docs)
+    plain = docs.toDF(*("text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)))
+    return plain.mapInArrow(lean(run), plain.schema).toDF(*docs.columns)
+
+
 def table(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in columns], names=names)
 

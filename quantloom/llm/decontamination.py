@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm._text import WORDY, Words, column, ids_of, lean, pieces, table, texts, tune
+from quantloom.llm._text import WORDY, Words, column, filtered, ids_of, lean, pieces, table, texts
 
 WINDOW, STRIDE = 32, 16
 BLOCK = 2048  # benchmark items handled in one pass over the documents
@@ -280,7 +280,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, rank: int = 256, least: float =
     Each row is decided by its own text, repeated rows and null ids too. Null, empty and wordless texts stay, as does
     everything if the benchmark has no words; an empty table stays empty.
     """
-    tune(docs)
     out = docs
     for items in item_blocks(benchmark):
         if not (indices := build(docs, items, rank, docs.sparkSession)):
@@ -294,7 +293,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, rank: int = 256, least: float =
                     bad = {m[0] for index in indices for m in matches(index, w, least, sure, likely)}
                     yield batch.slice(i, j - i).filter(pa.array([d not in bad for d in range(j - i)]))
 
-        out = out.mapInArrow(lean(run), docs.schema)
+        out = filtered(out, run)
     return out
 
 

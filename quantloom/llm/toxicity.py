@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm._shared import cut
-from quantloom.llm._text import WORDY, Words, column, ids_of, lean, mix, pieces, shingles, table, texts, tune
+from quantloom.llm._text import WORDY, Words, column, filtered, ids_of, lean, mix, pieces, shingles, table, texts
 
 PREFIXES = (8, 7, 6, 5, 4, 3)
 #: Evidence beyond this many nats counts as this many: e**-30 is certain for any corpus.
@@ -327,8 +327,6 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
     row, and each row with a null doc_id, is decided by its own text; an empty table stays empty.
     """
 
-    tune(docs)
-
     def run(batches):
         for batch in batches:
             buf, off = column(batch, "text")
@@ -338,4 +336,4 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
                 good = [model.probability(model.evidence(segments(s[a:b]), max(1, int(b - a)))) < model.threshold for a, b in zip(w.first, w.first[1:])]
                 yield batch.slice(i, j - i).filter(pa.array(good))
 
-    return docs.mapInArrow(lean(run), docs.schema)
+    return filtered(docs, run)
