@@ -268,7 +268,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 256, least: float =
                     w = Words(part, cut, WORDY)
                     got = [(index.items[m[1]], *m) for index in indices for m in matches(index, w, least, sure, likely)]
                     item, d, _, first, cosine, share, answer = zip(*got) if got else [()] * 7
-                    yield table(["item_id", "doc_id", "first_word", "cosine", "share", "answer"], pa.array(item, pa.int64()), ids.slice(i, j - i).take(pa.array(d, pa.int64())), pa.array(first, pa.int64()), pa.array(cosine, pa.float64()), pa.array(share, pa.float64()), pa.array(answer, pa.bool_()))
+                    yield table(
+                        ["item_id", "doc_id", "first_word", "cosine", "share", "answer"], pa.array(item, pa.int64()),
+                        ids.slice(i, j - i).take(pa.array(d, pa.int64())), pa.array(first, pa.int64()), pa.array(cosine, pa.float64()),
+                        pa.array(share, pa.float64()), pa.array(answer, pa.bool_())
+                    )
 
         out = out.unionByName(texts(docs).mapInArrow(lean(run), schema))
     return out

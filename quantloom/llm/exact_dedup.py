@@ -60,7 +60,10 @@ def duplicates(rows: DataFrame, owners: int) -> DataFrame:
         _, u, _, own = sent(t)
         at = np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])), len(u))
         b, unary, rest = zip(*(rice_encode(u[i:j] - u[i]) for i, j in zip(at, at[1:])))
-        columns = (own[at[:-1]].astype(np.int64), pa.array([t.column("home")[0].as_py()] * len(b), pa.int32()), np.diff(at), u[at[:-1]].view(np.int64), pa.array(b, pa.int32()), pa.array(unary, pa.binary()), pa.array(rest, pa.binary()))
+        columns = (
+            own[at[:-1]].astype(np.int64), pa.array([t.column("home")[0].as_py()] * len(b), pa.int32()), np.diff(at),
+            u[at[:-1]].view(np.int64), pa.array(b, pa.int32()), pa.array(unary, pa.binary()), pa.array(rest, pa.binary())
+        )
         return pa.table([pa.array(c) for c in columns], names=["owner", "home", "n", "base", "b", "unary", "rest"])
 
     def answer(t: pa.Table) -> pa.Table:
@@ -110,13 +113,19 @@ def dedup(docs: DataFrame, normalise: Callable[[Column], Column] = lambda c: c)
     another, and in a group of null ids all stay. An empty table gives no rows. A task holds the fingerprints of one
     partition of docs, never its texts.
     """
-    marked = _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), normalise(F.coalesce("row.text", F.lit(""))))
+    marked = _marked(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")),
+        normalise(F.coalesce("row.text", F.lit("")))
+    )
     marked = marked.withColumn("doc_id", F.col("row.doc_id"))
     same_bytes = marked.filter("suspect").groupBy("fp", "sha", "text").agg(F.max("doc_id").alias("keep"), F.count("*").alias("size"))
     groups = same_bytes.groupBy("fp", "sha").agg(F.max("keep").alias("keep"), F.sum("size").alias("size"), F.count("*").alias("texts"))
     groups = cut(groups.select("fp", "sha", "keep", F.when(F.col("texts") == 1, F.col("size")).otherwise(F.raise_error(F.lit("two texts with one SHA-256")).cast("long")).alias("size")))
     joined = marked.filter("suspect").select("doc_id", "fp", "sha").join(groups, ["fp", "sha"])
-    alone = marked.filter("NOT suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
+    alone = marked.filter("NOT suspect").select(
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"),
+        F.col("sha").alias("text_sha256")
+    )
     return alone.unionByName(joined.select("doc_id", F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep")).alias("kept"), F.col("sha").alias("text_sha256")))
 
 

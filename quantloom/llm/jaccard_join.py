@@ -224,7 +224,10 @@ def _groups(percent: int):
         one = np.append(True, (g[1:] != g[:-1]) | (who[1:] != who[:-1])) if len(g) else np.zeros(0, bool)
         g, who, rank = g[one], who[one], rank[one]
         heads = split[first]
-        rows = ((np.zeros(len(pair), bool), pair[:, 0], pair[:, 1], None), (g, who, None, rank), (name[heads].view(np.int64), sig[first][heads], None, None))
+        rows = (
+            (np.zeros(len(pair), bool), pair[:, 0], pair[:, 1], None), (g, who, None, rank),
+            (name[heads].view(np.int64), sig[first][heads], None, None)
+        )
 
         def joined(k):
             return pa.concat_arrays([pa.array(np.ascontiguousarray(r[k]), pa.int64()) if r[k] is not None and r[k].dtype != bool else pa.nulls(len(r[0]), pa.int64()) for r in rows])
@@ -356,12 +359,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     hot = every.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.count("*").alias("k"), F.min("doc_id").alias("doc_id")).filter(f"k > {FREQUENT // 2}")
     hot = hot.orderBy(F.desc("k"), "sig").limit(MOST_FREQUENT // 2).toPandas().sort_values("sig")  # bounded, as the frequent shingles are
     copied, speak = hot["sig"].to_numpy(np.int64), hot["doc_id"].to_numpy(np.int64)
-    messages = rows.mapInArrow(lean(_frequencies(width, owners, bits, copied, speak)), "owner long, n long, base long, b int, unary binary, rest binary, many binary, counts binary")
+    messages = rows.mapInArrow(
+        lean(_frequencies(width, owners, bits, copied, speak)),
+        "owner long, n long, base long, b int, unary binary, rest binary, many binary, counts binary"
+    )
     heavy = messages.groupBy("owner").applyInArrow(_heavy(FREQUENT), "token long, df long")
     # MOST_FREQUENT tokens of 8 bytes bound what the driver and every task hold; which tokens count as frequent changes no result
     frequent = heavy.orderBy(F.desc("df"), "token").limit(MOST_FREQUENT).toPandas().sort_values("token")
     release(docs)
-    postings = rows.filter("doc_id IS NOT NULL").mapInArrow(lean(_postings(width, percent, frequent["token"].to_numpy(np.int64).view(_U), frequent["df"].to_numpy(np.int64), bits)), "key long, part long, sig long, pack long")
+    postings = rows.filter("doc_id IS NOT NULL").mapInArrow(
+        lean(_postings(width, percent, frequent["token"].to_numpy(np.int64).view(_U), frequent["df"].to_numpy(np.int64), bits)),
+        "key long, part long, sig long, pack long"
+    )
     found = cut(postings.repartition(n_blocks, "key", "part").sortWithinPartitions("key", "part", "pack", "sig").mapInArrow(lean(_groups(percent)), "group long, a long, b long, pack long"))
     heads = found.filter("group IS NOT NULL AND pack IS NULL").select("group", "a").distinct()
     first = heads.groupBy("group").agg(F.min("a").alias("b"))
@@ -383,8 +392,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     several = every.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("sig").alias("b")).filter("a <> b")  # one doc_id, several texts
     links = cut(verify(stars).unionByName(several.distinct()))
     roots = components(links)
-    labelled = members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("group", "sig", "pack", F.coalesce("root", "sig").alias("root"))
-    more = _cells(labelled, percent, n_blocks).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    labelled = members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select(
+        "group", "sig", "pack", F.coalesce("root", "sig").alias("root")
+    )
+    more = _cells(labelled, percent, n_blocks).join(
+        stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"
+    )
     more = cut(more)
     if more.limit(1).count() and (late := cut(verify(more))).limit(1).count():
         roots = components(links.unionByName(late))

@@ -221,7 +221,9 @@ def dealt(docs: DataFrame, v: Vocabulary, words: int) -> DataFrame:
             for i, j, part, cut_ in pieces(buf, off):
                 w = Words(part, cut_, WORDY)
                 raw = v.lookup(w.hash).astype(np.uint16).view(np.uint8)
-                ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer((w.first * 2).astype(np.int64).tobytes()), pa.py_buffer(raw.tobytes())])
+                ids = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), j - i, [None, pa.py_buffer((w.first * 2).astype(np.int64).tobytes()), pa.py_buffer(raw.tobytes())]
+                )
                 yield table(["block", "doc_id", "th", "ids"], *(batch.column(k).slice(i, j - i) for k in (0, 1, 2)), ids.cast(pa.binary()))
 
     rows = texts(docs).select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("block"), "doc_id", F.xxhash64("text").alias("th"), "text")
@@ -257,7 +259,9 @@ def train(net: Network, documents: Iterator[np.ndarray], pad: int, batch_size: i
     return own, seen
 
 
-def fit(docs: DataFrame, v: Vocabulary, start: Network, words: int = 1_000_000, batch_size: int = 4096, rate: float = 0.1, rounds: int = 2) -> Network:
+def fit(
+    docs: DataFrame, v: Vocabulary, start: Network, words: int = 1_000_000, batch_size: int = 4096, rate: float = 0.1, rounds: int = 2
+) -> Network:
     """Rounds that share out the blocks: each block trains on all its words, and a round averages its blocks' networks.
 
     Every word of the corpus is a target once. Neither the partitions of docs nor the number of tasks changes the model.
@@ -269,7 +273,10 @@ def fit(docs: DataFrame, v: Vocabulary, start: Network, words: int = 1_000_000,
         def run(batches, net=net):
             def streams():
                 for batch in batches:
-                    block, off, raw = batch.column(0).to_numpy(), *(np.frombuffer(x, d) if x is not None else np.empty(0, d) for x, d in zip(batch.column(3).cast(pa.large_binary()).buffers()[1:], (np.int64, np.uint8)))
+                    block, off, raw = batch.column(0).to_numpy(), *(
+                        np.frombuffer(x, d) if x is not None else np.empty(0, d) for x,
+                        d in zip(batch.column(3).cast(pa.large_binary()).buffers()[1:], (np.int64, np.uint8))
+                    )
                     at = batch.column(3).offset
                     for k, b in enumerate(block.tolist()):
                         yield b, raw[off[at + k] : off[at + k + 1]].view(np.uint16).astype(np.int32)
@@ -323,7 +330,10 @@ def score(docs: DataFrame, v: Vocabulary, model: Network, counts: DataFrame | No
                     rare, edge = rare[new], np.searchsorted(doc[new], np.arange(j - i + 1))
                 total = np.concatenate([[0.0], np.cumsum(lp)])
                 lists = [pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(x)) for x in (rare.view(np.int64), times)]
-                yield table(["doc_id", "n_words", "log_p", "rare", "times"], ids.slice(i, j - i), np.diff(w.first).astype(np.int64), total[w.first[1:]] - total[w.first[:-1]], *lists)
+                yield table(
+                    ["doc_id", "n_words", "log_p", "rare", "times"], ids.slice(i, j - i), np.diff(w.first).astype(np.int64),
+                    total[w.first[1:]] - total[w.first[:-1]], *lists
+                )
 
     counts_given = counts is not None
     found = texts(docs).mapInArrow(lean(run), "doc_id long, n_words long, log_p double, rare array<long>, times array<int>")
@@ -331,11 +341,15 @@ def score(docs: DataFrame, v: Vocabulary, model: Network, counts: DataFrame | No
     if not counts_given:
         return found.select("doc_id", "n_words", "log_p", mean)
     found = cut(found.withColumn("row", F.monotonically_increasing_id()))
-    asked = found.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("n"))
+    asked = found.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
+        "row", F.col("x.rare").alias("h"), F.col("x.times").alias("n")
+    )
     # fixed-point, so that sums do not depend on their order; a count of one adds nothing
     told = asked.join(counts.filter("c > 1"), "h").groupBy("row").agg(F.sum(F.round(F.col("n") * F.ln("c") * (1 << 20)).cast("long")).alias("more"))
     out = found.select("row", "doc_id", "n_words", "log_p").join(told, "row", "left")
-    return out.select("doc_id", "n_words", (F.col("log_p") + F.coalesce("more", F.lit(0)) / (1 << 20)).alias("log_p")).select("doc_id", "n_words", "log_p", mean)
+    return out.select(
+        "doc_id", "n_words", (F.col("log_p") + F.coalesce("more", F.lit(0)) / (1 << 20)).alias("log_p")
+    ).select("doc_id", "n_words", "log_p", mean)
 
 
 def op4_lm_score(spark, sf_dir: str) -> DataFrame:

@@ -162,4 +162,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, most: int = SEQUENCE, wi
 
 def op7_packing(spark, sf_dir: str) -> DataFrame:
     """The pieces of every document of the table; nulls, empties and repeated rows as in `pack`."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=False).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=False).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket"
+    )

@@ -15,4 +15,7 @@ from quantloom.llm.toxicity import op10_toxicity
 from quantloom.llm.url_filter import op2_url_filter
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_license_scan, op4_lm_score, op5_decontamination, op6_quality, op7_packing, op8_exact_dedup, op9_jaccard_join, op10_toxicity, license_base_phrases)}
-ORACLES: dict[str, str] = {"op1_suffix_dedup": suffix_dedup.ORACLE, "op2_url_filter": url_filter.ORACLE, "license_base_phrases": license_scan.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op9_jaccard_join": jaccard_join.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": suffix_dedup.ORACLE, "op2_url_filter": url_filter.ORACLE, "license_base_phrases": license_scan.ORACLE,
+    "op8_exact_dedup": exact_dedup.ORACLE, "op9_jaccard_join": jaccard_join.ORACLE
+}

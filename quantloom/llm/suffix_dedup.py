@@ -105,7 +105,10 @@ def _anchors(length: int):
             first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
             again = (place[row] != place[row[first]]) | (lo != lo[first])
             take = pa.array(row)
-            yield table(["doc", "th", "h", "s", "lo", "hi", "again"], doc.take(take), th.take(take), h.view(np.int64), s.view(np.int64), lo.astype(np.int32), hi.astype(np.int32), again)
+            yield table(
+                ["doc", "th", "h", "s", "lo", "hi", "again"], doc.take(take), th.take(take), h.view(np.int64), s.view(np.int64),
+                lo.astype(np.int32), hi.astype(np.int32), again
+            )
 
     return run
 
@@ -258,7 +261,10 @@ def _index(length: int):
             z = np.append(a[1:], len(dup)) - 1
             a, z = a[dup[a]], z[dup[a]]
             take = pa.array(row[a])
-            yield table(["doc", "th", "lo", "hi"], batch.column(3).take(take), batch.column(4).take(take), (lo[row[a]] + shift[a]).astype(np.int32), (lo[row[a]] + shift[z] + length).astype(np.int32))
+            yield table(
+                ["doc", "th", "lo", "hi"], batch.column(3).take(take), batch.column(4).take(take), (lo[row[a]] + shift[a]).astype(np.int32),
+                (lo[row[a]] + shift[z] + length).astype(np.int32)
+            )
 
     return run
 
@@ -344,7 +350,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     asked = decided.filter("contested").select(block("doc"), "h", "doc", "th", "lo", "hi")
     many = asked.groupBy("h").count().filter(f"count > {PART}").select("h", F.expr(f"count DIV {PART} + 1").alias("parts"))
     asked = asked.join(many, "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
-    cut_ = texts_by_block.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_cut_out(length), "h long, part long, parts long, doc long, th long, lo int, segment binary")
+    cut_ = texts_by_block.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(
+        _cut_out(length), "h long, part long, parts long, doc long, th long, lo int, segment binary"
+    )
     found = cut_.repartition(tasks(n), "h", "part").sortWithinPartitions("h", "part", "doc", "th", "lo").mapInArrow(lean(_index(length)), "doc long, th long, lo int, hi int")
     marks = decided.filter("NOT contested").select("doc", "th", "lo", "hi").unionByName(found).select(block("doc"), "doc", "th", "lo", "hi")
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"

@@ -131,7 +131,9 @@ def _counts(rows: DataFrame, least: int, most: int, own: np.ndarray | None = Non
                 yield table(["feature", "c0", "t0", "c1", "t1"], u.view(np.int64), *n.T)
 
     names = ("c0", "t0", "c1", "t1")
-    counts = rows.mapInArrow(lean(run), "feature long, c0 long, t0 long, c1 long, t1 long").groupBy("feature").agg(*(F.sum(x).alias(x) for x in names))
+    counts = rows.mapInArrow(
+        lean(run), "feature long, c0 long, t0 long, c1 long, t1 long"
+    ).groupBy("feature").agg(*(F.sum(x).alias(x) for x in names))
     top = counts.withColumn("n", F.expr(" + ".join(names))).filter(f"n >= {least}").orderBy(F.desc("n"), "feature").limit(most).toPandas()
     return top.assign(key=top["feature"].to_numpy(np.int64).view(_U))
 
@@ -180,7 +182,10 @@ def log_odds(t: np.ndarray, nt: float, c: np.ndarray, nc: float, share: np.ndarr
     return delta, np.sqrt(1 / (t + a) + 1 / (nt - t + b) + 1 / (c + a) + 1 / (nc - c + b))
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, prior: float = 5.0, deviations: float = 2.0, drift: float = 0.5, least: int = 5, firm: int = 10, most_terms: int = 500_000) -> Model:
+def train(
+    docs: DataFrame, labels: DataFrame, most: int = 20_000, prior: float = 5.0, deviations: float = 2.0, drift: float = 0.5, least: int = 5,
+    firm: int = 10, most_terms: int = 500_000
+) -> Model:
     """Fits the model on a bounded sample of labelled rows (`most`), read by one scan of docs each for copies, counts and calibration.
 
     `prior`: weight of a feature's share of the sample, in documents. `deviations`: by which log-odds are shrunk.
@@ -226,13 +231,18 @@ def calibrate(model: Model, others: list[Model], rows: DataFrame, step: float =
                 per = [[float(x[2]) for x in segments(s)] for s in own]
                 bins = [np.unique(np.round(s / step).astype(int), return_counts=True) if t == 0 else ((), ()) for s, t in zip(own, toxic[i:j])]
                 lists = pa.list_(pa.int64())
-                yield table(["toxic", "n", "segments", "bins", "counts"], toxic[i:j], np.diff(w.first).astype(np.int64), pa.array(per, pa.list_(pa.float64())), *(pa.array([list(map(int, x[k])) for x in bins], lists) for k in (0, 1)))
+                yield table(
+                    ["toxic", "n", "segments", "bins", "counts"], toxic[i:j], np.diff(w.first).astype(np.int64),
+                    pa.array(per, pa.list_(pa.float64())), *(pa.array([list(map(int, x[k])) for x in bins], lists) for k in (0, 1))
+                )
 
     seen = rows.mapInArrow(lean(run), "toxic long, n long, segments array<double>, bins array<long>, counts array<long>").toPandas()
     if not len(seen):
         return model
     toxic, n = seen["toxic"].to_numpy(float), seen["n"].to_numpy(int)
-    hist = pd.Series(np.concatenate(seen["counts"].to_numpy()).astype(float), np.concatenate(seen["bins"].to_numpy()).astype(int)).groupby(level=0).sum()
+    hist = pd.Series(
+        np.concatenate(seen["counts"].to_numpy()).astype(float), np.concatenate(seen["bins"].to_numpy()).astype(int)
+    ).groupby(level=0).sum()
     gains = model.scores[model.scores > 0]
     # One pseudo-count spread over the gains, none of which may show.
     hist = hist.add(pd.Series(1 / max(1, len(gains)), np.round(gains / step).astype(int), float).groupby(level=0).sum(), fill_value=0)
@@ -291,7 +301,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 found = [segments(s[a:b]) if h else [] for a, b, h in zip(w.first, w.first[1:], has)]
                 kept = [[x for x in f if model.decay * x[2] > math.log(max(model.scale * k, 1e-9))] for f, k in zip(found, n.tolist())]
                 p = [model.probability(model.evidence(f, max(1, k))) for f, k in zip(found, n.tolist())]
-                yield table(["doc_id", "score", "predicted", "passages"], ids.slice(i, j - i), pa.array(p, pa.float64()), pa.array([int(x >= model.threshold) for x in p], pa.int32()), pa.array([[dict(zip(("start", "end", "score"), x)) for x in k] for k in kept], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))))
+                yield table(
+                    ["doc_id", "score", "predicted", "passages"], ids.slice(i, j - i), pa.array(p, pa.float64()),
+                    pa.array([int(x >= model.threshold) for x in p], pa.int32()),
+                    pa.array([[dict(zip(("start", "end", "score"), x)) for x in k] for k in kept], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))
+                )
 
     return texts(docs).mapInArrow(lean(run), "doc_id long, score double, predicted int, passages array<struct<start:long,end:long,score:double>>")
 
@@ -333,7 +347,10 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
             for i, j, part, cut in pieces(buf, off):
                 w = Words(part, cut, WORDY, prefixes=PREFIXES)
                 s = model.tokens(w)
-                good = [model.probability(model.evidence(segments(s[a:b]), max(1, int(b - a)))) < model.threshold for a, b in zip(w.first, w.first[1:])]
+                good = [
+                    model.probability(model.evidence(segments(s[a:b]), max(1, int(b - a)))) < model.threshold for a,
+                    b in zip(w.first, w.first[1:])
+                ]
                 yield batch.slice(i, j - i).filter(pa.array(good))
 
     return filtered(docs, run)

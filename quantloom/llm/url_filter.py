@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What stands between a scheme and the path, without user names, port, final dots and a leading www.
-HOST = r"regexp_replace(regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#\\\\]*@)?(\\[[^/?#\\\\]*\\]|[^/?#:\\\\]*)', 1), '[.]+$', ''), '^www[.]', '')"
+HOST = (
+    r"regexp_replace(regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#\\\\]*@)?(\\[[^/?#\\\\]*\\]|[^/?#:\\\\]*)', "
+    r"1), '[.]+$', ''), '^www[.]', '')"
+)
 SEGMENT = r"regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://[^/?#\\\\]*[/\\\\]([^/?#\\\\]*)', 1)"
 
 
@@ -21,11 +24,16 @@ def intervals(entries: DataFrame) -> DataFrame:
     Of the events of one list, key and day, a removal counts last. An open interval ends at null. Rows with a null in
     list, key or day, or another action, say nothing.
     """
-    e = entries.select(F.col("list").cast("string").alias("list"), F.lower("key").alias("key"), F.col("day").cast("int").alias("day"), F.lower("action").alias("action")).filter("action IN ('add', 'remove')").dropna()
+    e = entries.select(
+        F.col("list").cast("string").alias("list"), F.lower("key").alias("key"), F.col("day").cast("int").alias("day"),
+        F.lower("action").alias("action")
+    ).filter("action IN ('add', 'remove')").dropna()
     state = e.groupBy("list", "key", "day").agg(F.max(F.col("action") == "remove").alias("removed"))
     w = Window.partitionBy("list", "key").orderBy("day")
     change = state.withColumn("before", F.lag("removed", 1, True).over(w)).filter("removed <> before")
-    return change.withColumn("valid_to", F.lead("day").over(w)).filter("NOT removed").select("list", "key", F.col("day").alias("valid_from"), "valid_to")
+    return change.withColumn("valid_to", F.lead("day").over(w)).filter("NOT removed").select(
+        "list", "key", F.col("day").alias("valid_from"), "valid_to"
+    )
 
 
 def keys() -> F.Column:
@@ -39,7 +47,10 @@ def candidates(captures: DataFrame) -> DataFrame:
     """(page_id, url, day, key), one row per key."""
     k = captures.select("page_id", "url", "day", keys().alias("k")).filter("k.host <> ''")
     parents = "transform(sequence(1, greatest(size(k.labels) - 1, 1)), i -> array_join(slice(k.labels, i, size(k.labels)), '.'))"
-    return k.select("page_id", "url", "day", F.explode(F.expr(f"array_distinct(concat({parents}, CASE WHEN k.segment <> '' THEN array(concat(k.host, '/', k.segment)) ELSE array() END))")).alias("key"))
+    return k.select(
+        "page_id", "url", "day",
+        F.explode(F.expr(f"array_distinct(concat({parents}, CASE WHEN k.segment <> '' THEN array(concat(k.host, '/', k.segment)) ELSE array() END))")).alias("key")
+    )
 
 
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
@@ -49,14 +60,20 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     Null or unparsable URLs and null days match nothing; equal rows get equal results, each its own row. The join of
     keys and intervals is a plain equi-join, which adaptive execution splits if a key is still hot.
     """
-    captures = captures.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("day").cast("int").alias("day"))
+    captures = captures.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("day").cast("int").alias("day")
+    )
     found = candidates(captures)
     asked = found.select("key", "day").dropna().distinct()
     active = asked.join(intervals(entries), "key").filter("valid_from <= day AND (valid_to IS NULL OR day < valid_to)").select("key", "day", "list", "valid_from")
-    hits = found.join(active, ["key", "day"]).groupBy("page_id", "url", "day").agg(F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"), F.min("valid_from").alias("since"))
+    hits = found.join(active, ["key", "day"]).groupBy("page_id", "url", "day").agg(
+        F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"), F.min("valid_from").alias("since")
+    )
     h = hits.select(F.col("page_id").alias("p"), F.col("url").alias("u"), F.col("day").alias("d"), "lists", "since")
     on = captures.page_id.eqNullSafe(h.p) & captures.url.eqNullSafe(h.u) & captures.day.eqNullSafe(h.d)
-    return captures.join(h, on, "left").select("page_id", "url", "day", F.coalesce("lists", F.lit("")).alias("lists"), "since", F.col("lists").isNotNull().alias("blocked"))
+    return captures.join(h, on, "left").select(
+        "page_id", "url", "day", F.coalesce("lists", F.lit("")).alias("lists"), "since", F.col("lists").isNotNull().alias("blocked")
+    )
 
 
 def _hex(s: str, a: int, n: int) -> str:

@@ -54,7 +54,10 @@ def test_empty(empty):
 
 def test_one_row_of_each_group_with_any_columns(spark, odd, empty):
     """Against plain Python; columns named as the operator's own, with dots, and of nested types."""
-    clash = odd.selectExpr("*", "doc_id AS fp", "text AS row", "n_chars AS __id", "'s' AS sha", "true AS suspect", "1 AS home", "2 AS place", "3 AS bits", "4 AS `a.b`", "array(1, 2) AS n", "doc_id AS __kept", "lang AS __sha", "lang AS __key")
+    clash = odd.selectExpr(
+        "*", "doc_id AS fp", "text AS row", "n_chars AS __id", "'s' AS sha", "true AS suspect", "1 AS home", "2 AS place", "3 AS bits",
+        "4 AS `a.b`", "array(1, 2) AS n", "doc_id AS __kept", "lang AS __sha", "lang AS __key"
+    )
     rows = D.keep_one(clash).collect()
     best = {}
     for d, t, _ in ODD:

@@ -40,7 +40,9 @@ def test_odd(odd):
 
 def test_very_long_texts(spark, monkeypatch):
     monkeypatch.setattr(P, "STEP", 50)
-    assert ["".join(P.slices(t, 7)) for t in ("", "abc def ghi\njkl  mno", "abcdefghijkl", "a bcdefghijklm n")] == ["", "abc def ghi\njkl  mno", "abcdefghijkl", "a bcdefghijklm n"]
+    assert ["".join(P.slices(t, 7)) for t in ("", "abc def ghi\njkl  mno", "abcdefghijkl", "a bcdefghijklm n")] == [
+        "", "abc def ghi\njkl  mno", "abcdefghijkl", "a bcdefghijklm n"
+    ]
     long = [(1, "Words, and more words: don't 12 é " * 300), (2, "x" * 500), (3, ("y" * 70 + " ") * 9), (4, "")]
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     got = P.Encoder(public_tokenizers.path("word_bpe_49k.json")).encode([x for _, x in long])

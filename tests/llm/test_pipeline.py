@@ -78,7 +78,10 @@ def test_run_and_odd(spark, stages, odd, empty):
 
 def test_stages_with_clashing_columns(spark, odd):
     """Every stage, on columns named like its own and like nothing Spark would choose, keeps the rows that it keeps without."""
-    clash = odd.selectExpr("*", "doc_id AS __id", "doc_id AS root", "text AS row", "1 AS home", "2 AS place", "3 AS block", "4 AS fp", "'s' AS sha", "5 AS sig", "6 AS n", "true AS suspect", "7 AS `a.b`", "array(1) AS key", "1 AS toxic")
+    clash = odd.selectExpr(
+        "*", "doc_id AS __id", "doc_id AS root", "text AS row", "1 AS home", "2 AS place", "3 AS block", "4 AS fp", "'s' AS sha",
+        "5 AS sig", "6 AS n", "true AS suspect", "7 AS `a.b`", "array(1) AS key", "1 AS toxic"
+    )
     for name, stage in C.STAGES[:-1]:
         plain, more = stage(spark, odd, AT), stage(spark, clash, AT)
         assert more.columns == clash.columns, name

@@ -84,7 +84,10 @@ def test_score_against_brute_force(spark):
 
 def test_copies_count_less(spark):
     base = "one two three four five six seven eight nine ten eleven twelve "
-    docs = spark.createDataFrame([(i, base + ("x" if i % 9 else "y")) for i in range(100)] + [(999, "another text altogether here"), (999, None)], "doc_id long, text string")
+    docs = spark.createDataFrame(
+        [(i, base + ("x" if i % 9 else "y")) for i in range(100)] + [(999, "another text altogether here"), (999, None)],
+        "doc_id long, text string"
+    )
     labels = spark.createDataFrame([(i, int(i < 64)) for i in range(100)] + [(999, 0)], "doc_id long, toxic int")
     got = T.thinned(docs.join(labels, "doc_id")).collect()
     assert 4 <= sum(r.toxic for r in got) <= 16 and len({r.doc_id for r in got}) == len(got) <= 30 and {r.half for r in got} <= {0, 1}
@@ -93,7 +96,10 @@ def test_copies_count_less(spark):
 
 def test_long_text(spark):
     """A text of more than one chunk is scored whole: the passage is at its end."""
-    docs = spark.createDataFrame([(i, f"plain words {i} " + ("vile filth " if i % 3 == 0 else "")) for i in range(300)] + [(1000, "plain words here " * 120_000 + "vile filth " * 9)], "doc_id long, text string")
+    docs = spark.createDataFrame(
+        [(i, f"plain words {i} " + ("vile filth " if i % 3 == 0 else "")) for i in range(300)] + [(1000, "plain words here " * 120_000 + "vile filth " * 9)],
+        "doc_id long, text string"
+    )
     model = T.train(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int"))
     r = T.score(docs, model).filter("doc_id = 1000").first()
     assert r.predicted == 1 and r.passages[-1].start >= 359_000
@@ -102,7 +108,9 @@ def test_long_text(spark):
 def test_held_out_accuracy(spark):
     at = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{at}/labels.parquet")
-    r = T.op10_toxicity(spark, at).join(labels, "doc_id").filter("held_out").select(F.count("*"), F.sum("toxic"), F.sum((F.col("predicted") == F.col("toxic")).cast("int")), F.sum(F.col("predicted") * F.col("toxic"))).first()
+    r = T.op10_toxicity(spark, at).join(labels, "doc_id").filter("held_out").select(
+        F.count("*"), F.sum("toxic"), F.sum((F.col("predicted") == F.col("toxic")).cast("int")), F.sum(F.col("predicted") * F.col("toxic"))
+    ).first()
     assert r[0] > 500 and r[2] / r[0] > 0.985 and r[3] / r[1] > 0.92
 
 
@@ -116,6 +124,8 @@ def test_odd_and_empty(spark, odd, empty):
 
 
 def test_stage_drops_predicted(spark, odd):
-    hate = spark.createDataFrame([(i, "fine words here " * 5 + ("badword " if i % 2 else "goodword ") * 3) for i in range(200)], "doc_id long, text string")
+    hate = spark.createDataFrame(
+        [(i, "fine words here " * 5 + ("badword " if i % 2 else "goodword ") * 3) for i in range(200)], "doc_id long, text string"
+    )
     labels = spark.createDataFrame([(i, i % 2) for i in range(150)], "doc_id long, toxic int")
     assert {r.doc_id % 2 for r in T.keep(hate, T.train(hate, labels)).collect()} == {0}

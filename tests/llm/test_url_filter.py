@@ -28,7 +28,9 @@ E = [("l", "bad.org", 10, "add", ""), ("l", "bad.org", 20, "remove", ""), ("l",
     ],
 )
 def test_cases(spark, url, day, lists, since):
-    assert run(spark, [(1, url, day, None, "c"), (None, url, day, None, "c")], E) == Counter({(1, day, lists, since, lists != ""): 1, (None, day, lists, since, lists != ""): 1})
+    assert run(
+        spark, [(1, url, day, None, "c"), (None, url, day, None, "c")], E
+    ) == Counter({(1, day, lists, since, lists != ""): 1, (None, day, lists, since, lists != ""): 1})
 
 
 def test_repeated_and_empty(spark):
