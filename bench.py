@@ -23,7 +23,10 @@ from quantloom.operators import sweep as G
 from quantloom.plans.spec import candidates
 
 REPEATS = 3
-DENSE = {"mom.lookback": [2, 3, 4, 6, 8, 12, 16, 24, 36, 48], "mom.threshold": [0.01 * i - 0.03 for i in range(8)], "vol.lookback": [3, 6, 9, 12, 18, 24, 48], "vol.threshold": [0.05 * i + 0.05 for i in range(10)]}
+DENSE = {
+    "mom.lookback": [2, 3, 4, 6, 8, 12, 16, 24, 36, 48], "mom.threshold": [0.01 * i - 0.03 for i in range(8)],
+    "vol.lookback": [3, 6, 9, 12, 18, 24, 48], "vol.threshold": [0.05 * i + 0.05 for i in range(10)]
+}
 
 
 def noop(df) -> None:
@@ -53,7 +56,9 @@ def long_history(spark, d):
     return G.ArrowEvaluator()(minutes(spark, d), candidates(Q.BASE, DENSE, 5600))
 
 
-HEADLINE = {k: Q.QUERIES[k] for k in ("bars_hourly", "feature_zscore", "backtest", "metrics", "feature_ranges", "sweep_windows", "sweep_arrow", "select_top_distinct", "paired_pivot", "candles_keep_last")} | {"sweep_5600": dense, "sweep_5600_long": long_history, "experiment": experiment}
+HEADLINE = {k: Q.QUERIES[k] for k in ("bars_hourly", "feature_zscore", "backtest", "metrics", "feature_ranges", "sweep_windows", "sweep_arrow", "select_top_distinct", "paired_pivot", "candles_keep_last")} | {
+    "sweep_5600": dense, "sweep_5600_long": long_history, "experiment": experiment
+}
 
 
 def main() -> None:

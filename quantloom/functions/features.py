@@ -79,7 +79,9 @@ def with_blocks(df: DataFrame, wanted: Iterable[tuple[str, int]], keys: tuple[st
         within = Window.partitionBy(*keys, "_block")
         sides = {"a": within.orderBy("timestamp").rowsBetween(rows, 0), "z": within.orderBy(F.desc("timestamp")).rowsBetween(rows, 0)}
         for side, over in sides.items():
-            parts = lambda x, o=over: (F.count(x).over(o), F.min(x).over(o), F.max(x).over(o), F.avg(x).over(o), F.var_pop(x).over(o) * F.count(x).over(o))
+            parts = lambda x, o=over: (
+                F.count(x).over(o), F.min(x).over(o), F.max(x).over(o), F.avg(x).over(o), F.var_pop(x).over(o) * F.count(x).over(o)
+            )
             df = df.withColumns({f"_{side}_{p}__{x}": c for x in names for p, c in zip(PARTS, parts(x))})
         df = df.withColumns({f"_z_{p}__{x}": F.lag(f"_z_{p}__{x}", n - 1).over(w) for x in names for p in PARTS})
         one = F.col("_row") % n == n - 1  # the window is a block

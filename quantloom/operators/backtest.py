@@ -18,7 +18,10 @@ from quantloom.functions.features import FEATURES, LONG, by_time, clean, with_bl
 from quantloom.functions.predicates import COMPARE, LOGIC, position
 from quantloom.plans.spec import Condition, Strategy
 
-METRICS = ("cumulative_return", "annualized_return", "sharpe", "annualized_volatility", "max_drawdown", "turnover", "annual_turnover", "n_trades", "exposure", "n_bars")
+METRICS = (
+    "cumulative_return", "annualized_return", "sharpe", "annualized_volatility", "max_drawdown", "turnover", "annual_turnover", "n_trades",
+    "exposure", "n_bars"
+)
 HOURS_PER_YEAR = 8760
 
 
@@ -122,7 +125,10 @@ def metrics(account: DataFrame, per_year: float = HOURS_PER_YEAR, keys: tuple[st
     )
 
 
-def evaluate(bars: DataFrame, strategy: Strategy, start: str | None = None, end: str | None = None, cost_bps: float = 10.0, per_year: float = HOURS_PER_YEAR) -> DataFrame:
+def evaluate(
+    bars: DataFrame, strategy: Strategy, start: str | None = None, end: str | None = None, cost_bps: float = 10.0,
+    per_year: float = HOURS_PER_YEAR
+) -> DataFrame:
     """The metrics of one strategy over a period. The end is cut before the windows, where the scan can use it."""
     return metrics(accounts(period(positions(period(bars, None, end), strategy), start), cost_bps), per_year)
 
@@ -135,11 +141,15 @@ def activity(bars: DataFrame, strategy: Strategy, start: str | None = None, end:
     return x.select("symbol", rows.alias("x")).groupBy("symbol", "x.condition").agg(F.avg("x.holds").alias("share"))
 
 
-def feature_ranges(bars: DataFrame, start: str | None = None, end: str | None = None, lookback: int = 24, fields: tuple[str, ...] = ("close", "volume")) -> DataFrame:
+def feature_ranges(
+    bars: DataFrame, start: str | None = None, end: str | None = None, lookback: int = 24, fields: tuple[str, ...] = ("close", "volume")
+) -> DataFrame:
     """Per symbol, feature and field: the exact 5th, 50th and 95th percentile of the defined values."""
     sources = {column_of(s): s for s in ((k, f, None if v.least is None else lookback) for k, v in FEATURES.items() for f in fields)}
     x = period(wide(period(bars, None, end), sources.values()), start)
     shares = F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))
     q = x.groupBy("symbol").agg(*(F.percentile(c, shares).alias(c) for c in sources))
     rows = F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), F.lit(f).alias("field"), F.col(c).alias("q")) for c, (k, f, _) in sources.items())))
-    return q.select("symbol", rows.alias("x")).filter("x.q IS NOT NULL").select("symbol", "x.feature", "x.field", *(F.get("x.q", i).alias(n) for i, n in enumerate(("p5", "median", "p95"))))
+    return q.select("symbol", rows.alias("x")).filter("x.q IS NOT NULL").select(
+        "symbol", "x.feature", "x.field", *(F.get("x.q", i).alias(n) for i, n in enumerate(("p5", "median", "p95")))
+    )

@@ -44,26 +44,40 @@ def settings_of(record: dict[str, Any]) -> Settings:
 
 def sharpe_stats(table: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     s = F.col("sharpe")
-    return table.groupBy(*keys).agg(F.median(s).alias("median"), F.max(s).alias("best"), F.min(s).alias("worst"), F.avg((s > 0).cast("double")).alias("share_positive"), F.median("n_trades").alias("median_trades"), F.count("*").alias("n"))
+    return table.groupBy(*keys).agg(
+        F.median(s).alias("median"), F.max(s).alias("best"), F.min(s).alias("worst"), F.avg((s > 0).cast("double")).alias("share_positive"),
+        F.median("n_trades").alias("median_trades"), F.count("*").alias("n")
+    )
 
 
-def evaluate_frozen(bars: DataFrame, ids: list[int], chosen: Candidates, period: Period, cost_bps: float = 10.0, per_year: float = HOURS_PER_YEAR, evaluator: Evaluator | None = None) -> DataFrame:
+def evaluate_frozen(
+    bars: DataFrame, ids: list[int], chosen: Candidates, period: Period, cost_bps: float = 10.0, per_year: float = HOURS_PER_YEAR,
+    evaluator: Evaluator | None = None
+) -> DataFrame:
     return (evaluator or ArrowEvaluator())(bars, chosen, period.start, period.end, cost_bps, per_year, ids)
 
 
-def with_benchmarks(bars: DataFrame, ids: list[int], chosen: Candidates, period: Period, settings: Settings, benchmarks: dict[str, Strategy] | None = None, evaluator: Evaluator | None = None) -> DataFrame:
+def with_benchmarks(
+    bars: DataFrame, ids: list[int], chosen: Candidates, period: Period, settings: Settings, benchmarks: dict[str, Strategy] | None = None,
+    evaluator: Evaluator | None = None
+) -> DataFrame:
     """The frozen candidates and the benchmarks on a period, in one sweep: as `evaluate_frozen`, with `benchmark` named
     where a row is one (its candidate is null)."""
     named = list((BENCHMARKS if benchmarks is None else benchmarks).items())
     marks = [-1 - i for i in range(len(named))]
     got = evaluate_frozen(bars, [*ids, *marks], [*chosen, *(({}, s) for _, s in named)], period, settings.cost_bps, settings.per_year, evaluator)
     name = F.create_map(*(F.lit(x) for pair in zip(marks, (n for n, _ in named)) for x in pair)) if named else F.create_map().cast("map<int,string>")
-    return got.withColumn("benchmark", name[F.col("candidate").cast("int")]).withColumn("candidate", F.when(F.col("candidate") >= 0, F.col("candidate")))
+    return got.withColumn("benchmark", name[F.col("candidate").cast("int")]).withColumn(
+        "candidate", F.when(F.col("candidate") >= 0, F.col("candidate"))
+    )
 
 
 def _against(table: DataFrame) -> DataFrame:
     """Per symbol: the statistics of the candidates and the Sharpe ratio of buy-and-hold."""
-    held = table.groupBy("symbol").agg(F.max(F.when(F.col("benchmark") == "buy_and_hold", F.col("sharpe"))).alias("buy_and_hold"), F.min("first").alias("first"), F.max("last").alias("last"))
+    held = table.groupBy("symbol").agg(
+        F.max(F.when(F.col("benchmark") == "buy_and_hold", F.col("sharpe"))).alias("buy_and_hold"), F.min("first").alias("first"),
+        F.max("last").alias("last")
+    )
     return sharpe_stats(table.filter("benchmark IS NULL")).join(held, "symbol")
 
 
@@ -73,24 +87,38 @@ def cross_asset(bars: DataFrame, home: str, ids: list[int], chosen: Candidates,
     return sharpe_stats(evaluate_frozen(other, ids, chosen, settings.validation, settings.cost_bps, settings.per_year, evaluator))
 
 
-def transfer(bars: DataFrame, home: str, ids: list[int], chosen: Candidates, settings: Settings, benchmarks: dict[str, Strategy] | None = None, evaluator: Evaluator | None = None) -> DataFrame:
+def transfer(
+    bars: DataFrame, home: str, ids: list[int], chosen: Candidates, settings: Settings, benchmarks: dict[str, Strategy] | None = None,
+    evaluator: Evaluator | None = None
+) -> DataFrame:
     """The frozen candidates on both periods of every other symbol, beside buy-and-hold there: period, symbol, statistics."""
     other = bars.filter(F.col("symbol") != home)
-    sides = [_against(with_benchmarks(other, ids, chosen, p, settings, benchmarks, evaluator)).withColumn("period", F.lit(what)) for what, p in (("train", settings.train), ("validation", settings.validation))]
+    sides = [
+        _against(with_benchmarks(other, ids, chosen, p, settings, benchmarks, evaluator)).withColumn("period", F.lit(what)) for what,
+        p in (("train", settings.train), ("validation", settings.validation))
+    ]
     return sides[0].unionByName(sides[1])
 
 
-def replicate(bars: DataFrame, home: str, base: Strategy, space: dict[str, list], settings: Settings, benchmarks: dict[str, Strategy] | None = None, evaluator: Evaluator | None = None) -> DataFrame:
+def replicate(
+    bars: DataFrame, home: str, base: Strategy, space: dict[str, list], settings: Settings, benchmarks: dict[str, Strategy] | None = None,
+    evaluator: Evaluator | None = None
+) -> DataFrame:
     """The whole experiment anew on every other symbol, which selects its own: the train distribution (train_*), the
     validation summary (validation_*) and buy-and-hold on validation. Symbols without a selection have nulls there."""
     e = run_experiment(bars.filter(F.col("symbol") != home), base, space, settings, benchmarks, evaluator)
     m = settings.metric
     prefixed = lambda t, p: t.select("symbol", *(F.col(c).alias(f"{p}_{c}") for c in t.columns if c != "symbol"))
     held = e.benchmarks.filter("period = 'validation' AND benchmark = 'buy_and_hold'").select("symbol", F.col(m).alias("buy_and_hold"))
-    return prefixed(summary(e.train, m), "train").join(prefixed(summarize_validation(e.comparison, m), "validation"), "symbol", "left").join(held, "symbol", "left")
+    return prefixed(summary(e.train, m), "train").join(
+        prefixed(summarize_validation(e.comparison, m), "validation"), "symbol", "left"
+    ).join(held, "symbol", "left")
 
 
-def final_test(bars: DataFrame, ids: list[int], chosen: Candidates, period: Period, settings: Settings, log: str, experiment: int, evaluator: Evaluator | None = None) -> tuple[int, DataFrame]:
+def final_test(
+    bars: DataFrame, ids: list[int], chosen: Candidates, period: Period, settings: Settings, log: str, experiment: int,
+    evaluator: Evaluator | None = None
+) -> tuple[int, DataFrame]:
     """How often the final test was used before, and the metrics of candidates and benchmarks now. Every use is logged,
     whichever experiment it is for, and before the test runs."""
     before = store.count_lines(bars.sparkSession, log)
@@ -98,4 +126,7 @@ def final_test(bars: DataFrame, ids: list[int], chosen: Candidates, period: Peri
     return before, with_benchmarks(bars, ids, chosen, period, settings, evaluator=evaluator)
 
 
-__all__ = ["cross_asset", "evaluate_benchmarks", "evaluate_frozen", "final_test", "frozen", "replicate", "select_records", "settings_of", "sharpe_stats", "transfer", "with_benchmarks"]
+__all__ = [
+    "cross_asset", "evaluate_benchmarks", "evaluate_frozen", "final_test", "frozen", "replicate", "select_records", "settings_of",
+    "sharpe_stats", "transfer", "with_benchmarks"
+]

@@ -25,7 +25,10 @@ def family(spec: Column) -> Column:
     """The idea without parameter values: sorted conditions, logic, positions."""
     rules = F.array_sort(F.transform(spec["conditions"], lambda c: F.to_json(F.struct(c["feature"].alias("feature"), c["field"].alias("field"), c["operator"].alias("operator")))))
     logic = F.when(F.size(rules) > 1, F.coalesce(spec["logic"], F.lit("AND"))).otherwise("AND")
-    return F.when(spec["conditions"].isNotNull(), F.to_json(F.struct(rules.alias("conditions"), logic.alias("logic"), F.coalesce(spec["true_position"], F.lit(1)).alias("true_position"), F.coalesce(spec["false_position"], F.lit(0)).alias("false_position"))))
+    return F.when(
+        spec["conditions"].isNotNull(),
+        F.to_json(F.struct(rules.alias("conditions"), logic.alias("logic"), F.coalesce(spec["true_position"], F.lit(1)).alias("true_position"), F.coalesce(spec["false_position"], F.lit(0)).alias("false_position")))
+    )
 
 
 def with_flags(records: DataFrame) -> DataFrame:
@@ -78,19 +81,26 @@ def rejection_codes(records: DataFrame, by: list[str]) -> DataFrame:
 def totals(table: DataFrame, by: str = "model") -> DataFrame:
     """Sums and means of run summaries per model or dataset."""
     sums = ("iterations", "completed", "llm_calls", "holds_up", "useful", "beats_buy_and_hold", "unit_problems", "auto_corrections")
-    out = table.groupBy(by).agg(*(F.sum(c).alias(c) for c in sums), F.count("*").alias("runs"), F.round(F.avg("first_try_valid"), 3).alias("first_try_valid"), F.round(F.avg("families"), 1).alias("families_per_run"))
+    out = table.groupBy(by).agg(
+        *(F.sum(c).alias(c) for c in sums), F.count("*").alias("runs"), F.round(F.avg("first_try_valid"), 3).alias("first_try_valid"),
+        F.round(F.avg("families"), 1).alias("families_per_run")
+    )
     return out.withColumn("useful_per_10_calls", F.round(10 * F.col("useful") / F.nullif(F.col("llm_calls"), F.lit(0)), 2))
 
 
 def pairs(table: DataFrame, base: str, other: str, metric: str = "useful_per_10_calls") -> DataFrame:
     """(dataset, seed, base, other, difference) where both models have a run."""
     wide = table.groupBy("dataset", "seed").pivot("model", [base, other]).agg(F.avg(metric))
-    return wide.select("dataset", "seed", F.col(f"`{base}`").alias("base"), F.col(f"`{other}`").alias("other")).dropna(subset=["base", "other"]).withColumn("difference", F.col("other") - F.col("base"))
+    return wide.select(
+        "dataset", "seed", F.col(f"`{base}`").alias("base"), F.col(f"`{other}`").alias("other")
+    ).dropna(subset=["base", "other"]).withColumn("difference", F.col("other") - F.col("base"))
 
 
 def paired_summary(p: DataFrame, by: list[str] | None = None) -> DataFrame:
     d = F.col("difference")
-    return p.groupBy(*(by or [])).agg(F.count("*").alias("pairs"), F.count_if(d > 0).alias("wins"), F.count_if(d < 0).alias("losses"), F.avg(d).alias("mean_difference"))
+    return p.groupBy(*(by or [])).agg(
+        F.count("*").alias("pairs"), F.count_if(d > 0).alias("wins"), F.count_if(d < 0).alias("losses"), F.avg(d).alias("mean_difference")
+    )
 
 
 def interval(differences: Iterable[float], draws: int = 10_000, seed: int = 0) -> tuple[float, float]:
@@ -112,7 +122,9 @@ def paired_comparison(table: DataFrame, metric: str = "useful_per_10_calls", n_b
         return None
     shown = lambda r: {**r, "mean_difference": round(r["mean_difference"], 2)}
     each = {r.dataset: shown({k: v for k, v in r.asDict().items() if k != "dataset"}) for r in paired_summary(p, ["dataset"]).collect()}
-    return dict(zip(("base", "other"), models)) | shown(whole) | {"metric": metric, "ci95": interval((r.difference for r in p.collect()), n_boot, seed), "per_dataset": each}
+    return dict(zip(("base", "other"), models)) | shown(whole) | {
+        "metric": metric, "ci95": interval((r.difference for r in p.collect()), n_boot, seed), "per_dataset": each
+    }
 
 
 def top_per_group(table: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
@@ -152,7 +164,9 @@ def build_examples(records: DataFrame, held_out: list[str], runs: DataFrame | No
     An example repeats another if rules, positions and the values asked for are the same.
     """
     x = with_flags(records)
-    x = x.join(runs.select("run", "system_prompt", "replayed"), "run", "left") if runs is not None else x.withColumns({"system_prompt": F.lit(None).cast("string"), "replayed": F.lit(False)})
+    x = x.join(
+        runs.select("run", "system_prompt", "replayed"), "run", "left"
+    ) if runs is not None else x.withColumns({"system_prompt": F.lit(None).cast("string"), "replayed": F.lit(False)})
     silent = F.lit(runs is not None) & (F.coalesce("replayed", F.lit(False)) | (F.coalesce("system_prompt", F.lit("")) == ""))
     x = x.withColumn("reason", F.when(silent, NO_PROMPT).when(F.col("dataset").isin(*held_out), "held-out market").otherwise(rejection_reason(x)))
     rules = F.array_sort(F.transform("strategy_spec.conditions", lambda c: F.to_json(F.struct(*(c[f].alias(f) for f in ("feature", "field", "operator", "lookback", "threshold"))))))

@@ -60,7 +60,10 @@ def required_trades(n_bars: Column, rate: float, per_year: float = HOURS_PER_YEA
     return F.lit(rate) * n_bars / F.lit(per_year)
 
 
-def ranked(table: DataFrame, metric: str = "sharpe", rate: float = 0.0, per_year: float = HOURS_PER_YEAR, distinct: bool = True, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+def ranked(
+    table: DataFrame, metric: str = "sharpe", rate: float = 0.0, per_year: float = HOURS_PER_YEAR, distinct: bool = True,
+    keys: tuple[str, ...] = ("symbol",)
+) -> DataFrame:
     """Eligible candidates with train_rank per key: by the metric, ties to the lower id; of those that traded alike,
     the best-ranked only. Metrics are compared to 12 digits, as distributed sums may differ in the last bits."""
     told = lambda c: F.format_string("%.11e", F.col(c).cast("double"))
@@ -72,7 +75,10 @@ def ranked(table: DataFrame, metric: str = "sharpe", rate: float = 0.0, per_year
     return ok.withColumn("train_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*best)))
 
 
-def select_top(table: DataFrame, n: int, metric: str = "sharpe", rate: float = 0.0, per_year: float = HOURS_PER_YEAR, distinct: bool = True, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+def select_top(
+    table: DataFrame, n: int, metric: str = "sharpe", rate: float = 0.0, per_year: float = HOURS_PER_YEAR, distinct: bool = True,
+    keys: tuple[str, ...] = ("symbol",)
+) -> DataFrame:
     """(keys, candidate, train_rank) of the n best of each key."""
     return ranked(table, metric, rate, per_year, distinct, keys).filter(F.col("train_rank") <= n).select(*keys, "candidate", "train_rank")
 
@@ -98,7 +104,9 @@ def summarize_validation(table: DataFrame, metric: str = "sharpe", keys: tuple[s
     )
 
 
-def summarize_costs(train: DataFrame, selected: DataFrame, cost: float = 0.001, per_year: float = HOURS_PER_YEAR, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+def summarize_costs(
+    train: DataFrame, selected: DataFrame, cost: float = 0.001, per_year: float = HOURS_PER_YEAR, keys: tuple[str, ...] = ("symbol",)
+) -> DataFrame:
     """Medians of what the selected candidates trade and pay on train; over all of a key's candidates if none is selected."""
     x = train.join(selected.select(*keys, "candidate", F.lit(True).alias("_in")), [*keys, "candidate"], "left")
     some = F.max(F.coalesce("_in", F.lit(False))).over(Window.partitionBy(*keys))
@@ -111,7 +119,10 @@ def summarize_costs(train: DataFrame, selected: DataFrame, cost: float = 0.001,
     )
 
 
-def warnings(train: DataFrame, selected: DataFrame, table: DataFrame, benchmarks: DataFrame, shares: DataFrame, settings: Settings, strategy: Strategy, space: dict[str, list], keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+def warnings(
+    train: DataFrame, selected: DataFrame, table: DataFrame, benchmarks: DataFrame, shares: DataFrame, settings: Settings,
+    strategy: Strategy, space: dict[str, list], keys: tuple[str, ...] = ("symbol",)
+) -> DataFrame:
     """(keys, rules): the names of the red flags of each key's experiment, in their order.
 
     One-row aggregates per key meet in joins; each rule is a predicate over them. `shares` holds condition activities,
@@ -119,10 +130,15 @@ def warnings(train: DataFrame, selected: DataFrame, table: DataFrame, benchmarks
     """
     k, m = list(keys), settings.metric
     signature = F.count_distinct(*(F.coalesce(F.format_string("%.11e", F.col(c).cast("double")), F.lit("")) for c in SIGNATURE))
-    t = train.groupBy(*k).agg(F.count("*").alias("n"), signature.alias("n_distinct"), F.count_if(F.col("n_trades") == 0).alias("never"), median(m).alias("train_median"))
+    t = train.groupBy(*k).agg(
+        F.count("*").alias("n"), signature.alias("n_distinct"), F.count_if(F.col("n_trades") == 0).alias("never"),
+        median(m).alias("train_median")
+    )
     s = shares.groupBy(*k).agg(F.max((F.col("share") >= 0.99).cast("int")).alias("loose"), F.max((F.col("share") <= 0.01).cast("int")).alias("tight"))
     costs = summarize_costs(train, selected, settings.cost, settings.per_year, keys).select(*k, "median_annual_cost", "median_annualized_return")
-    bars = benchmarks.groupBy(*k).agg(F.max("n_bars").alias("validation_bars"), F.max(F.when(F.col("benchmark") == "buy_and_hold", F.col(m))).alias("bh"))
+    bars = benchmarks.groupBy(*k).agg(
+        F.max("n_bars").alias("validation_bars"), F.max(F.when(F.col("benchmark") == "buy_and_hold", F.col(m))).alias("bh")
+    )
     v = table.join(bars, k, "left").groupBy(*k).agg(
         F.count("*").alias("n_selected"), median(f"train_{m}").alias("tm"), median(f"validation_{m}").alias("vm"), F.max(f"validation_{m}").alias("best"), F.first("bh").alias("bh"),
         F.sum((F.col("validation_n_trades") < F.lit(settings.min_trades_per_year) * F.col("validation_bars") / settings.per_year).cast("int")).alias("few"), median("validation_exposure").alias("exposure"),
@@ -177,10 +193,15 @@ class Experiment:
             df.unpersist()
 
     def warnings(self) -> DataFrame:
-        return warnings(self.train, self.selected, self.comparison, self.benchmarks.filter("period = 'validation'"), self.activity, self.settings, self.strategy, self.space)
+        return warnings(
+            self.train, self.selected, self.comparison, self.benchmarks.filter("period = 'validation'"), self.activity, self.settings,
+            self.strategy, self.space
+        )
 
 
-def evaluate_benchmarks(bars: DataFrame, settings: Settings, benchmarks: dict[str, Strategy] | None = None, evaluator: Evaluator | None = None) -> DataFrame:
+def evaluate_benchmarks(
+    bars: DataFrame, settings: Settings, benchmarks: dict[str, Strategy] | None = None, evaluator: Evaluator | None = None
+) -> DataFrame:
     """The benchmarks' metrics in both periods, by the same evaluator: period, benchmark, symbol and metrics."""
     named, run = list((BENCHMARKS if benchmarks is None else benchmarks).items()), evaluator or ArrowEvaluator()
     ids = [-1 - i for i in range(len(named))]
@@ -194,7 +215,10 @@ def benchmark_rows(train: DataFrame, validation: DataFrame, names: list[str]) ->
         train, validation = train.limit(0), validation.limit(0)
     name = F.get(F.array(*map(F.lit, names)).cast("array<string>"), (-1 - F.col("candidate")).cast("int"))
     row = ("symbol", "first", "last", *METRICS)
-    sides = [t.filter("candidate < 0").select(F.lit(p).alias("period"), name.alias("benchmark"), *row) for t, p in ((train, "train"), (validation, "validation"))]
+    sides = [
+        t.filter("candidate < 0").select(F.lit(p).alias("period"), name.alias("benchmark"), *row) for t,
+        p in ((train, "train"), (validation, "validation"))
+    ]
     return sides[0].unionByName(sides[1])
 
 
@@ -218,7 +242,10 @@ def best_activity(bars: DataFrame, base: Strategy, chosen: list[tuple[int, Strat
     return one.groupBy("symbol", F.get(names, F.col("at")).alias("condition")).agg(F.avg(F.col("holds").cast("double")).alias("share"))
 
 
-def run_experiment(bars: DataFrame, base: Strategy, space: dict[str, list], settings: Settings, benchmarks: dict[str, Strategy] | None = None, evaluator: Evaluator | None = None) -> Experiment:
+def run_experiment(
+    bars: DataFrame, base: Strategy, space: dict[str, list], settings: Settings, benchmarks: dict[str, Strategy] | None = None,
+    evaluator: Evaluator | None = None
+) -> Experiment:
     """Sweep TRAIN, select, retest the selected on VALIDATION with frozen parameters.
 
     Bars at or after the end of validation are cut off before anything is computed. Each symbol selects its own. The bars

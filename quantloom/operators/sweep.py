@@ -25,7 +25,10 @@ Candidates = list[tuple[dict[str, Any], Strategy]]
 
 
 class Evaluator(Protocol):
-    def __call__(self, bars: DataFrame, candidates: Candidates, start: str | None = None, end: str | None = None, cost_bps: float = 10.0, per_year: float = HOURS_PER_YEAR, ids: list[int] | None = None) -> DataFrame:
+    def __call__(
+        self, bars: DataFrame, candidates: Candidates, start: str | None = None, end: str | None = None, cost_bps: float = 10.0,
+        per_year: float = HOURS_PER_YEAR, ids: list[int] | None = None
+    ) -> DataFrame:
         """candidate, symbol, first and last bar, and the metrics."""
 
 
@@ -34,7 +37,10 @@ def compiled(candidates: Candidates, ids: list[int] | None) -> tuple[list, list[
     sources = sorted({c.source for _, s in candidates for c in s.conditions}, key=str)
     at = {s: i for i, s in enumerate(sources)}
     ids = list(range(len(candidates))) if ids is None else ids
-    return sources, [(i, [(at[c.source], c.operator, float(c.threshold)) for c in s.conditions], s.logic, float(s.true_position), float(s.false_position)) for i, (_, s) in zip(ids, candidates)]
+    return sources, [
+        (i, [(at[c.source], c.operator, float(c.threshold)) for c in s.conditions], s.logic, float(s.true_position), float(s.false_position)) for i,
+        (_, s) in zip(ids, candidates)
+    ]
 
 
 SPEC = "candidate long, conditions array<struct<at:int,op:string,t:double>>, logic string, yes double, no double"
@@ -57,7 +63,9 @@ class SqlEvaluator:
         )
         keys = ("candidate", "symbol")
         a = accounts(x.select("candidate", "symbol", "timestamp", "close", "position"), cost_bps, keys)
-        return metrics(a, per_year, keys, (F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))).select("candidate", "symbol", "first", "last", *METRICS)
+        return metrics(
+            a, per_year, keys, (F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+        ).select("candidate", "symbol", "first", "last", *METRICS)
 
 
 def holds(values: np.ndarray, op: str, threshold: float) -> np.ndarray:
@@ -134,7 +142,10 @@ class ArrowEvaluator:
         fields = sorted({f for k, f, _ in sources if k in ARRAYS} - {"close"})
         x = wide(bars, windows) if windows else bars
         inside = F.lit(True) if start is None else F.col("timestamp") >= moment(start, x.schema["timestamp"].dataType)
-        x = x.select("symbol", "timestamp", inside.alias("inside"), *(clean(F.col(f)).alias(f"f{i}") for i, f in enumerate(["close", *fields])), *(F.col(column_of(s)).alias(f"v{i}") for i, s in enumerate(windows)))
+        x = x.select(
+            "symbol", "timestamp", inside.alias("inside"), *(clean(F.col(f)).alias(f"f{i}") for i, f in enumerate(["close", *fields])),
+            *(F.col(column_of(s)).alias(f"v{i}") for i, s in enumerate(windows))
+        )
         kind = x.schema["timestamp"].dataType.simpleString()
         cores = spark.sparkContext.defaultParallelism
         chunks = [specs[i : i + self.chunk] for i in range(0, len(specs), self.chunk)]
@@ -157,7 +168,9 @@ class ArrowEvaluator:
             values = [None] * len(sources)
             for i, s in enumerate(sources):
                 values[i] = np.empty(len(live)) if i not in used else ARRAYS[s[0]](raw[s[1]], s[2]) if s[0] in ARRAYS else get(f"v{windows.index(s)}")
-            got = kernel(raw["close"], np.stack(values) if values else np.empty((0, len(live))), own, begin, cost_bps / 10_000, per_year) if own else {m: np.empty(0) for m in METRICS}
+            got = kernel(
+                raw["close"], np.stack(values) if values else np.empty((0, len(live))), own, begin, cost_bps / 10_000, per_year
+            ) if own else {m: np.empty(0) for m in METRICS}
             k, ts = len(own), t.column("timestamp").combine_chunks()
             ends = [pa.nulls(0, ts.type)] * 2 if not k else [ts.take(pa.array(np.full(k, i))) for i in (begin, len(ts) - 1)]
             counts = ("n_trades", "n_bars")
@@ -196,4 +209,6 @@ def summary(table: DataFrame, metric: str = "sharpe", keys: tuple[str, ...] = ("
 
 def sensitivity(table: DataFrame, metric: str = "sharpe", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """The mean of a metric for each value of each parameter."""
-    return table.select(*keys, metric, F.explode("params").alias("parameter", "value")).groupBy(*keys, "parameter", "value").agg(F.avg(metric).alias("mean"))
+    return table.select(
+        *keys, metric, F.explode("params").alias("parameter", "value")
+    ).groupBy(*keys, "parameter", "value").agg(F.avg(metric).alias("mean"))

@@ -122,11 +122,16 @@ for _name, _f in FEATURES.items():
 _OTHER = {"momentum": "open", "distance_to_max": "high", "rolling_min": "low"}
 
 
-@query("feature_fields", f"WITH {HOURLY} SELECT symbol, timestamp, {', '.join(f'round({sql_feature(k, x, 9)}, 8) AS {k}_{x}' for k, x in _OTHER.items())} FROM bars")
+@query(
+    "feature_fields",
+    f"WITH {HOURLY} SELECT symbol, timestamp, {', '.join(f'round({sql_feature(k, x, 9)}, 8) AS {k}_{x}' for k, x in _OTHER.items())} FROM bars"
+)
 def feature_fields(spark, d):
     """Features over the fields that no other query asks for."""
     sources = {f"{k}_{x}": (k, x, 9) for k, x in _OTHER.items()}
-    return B.wide(hourly(spark, d), sources.values()).select("symbol", "timestamp", *(F.round(B.column_of(v), 8).alias(n) for n, v in sources.items()))
+    return B.wide(hourly(spark, d), sources.values()).select(
+        "symbol", "timestamp", *(F.round(B.column_of(v), 8).alias(n) for n, v in sources.items())
+    )
 
 
 def _spec(yes: int = 1, no: int = 0, logic: str = "AND", ops: tuple[str, str] = (">", "<")) -> Strategy:
@@ -144,7 +149,10 @@ def sql_position(yes: int, no: int, logic: str = "AND", ops: tuple[str, str] = (
 
 for _logic, _yes, _no, _ops in (("AND", 1, 0, (">", "<")), ("OR", 1, -1, (">=", "<=")), ("AND", -1, 1, ("<", ">=")), ("OR", 0, 1, ("<=", ">"))):
 
-    @query(f"positions_{_logic.lower()}_{_yes}_{_no}".replace("-", "m"), f"WITH {HOURLY}, {FEATURED} SELECT symbol, timestamp, {sql_position(_yes, _no, _logic, _ops)} AS position FROM f")
+    @query(
+        f"positions_{_logic.lower()}_{_yes}_{_no}".replace("-", "m"),
+        f"WITH {HOURLY}, {FEATURED} SELECT symbol, timestamp, {sql_position(_yes, _no, _logic, _ops)} AS position FROM f"
+    )
     def _run(spark, d, s=_spec(_yes, _no, _logic, _ops)):
         return B.positions(hourly(spark, d), s).select("symbol", "timestamp", "position")
 
@@ -163,7 +171,10 @@ POS = f"{HOURLY}, {FEATURED}, pos AS (SELECT symbol, timestamp, close, {sql_posi
 ACCOUNT = ("return", "held_position", "turnover", "cost", "strategy_return", "cumulative_return")
 
 
-@query("backtest", f"WITH {POS}, {sql_accounts('symbol')} SELECT symbol, timestamp, position, {', '.join(f'round({c}, 8) AS {c}' for c in ACCOUNT)} FROM acc")
+@query(
+    "backtest",
+    f"WITH {POS}, {sql_accounts('symbol')} SELECT symbol, timestamp, position, {', '.join(f'round({c}, 8) AS {c}' for c in ACCOUNT)} FROM acc"
+)
 def backtest(spark, d):
     return rounded(B.accounts(B.positions(hourly(spark, d), LONG_SHORT)).select("symbol", "timestamp", "position", *ACCOUNT))
 
@@ -173,7 +184,11 @@ def metrics(spark, d):
     return rounded(B.evaluate(hourly(spark, d), LONG_SHORT, per_year=MONTH))
 
 
-@query("metrics_period", f"WITH {POS.replace('FROM f)', f'''FROM f WHERE timestamp >= TIMESTAMP '{VALIDATION.start}' AND timestamp < TIMESTAMP '{VALIDATION.end}')''')}, {sql_accounts('symbol')}, {sql_metrics('symbol')} SELECT symbol, {NAMES} FROM m")
+@query(
+    "metrics_period",
+    f"WITH {POS.replace('FROM f)', f'''FROM f WHERE timestamp >= TIMESTAMP '{VALIDATION.start}' AND timestamp < TIMESTAMP '{VALIDATION.end}')''')}, "
+        f"{sql_accounts('symbol')}, {sql_metrics('symbol')} SELECT symbol, {NAMES} FROM m"
+)
 def metrics_period(spark, d):
     """Warm features, cold accounts."""
     return rounded(B.evaluate(hourly(spark, d), LONG_SHORT, VALIDATION.start, VALIDATION.end, per_year=MONTH))
@@ -182,21 +197,40 @@ def metrics_period(spark, d):
 DAILY_SPEC = Strategy.parse({"name": "z", "conditions": [{"feature": "zscore", "field": "close", "lookback": 20, "operator": "<", "threshold": -0.5}], "true_position": 1})
 
 
-@query("metrics_daily", f"WITH {DAILY}, pos AS (SELECT symbol, timestamp, close, coalesce(CASE WHEN {sql_feature('zscore', 'close', 20)} < -0.5 THEN 1 ELSE 0 END, 0)::DOUBLE AS position FROM bars), {sql_accounts('symbol')}, {sql_metrics('symbol', 252.0)} SELECT symbol, n_trades, exposure, n_bars, turnover, round(max_drawdown, 6) AS max_drawdown FROM m")
+@query(
+    "metrics_daily",
+    f"WITH {DAILY}, pos AS (SELECT symbol, timestamp, close, coalesce(CASE WHEN {sql_feature('zscore', 'close', 20)} < "
+        f"-0.5 THEN 1 ELSE 0 END, 0)::DOUBLE AS position FROM bars), {sql_accounts('symbol')}, {sql_metrics('symbol', 252.0)} "
+        f"SELECT symbol, n_trades, exposure, n_bars, turnover, round(max_drawdown, 6) AS max_drawdown FROM m"
+)
 def metrics_daily(spark, d):
     m = B.evaluate(daily(spark, d), DAILY_SPEC, per_year=252.0)
     return rounded(m.select("symbol", "n_trades", "exposure", "n_bars", "turnover", F.round("max_drawdown", 6).alias("max_drawdown")))
 
 
-@query("condition_activity", f"WITH {HOURLY}, {FEATURED} SELECT symbol, 'mom' AS condition, round(avg((mom > 0.0123)::INT), 8) AS share FROM f WHERE timestamp < TIMESTAMP '{TRAIN.end}' GROUP BY 1 UNION ALL SELECT symbol, 'vol', round(avg((vol < 0.2345)::INT), 8) FROM f WHERE timestamp < TIMESTAMP '{TRAIN.end}' GROUP BY 1")
+@query(
+    "condition_activity",
+    f"WITH {HOURLY}, {FEATURED} SELECT symbol, 'mom' AS condition, round(avg((mom > 0.0123)::INT), 8) AS share FROM f "
+        f"WHERE timestamp < TIMESTAMP '{TRAIN.end}' GROUP BY 1 UNION ALL SELECT symbol, 'vol', round(avg((vol < 0.2345)::INT), "
+        f"8) FROM f WHERE timestamp < TIMESTAMP '{TRAIN.end}' GROUP BY 1"
+)
 def condition_activity(spark, d):
     return rounded(B.activity(hourly(spark, d), LONG_SHORT, TRAIN.start, TRAIN.end))
 
 
-_ranges = " UNION ALL ".join(f"SELECT symbol, '{k}' AS feature, '{x}' AS field, {sql_feature(k, f'ret_{x}' if v.stacked else x, None if v.least is None else 24)} AS value FROM r" for k, v in FEATURES.items() for x in ("close", "volume"))
+_ranges = " UNION ALL ".join(
+    f"SELECT symbol, '{k}' AS feature, '{x}' AS field, {sql_feature(k, f'ret_{x}' if v.stacked else x, None if v.least is None else 24)} AS value FROM r" for k,
+    v in FEATURES.items() for x in ("close", "volume")
+)
 
 
-@query("feature_ranges", f"WITH {HOURLY}, r AS (SELECT *, {sql_feature('returns', 'close', None)} AS ret_close, {sql_feature('returns', 'volume', None)} AS ret_volume FROM bars WHERE timestamp < TIMESTAMP '{TRAIN.end}'), v AS ({_ranges}) SELECT symbol, feature, field, round(quantile_cont(value, 0.05), 8) AS p5, round(quantile_cont(value, 0.5), 8) AS median, round(quantile_cont(value, 0.95), 8) AS p95 FROM v WHERE value IS NOT NULL GROUP BY ALL")
+@query(
+    "feature_ranges",
+    f"WITH {HOURLY}, r AS (SELECT *, {sql_feature('returns', 'close', None)} AS ret_close, {sql_feature('returns', 'volume', None)} "
+        f"AS ret_volume FROM bars WHERE timestamp < TIMESTAMP '{TRAIN.end}'), v AS ({_ranges}) SELECT symbol, feature, field, "
+        f"round(quantile_cont(value, 0.05), 8) AS p5, round(quantile_cont(value, 0.5), 8) AS median, round(quantile_cont(value, "
+        f"0.95), 8) AS p95 FROM v WHERE value IS NOT NULL GROUP BY ALL"
+)
 def feature_ranges(spark, d):
     return rounded(B.feature_ranges(hourly(spark, d), TRAIN.start, TRAIN.end))
 
@@ -216,7 +250,10 @@ allpos AS (SELECT candidate, symbol, timestamp, close, CASE WHEN mom IS NULL OR
 
 def sql_sweep(p: X.Period, round_: bool = True) -> str:
     low = f" AND timestamp >= TIMESTAMP '{p.start}'" if p.start else ""
-    return f"{HOURLY}, {SWEEP_F}, pos AS (SELECT * FROM allpos WHERE timestamp < TIMESTAMP '{p.end}'{low}), {sql_accounts('candidate, symbol')}, {sql_metrics('candidate, symbol', MONTH, round_)}"
+    return (
+        f"{HOURLY}, {SWEEP_F}, pos AS (SELECT * FROM allpos WHERE timestamp < TIMESTAMP '{p.end}'{low}), {sql_accounts('candidate, symbol')}, "
+        f"{sql_metrics('candidate, symbol', MONTH, round_)}"
+    )
 
 
 SWEEP_COLUMNS = f"candidate, symbol, first, last, {NAMES}"
@@ -232,7 +269,12 @@ query("sweep_arrow", f"WITH {sql_sweep(TRAIN)} SELECT {SWEEP_COLUMNS} FROM m")(l
 query("sweep_validation", f"WITH {sql_sweep(VALIDATION)} SELECT {SWEEP_COLUMNS} FROM m")(lambda spark, d: rounded(sweep(spark, d, VALIDATION)))
 
 
-@query("sweep_summary", f"WITH {sql_sweep(TRAIN, False)} SELECT symbol, count(*) AS n_candidates, round(min(sharpe), 8) AS min, {', '.join(f'round(quantile_cont(sharpe, {q}), 8) AS {n}' for q, n in ((0.1, 'p10'), (0.25, 'p25'), (0.5, 'median'), (0.75, 'p75'), (0.9, 'p90')))}, round(max(sharpe), 8) AS max, round(avg((sharpe > 0)::INT), 8) AS share_positive, count(*) FILTER (WHERE sharpe IS NULL) AS n_undefined FROM m GROUP BY symbol")
+@query(
+    "sweep_summary",
+    f"WITH {sql_sweep(TRAIN, False)} SELECT symbol, count(*) AS n_candidates, round(min(sharpe), 8) AS min, {', '.join(f'round(quantile_cont(sharpe, {q}), 8) AS {n}' for q, n in ((0.1, 'p10'), (0.25, 'p25'), (0.5, 'median'), (0.75, 'p75'), (0.9, 'p90')))}, "
+        f"round(max(sharpe), 8) AS max, round(avg((sharpe > 0)::INT), 8) AS share_positive, count(*) FILTER (WHERE sharpe "
+        f"IS NULL) AS n_undefined FROM m GROUP BY symbol"
+)
 def sweep_summary(spark, d):
     return rounded(G.summary(sweep(spark, d)))
 
@@ -240,7 +282,10 @@ def sweep_summary(spark, d):
 _params = {"mom.lookback": "ml", "mom.threshold": "mt", "vol.lookback": "vl", "vol.threshold": "vt"}
 
 
-@query("parameter_sensitivity", f"WITH {sql_sweep(TRAIN, False)} " + " UNION ALL ".join(f"SELECT symbol, '{k}' AS parameter, {c}::DOUBLE AS value, round(avg(sharpe), 8) AS mean FROM m JOIN cand USING (candidate) GROUP BY ALL" for k, c in _params.items()))
+@query(
+    "parameter_sensitivity",
+    f"WITH {sql_sweep(TRAIN, False)} " + " UNION ALL ".join(f"SELECT symbol, '{k}' AS parameter, {c}::DOUBLE AS value, round(avg(sharpe), 8) AS mean FROM m JOIN cand USING (candidate) GROUP BY ALL" for k, c in _params.items())
+)
 def parameter_sensitivity(spark, d):
     return rounded(G.sensitivity(G.with_parameters(sweep(spark, d), GRID)), "value")
 
@@ -259,7 +304,11 @@ def select_top_distinct(spark, d):
 _vm = sql_sweep(VALIDATION, False).split(f"{SWEEP_F}, ")[1]
 for _n in ("pos", "acc0", "acc1", "acc2", "acc", "dd", "m"):
     _vm = _vm.replace(f"{_n} AS (", f"v_{_n} AS (").replace(f"FROM {_n} ", f"FROM v_{_n} ").replace(f"FROM {_n})", f"FROM v_{_n})")
-COMPARED = f"{SELECTED}, {_vm}, cmp AS (SELECT s.symbol, s.candidate, s.train_rank::INT AS train_rank, s.sharpe AS train_sharpe, v.sharpe AS validation_sharpe, s.exposure AS train_exposure, v.exposure AS validation_exposure, v.n_trades AS validation_n_trades, v.sharpe - s.sharpe AS sharpe_change FROM sel s JOIN v_m v USING (symbol, candidate))"
+COMPARED = (
+    f"{SELECTED}, {_vm}, cmp AS (SELECT s.symbol, s.candidate, s.train_rank::INT AS train_rank, s.sharpe AS train_sharpe, "
+    f"v.sharpe AS validation_sharpe, s.exposure AS train_exposure, v.exposure AS validation_exposure, v.n_trades AS validation_n_trades, "
+    f"v.sharpe - s.sharpe AS sharpe_change FROM sel s JOIN v_m v USING (symbol, candidate))"
+)
 
 
 def comparison(spark, d):
@@ -267,31 +316,63 @@ def comparison(spark, d):
     return X.compare(t, v, X.select_top(t, SETTINGS.top_n, "sharpe", SETTINGS.min_trades_per_year, MONTH))
 
 
-@query("compare_train_validation", f"{COMPARED} SELECT symbol, candidate, train_rank, {', '.join(f'round({c}, 8) AS {c}' for c in ('train_sharpe', 'validation_sharpe', 'train_exposure', 'validation_exposure', 'sharpe_change'))}, validation_n_trades FROM cmp")
+@query(
+    "compare_train_validation",
+    f"{COMPARED} SELECT symbol, candidate, train_rank, {', '.join(f'round({c}, 8) AS {c}' for c in ('train_sharpe', 'validation_sharpe', 'train_exposure', 'validation_exposure', 'sharpe_change'))}, "
+        f"validation_n_trades FROM cmp"
+)
 def compare_train_validation(spark, d):
     return rounded(comparison(spark, d).select("symbol", "candidate", "train_rank", "train_sharpe", "validation_sharpe", "train_exposure", "validation_exposure", "sharpe_change", "validation_n_trades"))
 
 
-@query("validation_summary", f"{COMPARED} SELECT symbol, count(*) AS n_retested, round(median(validation_sharpe), 8) AS median, round(max(validation_sharpe), 8) AS best, round(min(validation_sharpe), 8) AS worst, round(avg(coalesce(validation_sharpe > 0, false)::INT), 8) AS share_positive, round(median(train_sharpe), 8) AS train_median_of_selected, round(median(sharpe_change), 8) AS median_change, min_by(candidate, train_rank) AS train_best, round(min_by(train_sharpe, train_rank), 8) AS train_best_train, round(min_by(validation_sharpe, train_rank), 8) AS train_best_validation FROM cmp GROUP BY symbol")
+@query(
+    "validation_summary",
+    f"{COMPARED} SELECT symbol, count(*) AS n_retested, round(median(validation_sharpe), 8) AS median, round(max(validation_sharpe), "
+        f"8) AS best, round(min(validation_sharpe), 8) AS worst, round(avg(coalesce(validation_sharpe > 0, false)::INT), 8) "
+        f"AS share_positive, round(median(train_sharpe), 8) AS train_median_of_selected, round(median(sharpe_change), 8) AS "
+        f"median_change, min_by(candidate, train_rank) AS train_best, round(min_by(train_sharpe, train_rank), 8) AS train_best_train, "
+        f"round(min_by(validation_sharpe, train_rank), 8) AS train_best_validation FROM cmp GROUP BY symbol"
+)
 def validation_summary(spark, d):
     return rounded(X.summarize_validation(comparison(spark, d)))
 
 
-@query("cost_summary", f"{SELECTED} SELECT symbol, 'selected' AS scope, count(*) AS n, round(median(m.n_trades / (n_bars / {MONTH}::DOUBLE)), 8) AS median_trades_per_year, round(median(n_bars / nullif(m.n_trades, 0)), 8) AS median_bars_between_trades, round(median(m.exposure), 8) AS median_exposure, round(median(annual_turnover * 0.001::DOUBLE), 8) AS median_annual_cost, round(median(annualized_return), 8) AS median_annualized_return FROM m JOIN (SELECT symbol, candidate FROM sel) USING (symbol, candidate) GROUP BY symbol")
+@query(
+    "cost_summary",
+    f"{SELECTED} SELECT symbol, 'selected' AS scope, count(*) AS n, round(median(m.n_trades / (n_bars / {MONTH}::DOUBLE)), "
+        f"8) AS median_trades_per_year, round(median(n_bars / nullif(m.n_trades, 0)), 8) AS median_bars_between_trades, round(median(m.exposure), "
+        f"8) AS median_exposure, round(median(annual_turnover * 0.001::DOUBLE), 8) AS median_annual_cost, round(median(annualized_return), "
+        f"8) AS median_annualized_return FROM m JOIN (SELECT symbol, candidate FROM sel) USING (symbol, candidate) GROUP BY symbol"
+)
 def cost_summary(spark, d):
     t = sweep(spark, d)
     return rounded(X.summarize_costs(t, X.select_top(t, SETTINGS.top_n, "sharpe", SETTINGS.min_trades_per_year, MONTH), 0.001, MONTH))
 
 
-@query("benchmarks", f"WITH {HOURLY}, b AS (SELECT *, {sql_feature('momentum', 'close', 24)} AS mom FROM bars), allpos AS (SELECT 'buy_and_hold' AS benchmark, symbol, timestamp, close, 1::DOUBLE AS position FROM b UNION ALL SELECT 'flat', symbol, timestamp, close, 0 FROM b UNION ALL SELECT 'naive_momentum_24', symbol, timestamp, close, CASE WHEN mom IS NULL THEN 0 WHEN mom > 0 THEN 1 ELSE -1 END FROM b), pos AS (SELECT 'train' AS period, * FROM allpos WHERE timestamp < TIMESTAMP '{TRAIN.end}' UNION ALL SELECT 'validation', * FROM allpos WHERE timestamp >= TIMESTAMP '{VALIDATION.start}' AND timestamp < TIMESTAMP '{VALIDATION.end}'), {sql_accounts('period, benchmark, symbol')}, {sql_metrics('period, benchmark, symbol')} SELECT period, benchmark, symbol, first, last, {NAMES} FROM m")
+@query(
+    "benchmarks",
+    f"WITH {HOURLY}, b AS (SELECT *, {sql_feature('momentum', 'close', 24)} AS mom FROM bars), allpos AS (SELECT 'buy_and_hold' "
+        f"AS benchmark, symbol, timestamp, close, 1::DOUBLE AS position FROM b UNION ALL SELECT 'flat', symbol, timestamp, "
+        f"close, 0 FROM b UNION ALL SELECT 'naive_momentum_24', symbol, timestamp, close, CASE WHEN mom IS NULL THEN 0 WHEN "
+        f"mom > 0 THEN 1 ELSE -1 END FROM b), pos AS (SELECT 'train' AS period, * FROM allpos WHERE timestamp < TIMESTAMP "
+        f"'{TRAIN.end}' UNION ALL SELECT 'validation', * FROM allpos WHERE timestamp >= TIMESTAMP '{VALIDATION.start}' AND "
+        f"timestamp < TIMESTAMP '{VALIDATION.end}'), {sql_accounts('period, benchmark, symbol')}, {sql_metrics('period, benchmark, symbol')} "
+        f"SELECT period, benchmark, symbol, first, last, {NAMES} FROM m"
+)
 def benchmarks(spark, d):
     return rounded(X.evaluate_benchmarks(hourly(spark, d), SETTINGS, BENCHMARKS))
 
 
-_nested = {"bh_sharpe": ("buy_and_hold", "sharpe"), "flat_trades": ("flat", "n_trades"), "naive_turnover": ("naive_momentum_24", "turnover"), "first": ("flat", "first"), "last": ("flat", "last")}
+_nested = {
+    "bh_sharpe": ("buy_and_hold", "sharpe"), "flat_trades": ("flat", "n_trades"), "naive_turnover": ("naive_momentum_24", "turnover"),
+    "first": ("flat", "first"), "last": ("flat", "last")
+}
 
 
-@query("benchmark_summary", ORACLES["benchmarks"].replace("SELECT period, benchmark, symbol, first", ", q AS (SELECT period, benchmark, symbol, first") + ") SELECT symbol, period, " + ", ".join(f"any_value({m}) FILTER (WHERE benchmark = '{b}') AS {n}" for n, (b, m) in _nested.items()) + " FROM q GROUP BY symbol, period")
+@query(
+    "benchmark_summary",
+    ORACLES["benchmarks"].replace("SELECT period, benchmark, symbol, first", ", q AS (SELECT period, benchmark, symbol, first") + ") SELECT symbol, period, " + ", ".join(f"any_value({m}) FILTER (WHERE benchmark = '{b}') AS {n}" for n, (b, m) in _nested.items()) + " FROM q GROUP BY symbol, period"
+)
 def benchmark_summary(spark, d):
     nested = X.summarize_benchmarks(X.evaluate_benchmarks(hourly(spark, d), SETTINGS, BENCHMARKS))
     return rounded(nested.select("symbol", "period", *(F.col("benchmarks")[b][m].alias(n) for n, (b, m) in _nested.items())))
@@ -348,12 +429,21 @@ def rule_tables(spark, d):
     """Train, comparison, benchmark and activity tables for each customer, by rules on its key."""
     o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("k")).distinct()
     x = o.withColumns({"symbol": F.concat(F.lit("s"), F.col("k")), "base": F.col("k") % 3 - F.lit(1.0), "candidate": F.explode(F.sequence(F.lit(0), F.lit(3)))}).withColumn("candidate", F.col("candidate").cast("long"))
-    train = x.select("symbol", "k", "candidate", *(F.expr(e).alias(n) for n, e in _V.items()), F.create_map(F.lit("a.threshold"), F.col("candidate") * 1.0).alias("params"))
+    train = x.select(
+        "symbol", "k", "candidate", *(F.expr(e).alias(n) for n, e in _V.items()),
+        F.create_map(F.lit("a.threshold"), F.col("candidate") * 1.0).alias("params")
+    )
     selected = X.select_top(train, 2, "sharpe", 0.02, 1.0)
     validation = train.withColumns({"sharpe": F.expr("CASE k % 7 WHEN 0 THEN -0.5D WHEN 1 THEN sharpe / 3 ELSE sharpe + 0.1D END"), "n_trades": F.expr("CASE WHEN k % 6 = 0 THEN 0L ELSE n_trades END")}).withColumns({m: F.lit(0.0) for m in ("max_drawdown",)})
     compared = X.compare(train.withColumn("max_drawdown", F.lit(0.0)), validation, selected)
-    benches = o.select(F.concat(F.lit("s"), F.col("k")).alias("symbol"), F.lit("buy_and_hold").alias("benchmark"), F.lit(100).cast("long").alias("n_bars"), F.expr("CASE WHEN k % 8 = 0 THEN NULL ELSE k % 2 - 0.5D END").alias("sharpe"))
-    shares = o.select(F.concat(F.lit("s"), F.col("k")).alias("symbol"), F.explode(F.expr("array(named_struct('condition', 'a', 'share', k % 101 / 100D), named_struct('condition', 'b', 'share', CAST(NULL AS DOUBLE)))")).alias("x")).select("symbol", "x.*")
+    benches = o.select(
+        F.concat(F.lit("s"), F.col("k")).alias("symbol"), F.lit("buy_and_hold").alias("benchmark"), F.lit(100).cast("long").alias("n_bars"),
+        F.expr("CASE WHEN k % 8 = 0 THEN NULL ELSE k % 2 - 0.5D END").alias("sharpe")
+    )
+    shares = o.select(
+        F.concat(F.lit("s"), F.col("k")).alias("symbol"),
+        F.explode(F.expr("array(named_struct('condition', 'a', 'share', k % 101 / 100D), named_struct('condition', 'b', 'share', CAST(NULL AS DOUBLE)))")).alias("x")
+    ).select("symbol", "x.*")
     return train.drop("k"), selected, compared, benches, shares
 
 
@@ -375,7 +465,9 @@ def warning_rules(spark, d):
     """Each red flag on tables that raise it for some symbols and not for others."""
     base = Strategy.parse({"name": "a", "conditions": [{"id": "a", "feature": "momentum", "field": "close", "lookback": 3, "operator": ">", "threshold": 0.0}]})
     s = X.Settings(TRAIN, VALIDATION, min_trades_per_year=0.02, per_year=1.0)
-    return X.warnings(*rule_tables(spark, d), s, base, {"a.threshold": [0.0, 1.0, 2.0, 3.0]}).select("symbol", F.array_join("rules", ",").alias("rules"))
+    return X.warnings(
+        *rule_tables(spark, d), s, base, {"a.threshold": [0.0, 1.0, 2.0, 3.0]}
+    ).select("symbol", F.array_join("rules", ",").alias("rules"))
 
 
 FINAL = X.Period("2024-01-24", "2024-02-01")
@@ -386,11 +478,19 @@ def final_test(spark, d):
     return rounded(evaluate_frozen(hourly(spark, d), [1, 5, 11], [GRID[i] for i in (1, 5, 11)], FINAL, 10.0, MONTH))
 
 
-_STATS = "round(median(sharpe), 8) AS median, round(max(sharpe), 8) AS best, round(min(sharpe), 8) AS worst, round(avg((sharpe > 0)::INT), 8) AS share_positive, median(n_trades)::DOUBLE AS median_trades, count(*) AS n"
-query("sharpe_stats", f"WITH {sql_sweep(VALIDATION, False)} SELECT symbol, {_STATS} FROM m GROUP BY symbol")(lambda spark, d: rounded(sharpe_stats(sweep(spark, d, VALIDATION))))
+_STATS = (
+    "round(median(sharpe), 8) AS median, round(max(sharpe), 8) AS best, round(min(sharpe), 8) AS worst, round(avg((sharpe "
+    "> 0)::INT), 8) AS share_positive, median(n_trades)::DOUBLE AS median_trades, count(*) AS n"
+)
+query(
+    "sharpe_stats", f"WITH {sql_sweep(VALIDATION, False)} SELECT symbol, {_STATS} FROM m GROUP BY symbol"
+)(lambda spark, d: rounded(sharpe_stats(sweep(spark, d, VALIDATION))))
 
 
-@query("cross_asset", f"WITH {sql_sweep(VALIDATION, False)} SELECT symbol, {_STATS} FROM m WHERE candidate IN (0, 7) AND symbol <> 'click' GROUP BY symbol")
+@query(
+    "cross_asset",
+    f"WITH {sql_sweep(VALIDATION, False)} SELECT symbol, {_STATS} FROM m WHERE candidate IN (0, 7) AND symbol <> 'click' GROUP BY symbol"
+)
 def cross(spark, d):
     return rounded(cross_asset(hourly(spark, d), "click", [0, 7], [GRID[0], GRID[7]], SETTINGS))
 
@@ -400,23 +500,49 @@ def sql_against(p: X.Period, ids: str, what: str) -> str:
     low = f"timestamp >= TIMESTAMP '{p.start}' AND " if p.start else ""
     held = f"SELECT -1 AS candidate, symbol, timestamp, close, 1::DOUBLE AS position FROM bars"
     own = sql_sweep(p, False).replace("pos AS (SELECT * FROM allpos WHERE", f"pos AS (SELECT * FROM (SELECT * FROM allpos UNION ALL {held}) WHERE", 1)
-    return f"(WITH {own} SELECT s.*, b.sharpe AS buy_and_hold, b.first, b.last, '{what}' AS period FROM (SELECT symbol, {_STATS} FROM m WHERE candidate IN ({ids}) GROUP BY symbol) s JOIN (SELECT symbol, round(sharpe, 8) AS sharpe, first, last FROM m WHERE candidate = -1) b USING (symbol))"
+    return (
+        f"(WITH {own} SELECT s.*, b.sharpe AS buy_and_hold, b.first, b.last, '{what}' AS period FROM (SELECT symbol, {_STATS} "
+        f"FROM m WHERE candidate IN ({ids}) GROUP BY symbol) s JOIN (SELECT symbol, round(sharpe, 8) AS sharpe, first, last "
+        f"FROM m WHERE candidate = -1) b USING (symbol))"
+    )
 
 
-@query("cross_asset_transfer", f"SELECT * FROM {sql_against(TRAIN, '0, 7', 'train')} WHERE symbol <> 'click' UNION ALL BY NAME SELECT * FROM {sql_against(VALIDATION, '0, 7', 'validation')} WHERE symbol <> 'click'")
+@query(
+    "cross_asset_transfer",
+    f"SELECT * FROM {sql_against(TRAIN, '0, 7', 'train')} WHERE symbol <> 'click' UNION ALL BY NAME SELECT * FROM {sql_against(VALIDATION, '0, 7', 'validation')} WHERE symbol <> 'click'"
+)
 def cross_transfer(spark, d):
     return rounded(transfer(hourly(spark, d), "click", [0, 7], [GRID[0], GRID[7]], SETTINGS))
 
 
-@query("cross_asset_replicate", f"{COMPARED}, h AS (SELECT symbol, buy_and_hold FROM {sql_against(VALIDATION, '0', 'validation')}), tr AS (SELECT symbol, count(*) AS train_n_candidates, round(median(sharpe), 8) AS train_median, round(max(sharpe), 8) AS train_max FROM m GROUP BY symbol), va AS (SELECT symbol, count(*) AS validation_n_retested, round(median(validation_sharpe), 8) AS validation_median, round(max(validation_sharpe), 8) AS validation_best, min_by(candidate, train_rank) AS validation_train_best FROM cmp GROUP BY symbol) SELECT symbol, train_n_candidates, train_median, train_max, validation_n_retested, validation_median, validation_best, validation_train_best, buy_and_hold FROM tr LEFT JOIN va USING (symbol) LEFT JOIN h USING (symbol) WHERE symbol <> 'click'")
+@query(
+    "cross_asset_replicate",
+    f"{COMPARED}, h AS (SELECT symbol, buy_and_hold FROM {sql_against(VALIDATION, '0', 'validation')}), tr AS (SELECT "
+        f"symbol, count(*) AS train_n_candidates, round(median(sharpe), 8) AS train_median, round(max(sharpe), 8) AS train_max "
+        f"FROM m GROUP BY symbol), va AS (SELECT symbol, count(*) AS validation_n_retested, round(median(validation_sharpe), "
+        f"8) AS validation_median, round(max(validation_sharpe), 8) AS validation_best, min_by(candidate, train_rank) AS validation_train_best "
+        f"FROM cmp GROUP BY symbol) SELECT symbol, train_n_candidates, train_median, train_max, validation_n_retested, validation_median, "
+        f"validation_best, validation_train_best, buy_and_hold FROM tr LEFT JOIN va USING (symbol) LEFT JOIN h USING (symbol) WHERE symbol <> 'click'"
+)
 def cross_replicate(spark, d):
     return rounded(replicate(hourly(spark, d), "click", BASE, SPACE, SETTINGS).select("symbol", "train_n_candidates", "train_median", "train_max", "validation_n_retested", "validation_median", "validation_best", "validation_train_best", "buy_and_hold"))
 
 
-_BENCH_POS = f"SELECT 'buy_and_hold' AS benchmark, symbol, timestamp, close, 1::DOUBLE AS position FROM b UNION ALL SELECT 'flat', symbol, timestamp, close, 0 FROM b UNION ALL SELECT 'naive_momentum_24', symbol, timestamp, close, CASE WHEN mom24 IS NULL THEN 0 WHEN mom24 > 0 THEN 1 ELSE -1 END FROM b"
+_BENCH_POS = (
+    f"SELECT 'buy_and_hold' AS benchmark, symbol, timestamp, close, 1::DOUBLE AS position FROM b UNION ALL SELECT 'flat', "
+    f"symbol, timestamp, close, 0 FROM b UNION ALL SELECT 'naive_momentum_24', symbol, timestamp, close, CASE WHEN mom24 "
+    f"IS NULL THEN 0 WHEN mom24 > 0 THEN 1 ELSE -1 END FROM b"
+)
 
 
-@query("final_test_benchmarks", f"WITH {HOURLY}, {SWEEP_F}, b AS (SELECT *, {sql_feature('momentum', 'close', 24)} AS mom24 FROM bars), pos AS (SELECT * FROM (SELECT candidate, NULL AS benchmark, symbol, timestamp, close, position FROM allpos WHERE candidate IN (1, 5) UNION ALL SELECT NULL, * FROM ({_BENCH_POS})) WHERE timestamp >= TIMESTAMP '{FINAL.start}' AND timestamp < TIMESTAMP '{FINAL.end}'), {sql_accounts('candidate, benchmark, symbol')}, {sql_metrics('candidate, benchmark, symbol')} SELECT {SWEEP_COLUMNS}, benchmark FROM m")
+@query(
+    "final_test_benchmarks",
+    f"WITH {HOURLY}, {SWEEP_F}, b AS (SELECT *, {sql_feature('momentum', 'close', 24)} AS mom24 FROM bars), pos AS (SELECT "
+        f"* FROM (SELECT candidate, NULL AS benchmark, symbol, timestamp, close, position FROM allpos WHERE candidate IN (1, "
+        f"5) UNION ALL SELECT NULL, * FROM ({_BENCH_POS})) WHERE timestamp >= TIMESTAMP '{FINAL.start}' AND timestamp < TIMESTAMP "
+        f"'{FINAL.end}'), {sql_accounts('candidate, benchmark, symbol')}, {sql_metrics('candidate, benchmark, symbol')} SELECT "
+        f"{SWEEP_COLUMNS}, benchmark FROM m"
+)
 def final_test_benchmarks(spark, d):
     return rounded(with_benchmarks(hourly(spark, d), [1, 5], [GRID[1], GRID[5]], FINAL, SETTINGS))
 
@@ -424,26 +550,49 @@ def final_test_benchmarks(spark, d):
 # ---- sources -------------------------------------------------------------------------------------------------------
 
 
-@query("candles_keep_last", "SELECT symbol, timestamp, open, high, low, close, volume FROM (SELECT event_type AS symbol, make_timestamptz(epoch_ms(date_trunc('hour', ts)) * 1000) AS timestamp, value AS open, value AS high, value AS low, value AS close, user_id::DOUBLE AS volume, row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
+@query("candles_keep_last", "SELECT symbol, timestamp, open, high, low, close, volume FROM (SELECT event_type AS symbol, make_timestamptz(epoch_ms(date_trunc('hour', "
+    "ts)) * 1000) AS timestamp, value AS open, value AS high, value AS low, value AS close, user_id::DOUBLE AS volume, "
+    "row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
 def candles_keep_last(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     ms = F.unix_millis(F.date_trunc("hour", F.col("ts").cast("timestamp")))
     return S.from_candles(e.select(F.col("event_type").alias("symbol"), ms.alias("ms"), *(F.col("value").alias(c) for c in S.PRICES), F.col("user_id").alias("volume"), F.col("event_id").alias("seq")))
 
 
-@query("daily_history", "SELECT symbol, timestamp, open, high, low, close, CASE WHEN max(volume) OVER (PARTITION BY symbol) > 0 THEN volume END AS volume FROM (SELECT o_orderpriority AS symbol, date_trunc('day', o_orderdate)::TIMESTAMP AS timestamp, o_totalprice AS open, o_totalprice AS high, o_totalprice AS low, o_totalprice AS close, CASE WHEN o_orderpriority LIKE '1%' THEN 0 ELSE 1 END::DOUBLE AS volume, row_number() OVER (PARTITION BY o_orderpriority, date_trunc('day', o_orderdate) ORDER BY o_orderkey DESC) AS n FROM orders WHERE o_orderkey % 5 <> 0) WHERE n = 1")
+@query(
+    "daily_history",
+    "SELECT symbol, timestamp, open, high, low, close, CASE WHEN max(volume) OVER (PARTITION BY symbol) > 0 THEN volume "
+        "END AS volume FROM (SELECT o_orderpriority AS symbol, date_trunc('day', o_orderdate)::TIMESTAMP AS timestamp, o_totalprice "
+        "AS open, o_totalprice AS high, o_totalprice AS low, o_totalprice AS close, CASE WHEN o_orderpriority LIKE '1%' THEN "
+        "0 ELSE 1 END::DOUBLE AS volume, row_number() OVER (PARTITION BY o_orderpriority, date_trunc('day', o_orderdate) "
+        "ORDER BY o_orderkey DESC) AS n FROM orders WHERE o_orderkey % 5 <> 0) WHERE n = 1"
+)
 def daily_history(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet")
     price = F.col("o_totalprice")
     return S.from_daily(o.select(F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").alias("date"), price.alias("open"), price.alias("high"), price.alias("low"), F.when(F.col("o_orderkey") % 5 != 0, price).alias("close"), F.when(F.col("o_orderpriority").startswith("1"), 0.0).otherwise(1.0).alias("volume"), F.col("o_orderkey").alias("seq")))
 
 
-query("missing_bars", f"WITH {HOURLY} SELECT symbol, count(*) AS n_bars, min(timestamp) AS first, max(timestamp) AS last, ((epoch(max(timestamp)) - epoch(min(timestamp))) / 3600)::BIGINT + 1 - count(*) AS n_missing FROM bars GROUP BY symbol")(lambda spark, d: S.missing_bars(hourly(spark, d), 3600))
-query("bar_label", f"WITH {HOURLY}, g AS (SELECT symbol, epoch(timestamp) - epoch(lag(timestamp) OVER {W}) AS gap FROM bars) SELECT symbol, median(gap)::DOUBLE AS seconds, CASE WHEN median(gap) % 3600 = 0 THEN (median(gap) / 3600)::INT || 'h' ELSE (median(gap) / 60)::INT || 'm' END AS label FROM g GROUP BY symbol")(lambda spark, d: S.bar_seconds(hourly(spark, d)))
-query("duplicate_bars", f"WITH {HOURLY} SELECT symbol, timestamp, count(*) AS count FROM bars GROUP BY ALL HAVING count(*) > 1")(lambda spark, d: S.duplicates(hourly(spark, d)))
+query(
+    "missing_bars",
+    f"WITH {HOURLY} SELECT symbol, count(*) AS n_bars, min(timestamp) AS first, max(timestamp) AS last, ((epoch(max(timestamp)) "
+        f"- epoch(min(timestamp))) / 3600)::BIGINT + 1 - count(*) AS n_missing FROM bars GROUP BY symbol"
+)(lambda spark, d: S.missing_bars(hourly(spark, d), 3600))
+query(
+    "bar_label",
+    f"WITH {HOURLY}, g AS (SELECT symbol, epoch(timestamp) - epoch(lag(timestamp) OVER {W}) AS gap FROM bars) SELECT symbol, "
+        f"median(gap)::DOUBLE AS seconds, CASE WHEN median(gap) % 3600 = 0 THEN (median(gap) / 3600)::INT || 'h' ELSE (median(gap) "
+        f"/ 60)::INT || 'm' END AS label FROM g GROUP BY symbol"
+)(lambda spark, d: S.bar_seconds(hourly(spark, d)))
+query(
+    "duplicate_bars", f"WITH {HOURLY} SELECT symbol, timestamp, count(*) AS count FROM bars GROUP BY ALL HAVING count(*) > 1"
+)(lambda spark, d: S.duplicates(hourly(spark, d)))
 
 query("dataset_label", f"WITH {HOURLY} SELECT symbol FROM bars ORDER BY timestamp, symbol LIMIT 1")(lambda spark, d: R.first_symbol(hourly(spark, d)))
-query("epoch_millis", "SELECT o_orderkey, epoch_ms(o_orderdate) AS naive, epoch_ms(o_orderdate) - 5400000 AS zoned FROM orders")(lambda spark, d: spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", S.to_millis(F.col("o_orderdate")).alias("naive"), S.to_millis(F.concat(F.col("o_orderdate").cast("string"), F.lit("+01:30"))).alias("zoned")))
+query("epoch_millis", "SELECT o_orderkey, epoch_ms(o_orderdate) AS naive, epoch_ms(o_orderdate) - 5400000 AS zoned FROM orders")(
+    lambda spark,
+    d: spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", S.to_millis(F.col("o_orderdate")).alias("naive"), S.to_millis(F.concat(F.col("o_orderdate").cast("string"), F.lit("+01:30"))).alias("zoned"))
+)
 
 
 @query("usable_bars", f"WITH {HOURLY} SELECT symbol, timestamp, close FROM bars")
@@ -460,7 +609,10 @@ _grid_columns = ", ".join(f'"{k}"' for k in SPACE)
 _places = ", ".join(f"i{j}" for j in range(len(SPACE)))
 
 
-@query("parameter_grid", f"SELECT row_number() OVER (ORDER BY {_places}) - 1 AS candidate, {_grid_columns} FROM " + " CROSS JOIN ".join(f'(SELECT unnest({[float(x) for x in v]}::DOUBLE[]) AS "{k}", unnest(range({len(v)})) AS i{j})' for j, (k, v) in enumerate(SPACE.items())))
+@query(
+    "parameter_grid",
+    f"SELECT row_number() OVER (ORDER BY {_places}) - 1 AS candidate, {_grid_columns} FROM " + " CROSS JOIN ".join(f'(SELECT unnest({[float(x) for x in v]}::DOUBLE[]) AS "{k}", unnest(range({len(v)})) AS i{j})' for j, (k, v) in enumerate(SPACE.items()))
+)
 def parameter_grid(spark, d):
     """Every combination with its number, the first parameter slowest."""
     rows = [(i, *(float(p[k]) for k in SPACE)) for i, (p, _) in enumerate(GRID)]
@@ -470,7 +622,13 @@ def parameter_grid(spark, d):
 _RANGES = {"a.lookback": {"min": 168, "max": 6}, "b.threshold": {"min": -0.037, "max": 0.1}, "b.lookback": [5.0, 9.0]}
 
 
-@query("range_expansion", "WITH n AS (SELECT max(k) AS n FROM range(2, 13) t(k) WHERE k = 2 OR 2 * k * k <= 100), i AS (SELECT unnest(range(n)) AS i, n FROM n), v AS (SELECT 'a.lookback' AS parameter, round(6 * pow(168 / 6.0, i / (n - 1)::DOUBLE)) AS value FROM i UNION SELECT 'b.threshold', CAST(printf('%.4g', -0.037::DOUBLE + (0.1::DOUBLE - -0.037::DOUBLE) * i / (n - 1)) AS DOUBLE) FROM i UNION SELECT 'b.lookback', unnest([5.0::DOUBLE, 9.0::DOUBLE])) SELECT parameter, value FROM v")
+@query(
+    "range_expansion",
+    "WITH n AS (SELECT max(k) AS n FROM range(2, 13) t(k) WHERE k = 2 OR 2 * k * k <= 100), i AS (SELECT unnest(range(n)) "
+        "AS i, n FROM n), v AS (SELECT 'a.lookback' AS parameter, round(6 * pow(168 / 6.0, i / (n - 1)::DOUBLE)) AS value "
+        "FROM i UNION SELECT 'b.threshold', CAST(printf('%.4g', -0.037::DOUBLE + (0.1::DOUBLE - -0.037::DOUBLE) * i / (n "
+        "- 1)) AS DOUBLE) FROM i UNION SELECT 'b.lookback', unnest([5.0::DOUBLE, 9.0::DOUBLE])) SELECT parameter, value FROM v"
+)
 def range_expansion(spark, d):
     """Ranges as lists that fit a budget of 100, beside a list that stays."""
     rows = [(k, float(x)) for k, v in expand(_RANGES, 100).items() for x in v]
@@ -479,7 +637,14 @@ def range_expansion(spark, d):
 
 # ---- history analytics over runs made of conversations and events ---------------------------------------------------
 
-_RUNS = "SELECT user_id AS seed, event_type AS dataset, CASE WHEN event_id % 2 = 0 THEN 'base' ELSE 'base+v1' END AS model, count(*) AS iterations, count(*) FILTER (WHERE value > 5) AS completed, sum(user_id % 7)::BIGINT AS llm_calls, count(*) FILTER (WHERE value > 20) AS holds_up, count(*) FILTER (WHERE value > 40) AS useful, count(*) FILTER (WHERE value > 60) AS beats_buy_and_hold, count(*) FILTER (WHERE value < 1) AS unit_problems, count(*) FILTER (WHERE value < 2) AS auto_corrections, avg((value > 10)::INT)::DOUBLE AS first_try_valid, count(DISTINCT user_id % 5) AS families, avg(value) AS score FROM events GROUP BY ALL"
+_RUNS = (
+    "SELECT user_id AS seed, event_type AS dataset, CASE WHEN event_id % 2 = 0 THEN 'base' ELSE 'base+v1' END AS model, "
+    "count(*) AS iterations, count(*) FILTER (WHERE value > 5) AS completed, sum(user_id % 7)::BIGINT AS llm_calls, count(*) "
+    "FILTER (WHERE value > 20) AS holds_up, count(*) FILTER (WHERE value > 40) AS useful, count(*) FILTER (WHERE value "
+    "> 60) AS beats_buy_and_hold, count(*) FILTER (WHERE value < 1) AS unit_problems, count(*) FILTER (WHERE value < "
+    "2) AS auto_corrections, avg((value > 10)::INT)::DOUBLE AS first_try_valid, count(DISTINCT user_id % 5) AS families, "
+    "avg(value) AS score FROM events GROUP BY ALL"
+)
 
 
 def run_table(spark, d) -> DataFrame:
@@ -491,43 +656,85 @@ def run_table(spark, d) -> DataFrame:
     )
 
 
-@query("totals_by_model", f"WITH t AS ({_RUNS}) SELECT model, {', '.join(f'sum({c})::BIGINT AS {c}' for c in ('iterations', 'completed', 'llm_calls', 'holds_up', 'useful', 'beats_buy_and_hold', 'unit_problems', 'auto_corrections'))}, count(*) AS runs, round(avg(first_try_valid), 3) AS first_try_valid, round(avg(families), 1) AS families_per_run, round(10 * sum(useful)::DOUBLE / nullif(sum(llm_calls), 0), 2) AS useful_per_10_calls FROM t GROUP BY model")
+@query(
+    "totals_by_model",
+    f"WITH t AS ({_RUNS}) SELECT model, {', '.join(f'sum({c})::BIGINT AS {c}' for c in ('iterations', 'completed', 'llm_calls', 'holds_up', 'useful', 'beats_buy_and_hold', 'unit_problems', 'auto_corrections'))}, "
+        f"count(*) AS runs, round(avg(first_try_valid), 3) AS first_try_valid, round(avg(families), 1) AS families_per_run, "
+        f"round(10 * sum(useful)::DOUBLE / nullif(sum(llm_calls), 0), 2) AS useful_per_10_calls FROM t GROUP BY model"
+)
 def totals_by_model(spark, d):
     return H.totals(run_table(spark, d), "model")
 
 
-@query("filtered_totals", f"WITH t AS ({_RUNS}) SELECT dataset, {', '.join(f'sum({c})::BIGINT AS {c}' for c in ('iterations', 'completed', 'llm_calls', 'holds_up', 'useful', 'beats_buy_and_hold', 'unit_problems', 'auto_corrections'))}, count(*) AS runs, round(avg(first_try_valid), 3) AS first_try_valid, round(avg(families), 1) AS families_per_run, round(10 * sum(useful)::DOUBLE / nullif(sum(llm_calls), 0), 2) AS useful_per_10_calls FROM t WHERE model = 'base+v1' AND dataset IN ('click', 'error') GROUP BY dataset")
+@query(
+    "filtered_totals",
+    f"WITH t AS ({_RUNS}) SELECT dataset, {', '.join(f'sum({c})::BIGINT AS {c}' for c in ('iterations', 'completed', 'llm_calls', 'holds_up', 'useful', 'beats_buy_and_hold', 'unit_problems', 'auto_corrections'))}, "
+        f"count(*) AS runs, round(avg(first_try_valid), 3) AS first_try_valid, round(avg(families), 1) AS families_per_run, "
+        f"round(10 * sum(useful)::DOUBLE / nullif(sum(llm_calls), 0), 2) AS useful_per_10_calls FROM t WHERE model = 'base+v1' "
+        f"AND dataset IN ('click', 'error') GROUP BY dataset"
+)
 def filtered_totals(spark, d):
     return H.totals(R.only(run_table(spark, d), dataset=["click", "error"], model=["base+v1"]), "dataset")
 
 
-_PAIRS = f"WITH t AS ({_RUNS}), p AS (SELECT dataset, seed, avg(score) FILTER (WHERE model = 'base') AS base, avg(score) FILTER (WHERE model = 'base+v1') AS other FROM t GROUP BY ALL)"
+_PAIRS = (
+    f"WITH t AS ({_RUNS}), p AS (SELECT dataset, seed, avg(score) FILTER (WHERE model = 'base') AS base, avg(score) FILTER "
+    f"(WHERE model = 'base+v1') AS other FROM t GROUP BY ALL)"
+)
 
 
-@query("paired_pivot", f"{_PAIRS} SELECT dataset, seed, round(base, 8) AS base, round(other, 8) AS other, round(other - base, 8) AS difference FROM p WHERE base IS NOT NULL AND other IS NOT NULL")
+@query(
+    "paired_pivot",
+    f"{_PAIRS} SELECT dataset, seed, round(base, 8) AS base, round(other, 8) AS other, round(other - base, 8) AS difference "
+        f"FROM p WHERE base IS NOT NULL AND other IS NOT NULL"
+)
 def paired_pivot(spark, d):
     return rounded(H.pairs(run_table(spark, d), "base", "base+v1", "score"))
 
 
-@query("paired_summary", f"{_PAIRS} SELECT dataset, count(*) AS pairs, count(*) FILTER (WHERE other > base) AS wins, count(*) FILTER (WHERE other < base) AS losses, round(avg(other - base), 8) AS mean_difference FROM p WHERE base IS NOT NULL AND other IS NOT NULL GROUP BY dataset")
+@query(
+    "paired_summary",
+    f"{_PAIRS} SELECT dataset, count(*) AS pairs, count(*) FILTER (WHERE other > base) AS wins, count(*) FILTER (WHERE "
+        f"other < base) AS losses, round(avg(other - base), 8) AS mean_difference FROM p WHERE base IS NOT NULL AND other "
+        f"IS NOT NULL GROUP BY dataset"
+)
 def paired_summary(spark, d):
     return rounded(H.paired_summary(H.pairs(run_table(spark, d), "base", "base+v1", "score"), ["dataset"]))
 
 
-@query("top_k_per_group", "SELECT event_type, event_id, value, rank::INT AS rank FROM (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank <= 5")
+@query(
+    "top_k_per_group",
+    "SELECT event_type, event_id, value, rank::INT AS rank FROM (SELECT event_type, event_id, value, row_number() OVER "
+        "(PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank <= 5"
+)
 def top_k_per_group(spark, d):
-    return H.top_per_group(spark.read.parquet(f"{d}/events.parquet").select("event_type", "event_id", "value"), ["event_type"], [F.desc("value"), F.asc("event_id")], 5)
+    return H.top_per_group(
+        spark.read.parquet(f"{d}/events.parquet").select("event_type", "event_id", "value"), ["event_type"],
+        [F.desc("value"), F.asc("event_id")], 5
+    )
 
 
-@query("run_split", "SELECT o_orderkey, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(sha256('run' || o_orderkey), ''), lambda c: (strpos('0123456789abcdef', c) - 1)::BIGINT)), lambda a, b: (a * 16 + b) % 1000) < 100 AS in_validation FROM orders")
+@query(
+    "run_split",
+    "SELECT o_orderkey, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(sha256('run' || o_orderkey), "
+        "''), lambda c: (strpos('0123456789abcdef', c) - 1)::BIGINT)), lambda a, b: (a * 16 + b) % 1000) < 100 AS in_validation FROM orders"
+)
 def run_split(spark, d):
-    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", H.in_validation(F.concat(F.lit("run"), F.col("o_orderkey").cast("string"))).alias("in_validation"))
+    return spark.read.parquet(f"{d}/orders.parquet").select(
+        "o_orderkey", H.in_validation(F.concat(F.lit("run"), F.col("o_orderkey").cast("string"))).alias("in_validation")
+    )
 
 
 _like = lambda words: " OR ".join(f"contains(lower(p_name), '{w}')" for w in words)
 
 
-@query("direction_mismatch", f"SELECT p_partkey, CASE WHEN ({_like(H.UP_WORDS)}) <> ({_like(H.DOWN_WORDS)}) THEN (({_like(H.UP_WORDS)}) AND p_size % 3 - 1 = -1) OR (({_like(H.DOWN_WORDS)}) AND p_size % 3 - 1 = 1) ELSE false END AS mismatch FROM (SELECT p_partkey, p_size, p_name || CASE p_partkey % 4 WHEN 0 THEN ' a Rally' WHEN 1 THEN ' bearish' WHEN 2 THEN ' rise and decline' ELSE '' END AS p_name FROM part)")
+@query(
+    "direction_mismatch",
+    f"SELECT p_partkey, CASE WHEN ({_like(H.UP_WORDS)}) <> ({_like(H.DOWN_WORDS)}) THEN (({_like(H.UP_WORDS)}) AND p_size "
+        f"% 3 - 1 = -1) OR (({_like(H.DOWN_WORDS)}) AND p_size % 3 - 1 = 1) ELSE false END AS mismatch FROM (SELECT p_partkey, "
+        f"p_size, p_name || CASE p_partkey % 4 WHEN 0 THEN ' a Rally' WHEN 1 THEN ' bearish' WHEN 2 THEN ' rise and decline' "
+        f"ELSE '' END AS p_name FROM part)"
+)
 def direction_mismatch(spark, d):
     p = spark.read.parquet(f"{d}/part.parquet")
     k = F.col("p_partkey") % 4
@@ -545,7 +752,8 @@ RECORD = {
     "share": "(o_orderkey % 101) / CAST(100 AS DOUBLE)", "bh": "CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE (o_custkey % 9 - 4) / CAST(2 AS DOUBLE) END", "lookback": "CAST(3 + o_orderkey % 4 AS INT)",
     "feature": "CASE o_custkey % 4 WHEN 0 THEN 'momentum' WHEN 1 THEN 'zscore' WHEN 2 THEN 'volatility' ELSE 'rolling_mean' END", "threshold": "(o_custkey % 5) / CAST(4 AS DOUBLE)",
     "swept": "CAST(o_orderkey % 7 AS DOUBLE)", "code": "CASE o_orderkey % 4 WHEN 0 THEN 'MALFORMED_JSON' WHEN 1 THEN 'INVALID_SPEC' END", "again": "CASE WHEN o_orderkey % 4 < 2 THEN CASE o_orderkey % 5 WHEN 0 THEN 'DUPLICATE_PROPOSAL' END END",
-    "hypothesis": "CASE o_custkey % 6 WHEN 0 THEN 'prices RISE after calm' WHEN 1 THEN 'a bearish decline' WHEN 2 THEN 'a rally, then lower' ELSE 'no view' END", "context": "CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE 'c' END",
+    "hypothesis": "CASE o_custkey % 6 WHEN 0 THEN 'prices RISE after calm' WHEN 1 THEN 'a bearish decline' WHEN 2 THEN 'a rally, then "
+        "lower' ELSE 'no view' END", "context": "CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE 'c' END",
     "notes": "CASE WHEN o_orderkey % 19 = 0 THEN 'returns rewritten' ELSE '' END",
 }
 _R = f"r AS (SELECT {', '.join(f'{e} AS {n}' for n, e in RECORD.items())} FROM orders)"
@@ -558,10 +766,13 @@ def records(spark, d) -> DataFrame:
     o = spark.read.parquet(f"{d}/orders.parquet").selectExpr(*(f"{e} AS {n}" for n, e in RECORD.items()))
     return o.selectExpr(
         "run", "number", "dataset", "status", "hypothesis", "notes", "'why' AS rationale", "12D AS min_trades_per_year", "map('a.lookback', array(swept)) AS parameter_space", "CAST(NULL AS map<string,string>) AS requested_space",
-        "named_struct('name', 's', 'logic', 'AND', 'true_position', yes, 'false_position', no, 'conditions', array(named_struct('id', 'a', 'feature', feature, 'field', 'close', 'operator', '>', 'threshold', threshold, 'lookback', lookback))) AS strategy_spec",
-        "array(named_struct('candidate', 0L, 'validation_exposure', e1, 'validation_annual_turnover', t1), named_struct('candidate', 1L, 'validation_exposure', e2, 'validation_annual_turnover', t2)) AS comparison",
+    "named_struct('name', 's', 'logic', 'AND', 'true_position', yes, 'false_position', no, 'conditions', array(named_struct('id', "
+            "'a', 'feature', feature, 'field', 'close', 'operator', '>', 'threshold', threshold, 'lookback', lookback))) AS strategy_spec",
+    "array(named_struct('candidate', 0L, 'validation_exposure', e1, 'validation_annual_turnover', t1), named_struct('candidate', "
+            "1L, 'validation_exposure', e2, 'validation_annual_turnover', t2)) AS comparison",
         "named_struct('median', median) AS validation_summary", "named_struct('shares', map('a', share), 'scope', 'all') AS condition_activity", "map('validation', map('buy_and_hold', map('sharpe', CAST(bh AS STRING)))) AS benchmarks",
-        "named_struct('context', context, 'attempts', IF(code IS NULL, array(named_struct('code', code, 'response', '')), array(named_struct('code', code, 'response', ''), named_struct('code', again, 'response', '')))) AS llm",
+    "named_struct('context', context, 'attempts', IF(code IS NULL, array(named_struct('code', code, 'response', '')), "
+            "array(named_struct('code', code, 'response', ''), named_struct('code', again, 'response', '')))) AS llm",
     )
 
 
@@ -576,17 +787,35 @@ def experiment_flags(spark, d):
 _CALLS = "CASE WHEN code IS NULL THEN 1 ELSE 2 END"
 
 
-@query("run_summaries", f"WITH {_FLAGS} SELECT run, count(*) AS iterations, count(*) FILTER (WHERE status = 'completed') AS completed, sum({_CALLS})::BIGINT AS llm_calls, round(avg((code IS NULL)::INT), 3) AS first_try_valid, {', '.join(f'count(*) FILTER (WHERE {c}) AS {c}' for c in FLAGS[:3])}, count(*) FILTER (WHERE unit_problem) AS unit_problems, count(*) FILTER (WHERE notes LIKE '%rewritten%') AS auto_corrections, count(DISTINCT family) FILTER (WHERE status = 'completed') AS families, count(DISTINCT feature) FILTER (WHERE status = 'completed') AS features, round(sum({_CALLS}) / nullif(count(*) FILTER (WHERE status = 'completed'), 0)::DOUBLE, 2) AS calls_per_completed, round(10 * count(*) FILTER (WHERE useful) / sum({_CALLS})::DOUBLE, 2) AS useful_per_10_calls FROM x GROUP BY run")
+@query(
+    "run_summaries",
+    f"WITH {_FLAGS} SELECT run, count(*) AS iterations, count(*) FILTER (WHERE status = 'completed') AS completed, sum({_CALLS})::BIGINT "
+        f"AS llm_calls, round(avg((code IS NULL)::INT), 3) AS first_try_valid, {', '.join(f'count(*) FILTER (WHERE {c}) AS {c}' for c in FLAGS[:3])}, "
+        f"count(*) FILTER (WHERE unit_problem) AS unit_problems, count(*) FILTER (WHERE notes LIKE '%rewritten%') AS auto_corrections, "
+        f"count(DISTINCT family) FILTER (WHERE status = 'completed') AS families, count(DISTINCT feature) FILTER (WHERE status "
+        f"= 'completed') AS features, round(sum({_CALLS}) / nullif(count(*) FILTER (WHERE status = 'completed'), 0)::DOUBLE, "
+        f"2) AS calls_per_completed, round(10 * count(*) FILTER (WHERE useful) / sum({_CALLS})::DOUBLE, 2) AS useful_per_10_calls FROM x GROUP BY run"
+)
 def run_summaries(spark, d):
     return H.summarize_runs(records(spark, d)).drop("rejection_codes", "dataset", "model", "seed")
 
 
-@query("rejection_codes", f"WITH {_R} SELECT dataset, code, count(*) AS n FROM (SELECT dataset, code FROM r UNION ALL SELECT dataset, again FROM r WHERE code IS NOT NULL) WHERE code IS NOT NULL GROUP BY ALL")
+@query(
+    "rejection_codes",
+    f"WITH {_R} SELECT dataset, code, count(*) AS n FROM (SELECT dataset, code FROM r UNION ALL SELECT dataset, again "
+        f"FROM r WHERE code IS NOT NULL) WHERE code IS NOT NULL GROUP BY ALL"
+)
 def rejection_codes(spark, d):
     return H.rejection_codes(records(spark, d), ["dataset"])
 
 
-@query("ranked_experiments", f"WITH {_FLAGS}, b AS (SELECT *, row_number() OVER (PARTITION BY dataset, family ORDER BY median DESC, run, number) AS n FROM x WHERE useful AND NOT unit_problem), k AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY median DESC, run, number)::INT AS rank FROM b WHERE n = 1) SELECT dataset, round(median, 8) AS validation_median, run, number, rank FROM k WHERE rank <= 3")
+@query(
+    "ranked_experiments",
+    f"WITH {_FLAGS}, b AS (SELECT *, row_number() OVER (PARTITION BY dataset, family ORDER BY median DESC, run, number) "
+        f"AS n FROM x WHERE useful AND NOT unit_problem), k AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY "
+        f"median DESC, run, number)::INT AS rank FROM b WHERE n = 1) SELECT dataset, round(median, 8) AS validation_median, "
+        f"run, number, rank FROM k WHERE rank <= 3"
+)
 def ranked_experiments(spark, d):
     return rounded(H.ranked_experiments(records(spark, d), 3).drop("family"))
 
@@ -605,4 +834,7 @@ def examples(spark, d) -> DataFrame:
 
 
 query("example_reasons", f"WITH {_REASONS} SELECT run, number, reason FROM z")(lambda spark, d: examples(spark, d).select("run", "number", "reason"))
-query("example_reason_counts", f"WITH {_REASONS} SELECT reason, CASE WHEN reason = '{H.NO_PROMPT}' THEN count(DISTINCT run) ELSE count(*) END AS n FROM z GROUP BY reason")(lambda spark, d: H.reason_counts(examples(spark, d)))
+query(
+    "example_reason_counts",
+    f"WITH {_REASONS} SELECT reason, CASE WHEN reason = '{H.NO_PROMPT}' THEN count(DISTINCT run) ELSE count(*) END AS n FROM z GROUP BY reason"
+)(lambda spark, d: H.reason_counts(examples(spark, d)))

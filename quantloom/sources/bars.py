@@ -21,14 +21,20 @@ def from_candles(candles: DataFrame, symbol: str | None = None) -> DataFrame:
     """Raw candles (ms, open, high, low, close, volume, seq) as bars: UTC times from epoch milliseconds, doubles, and of
     several candles for one time the one fetched last (largest seq)."""
     x = candles.withColumn("symbol", F.lit(symbol)) if symbol is not None else candles
-    x = x.select("symbol", F.timestamp_millis(F.col("ms").cast("long")).alias("timestamp"), *(clean(F.col(c)).alias(c) for c in (*PRICES, "volume")), "seq")
+    x = x.select(
+        "symbol", F.timestamp_millis(F.col("ms").cast("long")).alias("timestamp"), *(clean(F.col(c)).alias(c) for c in (*PRICES, "volume")),
+        "seq"
+    )
     return keep_last(x, ["symbol", "timestamp"], F.col("seq")).drop("seq")
 
 
 def from_daily(history: DataFrame) -> DataFrame:
     """Daily rows (symbol, date, open..volume, seq): midnight UTC; rows without a close go before the last of a date is
     kept; a symbol whose volumes are all zero or missing has none."""
-    x = history.select("symbol", F.to_date("date").cast("timestamp_ntz").alias("timestamp"), *(clean(F.col(c)).alias(c) for c in (*PRICES, "volume")), "seq").filter("close IS NOT NULL")
+    x = history.select(
+        "symbol", F.to_date("date").cast("timestamp_ntz").alias("timestamp"), *(clean(F.col(c)).alias(c) for c in (*PRICES, "volume")),
+        "seq"
+    ).filter("close IS NOT NULL")
     x = keep_last(x, ["symbol", "timestamp"], F.col("seq")).drop("seq")
     traded = F.max(F.coalesce("volume", F.lit(0.0))).over(Window.partitionBy("symbol")) > 0
     return x.withColumn("volume", F.when(traded, F.col("volume")))
@@ -50,7 +56,10 @@ def closed_only(candles: DataFrame, timeframe_ms: int, start_ms: int, end_ms: in
 def missing_bars(bars: DataFrame, seconds: int) -> DataFrame:
     """Per symbol: rows, first, last, and how many bars of that length are missing in between."""
     t = F.unix_seconds(F.col("timestamp").cast("timestamp"))
-    return bars.groupBy("symbol").agg(F.count("*").alias("n_bars"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), (F.expr("0L") + F.floor((F.max(t) - F.min(t)) / seconds) + 1 - F.count("*")).cast("long").alias("n_missing"))
+    return bars.groupBy("symbol").agg(
+        F.count("*").alias("n_bars"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"),
+        (F.expr("0L") + F.floor((F.max(t) - F.min(t)) / seconds) + 1 - F.count("*")).cast("long").alias("n_missing")
+    )
 
 
 def bar_seconds(bars: DataFrame) -> DataFrame:
@@ -58,7 +67,9 @@ def bar_seconds(bars: DataFrame) -> DataFrame:
     t = F.unix_seconds(F.col("timestamp").cast("timestamp"))
     gap = bars.select("symbol", (t - F.lag(t).over(by_time())).alias("gap"))
     s = F.median("gap")
-    label = F.when(s.isNull(), "unknown").when(s % 86400 == 0, F.concat((s / 86400).cast("int").cast("string"), F.lit("d"))).when(s % 3600 == 0, F.concat((s / 3600).cast("int").cast("string"), F.lit("h"))).otherwise(F.concat((s / 60).cast("int").cast("string"), F.lit("m")))
+    label = F.when(s.isNull(), "unknown").when(
+        s % 86400 == 0, F.concat((s / 86400).cast("int").cast("string"), F.lit("d"))
+    ).when(s % 3600 == 0, F.concat((s / 3600).cast("int").cast("string"), F.lit("h"))).otherwise(F.concat((s / 60).cast("int").cast("string"), F.lit("m")))
     return gap.groupBy("symbol").agg(s.alias("seconds"), label.alias("label"))
 
 

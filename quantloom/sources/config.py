@@ -74,7 +74,10 @@ def file_name(symbol: str, timeframe: str, exchange: str = "") -> str:
     return "_".join(x for x in (exchange, plain, timeframe) if x) + ".parquet"
 
 
-def ingest(spark: SparkSession, symbols: Iterable[str], load: Callable[[str], DataFrame], save: Callable[[DataFrame, str], None], strict: bool = True, at_once: int = 4) -> DataFrame:
+def ingest(
+    spark: SparkSession, symbols: Iterable[str], load: Callable[[str], DataFrame], save: Callable[[DataFrame, str], None],
+    strict: bool = True, at_once: int = 4
+) -> DataFrame:
     """Loads and saves the symbols, `at_once` jobs at a time; one that fails does not stop the others. Returns (symbol,
     status, error) in their order; if `strict`, raises after the last symbol if any failed."""
 

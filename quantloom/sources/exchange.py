@@ -14,7 +14,10 @@ from collections.abc import Callable, Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
-def with_retries(call: Callable, most: int = 5, base: float = 2.0, ceiling: float = 60.0, transient: tuple[type[Exception], ...] = (ConnectionError, TimeoutError), sleep: Callable[[float], None] = time.sleep):
+def with_retries(
+    call: Callable, most: int = 5, base: float = 2.0, ceiling: float = 60.0,
+    transient: tuple[type[Exception], ...] = (ConnectionError, TimeoutError), sleep: Callable[[float], None] = time.sleep
+):
     """Calls again after transient errors, waiting base * 2**k seconds, `ceiling` at most."""
     for k in range(most + 1):
         try:
@@ -30,7 +33,9 @@ def page_limit(fetch: Callable, symbol: str, timeframe_ms: int, start_ms: int, a
     return len(with_retries(lambda: fetch(symbol, timeframe_ms, start_ms, ask), **retry)) or default
 
 
-def fetch_range(fetch: Callable, symbol: str, timeframe_ms: int, start_ms: int, end_ms: int, limit: int | None = 500, first: int = 0, **retry) -> Iterator[tuple]:
+def fetch_range(
+    fetch: Callable, symbol: str, timeframe_ms: int, start_ms: int, end_ms: int, limit: int | None = 500, first: int = 0, **retry
+) -> Iterator[tuple]:
     """Candles that open at or after the cursor and close by the end. The cursor moves behind the last candle of a page;
     an empty page is a gap of its length. limit: None to find it out; first: the number of the first candle."""
     cursor, seq = start_ms, first
@@ -64,7 +69,10 @@ class CandleReader(DataSourceReader):
     def read(self, p):
         module, _, name = self.options["client"].rpartition(".")
         limit = self.options.get("limit")
-        yield from fetch_range(getattr(importlib.import_module(module), name), p.symbol, self.timeframe, p.start, p.end, None if limit is None else int(limit), p.number << 40)
+        yield from fetch_range(
+            getattr(importlib.import_module(module), name), p.symbol, self.timeframe, p.start, p.end, None if limit is None else int(limit),
+            p.number << 40
+        )
 
 
 class CandleSource(DataSource):

@@ -133,7 +133,11 @@ def read_runs(spark: SparkSession, folder: str) -> DataFrame:
     rows = spark.read.schema(schema).option("multiLine", True).json(f"{folder}/*/run.json")
     model = F.coalesce("generator.model_id", F.when(F.col("generator.replay").isNotNull(), "replay"), F.lit("unknown"))
     adapter = F.element_at(F.split("generator.adapter", "/"), -1)
-    return rows.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("run"), F.concat(model, F.coalesce(F.concat(F.lit("+"), adapter), F.lit(""))).alias("model"), "dataset", F.col("loop.seed").alias("seed"), "system_prompt", F.col("generator.replay").isNotNull().alias("replayed"))
+    return rows.select(
+        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("run"),
+        F.concat(model, F.coalesce(F.concat(F.lit("+"), adapter), F.lit(""))).alias("model"), "dataset", F.col("loop.seed").alias("seed"),
+        "system_prompt", F.col("generator.replay").isNotNull().alias("replayed")
+    )
 
 
 def only(table: DataFrame, **wanted: Any) -> DataFrame:

@@ -22,5 +22,8 @@ def walk(spark, n=480, seed=5, symbols=("A",), holes=True):
 
 
 def series(spark, closes, field="close"):
-    rows = [("A", datetime(2020, 1, 1) + timedelta(hours=i), None, None, None, c if field == "close" else None, c if field == "volume" else None) for i, c in enumerate(closes)]
+    rows = [
+        ("A", datetime(2020, 1, 1) + timedelta(hours=i), None, None, None, c if field == "close" else None, c if field == "volume" else None) for i,
+        c in enumerate(closes)
+    ]
     return spark.createDataFrame(rows, SCHEMA)

@@ -81,7 +81,9 @@ def test_both_evaluators_agree(spark, logic, yes, no, start, end):
 
 def test_columns_are_pruned_and_the_end_is_pushed_down(spark, tmp_path):
     walk(spark, 60).write.parquet(f"{tmp_path}/bars")
-    plan = B.evaluate(spark.read.parquet(f"{tmp_path}/bars"), BENCHMARKS["naive_momentum_24"], "2020-01-02", "2020-01-03")._jdf.queryExecution().executedPlan().toString()
+    plan = B.evaluate(
+        spark.read.parquet(f"{tmp_path}/bars"), BENCHMARKS["naive_momentum_24"], "2020-01-02", "2020-01-03"
+    )._jdf.queryExecution().executedPlan().toString()
     assert "LessThan(timestamp" in plan and "ReadSchema: struct<symbol:string,timestamp:timestamp_ntz,close:double>" in plan
 
 

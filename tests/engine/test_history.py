@@ -12,7 +12,10 @@ from quantloom.sources import records as R
 from .data import walk
 from .test_selection import SETTINGS
 
-SPEC = {"name": "s", "logic": "AND", "true_position": 1, "false_position": 0, "conditions": [{"id": "m", "feature": "momentum", "field": "close", "operator": ">", "threshold": 0.0, "lookback": 5}]}
+SPEC = {
+    "name": "s", "logic": "AND", "true_position": 1, "false_position": 0,
+    "conditions": [{"id": "m", "feature": "momentum", "field": "close", "operator": ">", "threshold": 0.0, "lookback": 5}]
+}
 
 
 def record(number, **c):
@@ -46,20 +49,28 @@ def test_flags(records):
 
 def test_examples_have_one_reason(records):
     got = {(r.run, r.number): r.reason for r in H.build_examples(records[0], ["held"]).collect()}
-    assert list(got[("run1", i)] for i in range(1, 11)) == ["kept", "duplicate example", "not useful", "unit problem", "hypothesis contradicts rule", "not completed", "no LLM context", "held-out market", "not useful", "not completed"]
+    assert list(got[("run1", i)] for i in range(1, 11)) == [
+        "kept", "duplicate example", "not useful", "unit problem", "hypothesis contradicts rule", "not completed", "no LLM context",
+        "held-out market", "not useful", "not completed"
+    ]
 
 
 def test_run_summary(records):
     s = {r.run: r for r in H.summarize_runs(*records).collect()}
     one = s["run1"]
-    assert (one.iterations, one.completed, one.llm_calls, one.useful, one.families, one.features, one.model, one.seed) == (10, 9, 9, 6, 1, 1, "base+v1", 3)
+    assert (
+        one.iterations, one.completed, one.llm_calls, one.useful, one.families, one.features, one.model, one.seed
+    ) == (10, 9, 9, 6, 1, 1, "base+v1", 3)
     assert one.rejection_codes == {"INVALID_SPEC": 1, "MALFORMED_JSON": 1} and one.useful_per_10_calls == 6.67 and s["run2"].model == "unknown"
     best = H.ranked_experiments(records[0]).collect()
     assert [(r.dataset, r.number) for r in best] == [("d1", 1), ("held", 8)] or {(r.dataset, r.number) for r in best} == {("d1", 1), ("held", 8)}
 
 
 def test_paired_comparison(spark):
-    rows = [("a", "x", 1, 1.0), ("a+b", "x", 1, 2.0), ("a", "x", 2, 3.0), ("a+b", "x", 2, 2.5), ("a", "y", 1, 0.0), ("a+b", "y", 1, 4.0), ("a", "y", 2, 9.0)]
+    rows = [
+        ("a", "x", 1, 1.0), ("a+b", "x", 1, 2.0), ("a", "x", 2, 3.0), ("a+b", "x", 2, 2.5), ("a", "y", 1, 0.0), ("a+b", "y", 1, 4.0),
+        ("a", "y", 2, 9.0)
+    ]
     t = spark.createDataFrame(rows, "model string, dataset string, seed long, useful_per_10_calls double")
     got = H.paired_comparison(t)
     boot = np.random.default_rng(0).choice(np.array([1.0, -0.5, 4.0]), size=(10_000, 3)).mean(axis=1)
@@ -86,7 +97,9 @@ def test_extract_and_normalise():
             extract_json(bad)
         assert e.value.code == MALFORMED_JSON
     data, notes = normalise({**PROPOSAL, "strategy": {**SPEC, "conditions": [{"feature": "returns", "field": "close", "operator": ">", "threshold": 0.0}]}, "parameter_space": {"returns.lookback": [3]}})
-    assert data["strategy"]["conditions"][0] | {} == {"feature": "momentum", "id": "returns", "lookback": 1, "field": "close", "operator": ">", "threshold": 0.0} and notes
+    assert data["strategy"]["conditions"][0] | {} == {
+        "feature": "momentum", "id": "returns", "lookback": 1, "field": "close", "operator": ">", "threshold": 0.0
+    } and notes
 
 
 def test_repeats_are_rejected():
@@ -111,14 +124,19 @@ def test_retries_drop_copies_and_raise_the_temperature():
             asked.append((len(messages), temperature))
             return super().generate(messages)
 
-    p, attempts, _ = request(G(["{", PROPOSAL, PROPOSAL, {**PROPOSAL, "parameter_space": {"m.lookback": [9]}}]), [{"role": "user", "content": "go"}], 100, memory)
+    p, attempts, _ = request(
+        G(["{", PROPOSAL, PROPOSAL, {**PROPOSAL, "parameter_space": {"m.lookback": [9]}}]), [{"role": "user", "content": "go"}], 100, memory
+    )
     assert p is not None and [a["code"] for a in attempts] == [MALFORMED_JSON, DUPLICATE_PROPOSAL, DUPLICATE_PROPOSAL, None]
     assert asked == [(1, None), (3, None), (1, 1.0), (1, 1.3)]
 
 
 def test_loop_with_replay(spark, tmp_path):
     path = f"{tmp_path}/r/experiments.jsonl"
-    done = run_research(Replay([PROPOSAL, "no", "no", "no", "no"]), walk(spark, 480), SETTINGS, path, iterations=5, retries=0, most_rejections=2, dataset="d")
+    done = run_research(
+        Replay([PROPOSAL, "no", "no", "no", "no"]), walk(spark, 480), SETTINGS, path, iterations=5, retries=0, most_rejections=2,
+        dataset="d"
+    )
     assert [r["status"] for r in done] == ["completed", "rejected", "rejected"]
     rows = R.read(spark, path).orderBy("number").collect()
     assert [r.status for r in rows] == ["completed", "rejected", "rejected"] and rows[0].comparison and rows[0].run == "r" and rows[1].llm.attempts[0].code == MALFORMED_JSON
@@ -127,14 +145,20 @@ def test_loop_with_replay(spark, tmp_path):
 def test_records_documents_and_prompts(spark, tmp_path):
     """What a run leaves: full records with ids and stamps, run.json with the prompt, and each train table if asked for."""
     path = f"{tmp_path}/r2/experiments.jsonl"
-    done = run_research(Replay([PROPOSAL, PROPOSAL, {**PROPOSAL, "parameter_space": {"m.lookback": {"min": 4, "max": 40}}}]), walk(spark, 480), SETTINGS, path, iterations=2, retries=1, save_sweeps=f"{tmp_path}/r2/sweeps")
+    done = run_research(
+        Replay([PROPOSAL, PROPOSAL, {**PROPOSAL, "parameter_space": {"m.lookback": {"min": 4, "max": 40}}}]), walk(spark, 480), SETTINGS,
+        path, iterations=2, retries=1, save_sweeps=f"{tmp_path}/r2/sweeps"
+    )
     assert [r["status"] for r in done] == ["completed", "completed"] and len({r["experiment_id"] for r in done}) == 2 and done[0]["timestamp"].endswith("+00:00")
     run = json.loads((tmp_path / "r2/run.json").read_text())
     assert run["dataset"] == "A" == done[0]["dataset"] and run["generator"]["replay"] and run["loop"]["iterations"] == 2
     for text in ("momentum: ", "Operators: > >= < <=", "Logic: AND OR", "Usual values", "costs 0.001", "up to 12 values"):
         assert text in run["system_prompt"]
     told = done[1]["llm"]["context"]
-    for text in ("searched: 2 combinations; m.lookback 5, 7", "conditions hold on: m", "costs: median_trades_per_year", "warnings: ", "validation: n_retested", "benchmarks: buy_and_hold"):
+    for text in (
+        "searched: 2 combinations; m.lookback 5, 7", "conditions hold on: m", "costs: median_trades_per_year", "warnings: ",
+        "validation: n_retested", "benchmarks: buy_and_hold"
+    ):
         assert text in told
     assert "validation" not in feedback(done, blind=True).replace("no valid", "") and "validation" in feedback(done)
     rows = R.read(spark, path).orderBy("number").collect()
@@ -157,7 +181,10 @@ def test_examples_differ_by_their_space(spark, tmp_path):
     assert [m.role for m in rows[0].messages] == ["system", "user", "assistant"] and json.loads(rows[0].messages[2].content)["strategy"]["conditions"][0]["lookback"] == 5
 
 
-@pytest.mark.parametrize("bad", [dict(iterations=0), dict(iterations=101), dict(retries=6), dict(retries=-1), dict(most_rejections=0), dict(recent=0), dict(most_per_family=0), dict(temperatures=()), dict(temperatures=(0.0,))])
+@pytest.mark.parametrize(
+    "bad",
+    [dict(iterations=0), dict(iterations=101), dict(retries=6), dict(retries=-1), dict(most_rejections=0), dict(recent=0), dict(most_per_family=0), dict(temperatures=()), dict(temperatures=(0.0,))]
+)
 def test_loop_limits(spark, tmp_path, bad):
     with pytest.raises(Rejected):
         run_research(Replay([]), walk(spark, 10), SETTINGS, f"{tmp_path}/x/e.jsonl", **bad)

@@ -26,8 +26,14 @@ def experiment(bars):
 
 
 def test_ties_eligibility_and_duplicates(spark):
-    rows = [(0, 1.0, 0.1, 10, 100, 1.0, 0.5), (1, 2.0, 0.2, 1, 100, 1.0, 0.5), (2, 1.0, 0.1, 10, 100, 1.0, 0.5), (3, 1.0, 0.3, 10, 100, 1.0, 0.5), (4, None, 0.0, 50, 100, 0.0, 0.0), (5, 0.5, 0.1, 30, 100, 1.0, 0.5)]
-    t = spark.createDataFrame([("A", *r) for r in rows], "symbol string, candidate long, sharpe double, cumulative_return double, n_trades long, n_bars long, turnover double, exposure double")
+    rows = [
+        (0, 1.0, 0.1, 10, 100, 1.0, 0.5), (1, 2.0, 0.2, 1, 100, 1.0, 0.5), (2, 1.0, 0.1, 10, 100, 1.0, 0.5),
+        (3, 1.0, 0.3, 10, 100, 1.0, 0.5), (4, None, 0.0, 50, 100, 0.0, 0.0), (5, 0.5, 0.1, 30, 100, 1.0, 0.5)
+    ]
+    t = spark.createDataFrame(
+        [("A", *r) for r in rows],
+        "symbol string, candidate long, sharpe double, cumulative_return double, n_trades long, n_bars long, turnover double, exposure double"
+    )
     pick = lambda **k: [r.candidate for r in X.select_top(t, 9, per_year=100, **k).orderBy("train_rank").collect()]
     assert pick() == [1, 0, 3, 5] and pick(distinct=False) == [1, 0, 2, 3, 5] and pick(rate=5.0) == [0, 3, 5]
 
@@ -51,7 +57,9 @@ def test_the_future_changes_nothing(spark, bars, experiment):
     other = X.run_experiment(late, BASE, SPACE, SETTINGS)
     key = lambda d: Counter(tuple(r) for r in d.drop("params").collect())
     assert key(other.train) == key(experiment.train) and key(other.comparison) == key(experiment.comparison) and key(other.activity) == key(experiment.activity)
-    mid = bars.withColumn("close", F.when(F.col("timestamp") >= "2020-01-11", F.col("close") * (1 + F.hour("timestamp") / 50)).otherwise(F.col("close")))
+    mid = bars.withColumn(
+        "close", F.when(F.col("timestamp") >= "2020-01-11", F.col("close") * (1 + F.hour("timestamp") / 50)).otherwise(F.col("close"))
+    )
     other = X.run_experiment(mid, BASE, SPACE, SETTINGS)
     assert key(other.selected) == key(experiment.selected) and key(other.comparison) != key(experiment.comparison)
 
@@ -71,7 +79,9 @@ def test_settings(bad):
 
 
 def test_frozen_candidates_reproduce_validation(bars, experiment):
-    rows = columns_of(experiment.selected.join(experiment.train, ["symbol", "candidate"]), SPACE).filter("symbol = 'A'").orderBy("train_rank").collect()
+    rows = columns_of(
+        experiment.selected.join(experiment.train, ["symbol", "candidate"]), SPACE
+    ).filter("symbol = 'A'").orderBy("train_rank").collect()
     ids, chosen = frozen(BASE, [r.asDict() for r in rows])
     assert all(isinstance(s.conditions[0].lookback, int) for _, s in chosen)
     got = {r.candidate: r.sharpe for r in evaluate_frozen(bars.filter("symbol = 'A'"), ids, chosen, SETTINGS.validation, evaluator=SqlEvaluator()).collect()}

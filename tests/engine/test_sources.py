@@ -35,7 +35,9 @@ def test_retries():
 
 def test_source(spark):
     spark.dataSource.register(CandleSource)
-    df = spark.read.format("candles").options(symbols="A,B", client="tests.engine.test_sources.fetch", timeframe_ms=HOUR, start_ms=0, end_ms=13 * HOUR, limit=3).load()
+    df = spark.read.format("candles").options(
+        symbols="A,B", client="tests.engine.test_sources.fetch", timeframe_ms=HOUR, start_ms=0, end_ms=13 * HOUR, limit=3
+    ).load()
     b = S.from_candles(df)
     assert b.count() == 18 and b.filter("volume IS NULL").count() == 18
 
@@ -51,18 +53,28 @@ def test_source_in_windows_and_page_limit(spark):
 
 
 def test_millis_and_usable(spark):
-    t = spark.createDataFrame([("2024-01-01",), ("2024-01-01 01:00:00",), ("2024-01-01T02:00:00+01:00",), ("2024-01-01T00:00:00Z",), (None,)], "t string")
+    t = spark.createDataFrame(
+        [("2024-01-01",), ("2024-01-01 01:00:00",), ("2024-01-01T02:00:00+01:00",), ("2024-01-01T00:00:00Z",), (None,)], "t string"
+    )
     assert [r[0] for r in t.select(S.to_millis(F.col("t"))).collect()] == [1704067200000, 1704070800000, 1704070800000, 1704067200000, None]
-    b = spark.createDataFrame([("A", datetime(2020, 1, 1), 1.0), ("A", datetime(2020, 1, 2), 1.0), ("B", datetime(2020, 1, 2), 1.0)], "symbol string, timestamp timestamp_ntz, close double")
+    b = spark.createDataFrame(
+        [("A", datetime(2020, 1, 1), 1.0), ("A", datetime(2020, 1, 2), 1.0), ("B", datetime(2020, 1, 2), 1.0)],
+        "symbol string, timestamp timestamp_ntz, close double"
+    )
     assert S.usable(b).count() == 3
     with pytest.raises(ValueError, match="more than once"):
         S.usable(b.unionAll(b.limit(1)))
 
 
 def test_keep_last_and_daily(spark):
-    c = spark.createDataFrame([("A", 0, 1.0, 0), ("A", HOUR, 2.0, 1), ("A", 0, float("nan"), 2)], "symbol string, ms long, close double, seq long").withColumns({k: F.col("close") for k in ("open", "high", "low", "volume")})
+    c = spark.createDataFrame(
+        [("A", 0, 1.0, 0), ("A", HOUR, 2.0, 1), ("A", 0, float("nan"), 2)], "symbol string, ms long, close double, seq long"
+    ).withColumns({k: F.col("close") for k in ("open", "high", "low", "volume")})
     assert [(r.timestamp.hour, r.close) for r in S.from_candles(c).orderBy("timestamp").collect()] == [(0, None), (1, 2.0)]
-    h = spark.createDataFrame([("Z", datetime(2020, 1, 2, 5), 2.0, 0.0, 0), ("Z", datetime(2020, 1, 1), 1.0, 0.0, 1), ("Z", datetime(2020, 1, 2), None, 0.0, 2), ("Z", datetime(2020, 1, 2), 3.0, None, 3)], "symbol string, date timestamp_ntz, close double, volume double, seq long").withColumns({k: F.col("close") for k in ("open", "high", "low")})
+    h = spark.createDataFrame(
+        [("Z", datetime(2020, 1, 2, 5), 2.0, 0.0, 0), ("Z", datetime(2020, 1, 1), 1.0, 0.0, 1), ("Z", datetime(2020, 1, 2), None, 0.0, 2), ("Z", datetime(2020, 1, 2), 3.0, None, 3)],
+        "symbol string, date timestamp_ntz, close double, volume double, seq long"
+    ).withColumns({k: F.col("close") for k in ("open", "high", "low")})
     assert [(r.timestamp.day, r.close, r.volume) for r in S.from_daily(h).orderBy("timestamp").collect()] == [(1, 1.0, None), (2, 3.0, None)]
 
 
@@ -79,7 +91,9 @@ def test_write_read_and_checks(spark, tmp_path):
 def test_stream_gives_the_batch_bars(spark, tmp_path):
     e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     e.repartition(1).write.parquet(f"{tmp_path}/e")
-    q = hourly_stream(spark.readStream.schema(e.schema).parquet(f"{tmp_path}/e"), "0 seconds").writeStream.format("memory").queryName("streamed").outputMode("append").trigger(availableNow=True).start()
+    q = hourly_stream(
+        spark.readStream.schema(e.schema).parquet(f"{tmp_path}/e"), "0 seconds"
+    ).writeStream.format("memory").queryName("streamed").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(60)
     got = {(r.symbol, r.timestamp): r.close for r in spark.table("streamed").collect()}
     want = {(r.symbol, r.timestamp): r.close for r in S.hourly(e).collect()}
