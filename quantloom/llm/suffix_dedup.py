@@ -26,7 +26,7 @@ from quantloom.llm._text import _BYTE, blocks, column, lean, mix, powers, table,
 _U = np.uint64
 LENGTH, SEED = 100, 32
 STEP = 1 << 20  # windows handled at once
-PART = 20_000  # contested segments of one anchor in one index, about
+PART = 20_000  # contested segments of an anchor, beyond which it has several indices
 _PLACE = _U((1 << 24) - 1)
 _C = [_U(pow(0xD6E8FEB86659FD93, 1 << i, 1 << 64)) for i in range(8)]
 
@@ -153,6 +153,50 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = b.slice(at, 1)
 
 
+def _parted(fan: int):
+    """Adds to `_decide`'s rows the number of indices of their anchor: one, or `fan` if it has over PART contested segments.
+
+    These come anchor by anchor; an anchor's are held until it ends or has that many.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        anchor, size = None, 0
+
+        def told(batch: pa.RecordBatch, parts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.int64())], names=[*batch.schema.names, "parts"])
+
+        def of(n: int, rows: int) -> np.ndarray:
+            return np.full(rows, fan if n > PART else 1)
+
+        for batch in _decide(batches):
+            contested = batch.column(5)
+            settled = batch.filter(pa.compute.invert(contested))
+            if settled.num_rows:
+                yield told(settled, of(0, settled.num_rows))
+            rest = batch.filter(contested)
+            while rest.num_rows:
+                h = rest.column(2).to_numpy()
+                if h[0] != anchor:  # the anchor before this one is complete
+                    yield from (told(b, of(size, b.num_rows)) for b in held)
+                    held, anchor, size = [], h[0], 0
+                n = int(np.argmax(h != anchor)) or len(h)
+                if n < len(h) and h[n] != h[-1] and not size:  # whole anchors
+                    n = int(np.argmax(h == h[-1]))
+                    _, row, count = np.unique(h[:n], return_inverse=True, return_counts=True)
+                    yield told(rest.slice(0, n), np.where(count[row] > PART, fan, 1))
+                else:
+                    held.append(rest.slice(0, n))
+                    size += n
+                    if size > PART:
+                        yield from (told(b, of(size, b.num_rows)) for b in held)
+                        held = []
+                rest = rest.slice(n)
+        yield from (told(b, of(size, b.num_rows)) for b in held)
+
+    return run
+
+
 class SuffixArray:
     """Places in a string of bytes, sorted by the `length` bytes that begin there; those bytes are not stored again."""
 
@@ -346,10 +390,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     anchors = rows.mapInArrow(lean(_anchors(length)), "doc long, th long, h long, s long, lo int, hi int, again boolean")
     key = F.when(F.col("again"), F.xxhash64("doc", "lo")).otherwise(F.col("h"))  # what is decided goes anywhere
     dealt = anchors.repartition(tasks(n), key).sortWithinPartitions("again", "h", "s", "doc", "th", "lo")
-    decided = dealt.mapInArrow(lean(_decide), "doc long, th long, h long, lo int, hi int, contested boolean")
-    asked = decided.filter("contested").select(block("doc"), "h", "doc", "th", "lo", "hi")
-    many = asked.groupBy("h").count().filter(f"count > {PART}").select("h", F.expr(f"count DIV {PART} + 1").alias("parts"))
-    asked = asked.join(many, "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    decided = dealt.mapInArrow(lean(_parted(max(n, 64))), "doc long, th long, h long, lo int, hi int, contested boolean, parts long")
+    asked = decided.filter("contested").select(block("doc"), "h", "doc", "th", "lo", "hi", "parts")
     cut_ = texts_by_block.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(
         _cut_out(length), "h long, part long, parts long, doc long, th long, lo int, segment binary"
     )

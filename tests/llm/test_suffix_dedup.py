@@ -94,6 +94,20 @@ def test_hot_anchor_in_parts(spark, monkeypatch):
     assert got(S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
+def test_anchors_are_parted_alike_however_batches_fall(monkeypatch):
+    monkeypatch.setattr(S, "PART", 7)
+    rng = np.random.default_rng(4)
+    h = np.sort(rng.integers(0, 30, 300) ** 2 // 20)
+    contested = rng.random(300) < 0.8
+    size = Counter(h[contested].tolist())
+    for step in (1, 3, 10, 64, 300):
+        batches = [S.table(["doc", "th", "h", "lo", "hi", "contested"], np.arange(a, min(a + step, 300)), *(np.zeros(min(step, 300 - a), np.int64),) * 1, h[a : a + step], *(np.zeros(min(step, 300 - a), np.int32),) * 2, contested[a : a + step]) for a in range(0, 300, step)]
+        monkeypatch.setattr(S, "_decide", lambda b: b)
+        rows = [r for b in S._parted(64)(iter(batches)) for r in zip(*(b.column(k).to_pylist() for k in (0, 2, 5, 6)))]
+        assert sorted(r[0] for r in rows) == list(range(300))
+        assert all(parts == (64 if c and size[x] > 7 else 1) for _, x, c, parts in rows)
+
+
 def test_null_ids_and_long_texts(spark):
     """Many rows without doc_id, told apart by their texts; a text longer than what is handled at once."""
     rnd = random.Random(1)
