@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-CELLS = 1 << 21  # numbers in a block of windows
+CELLS = 1 << 17  # numbers in a block of windows
 
 
 def _rel(a: np.ndarray, b: np.ndarray) -> np.ndarray:

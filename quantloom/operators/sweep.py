@@ -108,7 +108,7 @@ def kernel(close: np.ndarray, values: np.ndarray, specs: list[tuple], begin: int
             position = np.full(n, yes)
         held[1:] = position[:-1]
         change = np.diff(held, prepend=0.0)
-        traded = np.flatnonzero(change)
+        traded = np.flatnonzero(change != 0)
         paid = np.abs(change[traded])
         r = held * ret
         r[traded] -= paid * cost
