@@ -1,24 +1,24 @@
 """Parameter sweeps: every candidate over all bars, to one row of metrics per candidate and symbol.
 
 `SqlEvaluator` defines the results with windows alone. `ArrowEvaluator` gives the same ones for large grids: a
-task takes one symbol's arrays and its share of the candidates, computes each feature once and returns metrics only, so
-bars x candidates never exist as rows.
+task takes one piece of a symbol's history and its share of the candidates, computes each feature once and returns a state of each
+account that merges with the next piece's, so bars x candidates never exist as rows.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from typing import Any, Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.arrays import ARRAYS
+from quantloom.functions.arrays import ARRAYS, Series
 from quantloom.functions.features import clean
 from quantloom.operators.backtest import HOURS_PER_YEAR, METRICS, TWICE, accounts, column_of, metrics, moment, period, wide
+from quantloom.operators.states import ARROW, NUMBERS, SCHEMA, merged, metrics_of, states
 from quantloom.plans.spec import Strategy
 
 Candidates = list[tuple[dict[str, Any], Strategy]]
@@ -68,71 +68,43 @@ class SqlEvaluator:
         ).select("candidate", "symbol", "first", "last", *METRICS)
 
 
-def holds(values: np.ndarray, op: str, threshold: float) -> np.ndarray:
-    with np.errstate(invalid="ignore"):
-        return {">": np.greater, ">=": np.greater_equal, "<": np.less, "<=": np.less_equal}[op](values, threshold)
-
-
-def bar_returns(close: np.ndarray) -> np.ndarray:
-    """The move of each close against the last known one; a gap earns nothing."""
-    n = len(close)
-    seen = np.maximum.accumulate(np.where(np.isnan(close), -1, np.arange(n)))
-    known = np.where(seen >= 0, close[np.maximum(seen, 0)], np.nan)
-    out = np.zeros(n)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        move = known[1:] / known[:-1] - 1
-    out[1:] = np.where(np.isfinite(move), move, 0.0)
-    return out
-
-
-def kernel(close: np.ndarray, values: np.ndarray, specs: list[tuple], begin: int, cost: float, per_year: float) -> dict[str, np.ndarray]:
-    """Metrics of the candidates over one symbol, from the period's first bar on: one candidate's arrays at a time, which
-    fit a core's cache. Conditions that candidates share are compared once."""
-    ret, n = bar_returns(close[begin:]), len(close) - begin
-    tested: dict[tuple, np.ndarray] = {}
-    unknown: dict[frozenset, np.ndarray] = {}
-    out = {m: np.full(len(specs), np.nan) for m in METRICS}
-    held = np.zeros(n)
-    for j, (_, conditions, logic, yes, no) in enumerate(specs):
-        if conditions:
-            for at, op, t in conditions:
-                if (at, op, t) not in tested:
-                    tested[at, op, t] = holds(values[at, begin:], op, t)
-            places = frozenset(at for at, *_ in conditions)
-            if places not in unknown:
-                unknown[places] = np.isnan(values[sorted(places), begin:]).any(axis=0)
-            whole = (np.logical_and if logic == "AND" else np.logical_or).reduce([tested[c] for c in conditions])
-            position = np.where(whole, yes, no)
-            position[unknown[places]] = 0.0
-        else:
-            position = np.full(n, yes)
-        held[1:] = position[:-1]
-        change = np.diff(held, prepend=0.0)
-        traded = np.flatnonzero(change != 0)
-        paid = np.abs(change[traded])
-        r = held * ret
-        r[traded] -= paid * cost
-        equity = np.cumprod(1 + r)
-        growth, turnover = equity[-1], paid.sum()
-        std = (0.0 if r.min() == r.max() else r.std(ddof=1)) if n > 1 else np.nan
-        peak = np.maximum(1.0, np.maximum.accumulate(equity))
-        with np.errstate(over="ignore"):
-            annual = np.power(growth, per_year / n) - 1 if growth > 0 else -1.0
-        got = {
-            "cumulative_return": growth - 1, "annualized_return": annual, "sharpe": r.mean() / std * math.sqrt(per_year) if std > 0 else np.nan, "annualized_volatility": std * math.sqrt(per_year),
-            "max_drawdown": min(0.0, (equity / peak).min() - 1), "turnover": turnover, "annual_turnover": turnover / (n / per_year), "n_trades": len(traded), "exposure": np.count_nonzero(held) / n, "n_bars": n,
-        }
-        for m, x in got.items():
-            out[m][j] = x
-    return out
+def pieces_of(bars: DataFrame, rows: int, need: int, low: int, high: int, buckets: int) -> DataFrame:
+    """bars, once for each piece of its symbol's history that wants a bar: `piece`, `own` (or there to warm up), `known`,
+    the last close before the piece's first bar.
+
+    A symbol's bars are counted by buckets of time; a piece owns the buckets that begin within its `rows` bars, and
+    wants those of the `need` bars before. What is counted is a row per symbol and bucket; no step needs a whole symbol.
+    """
+    micros = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    bars = bars.withColumn("_bucket", F.floor((micros - low) / max(1, -(-(high - low + 1) // buckets))))
+    close = F.struct("timestamp", "f0")
+    counted = bars.groupBy("symbol", "_bucket").agg(F.count("*").alias("_n"), F.max(F.when(F.col("f0").isNotNull(), close))["f0"].alias("_close"))
+    earlier = Window.partitionBy("symbol").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    plan = counted.select(
+        "symbol", "_bucket", F.floor(before / rows).alias("_own"), F.floor((before + F.col("_n") + need - 1) / rows).alias("_last"),
+        F.last("_close", ignorenulls=True).over(earlier).alias("known")
+    )
+    x = bars.join(plan, ["symbol", "_bucket"]).withColumn("piece", F.explode(F.sequence("_own", "_last")))
+    return x.withColumn("own", F.col("piece") == F.col("_own")).drop("_bucket", "_own", "_last")
+
+
+def reach(source: tuple[str, str, int | None]) -> int:
+    """How many bars before its own a feature may look at."""
+    return (source[2] or 1) + 1
 
 
 @dataclass
 class ArrowEvaluator:
-    """numpy over one symbol's arrays and a chunk of candidates at a time. A symbol's bars move once, or as often as
-    there are cores left idle by the number of symbols; features are computed where they arrive."""
+    """numpy over one piece of a symbol's history and a share of the candidates at a time.
+
+    A piece is a symbol's whole history up to `rows` bars; longer ones are cut in time, each piece with the bars that warm up its
+    features, and the states of the pieces merge in order. Where pieces are fewer than cores, candidates are shared out too.
+    Features are computed where the bars arrive; bars x candidates never exist as rows.
+    """
 
     chunk: int = 64
+    rows: int = 65_536
 
     def __call__(self, bars, candidates, start=None, end=None, cost_bps=10.0, per_year=HOURS_PER_YEAR, ids=None):
         sources, specs = compiled(candidates, ids)
@@ -148,41 +120,52 @@ class ArrowEvaluator:
         )
         kind = x.schema["timestamp"].dataType.simpleString()
         cores = spark.sparkContext.defaultParallelism
+        micros = F.unix_micros(F.col("timestamp").cast("timestamp"))
+        seen = bars.agg(F.count("*"), F.approx_count_distinct("symbol"), F.min(micros), F.max(micros), F.count_if(F.col("timestamp").isNull())).first()
+        if seen[4]:
+            raise ValueError(TWICE)
+        need = max(map(reach, sources), default=0) + 3
+        rows = max(self.rows, 2 * need)
+        parts = max(1, -(-seen[0] // (max(1, seen[1]) * rows)))
+        cut = parts > 1
+        if cut:
+            x = pieces_of(x, rows, need, seen[2], seen[3], 64 * parts)
+        else:
+            x = x.withColumns({"piece": F.lit(0).cast("long"), "own": F.lit(True), "known": F.lit(None).cast("double")})
         chunks = [specs[i : i + self.chunk] for i in range(0, len(specs), self.chunk)]
-        symbols = max(1, bars.select("symbol").distinct().limit(cores).count()) if len(chunks) > 1 else cores
-        shares = max(1, min(len(chunks), -(-cores // symbols)))
-        shared = spark.sparkContext.broadcast(chunks)  # as long as the grid, which its budget bounds
+        shares = max(1, min(len(chunks), -(-cores // (max(1, seen[1]) * parts))))
 
         def run(key: tuple, t: pa.Table) -> pa.Table:
             t = t.sort_by("timestamp")
             time = t.column("timestamp")
-            if time.null_count or (np.diff(time.to_numpy().astype("int64")) == 0).any():
+            if (np.diff(time.to_numpy().astype("int64")) == 0).any():
                 raise ValueError(TWICE)
-            live = t.column("inside").to_numpy()
-            begin = int(np.argmax(live)) if live.any() else len(live)
-            own = [c for i, c in enumerate(shared.value) if i % shares == key[1].as_py()]
-            own = [s for c in own for s in c] if begin < len(live) else []
+            live, own = (t.column(c).to_numpy() for c in ("inside", "own"))
+            begin, first = (int(np.argmax(c)) if c.any() else len(c) for c in (live, own))
+            mine = [s for i, c in enumerate(chunks) if i % shares == key[2].as_py() for s in c] if max(begin, first) < len(live) else []
             get = lambda c: t.column(c).to_numpy(zero_copy_only=False).astype(np.float64)
-            raw = {f: get(f"f{i}") for i, f in enumerate(["close", *fields])}
-            used = {at for s in own for at, *_ in s[1]}  # a share needs the features of its own candidates
-            values = [None] * len(sources)
-            for i, s in enumerate(sources):
-                values[i] = np.empty(len(live)) if i not in used else ARRAYS[s[0]](raw[s[1]], s[2]) if s[0] in ARRAYS else get(f"v{windows.index(s)}")
-            got = kernel(
-                raw["close"], np.stack(values) if values else np.empty((0, len(live))), own, begin, cost_bps / 10_000, per_year
-            ) if own else {m: np.empty(0) for m in METRICS}
-            k, ts = len(own), t.column("timestamp").combine_chunks()
-            ends = [pa.nulls(0, ts.type)] * 2 if not k else [ts.take(pa.array(np.full(k, i))) for i in (begin, len(ts) - 1)]
-            counts = ("n_trades", "n_bars")
-            columns = [pa.array([s[0] for s in own], pa.int64()), pa.array([key[0].as_py()] * k, pa.string()), *ends]
-            columns += [pa.array(got[m].astype(np.int64)) if m in counts else pa.array(got[m], pa.float64(), mask=np.isnan(got[m])) for m in METRICS]
-            return pa.table(columns, names=["candidate", "symbol", "first", "last", *METRICS])
-
-        kinds = ", ".join(f"{m} {'long' if m in ('n_trades', 'n_bars') else 'double'}" for m in METRICS)
+            raw = {f: Series(get(f"f{i}")) for i, f in enumerate(["close", *fields])}
+            used = {at for s in mine for at, *_ in s[1]}  # a share needs the features of its own candidates
+            values = {i: ARRAYS[k](raw[f], n) if k in ARRAYS else get(f"v{windows.index((k, f, n))}") for i, (k, f, n) in enumerate(sources) if i in used}
+            known = t.column("known")[0].as_py()
+            got = states(raw["close"].x, values, mine, begin, first, cost_bps / 10_000, np.nan if known is None else known) if mine else {}
+            k, ts = len(mine), time.combine_chunks()
+            ends = [ts.take(pa.array(np.full(k, i, np.int64))) for i in (max(begin, first), len(ts) - 1)]
+            shown = [pa.array(got[c] if c in NUMBERS else list(got[c]), type) if k else pa.nulls(0, type) for c, type in ARROW.items()]
+            columns = [pa.array([s[0] for s in mine], pa.int64()), pa.array([key[0].as_py()] * k, pa.string()), pa.array([key[1].as_py()] * k, pa.int64()), *ends, *shown]
+            return pa.table(columns, names=["candidate", "symbol", "piece", "first", "last", *ARROW])
+
         dealt = x.withColumn("share", F.explode(F.array(*map(F.lit, range(shares)))))
-        if shares > 1:
-            dealt = dealt.repartition(4 * cores, "symbol", "share")  # else a few shares may meet in one task
-        return dealt.groupBy("symbol", "share").applyInArrow(run, f"candidate long, symbol string, first {kind}, last {kind}, {kinds}")
+        if shares > 1 or cut:
+            dealt = dealt.repartition(max(4 * cores, parts * shares), "symbol", "piece", "share")  # else a few shares may meet in one task
+        found = dealt.groupBy("symbol", "piece", "share").applyInArrow(run, f"candidate long, symbol string, piece long, first {kind}, last {kind}, {SCHEMA}")
+        state = F.struct("piece", *ARROW)
+        if cut:
+            found = found.groupBy("candidate", "symbol").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.array_sort(F.collect_list(state)).alias("states"))
+        else:
+            found = found.withColumn("states", F.array(state))
+        found = found.select("candidate", "symbol", "first", "last", merged("states").alias("state"))
+        return found.select("candidate", "symbol", "first", "last", *metrics_of("state", per_year))
 
 
 def with_parameters(table: DataFrame, candidates: Candidates, ids: list[int] | None = None) -> DataFrame:

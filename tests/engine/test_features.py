@@ -1,5 +1,6 @@
 import re
 import statistics
+import time
 
 import numpy as np
 import pytest
@@ -55,10 +56,10 @@ def test_no_feature_sees_the_future(spark):
 
 
 @pytest.mark.parametrize("name", list(FEATURES))
-def test_arrays_equal_columns(spark, name, monkeypatch):
-    monkeypatch.setattr(arrays, "CELLS", 500)
-    n = None if FEATURES[name].least is None else 7
-    bars = walk(spark, 420)
+@pytest.mark.parametrize("lookback", [7, 50, 200])
+def test_arrays_equal_columns(spark, name, lookback):
+    n = None if FEATURES[name].least is None else lookback
+    bars = walk(spark, 720)
     for field in ("close", "volume"):
         source = (name, field, n)
         rows = wide(bars, [source]).orderBy("timestamp").select(field, column_of(source)).collect()
@@ -90,3 +91,41 @@ def test_long_lookbacks_cost_no_moving_frames(spark):
     plan = wide(walk(spark, 50), [("zscore", "close", 5000), ("volume_change", "volume", 5000)])._jdf.queryExecution().executedPlan().toString()
     assert "unboundedpreceding" in plan and not re.search(r"RowFrame, -(4999|5000), (currentrow|-1)", plan)  # lags stay
     assert plan.count("Exchange hashpartitioning") <= 1
+
+
+def test_array_windows_against_each_window():
+    rng = np.random.default_rng(1)
+    for size in (1, 5, 63, 64, 65, 200, 500, 1000):
+        x = rng.normal(100, 1, size)
+        if size > 100:
+            x[50], x[70:90] = np.nan, 3
+        s = arrays.Series(x)
+        for n in (1, 2, 3, 24, 63, 64, 65, 127, 128, 191, 192, 193, 255, 256, 257, 400, 999, 1000, 1001):
+            found = (s.low(n), s.high(n), *s.moments(n))
+            assert all(np.isnan(f[: n - 1]).all() for f in found)
+            if n <= size:
+                v = np.lib.stride_tricks.sliding_window_view(x, n)
+                for got, want in zip(found, (v.min(1), v.max(1), v.mean(1), v.var(1) * n)):
+                    np.testing.assert_allclose(got[n - 1 :], want, rtol=1e-9, atol=1e-9)
+
+
+def test_array_windows_do_not_cancel():
+    """A small spread after a jump: nothing is left of it in running sums of squares."""
+    x = np.concatenate([np.full(500, 1e6), 1 + 1e-6 * np.sin(np.arange(1500.0))])
+    for n in (24, 300):
+        want = np.lib.stride_tricks.sliding_window_view(x[500:], n).std(axis=1, ddof=1)
+        np.testing.assert_allclose(arrays.Series(x).std(n)[500 + n - 1 :], want, rtol=1e-6)
+
+
+def test_array_windows_cost_no_lookback():
+    x = np.random.default_rng(2).normal(100, 1, 50_000)
+
+    def took(n):
+        runs = []
+        for _ in range(5):
+            began = time.process_time()
+            arrays.ARRAYS["zscore"](x, n)
+            runs.append(time.process_time() - began)
+        return min(runs)
+
+    assert took(10_000) < 3 * took(24) + 0.01
