@@ -26,9 +26,12 @@ LEVEL = "array<struct<high:double,low:double>>"
 SCHEMA = f"n long, growth double, low double, high double, worst double, mean double, m2 double, turnover double, n_trades long, held long, still boolean, up {LEVEL}, down {LEVEL}"
 _LEVELS = pa.list_(pa.struct([("high", pa.float64()), ("low", pa.float64())]))
 ARROW = {c: pa.bool_() if c == "still" else pa.int64() if c in ("n", "n_trades", "held") else pa.float64() for c in NUMBERS} | {"up": _LEVELS, "down": _LEVELS}
-CELLS = 1 << 18  # look-ups at a time
+BARS = 2048  # of a block, whose tables stay in a core's cache while all candidates look their states up
+CELLS = 1 << 17  # look-ups at a time
 #: For two and three positions: how many bars a table's states span, by the candidates that share it.
 WIDTHS = {2: ((64, 4), (8, 2), (0, 1)), 3: ((64, 2), (0, 1))}
+#: The columns of a table; a row has the length of a cache line.
+GROWTH, LOW, HIGH, WORST, TOTAL, SQUARES, TURNOVER = range(7)
 
 
 def holds(values: np.ndarray, op: str, threshold: float) -> np.ndarray:
@@ -53,40 +56,41 @@ def _entries(base: int, width: int) -> np.ndarray:
 
 
 class Tables:
-    """For groups of `width` bars, by entry: growth, low, high, worst, sum and sum of squares of returns."""
+    """For groups of `width` bars, a row for each entry."""
 
     def __init__(self, ret: np.ndarray, sides: np.ndarray, cost: float, width: int):
-        self.base, self.width, self.groups = len(sides), width, -(-len(ret) // width)
-        digits = _entries(self.base, width)
-        moves = np.zeros((self.groups * width, 1))
-        moves[: len(ret), 0] = ret
+        self.sides, self.cost, self.width, self.groups = sides, cost, width, -(-len(ret) // width)
+        digits = _entries(len(sides), width)
+        moves = np.zeros(self.groups * width)
+        moves[: len(ret)] = ret
         real = (np.arange(len(moves)) < len(ret)).reshape(self.groups, width)
         moves = moves.reshape(self.groups, width)
-        equity = high = low = worst = total = squares = None
+        t = np.zeros((self.groups, len(digits), 8))
+        t[..., GROWTH], t[..., LOW], t[..., HIGH], t[..., WORST] = 1, np.inf, -np.inf, np.inf
         for k in range(width):
-            side, before = sides[digits[:, k + 1]], sides[digits[:, k]]
-            r = (moves[:, k, None] * side - np.abs(side - before) * cost) * real[:, k, None]
-            equity = 1 + r if equity is None else equity * (1 + r)
-            high = equity if high is None else np.maximum(high, equity)
-            low = equity if low is None else np.minimum(low, equity)
+            side = sides[digits[:, k + 1]]
+            change = np.abs(side - sides[digits[:, k]])
+            on = real[:, k, None]
+            r = (moves[:, k, None] * side - change * cost) * on
+            t[..., GROWTH] *= 1 + r
+            np.maximum(t[..., HIGH], t[..., GROWTH], out=t[..., HIGH])
+            np.minimum(t[..., LOW], t[..., GROWTH], out=t[..., LOW])
             with np.errstate(divide="ignore", invalid="ignore"):
-                ratio = equity / high
-            worst = ratio if worst is None else np.minimum(worst, ratio)
-            total = r if total is None else total + r
-            squares = r * r if squares is None else squares + r * r
-        self.parts = [np.ascontiguousarray(p).ravel() for p in (equity, low, high, worst, total, squares)]
-        self.start = np.arange(self.groups) * len(digits)
-
-    def looked_up(self, x: np.ndarray) -> list[np.ndarray]:
+                np.minimum(t[..., WORST], t[..., GROWTH] / t[..., HIGH], out=t[..., WORST])
+            t[..., TOTAL] += r
+            t[..., SQUARES] += r * r
+            t[..., TURNOVER] += change * on
+        self.rows, self.start = t.reshape(-1, 8), np.arange(self.groups) * len(digits)
+
+    def looked_up(self, x: np.ndarray) -> np.ndarray:
         """By candidate (row of x: the position before, then one per bar) and group."""
         need = 1 + self.groups * self.width
         if x.shape[1] < need:  # a last, short group goes on as it is
             x = np.concatenate([x, np.repeat(x[:, -1:], need - x.shape[1], axis=1)], axis=1)
         index = x[:, 0 : need - 1 : self.width].copy()
         for k in range(1, self.width + 1):
-            index += x[:, k : k + (self.groups - 1) * self.width + 1 : self.width] * np.uint8(self.base**k)
-        at = self.start + index
-        return [p[at] for p in self.parts]
+            index += x[:, k : k + (self.groups - 1) * self.width + 1 : self.width] * np.uint8(len(self.sides) ** k)
+        return np.take(self.rows, self.start + index, axis=0)
 
 
 def levels(equity: np.ndarray) -> list[dict]:
@@ -96,32 +100,43 @@ def levels(equity: np.ndarray) -> list[dict]:
     return [{"high": float(h), "low": float(x)} for h, x in zip(peak[begin], np.minimum.reduceat(equity, begin))]
 
 
-def stretch(ret: np.ndarray, x: np.ndarray, tables: Tables, sides: np.ndarray, cost: float) -> dict[str, np.ndarray]:
-    """States of candidates over a stretch of bars, from their positions (row of x: before it, then held on each bar)."""
-    growth, low, high, worst, total, squares = tables.looked_up(x)
-    equity = np.multiply.accumulate(growth, axis=1)
+def path_levels(ret: np.ndarray, side: np.ndarray, cost: float) -> tuple[list[dict], list[dict]]:
+    """Of a candidate's equity, and of its mirror image."""
+    equity = np.cumprod(1 + side[1:] * ret - np.abs(np.diff(side)) * cost)
+    return levels(equity), levels(-equity)
+
+
+def stretch(n: int, x: np.ndarray, tables: Tables) -> dict[str, np.ndarray]:
+    """States of candidates over n bars, from their positions (row of x: before them, then held on each), and `ruined`:
+    whether a bar lost everything, so that these states do not merge."""
+    got, sides = tables.looked_up(x), tables.sides
+    equity = np.multiply.accumulate(got[..., GROWTH], axis=1)
     before = np.concatenate([np.ones((len(x), 1)), equity[:, :-1]], axis=1)
-    peak = np.maximum.accumulate(before * high, axis=1)
-    lows = before * low
-    n, worst = len(ret), worst.min(axis=1)
+    peak = np.maximum.accumulate(before * got[..., HIGH], axis=1)
+    lows, worst = before * got[..., LOW], got[..., WORST].min(axis=1)
     with np.errstate(divide="ignore", invalid="ignore"):
         if lows.shape[1] > 1:
             worst = np.minimum(worst, (lows[:, 1:] / peak[:, :-1]).min(axis=1))
-    total, squares = total.sum(axis=1), squares.sum(axis=1)
+    total, squares = got[..., TOTAL].sum(axis=1), got[..., SQUARES].sum(axis=1)
     now, past = x[:, 1 : n + 1], x[:, :n]
-    trades = np.count_nonzero(now != past, axis=1) if sides[1:].all() else np.zeros(len(x), np.int64)
-    turnover = trades * abs(sides[1]) if len(sides) == 2 else np.abs(sides[:, None] - sides[None, :]).ravel()[past * np.uint8(3) + now].sum(axis=1)
-    out = {
+    trades = np.count_nonzero(now != past, axis=1) if len(set(sides)) == len(sides) else np.zeros(len(x), np.int64)
+    held = np.full(len(x), n) if sides[0] else np.count_nonzero(now, axis=1) if sides[1:].all() else np.zeros(len(x), np.int64)
+    return {
         "n": np.full(len(x), n), "growth": equity[:, -1], "low": lows.min(axis=1), "high": peak[:, -1], "worst": worst, "mean": total / n,
-        "m2": np.maximum(squares - total * total / n, 0.0), "turnover": turnover.astype(np.float64), "n_trades": trades, "held": np.count_nonzero(now, axis=1) if sides[1:].all() else np.zeros(len(x), np.int64),
-        "still": squares == 0,
+        "m2": np.maximum(squares - total * total / n, 0.0), "turnover": got[..., TURNOVER].sum(axis=1), "n_trades": trades, "held": held, "still": squares == 0,
+        "ruined": ~(got[..., LOW].min(axis=1) > 0),
     }
-    up, down = np.full(len(x), None, object), np.full(len(x), None, object)
-    for i in np.flatnonzero(~(out["low"] > 0)):
-        side = sides[x[i, : n + 1]]
-        path = np.cumprod(1 + side[1:] * ret - np.abs(np.diff(side)) * cost)
-        up[i], down[i] = levels(path), levels(-path)
-    return out | {"up": up, "down": down}
+
+
+def joined(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The states of two stretches, one after the other. Only where none is ruined do the ratios hold."""
+    n, g, d = a["n"] + b["n"], a["growth"], b["mean"] - a["mean"]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        worst = np.minimum(np.minimum(a["worst"], b["worst"]), g * b["low"] / a["high"])
+    return {
+        "n": n, "growth": g * b["growth"], "low": np.minimum(a["low"], g * b["low"]), "high": np.maximum(a["high"], g * b["high"]), "worst": worst,
+        "mean": a["mean"] + d * (b["n"] / n), "m2": a["m2"] + b["m2"] + d * d * (a["n"] * b["n"] / n), "still": a["still"] & b["still"], "ruined": a["ruined"] | b["ruined"],
+    } | {c: a[c] + b[c] for c in ("turnover", "n_trades", "held")}
 
 
 def packed_conditions(values: dict[int, np.ndarray], specs: list[tuple]) -> tuple[dict, np.ndarray]:
@@ -137,6 +152,47 @@ def packed_conditions(values: dict[int, np.ndarray], specs: list[tuple]) -> tupl
     return at, np.stack(rows) if rows else np.empty((0, 0), np.uint8)
 
 
+class Positions:
+    """What candidates (with equally many conditions, one logic and one pair of positions) hold, from packed conditions."""
+
+    def __init__(self, specs: list[tuple], at: dict, bits: np.ndarray, n: int, begin: int):
+        (_, conditions, logic, self.yes, self.no), self.n, self.begin = specs[0], n, begin
+        self.fold = np.bitwise_and if logic == "AND" else np.bitwise_or
+        self.count, self.bits = len(conditions), bits
+        self.which = np.array([[at[c] for c in s[1]] for s in specs], np.int64).reshape(len(specs), self.count)
+        self.unknown = np.array([[at[c[0],] for c in s[1]] for s in specs], np.int64).reshape(len(specs), self.count)
+        both = bool(self.yes and self.no and self.yes != self.no)
+        #: Digit 0 is flat, which undefined conditions are, unless there are none in a block: then the two sides do.
+        self.sides = np.array([0.0, self.yes, self.no] if both else [0.0, self.yes or self.no])
+        self.pair = np.array([self.no, self.yes]) if both else None
+
+    def block(self, some: slice, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sides, and digits of what is held on bar start - 1, then on each of start .. end - 1: the position of the bar before, and
+        nothing up to the account's first bar."""
+        rows = len(self.which[some])
+        out = np.zeros((rows, end - start + 1), np.uint8)
+        first = max(start - 1, self.begin + 1)  # the first bar with a position before it in the account
+        if first >= end:
+            return self.sides, out
+        lo, hi = (first - 1) // 8, -(-(end - 1) // 8)
+        cut = lambda b: np.unpackbits(b, axis=1)[:, first - 1 - 8 * lo : end - 1 - 8 * lo]
+        sides = self.sides
+        if not self.count:
+            digits = np.full((rows, end - first), self.yes != 0, np.uint8)
+        else:
+            part = self.bits[:, lo:hi]
+            unknown = np.bitwise_or.reduce(part[self.unknown[some]], axis=1)
+            whole = self.fold.reduce(part[self.which[some]], axis=1)
+            if self.pair is not None and first == start - 1 and not unknown.any():
+                sides, digits = self.pair, cut(whole)
+            elif self.pair is not None:
+                digits = cut(~unknown) * (np.uint8(2) - cut(whole))
+            else:
+                digits = cut(~unknown & (np.uint8(255) if self.yes == self.no else whole if self.yes else ~whole))
+        out[:, first - start + 1 :] = digits
+        return sides, out
+
+
 def states(
     close: np.ndarray, values: dict[int, np.ndarray], specs: list[tuple], begin: int, own: int, cost: float, known: float = np.nan
 ) -> dict[str, np.ndarray]:
@@ -146,51 +202,33 @@ def states(
     the bar `begin`. `known`: the last close before the first bar.
     """
     n, start = len(close), max(begin, own)
-    ret = bar_returns(close, known)[start:]
+    ret = bar_returns(close, known)
     at, bits = packed_conditions(values, specs)
     groups: dict[tuple, list[int]] = defaultdict(list)
+    shared: dict[tuple, int] = defaultdict(int)
     for j, (_, conditions, logic, yes, no) in enumerate(specs):
         groups[len(conditions), logic if len(conditions) > 1 else "AND", yes, no].append(j)
-    out: dict[str, np.ndarray] = {}
-    shared: dict[tuple, int] = defaultdict(int)
-    made: dict[tuple, Tables] = {}
-    for (*_, yes, no), js in groups.items():
-        shared[yes, no] += len(js)
-    for (count, logic, yes, no), js in groups.items():
-        sides = np.array([0.0, yes] if not no or yes == no else [0.0, no] if not yes else [0.0, yes, no])
-        width = next(w for least, w in WIDTHS[len(sides)] if shared[yes, no] >= least)
-        if (*sides, width) not in made:
-            made[*sides, width] = Tables(ret, sides, cost, width)
-        tables = made[*sides, width]
-        step = max(1, CELLS // max(1, tables.groups * width))
-        fold = np.bitwise_and if logic == "AND" else np.bitwise_or
-        for a in range(0, len(js), step):
-            some = js[a : a + step]
-            if count:
-                which = np.array([[at[c] for c in specs[j][1]] for j in some])
-                unknown = np.array([[at[c[0],] for c in specs[j][1]] for j in some])
-                whole = fold.reduce(bits[which], axis=1)
-                defined = ~np.bitwise_or.reduce(bits[unknown], axis=1)
-                open_ = lambda b: np.unpackbits(b, axis=1, count=n)
-                if len(sides) == 3:
-                    digit = open_(defined) * (np.uint8(2) - open_(whole))
-                else:
-                    digit = open_(defined & (np.uint8(255) if yes == no else whole if not no else ~whole))
-            else:
-                digit = np.full((len(some), n), yes != 0, np.uint8)
-            # what is held on a bar is the position of the bar before; nothing on the account's first, nor before it
-            lag = np.zeros((len(some), n - start + 1), np.uint8)
-            for k in (0, 1):  # the bar before the stretch, its first
-                bar = start - 1 + k
-                if bar > begin:
-                    lag[:, k] = digit[:, bar - 1]
-            lag[:, 2:] = digit[:, start : n - 1]
-            got = stretch(ret, lag, tables, sides, cost)
-            for name, v in got.items():
-                if name not in out:
-                    out[name] = np.empty(len(specs), v.dtype)
-                out[name][some] = v
-    return out
+        shared[yes, no] += 1
+    held = [(np.array(js), Positions([specs[j] for j in js], at, bits, n, begin)) for js in groups.values()]
+    whole: dict[str, np.ndarray] = {}
+    for a in range(start, n, BARS):
+        b, made, block = min(a + BARS, n), {}, {}
+        for js, p in held:
+            step = max(1, CELLS // (b - a))
+            for i in range(0, len(js), step):
+                sides, x = p.block(slice(i, i + step), a, b)
+                width = next(w for least, w in WIDTHS[len(sides)] if shared[p.yes, p.no] >= least)
+                if (key := (*sides, width)) not in made:
+                    made[key] = Tables(ret[a:b], sides, cost, width)
+                for name, v in stretch(b - a, x, made[key]).items():
+                    block.setdefault(name, np.empty(len(specs), v.dtype))[js[i : i + step]] = v
+        whole = joined(whole, block) if whole else block
+    up, down = np.full(len(specs), None, object), np.full(len(specs), None, object)
+    for js, p in held:
+        for i in np.flatnonzero(whole["ruined"][js]):
+            sides, x = p.block(slice(i, i + 1), start, n)
+            up[js[i]], down[js[i]] = path_levels(ret[start:], sides[x[0]], cost)
+    return whole | {"up": up, "down": down}
 
 
 MERGE = f"""aggregate(STATES, named_struct('n', 0L, 'growth', 1D, 'peak', 1D, 'worst', 1D, 'mean', 0D, 'm2', 0D, 'turnover', 0D, 'n_trades', 0L, 'held', 0L, 'still', true), (a, s) -> named_struct(

@@ -31,12 +31,12 @@ def account(side, ret, cost):
     return out | {"growth": equity, "high": peak, "mean": np.mean(r), "m2": np.var(r) * len(r), "still": not any(r), "n": len(r)}
 
 
-@pytest.mark.parametrize("sides,width", [((0, 1), 4), ((0, -1), 2), ((0, 1), 1), ((0, 1, -1), 2), ((0, -1, 1), 1), ((0, 0), 4)])
+@pytest.mark.parametrize("sides,width", [((-1, 1), 4), ((0, 1), 4), ((0, -1), 2), ((0, 1), 1), ((0, 1, -1), 2), ((0, -1, 1), 1), ((0, 0), 4)])
 @pytest.mark.parametrize("n", [1, 2, 5, 8, 97])
 def test_tables_give_the_account(sides, width, n):
     sides, ret = np.array(sides, float), rng.normal(0, 0.02, n)
     x = rng.integers(0, len(sides), (9, n + 1)).astype(np.uint8)
-    got = T.stretch(ret, x, T.Tables(ret, sides, 0.001, width), sides, 0.001)
+    got = T.stretch(n, x, T.Tables(ret, sides, 0.001, width))
     for i in range(len(x)):
         want = account(sides[x[i]], ret, 0.001)
         for name, v in want.items():
@@ -62,8 +62,9 @@ def test_stretches_merge_in_order(spark, ruin):
         cuts = [0, *sorted(rng.choice(np.arange(1, n), min(n - 1, 3), replace=False).tolist()), n]
         found = []
         for a, b in zip(cuts, cuts[1:]):
-            got = T.stretch(ret[a:b], x[:, a : b + 1], T.Tables(ret[a:b], sides, 0.01, 2), sides, 0.01)
-            found.append(tuple(v[0].item() if hasattr(v[0], "item") else v[0] for v in (got[c] for c in T.ARROW)))
+            got = T.stretch(b - a, x[:, a : b + 1], T.Tables(ret[a:b], sides, 0.01, 2))
+            up = T.path_levels(ret[a:b], sides[x[0, a : b + 1]], 0.01) if got["ruined"][0] else (None, None)
+            found.append((*(got[c][0].item() for c in T.NUMBERS), *up))
         rows.append((case, found))
     df = spark.createDataFrame(rows, f"id int, states array<struct<{T.SCHEMA.replace(' long', ':long').replace(' double', ':double').replace(' boolean', ':boolean').replace(' array<', ':array<')}>>")
     got = df.select("id", T.merged("states").alias("state")).select("id", *T.metrics_of("state", 100.0)).orderBy("id").collect()
@@ -102,13 +103,14 @@ def same(got, want):
 
 
 @pytest.mark.parametrize("span", [(None, None), ("2020-01-10", "2020-02-01"), ("2020-01-01 05:00:00", None)])
-def test_pieces_equal_windows(spark, span):
+def test_pieces_equal_windows(spark, span, monkeypatch):
     """One long symbol cut in pieces, beside one of few bars and one with a year without bars and one crowded hour."""
     long, short = walk(spark, 900, symbols=("A",)), walk(spark, 20, symbols=("B",))
     odd = walk(spark, 700, symbols=("C",)).withColumn("timestamp", F.expr("IF(hour(timestamp) % 2 = 0, timestamp, timestamp + INTERVAL 1 YEAR)"))
     odd = odd.withColumn("timestamp", F.expr("IF(volume > 25, timestamp_ntz'2020-01-03 00:00:00' + make_dt_interval(0, 0, 0, minute(timestamp) + volume), timestamp)"))
     bars = long.unionByName(short).unionByName(odd).dropDuplicates(["symbol", "timestamp"]).persist()
     every = list(strategies())
+    monkeypatch.setattr(T, "BARS", 40)  # seen by workers that start from here on
     want = SqlEvaluator()(bars, every, *span)
     same(ArrowEvaluator()(bars, every, *span), want)
     evaluator = ArrowEvaluator(rows=64)
@@ -134,3 +136,29 @@ def test_bars_that_are_twice_or_without_time(spark):
         with pytest.raises(Exception, match="one row"):
             ArrowEvaluator(rows=rows)(bars.unionByName(bars.limit(1)), spec).collect()
     assert ArrowEvaluator()(bars.limit(0), spec).count() == 0
+
+
+@pytest.mark.parametrize("blocks", [3, 16, 2048])
+def test_blocks_equal_accounts(monkeypatch, blocks):
+    """Every kind of positions over gaps, from a stretch's own first bar, bar by bar."""
+    monkeypatch.setattr(T, "BARS", blocks)
+    monkeypatch.setattr(T, "WIDTHS", {2: ((0, 4),), 3: ((0, 2),)})
+    close = 100 * np.exp(np.cumsum(rng.normal(0, 0.02, 150)))
+    close[[20, 21, 90]] = np.nan
+    values = {0: rng.normal(0, 1, 150), 1: rng.normal(0, 1, 150)}
+    values[0][:5], values[1][:9], values[1][60] = np.nan, np.nan, np.nan
+    specs = []
+    for yes, no in ((1, 0), (0, -1), (1, -1), (-1, 1), (1, 1), (0, 0)):
+        for conditions in ([], [(0, ">", 0.3)], [(0, ">", 0.0), (1, "<", 0.5)]):
+            specs += [(len(specs) + i, conditions, logic, float(yes), float(no)) for i, logic in enumerate(("AND", "OR"))]
+    for begin, own in ((0, 0), (30, 0), (0, 40), (30, 31), (30, 32), (30, 90), (149, 0)):
+        got, start = T.states(close, values, specs, begin, own, 0.001), max(begin, own)
+        for j, (_, conditions, logic, yes, no) in enumerate(specs):
+            position = []
+            for t in range(150):
+                hold = [T.holds(values[i][t], op, x) for i, op, x in conditions]
+                lost = any(np.isnan(values[i][t]) for i, *_ in conditions)
+                position.append(0.0 if lost else yes if (all(hold) if logic == "AND" or not hold else any(hold)) else no)
+            side = np.array([0.0 if t <= begin else position[t - 1] for t in range(start - 1, 150)])
+            for name, v in account(side, T.bar_returns(close)[start:], 0.001).items():
+                assert got[name][j] == pytest.approx(v, rel=1e-10, abs=1e-13), (name, begin, own, specs[j])
