@@ -6,7 +6,8 @@ one history, which different tasks may have computed, in their order. The merge
 
 A state holds the number of bars; the growth, and the lowest and highest equity, of one unit; the worst ratio of an equity to
 the highest up to it; mean and squared deviations of returns; turnover, trades, bars in the market; and whether nothing
-moved. Where one bar loses everything or more, ratios no longer scale; `up` and `down` then list the equity's levels.
+moved. Where one bar loses everything or more, ratios no longer scale: unless it is a history's first, a stretch's `up` and
+`down` then list the equity's levels.
 """
 
 from __future__ import annotations
@@ -80,7 +81,7 @@ class Tables:
             t[..., TOTAL] += r
             t[..., SQUARES] += r * r
             t[..., TURNOVER] += change * on
-        self.rows, self.start = t.reshape(-1, 8), np.arange(self.groups) * len(digits)
+        self.moves, self.rows, self.start = moves, t.reshape(-1, 8), np.arange(self.groups) * len(digits)
 
     def looked_up(self, x: np.ndarray) -> np.ndarray:
         """By candidate (row of x: the position before, then one per bar) and group."""
@@ -109,7 +110,7 @@ def path_levels(ret: np.ndarray, side: np.ndarray, cost: float) -> tuple[list[di
 def stretch(n: int, x: np.ndarray, tables: Tables) -> dict[str, np.ndarray]:
     """States of candidates over n bars, from their positions (row of x: before them, then held on each), and `ruined`:
     whether a bar lost everything, so that these states do not merge."""
-    got, sides = tables.looked_up(x), tables.sides
+    got = tables.looked_up(x)
     equity = np.multiply.accumulate(got[..., GROWTH], axis=1)
     before = np.concatenate([np.ones((len(x), 1)), equity[:, :-1]], axis=1)
     peak = np.maximum.accumulate(before * got[..., HIGH], axis=1)
@@ -117,14 +118,46 @@ def stretch(n: int, x: np.ndarray, tables: Tables) -> dict[str, np.ndarray]:
     with np.errstate(divide="ignore", invalid="ignore"):
         if lows.shape[1] > 1:
             worst = np.minimum(worst, (lows[:, 1:] / peak[:, :-1]).min(axis=1))
-    total, squares = got[..., TOTAL].sum(axis=1), got[..., SQUARES].sum(axis=1)
+    return sums(n, x, tables, got) | {
+        "growth": equity[:, -1], "low": lows.min(axis=1), "high": peak[:, -1], "worst": worst, "ruined": ~(got[..., LOW].min(axis=1) > 0)
+    }
+
+
+def begun(n: int, x: np.ndarray, tables: Tables, equity: np.ndarray, peak: np.ndarray) -> dict[str, np.ndarray]:
+    """The same where the equity so far, and its highest (1 at least), are known: `growth` and `high` are the new ones, `worst` is
+    final, whatever bars lost."""
+    got = tables.looked_up(x)
+    after = equity[:, None] * np.multiply.accumulate(got[..., GROWTH], axis=1)
+    before = np.concatenate([equity[:, None], after[:, :-1]], axis=1)
+    a, b = before * got[..., HIGH], before * got[..., LOW]
+    top, bottom = np.maximum(a, b), np.minimum(a, b)
+    peaks = np.maximum.accumulate(np.concatenate([peak[:, None], top], axis=1), axis=1)
+    worst, lost = bottom / peaks[:, :-1], got[..., LOW] <= 0
+    np.minimum(worst, got[..., WORST], out=worst, where=(before > 0) & ~lost)
+    c, g = np.nonzero(lost & (top > peaks[:, :-1]))  # a new peak and a loss of everything within one group: bar by bar
+    if len(c):
+        e, p, w = before[c, g], peaks[c, g], np.full(len(c), np.inf)
+        for k in range(tables.width):
+            at = np.minimum(g * tables.width + k, x.shape[1] - 2)
+            now, past = tables.sides[x[c, at + 1]], tables.sides[x[c, at]]
+            real = g * tables.width + k < n
+            e = np.where(real, e * (1 + tables.moves[g, k] * now - np.abs(now - past) * tables.cost), e)
+            p = np.maximum(p, e)
+            w = np.minimum(w, e / p)
+        worst[c, g] = w
+    worst = worst.min(axis=1)
+    return sums(n, x, tables, got) | {"growth": after[:, -1], "low": worst, "high": peaks[:, -1], "worst": worst, "ruined": np.zeros(len(x), bool)}
+
+
+def sums(n: int, x: np.ndarray, tables: Tables, got: np.ndarray) -> dict[str, np.ndarray]:
+    """What does not depend on the order of bars."""
+    sides, total, squares = tables.sides, got[..., TOTAL].sum(axis=1), got[..., SQUARES].sum(axis=1)
     now, past = x[:, 1 : n + 1], x[:, :n]
     trades = np.count_nonzero(now != past, axis=1) if len(set(sides)) == len(sides) else np.zeros(len(x), np.int64)
     held = np.full(len(x), n) if sides[0] else np.count_nonzero(now, axis=1) if sides[1:].all() else np.zeros(len(x), np.int64)
     return {
-        "n": np.full(len(x), n), "growth": equity[:, -1], "low": lows.min(axis=1), "high": peak[:, -1], "worst": worst, "mean": total / n,
-        "m2": np.maximum(squares - total * total / n, 0.0), "turnover": got[..., TURNOVER].sum(axis=1), "n_trades": trades, "held": held, "still": squares == 0,
-        "ruined": ~(got[..., LOW].min(axis=1) > 0),
+        "n": np.full(len(x), n), "mean": total / n, "m2": np.maximum(squares - total * total / n, 0.0), "turnover": got[..., TURNOVER].sum(axis=1),
+        "n_trades": trades, "held": held, "still": squares == 0,
     }
 
 
@@ -199,7 +232,8 @@ def states(
     """States of the candidates (id, conditions, logic, yes, no) over the bars from `own` on.
 
     Bars before are there to warm features up; those from `begin` on count as the account's, which starts flat with
-    the bar `begin`. `known`: the last close before the first bar.
+    the bar `begin`. `known`: the last close before the first bar. An account's own first bars need no levels: their
+    ratios are final, with the unit that it starts with as the first peak, and `low` is the worst of them.
     """
     n, start = len(close), max(begin, own)
     ret = bar_returns(close, known)
@@ -211,6 +245,7 @@ def states(
         shared[yes, no] += 1
     held = [(np.array(js), Positions([specs[j] for j in js], at, bits, n, begin)) for js in groups.values()]
     whole: dict[str, np.ndarray] = {}
+    new, equity, peak = begin >= own, np.ones(len(specs)), np.ones(len(specs))
     for a in range(start, n, BARS):
         b, made, block = min(a + BARS, n), {}, {}
         for js, p in held:
@@ -220,9 +255,16 @@ def states(
                 width = next(w for least, w in WIDTHS[len(sides)] if shared[p.yes, p.no] >= least)
                 if (key := (*sides, width)) not in made:
                     made[key] = Tables(ret[a:b], sides, cost, width)
-                for name, v in stretch(b - a, x, made[key]).items():
-                    block.setdefault(name, np.empty(len(specs), v.dtype))[js[i : i + step]] = v
+                some = js[i : i + step]
+                got = begun(b - a, x, made[key], equity[some], peak[some]) if new else stretch(b - a, x, made[key])
+                for name, v in got.items():
+                    block.setdefault(name, np.empty(len(specs), v.dtype))[some] = v
         whole = joined(whole, block) if whole else block
+        if new:
+            equity, peak = block["growth"], block["high"]
+            whole |= {"growth": equity, "high": peak}
+            whole["low"] = whole["worst"] = block["worst"] if a == start else np.minimum(worst, block["worst"])
+            worst = whole["worst"]
     up, down = np.full(len(specs), None, object), np.full(len(specs), None, object)
     for js, p in held:
         for i in np.flatnonzero(whole["ruined"][js]):

@@ -133,7 +133,9 @@ class ArrowEvaluator:
         else:
             x = x.withColumns({"piece": F.lit(0).cast("long"), "own": F.lit(True), "known": F.lit(None).cast("double")})
         chunks = [specs[i : i + self.chunk] for i in range(0, len(specs), self.chunk)]
-        shares = max(1, min(len(chunks), -(-cores // (max(1, seen[1]) * parts))))
+        groups = max(1, seen[1]) * parts
+        shares = max(1, min(len(chunks), -(-3 * cores // groups) if groups < cores else 1))  # so many that a task with two of them hurts little
+        share_of = lambda i: i * shares // len(chunks)  # noqa: E731 - neighbours share features
 
         def run(key: tuple, t: pa.Table) -> pa.Table:
             t = t.sort_by("timestamp")
@@ -142,7 +144,7 @@ class ArrowEvaluator:
                 raise ValueError(TWICE)
             live, own = (t.column(c).to_numpy() for c in ("inside", "own"))
             begin, first = (int(np.argmax(c)) if c.any() else len(c) for c in (live, own))
-            mine = [s for i, c in enumerate(chunks) if i % shares == key[2].as_py() for s in c] if max(begin, first) < len(live) else []
+            mine = [s for i, c in enumerate(chunks) if share_of(i) == key[2].as_py() for s in c] if max(begin, first) < len(live) else []
             get = lambda c: t.column(c).to_numpy(zero_copy_only=False).astype(np.float64)
             raw = {f: Series(get(f"f{i}")) for i, f in enumerate(["close", *fields])}
             used = {at for s in mine for at, *_ in s[1]}  # a share needs the features of its own candidates
@@ -157,7 +159,7 @@ class ArrowEvaluator:
 
         dealt = x.withColumn("share", F.explode(F.array(*map(F.lit, range(shares)))))
         if shares > 1 or cut:
-            dealt = dealt.repartition(max(4 * cores, parts * shares), "symbol", "piece", "share")  # else a few shares may meet in one task
+            dealt = dealt.repartition(min(4 * groups * shares, max(32 * cores, groups)), "symbol", "piece", "share")  # else a few shares may meet in one task
         found = dealt.groupBy("symbol", "piece", "share").applyInArrow(run, f"candidate long, symbol string, piece long, first {kind}, last {kind}, {SCHEMA}")
         state = F.struct("piece", *ARROW)
         if cut:

@@ -160,5 +160,25 @@ def test_blocks_equal_accounts(monkeypatch, blocks):
                 lost = any(np.isnan(values[i][t]) for i, *_ in conditions)
                 position.append(0.0 if lost else yes if (all(hold) if logic == "AND" or not hold else any(hold)) else no)
             side = np.array([0.0 if t <= begin else position[t - 1] for t in range(start - 1, 150)])
-            for name, v in account(side, T.bar_returns(close)[start:], 0.001).items():
+            want = account(side, T.bar_returns(close)[start:], 0.001)
+            if begin >= own:
+                want["low"] = want["worst"] = 1 + drawdown(side, T.bar_returns(close)[start:], 0.001)[0]
+                want["high"] = max(1.0, want["high"])
+            for name, v in want.items():
                 assert got[name][j] == pytest.approx(v, rel=1e-10, abs=1e-13), (name, begin, own, specs[j])
+
+
+@pytest.mark.parametrize("width", [1, 2, 4])
+def test_ruin_from_the_start(monkeypatch, width):
+    """Equity that falls below nothing and comes back, with new peaks in between, where the account's start is known."""
+    monkeypatch.setattr(T, "BARS", 8)
+    monkeypatch.setattr(T, "WIDTHS", {2: ((0, width),), 3: ((0, min(width, 2)),)})
+    for case in range(60):
+        close = 100 * np.cumprod(1 + rng.normal(0, 0.9, 45).clip(-0.95, 3))
+        values = {0: rng.normal(0, 1, 45)}
+        specs = [(0, [(0, ">", 0.0)], "AND", -1.0, 1.0), (1, [(0, ">", 0.0)], "AND", -1.0, 0.0), (2, [], "AND", -1.0, 0.0)]
+        got = T.states(close, values, specs, 0, 0, 0.01)
+        for j, (_, conditions, _, yes, no) in enumerate(specs):
+            position = np.where(values[0] > 0, yes, no) if conditions else np.full(45, yes)
+            worst, growth = drawdown(np.array([0.0, 0.0, *position[:-1]]), T.bar_returns(close), 0.01)
+            assert min(1.0, got["worst"][j]) - 1 == pytest.approx(worst, rel=1e-9) and got["growth"][j] == pytest.approx(growth, rel=1e-9), (case, j)
