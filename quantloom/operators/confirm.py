@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -25,23 +26,50 @@ def select_records(records: DataFrame, numbers: list[int] | None = None) -> Data
     return done.join(F.broadcast(want), "number", "left_semi")
 
 
-def frozen(base: Strategy, rows: list[dict[str, Any]]) -> tuple[list[int], Candidates]:
-    """Candidates as they were selected, from rows that name them: ids, and parameters in the base's own types."""
-    chosen = {}
-    for row in rows:
-        given = {name: row[name] for name in base.slots() if row.get(name) is not None}
-        chosen[int(row["candidate"])] = {name: int(value) if base.slots()[name][1] == "lookback" else value for name, value in given.items()}
+def frozen(base: Strategy, rows: list[dict[str, Any]], swept: Iterable[str] | None = None) -> tuple[list[int], Candidates]:
+    """Candidates as they were selected, from rows that name them: ids, and parameters in the base's own types.
+
+    A row has its parameters as `params`, or as columns of their dotted names. Those that were swept (all that any row
+    gives, if that is not said) must be in each row: without them a candidate would silently be the base. Raises then,
+    and where rows of one candidate differ.
+    """
+    slots, chosen = base.slots(), {}
+    found = [{k: v for k, v in ((row.get("params") or {}) | {n: row[n] for n in slots if n in row}).items() if v is not None} for row in rows]
+    needed = set().union(*found) if swept is None else set(swept)
+    if rows and swept is None and slots and not needed:
+        raise ValueError("the rows name candidates without their parameters")
+    for row, given in zip(rows, found):
+        if lacks := sorted(needed - given.keys()):
+            raise ValueError(f"candidate {row['candidate']} lacks {', '.join(lacks)}")
+        typed = {name: int(value) if name in slots and slots[name][1] == "lookback" else value for name, value in given.items()}
+        if chosen.setdefault(int(row["candidate"]), typed) != typed:
+            raise ValueError(f"candidate {row['candidate']} has two sets of parameters")
     return list(chosen), [(p, base.with_parameters(p)) for p in chosen.values()]
 
 
 def settings_of(record: dict[str, Any]) -> Settings:
     """The settings that an experiment ran with; what older records lack takes its default."""
     known = {k: v for k, v in (record.get("settings") or {}).items() if v is not None}
+    if lacks := [name for name in ("train", "validation") if name not in known]:
+        raise ValueError(f"the record does not say its periods: {', '.join(lacks)}")
     for name in ("train", "validation"):
         known[name] = Period(**known[name])
     return Settings(**known)
 
 
+def from_record(record: dict[str, Any]) -> tuple[Strategy, list[int], Candidates, Settings]:
+    """What a stored experiment froze: its base, the ids and parameters that it selected, and its settings.
+
+    Raises if the record lacks any of these; what it has besides is not looked at.
+    """
+    if not record.get("strategy_spec"):
+        raise ValueError("the record has no strategy")
+    spec = {k: v for k, v in record["strategy_spec"].items() if v is not None}
+    base = Strategy.parse(spec | {"conditions": [{k: v for k, v in c.items() if v is not None} for c in spec.get("conditions") or []]})
+    ids, chosen = frozen(base, record.get("comparison") or [], record.get("parameter_space") or {})
+    return base, ids, chosen, settings_of(record)
+
+
 def sharpe_stats(table: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     s = F.col("sharpe")
     return table.groupBy(*keys).agg(
@@ -127,6 +155,6 @@ def final_test(
 
 
 __all__ = [
-    "cross_asset", "evaluate_benchmarks", "evaluate_frozen", "final_test", "frozen", "replicate", "select_records", "settings_of",
+    "cross_asset", "evaluate_benchmarks", "evaluate_frozen", "final_test", "from_record", "frozen", "replicate", "select_records", "settings_of",
     "sharpe_stats", "transfer", "with_benchmarks"
 ]

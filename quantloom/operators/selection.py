@@ -84,10 +84,12 @@ def select_top(
 
 
 def compare(train: DataFrame, validation: DataFrame, selected: DataFrame, metric: str = "sharpe", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Per selected candidate, by rank: its metrics in both periods and the change of the ranking one."""
+    """Per selected candidate, by rank: its metrics in both periods and the change of the ranking one; and its params, where
+    the train table has them."""
     on, names = [*keys, "candidate"], dict.fromkeys((metric, *COMPARED))
-    side = lambda t, p: t.select(*on, *(F.col(m).alias(f"{p}_{m}") for m in names))
-    out = selected.join(side(train, "train"), on).join(side(validation, "validation"), on)
+    side = lambda t, p, *more: t.select(*on, *more, *(F.col(m).alias(f"{p}_{m}") for m in names))
+    params = ["params"] if "params" in train.columns else []
+    out = selected.join(side(train, "train", *params), on).join(side(validation, "validation"), on)
     return out.withColumn(f"{metric}_change", F.col(f"validation_{metric}") - F.col(f"train_{metric}"))
 
 

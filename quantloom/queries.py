@@ -838,3 +838,5 @@ query(
     "example_reason_counts",
     f"WITH {_REASONS} SELECT reason, CASE WHEN reason = '{H.NO_PROMPT}' THEN count(DISTINCT run) ELSE count(*) END AS n FROM z GROUP BY reason"
 )(lambda spark, d: H.reason_counts(examples(spark, d)))
+
+from quantloom import source_queries  # noqa: E402, F401 - adds its own

@@ -3,15 +3,25 @@
 Register `CandleSource` and read format("candles") with a `client` that imports to a function
 fetch(symbol, timeframe_ms, since_ms, limit) -> rows [ms, open, high, low, close, volume]. Each symbol, or each window of
 `window_ms` of each symbol, is a partition. Without a `limit`, the first page tells how many candles a page has.
+`client_options` is a JSON object of further arguments to the client. Filters on symbol and ms say which windows are fetched at
+all, and which pages of them, for readers that `candles` makes in a session with spark.sql.python.filterPushdown.enabled.
 """
 
 from __future__ import annotations
 
+import functools
 import importlib
+import json
+import re
 import time
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
+)
 
 
 def with_retries(
@@ -40,7 +50,7 @@ def fetch_range(
     an empty page is a gap of its length. limit: None to find it out; first: the number of the first candle."""
     cursor, seq = start_ms, first
     limit = page_limit(fetch, symbol, timeframe_ms, start_ms, **retry) if limit is None else limit
-    while cursor < end_ms:
+    while cursor + timeframe_ms <= end_ms:
         page = with_retries(lambda at=cursor: fetch(symbol, timeframe_ms, at, limit), **retry)
         good = [c for c in page if c[0] >= cursor and c[0] + timeframe_ms <= end_ms]
         for c in good:
@@ -58,21 +68,50 @@ class CandleReader(DataSourceReader):
     def __init__(self, options):
         self.options = options
         self.timeframe, self.start, self.end = (int(options[k]) for k in ("timeframe_ms", "start_ms", "end_ms"))
+        self.symbols = [s.strip() for s in options["symbols"].split(",")]
+        self.least, self.most = self.start, self.end - self.timeframe  # the times at which a candle may open
 
     def partitions(self):
+        """Windows that can hold a wanted candle; their bounds do not depend on what is wanted."""
         width = int(self.options.get("window_ms", max(1, self.end - self.start)))
         width = max(1, width // self.timeframe) * self.timeframe  # a candle lies in one window
-        symbols = [s.strip() for s in self.options["symbols"].split(",")]
-        starts = range(self.start, max(self.end, self.start + 1), width)
-        return [WindowPartition(s, i, a, min(a + width, self.end)) for s in symbols for i, a in enumerate(starts)]
+        out = []
+        for i, a in enumerate(range(self.start, max(self.end, self.start + 1), width)):
+            low, high = max(a, self.least), min(a + width, self.end, self.most + self.timeframe)
+            out += [WindowPartition(s, i, low, high) for s in self.symbols if low < high]
+        return out or [WindowPartition("", 0, 0, 0)]
 
     def read(self, p):
         module, _, name = self.options["client"].rpartition(".")
         limit = self.options.get("limit")
-        yield from fetch_range(
-            getattr(importlib.import_module(module), name), p.symbol, self.timeframe, p.start, p.end, None if limit is None else int(limit),
-            p.number << 40
-        )
+        fetch = functools.partial(getattr(importlib.import_module(module), name), **json.loads(self.options.get("client_options", "{}")))
+        if p.start < p.end:
+            yield from fetch_range(fetch, p.symbol, self.timeframe, p.start, p.end, None if limit is None else int(limit), p.number << 40)
+
+
+class SelectiveReader(CandleReader):
+    """Asks for what filters on symbol and ms leave; other filters go back to Spark."""
+
+    def pushFilters(self, filters: list) -> Iterable:
+        for f in filters:
+            if not self._took(f):
+                yield f
+
+    def _took(self, f) -> bool:
+        value = getattr(f, "value", None)
+        if isinstance(f, IsNotNull):
+            return f.attribute in (("symbol",), ("ms",))
+        if f.attribute == ("symbol",) and isinstance(f, (EqualTo, In)):
+            wanted = set(value) if isinstance(f, In) else {value}
+            self.symbols = [s for s in self.symbols if s in wanted]
+            return True
+        if f.attribute != ("ms",) or value is None or not isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
+            return False
+        if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+            self.least = max(self.least, value + isinstance(f, GreaterThan))
+        if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+            self.most = min(self.most, value - isinstance(f, LessThan))
+        return True
 
 
 class CandleSource(DataSource):
@@ -84,4 +123,47 @@ class CandleSource(DataSource):
         return "symbol string, ms long, open double, high double, low double, close double, volume double, seq long"
 
     def reader(self, schema):
-        return CandleReader(self.options)
+        return (SelectiveReader if self.options.get("selective") == "true" else CandleReader)(self.options)
+
+
+def candles(spark: SparkSession, **options) -> DataFrame:
+    """The candles of a client, lazily: filters decide what is asked for where the session, now and when it runs the query,
+    has spark.sql.python.filterPushdown.enabled."""
+    name = CandleSource.name()
+    try:
+        spark.dataSource.register(CandleSource)
+    except AnalysisException as e:  # a session beside the one that has it knows the name, but not the source
+        if e.getCondition() != "DATA_SOURCE_ALREADY_EXISTS":
+            raise
+        name = f"{name}_{uuid.uuid4().hex}"
+        spark.dataSource.register(type("Candles", (CandleSource,), {"name": classmethod(lambda cls, name=name: name)}))
+    selective = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format(name).options(selective=selective, **options).load()
+
+
+def selective_session(spark: SparkSession) -> SparkSession:
+    """A session beside the given one, whose own settings stay as they are, that pushes filters to Python sources."""
+    s = spark.newSession()
+    s.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    s.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    s.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return s
+
+
+def record(candles: DataFrame, folder: str) -> None:
+    """Stores candles (symbol, ms, open to volume) so that `recorded` can answer for the exchange."""
+    candles.repartition("symbol").sortWithinPartitions("symbol", "ms").write.partitionBy("symbol").parquet(folder)
+
+
+def recorded(symbol: str, timeframe_ms: int, since_ms: int, limit: int, folder: str) -> list[list]:
+    """A client that serves pages from a folder of stored candles; a symbol that it lacks has none."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    where, root = fs.FileSystem.from_uri(folder)
+    name = re.sub(r"""[\x00-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", symbol)  # as Spark names the folder
+    if where.get_file_info(f"{root}/symbol={name}").type == fs.FileType.NotFound:
+        return []
+    rows = ds.dataset(f"{root}/symbol={name}", filesystem=where, format="parquet")
+    page = rows.to_table(["ms", "open", "high", "low", "close", "volume"], filter=ds.field("ms") >= since_ms).sort_by("ms").slice(0, limit)
+    return [list(r.values()) for r in page.to_pylist()]

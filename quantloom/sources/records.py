@@ -17,7 +17,8 @@ SCHEMA = (
     "schema_version int, experiment_id string, timestamp string, number int, status string, error string, dataset string, hypothesis string, rationale string, notes string, min_trades_per_year double, "
     "parameter_space map<string,array<double>>, requested_space map<string,string>, warnings array<string>, "
     "strategy_spec struct<name:string,logic:string,true_position:int,false_position:int,conditions:array<struct<id:string,feature:string,field:string,operator:string,threshold:double,lookback:int>>>, "
-    "comparison array<struct<candidate:long,validation_exposure:double,validation_annual_turnover:double>>, validation_summary struct<median:double,best:double,worst:double>, "
+    "settings struct<train:struct<start:string,end:string>,validation:struct<start:string,end:string>,cost:double,top_n:int,metric:string,budget:int,min_trades_per_year:double,per_year:double>, "
+    "comparison array<struct<candidate:long,params:map<string,double>,validation_exposure:double,validation_annual_turnover:double>>, validation_summary struct<median:double,best:double,worst:double>, "
     "condition_activity struct<shares:map<string,double>,scope:string>, benchmarks map<string,map<string,map<string,string>>>, "
     "llm struct<context:string,attempts:array<struct<code:string,response:string>>>"
 )

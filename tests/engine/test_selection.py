@@ -1,12 +1,16 @@
+import json
 from collections import Counter
+from dataclasses import asdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from quantloom.operators import selection as X
-from quantloom.operators.confirm import cross_asset, evaluate_frozen, final_test, frozen, replicate, select_records, transfer
+from quantloom.operators.confirm import cross_asset, evaluate_frozen, final_test, from_record, frozen, replicate, select_records, transfer
+from quantloom.operators.research import record_of
 from quantloom.operators.sweep import ArrowEvaluator, SqlEvaluator, columns_of, sensitivity, summary
 from quantloom.plans.spec import Strategy, candidates
+from quantloom.sources.records import json_safe, read
 
 from .data import walk
 
@@ -128,3 +132,31 @@ def test_select_records(spark):
     assert select_records(r).count() == 2 and select_records(r, [3]).first().number == 3
     with pytest.raises(ValueError, match="2"):
         select_records(r, [2, 3])
+
+
+def test_candidates_from_a_stored_record(spark, experiment, tmp_path):
+    """What the record holds after it was written and read again is what the experiment selected, to the last digit."""
+    space = {"m.lookback": [3, 6, 12, 24], "m.threshold": [0.0, 0.00512345678, 9.0, 10.0]}
+    with X.run_experiment(experiment_bars(spark), BASE, space, SETTINGS) as e:
+        record = json_safe({"status": "completed", "settings": asdict(SETTINGS), "strategy_spec": BASE.to_dict(), "parameter_space": space} | record_of(e))
+        want = {r.candidate: r.params for r in e.comparison.collect()}
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "log.jsonl").write_text(json.dumps(record) + "\n")
+    stored = read(spark, f"{tmp_path}/r").first().asDict(True)
+    for row in (record, stored):
+        base, ids, chosen, settings = from_record(row)
+        assert base == BASE and settings == SETTINGS and {i: p for i, (p, _) in zip(ids, chosen)} == want
+    lost = [{k: v for k, v in r.items() if k != "params"} for r in record["comparison"]]
+    with pytest.raises(ValueError, match="lacks m.lookback, m.threshold"):
+        from_record(record | {"comparison": lost})
+    for what, match in (("settings", "periods"), ("strategy_spec", "no strategy")):
+        with pytest.raises(ValueError, match=match):
+            from_record({k: v for k, v in record.items() if k != what})
+    with pytest.raises(ValueError, match="without their parameters"):
+        frozen(BASE, lost)
+    with pytest.raises(ValueError, match="two sets"):
+        frozen(BASE, [{"candidate": 1, "params": {"m.lookback": 3}}, {"candidate": 1, "params": {"m.lookback": 4}}])
+
+
+def experiment_bars(spark):
+    return walk(spark, 480, symbols=("A", "B"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.sources import bars as S
-from quantloom.sources.exchange import CandleSource, fetch_range, page_limit, with_retries
+from quantloom.sources.exchange import CandleSource, candles, fetch_range, page_limit, record, recorded, selective_session, with_retries
 from quantloom.streaming.bars import hourly_stream
 
 HOUR = 3_600_000
@@ -98,3 +98,35 @@ def test_stream_gives_the_batch_bars(spark, tmp_path):
     got = {(r.symbol, r.timestamp): r.close for r in spark.table("streamed").collect()}
     want = {(r.symbol, r.timestamp): r.close for r in S.hourly(e).collect()}
     assert len(got) >= len(want) - 5 and all(want[k] == v for k, v in got.items())
+
+
+def counted(symbol, timeframe, since, limit, log):
+    """As `fetch`, for four days of hours; a line of the log per page that is asked for."""
+    with open(log, "a") as f:
+        f.write(f"{symbol} {since // HOUR}\n")
+    first = -(-since // HOUR)
+    return [[t * HOUR, 1.0, 2.0, 0.5, t, None] for t in range(first, min(96, first + limit))]
+
+
+@pytest.mark.parametrize(
+    "where,pages,rows", [
+        ("true", 2 * 4 * 4, 192), ("symbol = 'A'", 16, 96), ("ms >= 30 * 3600000 AND ms < 36 * 3600000", 2, 12), ("symbol IN ('B', 'C') AND ms > 89 * 3600000", 1, 6),
+        ("ms = 47 * 3600000", 2, 2), ("ms <= 5 * 3600000 + 1 AND close > 3", 2, 4), ("symbol = 'C'", 0, 0), ("ms > 500 * 3600000", 0, 0), ("ms IS NULL", 32, 0)
+    ]
+)
+def test_filters_decide_what_is_asked(spark, tmp_path, where, pages, rows):
+    log = tmp_path / "log"
+    log.touch()
+    s = selective_session(spark)
+    df = candles(
+        s, symbols="A,B", client="tests.engine.test_sources.counted", client_options=f'{{"log": "{log}"}}', timeframe_ms=HOUR, start_ms=0, end_ms=96 * HOUR,
+        window_ms=24 * HOUR, limit=6
+    )
+    assert df.filter(where).count() == rows and len(log.read_text().splitlines()) == pages
+    assert spark.conf.get("spark.sql.python.filterPushdown.enabled") == "false"
+
+
+def test_recorded_pages(spark, tmp_path):
+    c = spark.createDataFrame([("B/U: 1", t * HOUR, 1.0, 2.0, 0.5, float(t), 1.0) for t in (5, 1, 3)], "symbol string, ms long, open double, high double, low double, close double, volume double")
+    record(c, f"{tmp_path}/x")
+    assert [r[0] // HOUR for r in recorded("B/U: 1", HOUR, 2 * HOUR, 1, f"{tmp_path}/x")] == [3] and recorded("none", HOUR, 0, 5, f"file://{tmp_path}/x") == []
