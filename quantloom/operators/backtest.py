@@ -16,7 +16,9 @@ from pyspark.sql.types import DataType, TimestampType
 
 from quantloom.functions.features import FEATURES, LONG, by_time, clean, with_blocks
 from quantloom.functions.predicates import COMPARE, LOGIC, position
+from quantloom.operators.quantiles import exact_quantiles
 from quantloom.plans.spec import Condition, Strategy
+from quantloom.sources.folders import shared
 
 METRICS = (
     "cumulative_return", "annualized_return", "sharpe", "annualized_volatility", "max_drawdown", "turnover", "annual_turnover", "n_trades",
@@ -142,14 +144,31 @@ def activity(bars: DataFrame, strategy: Strategy, start: str | None = None, end:
 
 
 def feature_ranges(
-    bars: DataFrame, start: str | None = None, end: str | None = None, lookback: int = 24, fields: tuple[str, ...] = ("close", "volume")
+    bars: DataFrame, start: str | None = None, end: str | None = None, lookback: int = 24, fields: tuple[str, ...] = ("close", "volume"),
+    most: int = 1_000_000
 ) -> DataFrame:
-    """Per symbol, feature and field: the exact 5th, 50th and 95th percentile of the defined values."""
+    """Per symbol, feature and field: the exact 5th, 50th and 95th percentile of the defined values.
+
+    Up to `most` bars of a symbol, an aggregate holds its values; where one has more, features are written once to the
+    shared folder, and selected from by rounds of histograms.
+    """
     sources = {column_of(s): s for s in ((k, f, None if v.least is None else lookback) for k, v in FEATURES.items() for f in fields)}
     x = period(wide(period(bars, None, end), sources.values()), start)
+    if bars.groupBy("symbol").count().filter(F.col("count") > most).limit(1).count():
+        return ranges_by_rounds(x, sources)
     shares = F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))
     q = x.groupBy("symbol").agg(*(F.percentile(c, shares).alias(c) for c in sources))
     rows = F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), F.lit(f).alias("field"), F.col(c).alias("q")) for c, (k, f, _) in sources.items())))
     return q.select("symbol", rows.alias("x")).filter("x.q IS NOT NULL").select(
         "symbol", "x.feature", "x.field", *(F.get("x.q", i).alias(n) for i, n in enumerate(("p5", "median", "p95")))
     )
+
+
+def ranges_by_rounds(x: DataFrame, sources: dict[str, tuple[str, str, int | None]]) -> DataFrame:
+    """The same from bars with feature columns, by `exact_quantiles`."""
+    spark, path = x.sparkSession, shared(x.sparkSession, "features")
+    x.select("symbol", *sources).write.parquet(path)
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), F.lit(f).alias("field"), F.col(c).alias("value")) for c, (k, f, _) in sources.items())))
+    q = exact_quantiles(spark.read.parquet(path).select("symbol", each.alias("x")).select("symbol", "x.*"), ["symbol", "feature", "field"], (0.05, 0.5, 0.95))
+    pick = lambda share: F.max(F.when(F.col("share") == share, F.col("value")))
+    return q.groupBy("symbol", "feature", "field").agg(pick(0.05).alias("p5"), pick(0.5).alias("median"), pick(0.95).alias("p95"))

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quantloom.operators import selection as X
+from quantloom.operators.backtest import column_of, feature_ranges, wide
 from quantloom.operators.confirm import final_test, from_record, select_records
 from quantloom.operators.research import record_of
-from quantloom.queries import _R, BASE, FINAL, SELECTED, SETTINGS, SPACE, SWEEP_COLUMNS, SWEEP_F, hourly, query, records, rounded, sql_sweep
+from quantloom.queries import (
+    _R, BASE, FINAL, HOURLY, ORACLES, SELECTED, SETTINGS, SPACE, SWEEP_COLUMNS, SWEEP_F, TRAIN, hourly, query, records, rounded, sql_feature, sql_sweep
+)
+from quantloom.sources import bar_store as BS
 from quantloom.sources import bars as S
 from quantloom.sources import exchange as E
 from quantloom.sources import record_log as L
@@ -110,3 +115,27 @@ def confirm_from_records(spark, d):
     final_test(hourly(spark, d), ids, chosen, FINAL, settings, uses, 1)  # an earlier use, by its log alone
     before, got = final_test(hourly(spark, d), ids, chosen, FINAL, settings, uses, 1)
     return rounded(got.filter("benchmark IS NULL").drop("benchmark").withColumn("uses_before", F.lit(before).cast("long")))
+
+
+# ---- bar store, exact quantiles --------------------------------------------------------------------------------------
+
+
+@query(
+    "bar_store",
+    f"WITH {HOURLY} SELECT symbol, timestamp, round({sql_feature('rolling_mean', 'close', 6)}, 8) AS mean, round({sql_feature('momentum', 'close', 24)}, 8) AS momentum FROM bars"
+)
+def bar_store(spark, d):
+    """Windows over a bucketed table, of which the last weeks were wrong and came again."""
+    bars, path = hourly(spark, d), shared(spark, "bars")
+    name = f"bars_{uuid.uuid4().hex}"
+    early = bars.filter("timestamp < '2024-01-20'").withColumn("close", F.when(F.col("timestamp") >= "2024-01-10", F.col("close") + 1).otherwise(F.col("close")))
+    BS.create(early, name, 16, path)
+    BS.upsert(spark, name, bars.filter("timestamp >= '2024-01-10'"))
+    sources = [("rolling_mean", "close", 6), ("momentum", "close", 24)]
+    return rounded(wide(BS.read(spark, name), sources).select("symbol", "timestamp", *(F.col(column_of(s)).alias(n) for s, n in zip(sources, ("mean", "momentum")))))
+
+
+@query("feature_ranges_rounds", ORACLES["feature_ranges"])
+def feature_ranges_rounds(spark, d):
+    """The ranges of features by rounds of histograms, as symbols of more than a million bars have them."""
+    return rounded(feature_ranges(hourly(spark, d), TRAIN.start, TRAIN.end, most=0))
