@@ -9,10 +9,16 @@ from dataclasses import asdict
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quantloom.functions.features import FEATURES
+from quantloom.functions.json_text import first_objects
 from quantloom.operators import selection as X
 from quantloom.operators.backtest import column_of, feature_ranges, wide
+from quantloom.operators.bootstrap import bootstrap_interval as interval_of
 from quantloom.operators.confirm import final_test, from_record, select_records
+from quantloom.operators.history import pairs
+from quantloom.operators.novelty import novelty, untried_features
 from quantloom.operators.research import record_of
+from quantloom.plans.spec import DUPLICATE_PROPOSAL, FAMILY_EXHAUSTED
 from quantloom.queries import (
     _R, BASE, FINAL, HOURLY, ORACLES, SELECTED, SETTINGS, SPACE, SWEEP_COLUMNS, SWEEP_F, TRAIN, hourly, query, records, rounded, sql_feature, sql_sweep
 )
@@ -139,3 +145,66 @@ def bar_store(spark, d):
 def feature_ranges_rounds(spark, d):
     """The ranges of features by rounds of histograms, as symbols of more than a million bars have them."""
     return rounded(feature_ranges(hourly(spark, d), TRAIN.start, TRAIN.end, most=0))
+
+
+# ---- bootstrap -----------------------------------------------------------------------------------------------------
+
+
+def event_pairs(spark, d):
+    """Pairs by event type (as the dataset) and hour of the day (as the seed): the mean value in the month's later half less that in its first."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    late = F.when(F.dayofmonth("ts") > 15, "late").otherwise("early")
+    runs = e.groupBy(F.col("event_type").alias("dataset"), F.hour("ts").alias("seed"), late.alias("model")).agg(F.avg("value").alias("score"))
+    return pairs(runs, "early", "late", "score")
+
+
+@query("bootstrap_interval")
+def bootstrap_interval(spark, d):
+    return rounded(interval_of(event_pairs(spark, d)))
+
+
+# ---- novelty ---------------------------------------------------------------------------------------------------------
+
+_NEW = f"""{_R}, x AS (SELECT *, CAST(substr(run, 2) AS INT) >= 20 AS asked FROM r WHERE status = 'completed'), h AS (SELECT * FROM x WHERE NOT asked), p AS (SELECT * FROM x WHERE asked),
+k AS (SELECT dataset, feature, threshold, yes, no, swept, min(number) AS repeats FROM h GROUP BY ALL), f AS (SELECT dataset, feature, yes, no, count(*) AS family_count FROM h GROUP BY ALL),
+c AS (SELECT DISTINCT dataset, feature, threshold, yes, no, unnest([swept, swept + 1]) AS n FROM h), q AS (SELECT dataset, number, feature, threshold, yes, no, unnest([swept, swept + 1]) AS n FROM p),
+w AS (SELECT dataset, number, count(*) AS n_new FROM q ANTI JOIN c USING (dataset, feature, threshold, yes, no, n) GROUP BY ALL),
+z AS (SELECT p.dataset, p.number, repeats, coalesce(family_count, 0) AS family_count, 2::BIGINT AS n_combinations, coalesce(n_new, 0) AS n_new FROM p LEFT JOIN k USING (dataset, feature, threshold, yes, no, swept)
+  LEFT JOIN f USING (dataset, feature, yes, no) LEFT JOIN w ON w.dataset = p.dataset AND w.number = p.number)"""
+
+
+def proposed(spark, d):
+    x = records(spark, d).filter("status = 'completed'").withColumn("parameter_space", F.expr("map_from_arrays(map_keys(parameter_space), transform(map_values(parameter_space), v -> array(v[0], v[0] + 1)))"))
+    later = F.substring("run", 2, 9).cast("int") >= 20
+    return x.filter(later), x.filter(~later)
+
+
+@query(
+    "proposal_novelty",
+    f"WITH {_NEW} SELECT *, CASE WHEN repeats IS NOT NULL THEN '{DUPLICATE_PROPOSAL}' WHEN family_count >= 30 THEN '{FAMILY_EXHAUSTED}' WHEN n_new = 0 AND dataset IN (SELECT dataset FROM h) THEN '{DUPLICATE_PROPOSAL}' END AS objection FROM z"
+)
+def proposal_novelty(spark, d):
+    return novelty(*proposed(spark, d), ["dataset"], 30)
+
+
+@query("untried_features", f"WITH {_NEW} SELECT dataset, feature FROM (SELECT * FROM (SELECT DISTINCT dataset FROM h) CROSS JOIN (SELECT unnest({list(FEATURES)}) AS feature)) ANTI JOIN h USING (dataset, feature)")
+def untried(spark, d):
+    return untried_features(proposed(spark, d)[1], ["dataset"])
+
+
+# ---- JSON in free text -------------------------------------------------------------------------------------------------
+
+_SAID = "CASE conv_id % 4 WHEN 0 THEN '' WHEN 1 THEN '<think>{\"id\": 0}</think> ' ELSE 'so: ' END"
+_OBJECT = "concat('{\"id\": ', conv_id, ', \"note\": {\"turn\": ', turn, ', \"role\": \"', role, '\"}}')"
+
+
+@query(
+    "first_json_objects",
+    f"SELECT conv_id, turn, CASE WHEN conv_id % 5 < 3 THEN {_OBJECT} END AS object, conv_id % 5 = 3 AS cut_off, CASE WHEN conv_id % 5 = 3 THEN length(text) + 1 + length({_SAID.replace('<think>{\"id\": 0}</think> ', ' ')}) + length({_OBJECT}) - 1 END AS error_at FROM conversations"
+)
+def first_json_objects(spark, d):
+    """Objects after the turns' own texts, whole, cut off or none; `error_at` counts code points, thinking blocks aside."""
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    whole = F.expr(f"concat(text, ' ', {_SAID}, {_OBJECT})")
+    said = F.when(F.col("conv_id") % 5 < 3, F.concat(whole, F.lit(' then {"id": 1}'))).when(F.col("conv_id") % 5 == 3, whole.substr(F.lit(1), F.length(whole) - 1)).otherwise(F.col("text"))
+    return first_objects(c.withColumn("said", said), "said").select("conv_id", "turn", "object", F.coalesce("cut_off", F.lit(False)).alias("cut_off"), "error_at")

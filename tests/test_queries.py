@@ -18,7 +18,7 @@ def norm(v):
 def con():
     c = duckdb.connect()
     c.sql("SET TimeZone = 'UTC'")
-    for t in ("events", "orders", "part"):
+    for t in ("events", "orders", "part", "conversations"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{AT}/{t}.parquet')")
     return c
 
