@@ -177,7 +177,10 @@ def build_examples(records: DataFrame, held_out: list[str], runs: DataFrame | No
     x = x.withColumn("reason", F.when(silent, NO_PROMPT).when(F.col("dataset").isin(*held_out), "held-out market").otherwise(rejection_reason(x)))
     rules = F.array_sort(F.transform("strategy_spec.conditions", lambda c: F.to_json(F.struct(*(c[f].alias(f) for f in ("feature", "field", "operator", "lookback", "threshold"))))))
     asked = space_asked()
-    key = F.to_json(F.struct(rules.alias("r"), F.col("strategy_spec.logic").alias("l"), F.col("strategy_spec.true_position").alias("t"), F.col("strategy_spec.false_position").alias("f"), F.array_sort(F.map_entries(asked)).alias("s")))
+    spec = F.col("strategy_spec")
+    logic = F.when(F.size(rules) > 1, F.coalesce(spec["logic"], F.lit("AND")))  # one rule needs none
+    sides = (F.coalesce(spec["true_position"], F.lit(1)).alias("t"), F.coalesce(spec["false_position"], F.lit(0)).alias("f"))
+    key = F.to_json(F.struct(rules.alias("r"), logic.alias("l"), *sides, F.array_sort(F.map_entries(asked)).alias("s")))
     rank = F.row_number().over(Window.partitionBy("reason", key).orderBy("run", "number"))
     x = x.withColumn("reason", F.when(F.col("reason").isNotNull(), F.col("reason")).when(rank > 1, "duplicate example").otherwise("kept"))
     if runs is None:

@@ -197,3 +197,19 @@ def sensitivity(table: DataFrame, metric: str = "sharpe", keys: tuple[str, ...]
     return table.select(
         *keys, metric, F.explode("params").alias("parameter", "value")
     ).groupBy(*keys, "parameter", "value").agg(F.avg(metric).alias("mean"))
+
+
+def differences(reference: DataFrame, other: DataFrame) -> DataFrame:
+    """Two sweeps of the same candidates, per symbol: candidates, trades, in how many the number of trades differs, and the
+    largest difference of a metric, relative to the reference where that is over 1e-3. One undefined beside one defined, and a
+    candidate that only one has, count as infinite."""
+    a, b = (t.select("candidate", "symbol", F.struct(*METRICS).alias(n)) for t, n in ((reference, "a"), (other, "b")))
+    x = a.join(b, ["candidate", "symbol"], "full")
+    apart = []
+    for m in METRICS:
+        p, q = F.col(f"a.{m}").cast("double"), F.col(f"b.{m}").cast("double")
+        apart.append(F.when(p.isNull() & q.isNull() & F.col("a").isNotNull() & F.col("b").isNotNull(), 0.0).otherwise(F.coalesce(F.abs(p - q) / F.greatest(F.abs(p), F.lit(1e-3)), F.lit(float("inf")))))
+    return x.groupBy("symbol").agg(
+        F.count("*").alias("n_candidates"), F.sum("a.n_trades").alias("n_trades"), F.count_if(~F.col("a.n_trades").eqNullSafe(F.col("b.n_trades"))).alias("trade_mismatches"),
+        F.max(F.greatest(*apart)).alias("largest"),
+    )

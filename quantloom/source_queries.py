@@ -13,14 +13,17 @@ from quantloom.functions.features import FEATURES
 from quantloom.functions.json_text import first_objects
 from quantloom.operators import selection as X
 from quantloom.operators.backtest import column_of, feature_ranges, wide
+from quantloom.operators import sweep as G
 from quantloom.operators.bootstrap import bootstrap_interval as interval_of
 from quantloom.operators.confirm import final_test, from_record, select_records
 from quantloom.operators.history import pairs
 from quantloom.operators.novelty import novelty, untried_features
 from quantloom.operators.research import record_of
+from quantloom.plans.grids import combined, expanded
 from quantloom.plans.spec import DUPLICATE_PROPOSAL, FAMILY_EXHAUSTED
 from quantloom.queries import (
-    _R, BASE, FINAL, HOURLY, ORACLES, SELECTED, SETTINGS, SPACE, SWEEP_COLUMNS, SWEEP_F, TRAIN, hourly, query, records, rounded, sql_feature, sql_sweep
+    _R, BASE, FINAL, HOURLY, ORACLES, SELECTED, SETTINGS, SPACE, SWEEP_COLUMNS, SWEEP_F, TRAIN, hourly, query, records, rounded, sql_feature, sql_sweep,
+    sweep
 )
 from quantloom.sources import bar_store as BS
 from quantloom.sources import bars as S
@@ -208,3 +211,52 @@ def first_json_objects(spark, d):
     whole = F.expr(f"concat(text, ' ', {_SAID}, {_OBJECT})")
     said = F.when(F.col("conv_id") % 5 < 3, F.concat(whole, F.lit(' then {"id": 1}'))).when(F.col("conv_id") % 5 == 3, whole.substr(F.lit(1), F.length(whole) - 1)).otherwise(F.col("text"))
     return first_objects(c.withColumn("said", said), "said").select("conv_id", "turn", "object", F.coalesce("cut_off", F.lit(False)).alias("cut_off"), "error_at")
+
+
+# ---- search spaces ---------------------------------------------------------------------------------------------------
+
+BUDGET = 100
+_SPACES = f"""{HOURLY}, r AS (SELECT *, {sql_feature('returns', 'close', None)} AS ret FROM bars WHERE timestamp < TIMESTAMP '{TRAIN.end}'),
+v AS (SELECT symbol, 'momentum.threshold' AS parameter, {sql_feature('momentum', 'close', 24)} AS value FROM r UNION ALL SELECT symbol, 'zscore.threshold', {sql_feature('zscore', 'close', 24)} FROM r),
+q AS (SELECT symbol, parameter, quantile_cont(value, 0.05) AS low, quantile_cont(value, 0.95) AS high FROM v WHERE value IS NOT NULL GROUP BY ALL),
+n AS (SELECT max(k) AS n FROM range(2, 13) t(k) WHERE k = 2 OR k * k * k <= {BUDGET}), i AS (SELECT unnest(range(n)) AS i, n FROM n),
+e AS (SELECT symbol, parameter, i::INTEGER AS place, CAST(printf('%.3e', low + (high - low) * (i / (n - 1)::DOUBLE)) AS DOUBLE) AS value FROM q, i
+  UNION ALL SELECT symbol, 'momentum.lookback', i::INTEGER, round(6 * pow(168 / 6.0, i / (n - 1)::DOUBLE)) FROM (SELECT DISTINCT symbol FROM q), i)"""
+
+
+def spaces(spark, d):
+    """For each symbol: thresholds between the usual values of two features on its training period, and lookbacks."""
+    seen = feature_ranges(hourly(spark, d), TRAIN.start, TRAIN.end, fields=("close",)).filter(F.col("feature").isin("momentum", "zscore"))
+    ranges = seen.select("symbol", F.concat("feature", F.lit(".threshold")).alias("parameter"), F.col("p5").alias("low"), F.col("p95").alias("high"), F.lit(False).alias("whole"))
+    lookbacks = seen.select("symbol").distinct().selectExpr("symbol", "'momentum.lookback' AS parameter", "6D AS low", "168D AS high", "true AS whole")
+    return expanded(ranges.unionByName(lookbacks), ["symbol"], BUDGET)
+
+
+@query("range_expansion", f"WITH {_SPACES} SELECT symbol, parameter, place, value FROM e")
+def range_expansion(spark, d):
+    return spaces(spark, d)
+
+
+@query(
+    "parameter_grid",
+    f"""WITH {_SPACES} SELECT a.symbol, row_number() OVER (PARTITION BY a.symbol ORDER BY a.place, b.place, c.place) - 1 AS candidate, a.value AS lookback, b.value AS momentum, c.value AS zscore
+    FROM e a JOIN e b ON a.symbol = b.symbol AND b.parameter = 'momentum.threshold' JOIN e c ON a.symbol = c.symbol AND c.parameter = 'zscore.threshold' WHERE a.parameter = 'momentum.lookback'"""
+)
+def parameter_grid(spark, d):
+    """Every combination of each symbol's space with its number, the first parameter slowest."""
+    names = {"momentum.lookback": "lookback", "momentum.threshold": "momentum", "zscore.threshold": "zscore"}
+    return combined(spaces(spark, d), ["symbol"]).select("symbol", "candidate", *(F.col("params")[k].alias(v) for k, v in names.items()))
+
+
+# ---- both evaluators, against each other -------------------------------------------------------------------------------
+
+
+@query(
+    "evaluator_comparison",
+    f"WITH {sql_sweep(TRAIN)} SELECT symbol, count(*) AS n_candidates, sum(n_trades)::BIGINT AS n_trades, 0::BIGINT AS trade_mismatches, true AS alike FROM m GROUP BY symbol"
+)
+def evaluator_comparison(spark, d):
+    """Per symbol: candidates, trades, in how many the two evaluators' trades differ, and whether no metric differs by more
+    than 1e-9 of the windows' figure (or 1e-12)."""
+    compared = G.differences(sweep(spark, d, TRAIN, G.SqlEvaluator()), sweep(spark, d))
+    return compared.select("symbol", "n_candidates", "n_trades", "trade_mismatches", (F.col("largest") <= 1e-9).alias("alike"))

@@ -181,6 +181,15 @@ def test_examples_differ_by_their_space(spark, tmp_path):
     assert [m.role for m in rows[0].messages] == ["system", "user", "assistant"] and json.loads(rows[0].messages[2].content)["strategy"]["conditions"][0]["lookback"] == 5
 
 
+def test_one_rule_needs_no_logic(spark, tmp_path):
+    specs = [{**record(1)["strategy_spec"], "logic": logic} for logic in ("AND", "OR")]
+    for i, spec in enumerate(specs, 1):
+        R.append(f"{tmp_path}/run1/experiments.jsonl", record(i, strategy_spec=spec, parameter_space={"m.lookback": [5]}, rationale="r"))
+    R.write_document(f"{tmp_path}/run1/run.json", {"generator": {"model_id": "base"}, "system_prompt": "Propose."})
+    rows = H.build_examples(R.read(spark, f"{tmp_path}/run1/experiments.jsonl"), [], R.read_runs(spark, str(tmp_path))).orderBy("number").collect()
+    assert [r.reason for r in rows] == ["kept", "duplicate example"]
+
+
 @pytest.mark.parametrize(
     "bad",
     [dict(iterations=0), dict(iterations=101), dict(retries=6), dict(retries=-1), dict(most_rejections=0), dict(recent=0), dict(most_per_family=0), dict(temperatures=()), dict(temperatures=(0.0,))]

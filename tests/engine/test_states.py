@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.operators import states as T
-from quantloom.operators.sweep import ArrowEvaluator, SqlEvaluator
+from quantloom.operators.sweep import ArrowEvaluator, SqlEvaluator, differences
 from quantloom.plans.spec import Strategy, candidates
 
 from .data import walk
@@ -182,3 +182,14 @@ def test_ruin_from_the_start(monkeypatch, width):
             position = np.where(values[0] > 0, yes, no) if conditions else np.full(45, yes)
             worst, growth = drawdown(np.array([0.0, 0.0, *position[:-1]]), T.bar_returns(close), 0.01)
             assert min(1.0, got["worst"][j]) - 1 == pytest.approx(worst, rel=1e-9) and got["growth"][j] == pytest.approx(growth, rel=1e-9), (case, j)
+
+
+def test_differences(spark):
+    bars = walk(spark, 200, symbols=("A", "B"))
+    grid = candidates(Strategy.parse({"name": "x", "conditions": [{"id": "m", "feature": "momentum", "field": "close", "lookback": 6, "operator": ">", "threshold": 0.0}]}), {"m.threshold": [0.0, 0.01, 9.0]})
+    a = SqlEvaluator()(bars, grid)
+    same_ = {r.symbol: r for r in differences(a, ArrowEvaluator()(bars, grid)).collect()}
+    assert all(r.n_candidates == 3 and r.trade_mismatches == 0 and r.largest < 1e-9 for r in same_.values())
+    bent = a.withColumn("n_trades", F.when(F.col("candidate") == 1, F.col("n_trades") + 1).otherwise(F.col("n_trades"))).withColumn("sharpe", F.when(F.col("symbol") == "B", F.col("sharpe") * 1.5).otherwise(F.col("sharpe")))
+    got = {r.symbol: r for r in differences(a, bent.filter("NOT (symbol = 'A' AND candidate = 2)")).collect()}
+    assert got["A"].trade_mismatches == 2 and got["A"].largest == math.inf and got["B"].trade_mismatches == 1 and got["B"].largest >= 0.3
