@@ -7,12 +7,13 @@ account that merges with the next piece's, so bars x candidates never exist as r
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from typing import Any, Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.arrays import ARRAYS, Series
@@ -94,6 +95,20 @@ def reach(source: tuple[str, str, int | None]) -> int:
     return (source[2] or 1) + 1
 
 
+#: Partitions up to which shares are dealt one by one; with more, chance deals them evenly.
+MOST_SLOTS = 4096
+_slots: dict[int, list[int]] = {}
+
+
+def slots(spark: SparkSession, parts: int) -> list[int]:
+    """For each of so many partitions, a number that Spark deals to it."""
+    if parts not in _slots:
+        n = int(parts * (math.log(parts) + 16))
+        found = spark.range(n).select(F.col("id").cast("int").alias("id")).groupBy(F.expr(f"pmod(hash(id), {parts})").alias("at")).agg(F.min("id").alias("id")).collect()
+        _slots[parts] = [r.id for r in sorted(found, key=lambda r: r["at"])]
+    return _slots[parts]
+
+
 @dataclass
 class ArrowEvaluator:
     """numpy over one piece of a symbol's history and a share of the candidates at a time.
@@ -134,7 +149,8 @@ class ArrowEvaluator:
             x = x.withColumns({"piece": F.lit(0).cast("long"), "own": F.lit(True), "known": F.lit(None).cast("double")})
         chunks = [specs[i : i + self.chunk] for i in range(0, len(specs), self.chunk)]
         groups = max(1, seen[1]) * parts
-        shares = max(1, min(len(chunks), -(-3 * cores // groups) if groups < cores else 1))  # so many that a task with two of them hurts little
+        # as many as there are cores for one history; for more, whose shares may meet by chance, so many that it hurts little
+        shares = max(1, min(len(chunks), cores if groups == 1 else -(-3 * cores // groups) if groups < cores else 1))
         share_of = lambda i: i * shares // len(chunks)  # noqa: E731 - neighbours share features
 
         def run(key: tuple, t: pa.Table) -> pa.Table:
@@ -157,10 +173,16 @@ class ArrowEvaluator:
             columns = [pa.array([s[0] for s in mine], pa.int64()), pa.array([key[0].as_py()] * k, pa.string()), pa.array([key[1].as_py()] * k, pa.int64()), *ends, *shown]
             return pa.table(columns, names=["candidate", "symbol", "piece", "first", "last", *ARROW])
 
-        dealt = x.withColumn("share", F.explode(F.array(*map(F.lit, range(shares)))))
-        if shares > 1 or cut:
-            dealt = dealt.repartition(min(4 * groups * shares, max(32 * cores, groups)), "symbol", "piece", "share")  # else a few shares may meet in one task
-        found = dealt.groupBy("symbol", "piece", "share").applyInArrow(run, f"candidate long, symbol string, piece long, first {kind}, last {kind}, {SCHEMA}")
+        dealt = x.withColumn("share", F.explode(F.expr(f"sequence(0, {shares - 1})")))
+        keys = ["symbol", "piece", "share"]
+        parts = shares if groups == 1 else min(4 * groups * shares, max(32 * cores, groups))
+        if 1 < shares and parts <= MOST_SLOTS:  # a history's shares lie side by side, each in a task of its own
+            slot = F.expr(f"get(array({', '.join(map(str, slots(spark, parts)))}), pmod(hash(symbol, piece) + share, {parts}))")
+            dealt = dealt.withColumn("slot", slot).repartition(parts, "slot")
+            keys.append("slot")
+        elif shares > 1 or cut:
+            dealt = dealt.repartition(parts, *keys)
+        found = dealt.groupBy(*keys).applyInArrow(run, f"candidate long, symbol string, piece long, first {kind}, last {kind}, {SCHEMA}")
         state = F.struct("piece", *ARROW)
         if cut:
             found = found.groupBy("candidate", "symbol").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.array_sort(F.collect_list(state)).alias("states"))

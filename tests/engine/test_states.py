@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.operators import states as T
-from quantloom.operators.sweep import ArrowEvaluator, SqlEvaluator, differences
+from quantloom.operators.sweep import ArrowEvaluator, SqlEvaluator, differences, slots
 from quantloom.plans.spec import Strategy, candidates
 
 from .data import walk
@@ -193,3 +193,13 @@ def test_differences(spark):
     bent = a.withColumn("n_trades", F.when(F.col("candidate") == 1, F.col("n_trades") + 1).otherwise(F.col("n_trades"))).withColumn("sharpe", F.when(F.col("symbol") == "B", F.col("sharpe") * 1.5).otherwise(F.col("sharpe")))
     got = {r.symbol: r for r in differences(a, bent.filter("NOT (symbol = 'A' AND candidate = 2)")).collect()}
     assert got["A"].trade_mismatches == 2 and got["A"].largest == math.inf and got["B"].trade_mismatches == 1 and got["B"].largest >= 0.3
+
+
+def test_shares_are_dealt_evenly(spark):
+    for parts in (2, 7, 64):
+        got = spark.createDataFrame([(x,) for x in slots(spark, parts)], "slot int").repartition(parts, "slot")
+        assert got.rdd.glom().map(len).collect() == [1] * parts
+    bars = walk(spark, 60)
+    many = ArrowEvaluator(chunk=1)(bars, candidates(Strategy.parse({"name": "x", "conditions": [{"id": "m", "feature": "momentum", "field": "close", "lookback": 6, "operator": ">", "threshold": 0.0}]}), {"m.threshold": [0.01 * i for i in range(9)]}))
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and many.count() == 9
