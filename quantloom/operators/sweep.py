@@ -136,19 +136,20 @@ class ArrowEvaluator:
         kind = x.schema["timestamp"].dataType.simpleString()
         cores = spark.sparkContext.defaultParallelism
         micros = F.unix_micros(F.col("timestamp").cast("timestamp"))
-        seen = bars.agg(F.count("*"), F.approx_count_distinct("symbol"), F.min(micros), F.max(micros), F.count_if(F.col("timestamp").isNull())).first()
-        if seen[4]:
+        each = bars.groupBy("symbol").agg(F.count("*").alias("n"), F.min(micros).alias("low"), F.max(micros).alias("high"), F.count_if(F.col("timestamp").isNull()).alias("lost"))
+        seen = each.agg(F.count("*").alias("symbols"), F.sum("n").alias("n"), F.max("n").alias("longest"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("lost").alias("lost")).first()
+        if seen.lost:
             raise ValueError(TWICE)
         need = max(map(reach, sources), default=0) + 3
         rows = max(self.rows, 2 * need)
-        parts = max(1, -(-seen[0] // (max(1, seen[1]) * rows)))
-        cut = parts > 1
+        longest = -(-(seen.longest or 0) // rows)  # a single long history among many short ones is cut too
+        cut = longest > 1
         if cut:
-            x = pieces_of(x, rows, need, seen[2], seen[3], 64 * parts)
+            x = pieces_of(x, rows, need, seen.low, seen.high, 64 * longest)
         else:
             x = x.withColumns({"piece": F.lit(0).cast("long"), "own": F.lit(True), "known": F.lit(None).cast("double")})
         chunks = [specs[i : i + self.chunk] for i in range(0, len(specs), self.chunk)]
-        groups = max(1, seen[1]) * parts
+        groups = max(1, seen.symbols) + (seen.n or 0) // rows * cut
         # as many as there are cores for one history; for more, whose shares may meet by chance, so many that it hurts little
         shares = max(1, min(len(chunks), cores if groups == 1 else -(-3 * cores // groups) if groups < cores else 1))
         share_of = lambda i: i * shares // len(chunks)  # noqa: E731 - neighbours share features

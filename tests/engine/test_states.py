@@ -203,3 +203,13 @@ def test_shares_are_dealt_evenly(spark):
     many = ArrowEvaluator(chunk=1)(bars, candidates(Strategy.parse({"name": "x", "conditions": [{"id": "m", "feature": "momentum", "field": "close", "lookback": 6, "operator": ">", "threshold": 0.0}]}), {"m.threshold": [0.01 * i for i in range(9)]}))
     plan = many._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and many.count() == 9
+
+
+def test_one_long_history_among_short_ones(spark):
+    """The average is short; the long one is cut all the same."""
+    short = spark.range(60).selectExpr("concat('s', id) AS symbol", "timestamp_ntz'2020-01-01' AS timestamp", "1D AS open", "1D AS high", "1D AS low", "1D AS close", "1D AS volume")
+    bars = short.unionByName(walk(spark, 400)).persist()
+    grid = candidates(Strategy.parse({"name": "x", "conditions": [{"id": "m", "feature": "momentum", "field": "close", "lookback": 6, "operator": ">", "threshold": 0.0}], "false_position": -1}), {"m.threshold": [0.0, 0.01]})
+    cut = ArrowEvaluator(rows=50)(bars, grid)
+    assert "sequence(_own" in cut._jdf.queryExecution().optimizedPlan().toString()
+    same(cut, SqlEvaluator()(bars, grid))
