@@ -38,6 +38,8 @@ class Vocabulary:
     width: int = 64
     total: int = 0  # words of the corpus
     mass: np.ndarray | None = None  # words of the corpus in each bucket
+    common: np.ndarray | None = None  # sorted hashes of the most frequent words without an id of their own
+    log_c: np.ndarray | None = None  # and the logarithms of how often each occurs
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
         known = len(self.words)
@@ -77,10 +79,13 @@ def lexicon(docs: DataFrame) -> DataFrame:
     return cut(texts(docs).select("text").mapInArrow(lean(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
 
 
-def vocabulary(docs: DataFrame, classes: int = 32, width: int = 64, buckets: int = 256, counts: DataFrame | None = None) -> Vocabulary:
+def vocabulary(
+    docs: DataFrame, classes: int = 32, width: int = 64, buckets: int = 256, counts: DataFrame | None = None, common: int = 1 << 16
+) -> Vocabulary:
     """The most frequent words, at most classes * width - buckets, and what the others come to in each bucket.
 
     counts: the lexicon of docs, if it is there. No words, no known ones: every word then falls into the buckets.
+    common: of so many of the others at most, the most frequent ones, the counts go along with the model; scoring joins the rest's in.
     """
     counts = lexicon(docs) if counts is None else counts
     size = classes * width
@@ -88,6 +93,13 @@ def vocabulary(docs: DataFrame, classes: int = 32, width: int = 64, buckets: int
     top = counts.orderBy(F.desc("c"), "h").limit(known).toPandas()
     c = top["c"].to_numpy(np.int64)
     h = top["h"].to_numpy(np.int64).view(_U)
+    # whole bins of like frequency, of 504 at most, as far as they fit: each task returns only words that stay
+    several = counts.filter("c > 1").withColumn("bin", F.floor(F.log2("c") * 8))
+    sizes = several.groupBy("bin").agg(F.count("*").alias("n")).toPandas().sort_values("bin", ascending=False)
+    fit_ = sizes["bin"].to_numpy(np.int64)[sizes["n"].to_numpy(np.int64).cumsum() <= known + common]
+    next_ = several.filter(F.col("bin") >= int(fit_.min() if len(fit_) else 1 << 20)).select("h", "c").toPandas()
+    others, more = next_["h"].to_numpy(np.int64).view(_U), next_["c"].to_numpy(np.int64)
+    others, more = others[new := ~np.isin(others, h)], more[new]
     rest = size - len(c)
     sums = counts.groupBy((F.shiftrightunsigned("h", 1) % rest).alias("b")).agg(F.sum("c").alias("c")).toPandas()  # `rest` rows at most
     mass = np.zeros(rest, np.int64)
@@ -97,8 +109,10 @@ def vocabulary(docs: DataFrame, classes: int = 32, width: int = 64, buckets: int
     n = np.full(size, 0.5)
     n[: len(c)] += c
     n[len(c) :] += mass
-    order = np.argsort(h)
-    return Vocabulary(h[order], order.astype(np.int32), np.log(n / n.sum()), classes, width, total, mass)
+    order, by_hash = np.argsort(h), np.argsort(others)
+    return Vocabulary(
+        h[order], order.astype(np.int32), np.log(n / n.sum()), classes, width, total, mass, others[by_hash], np.log(more[by_hash])
+    )
 
 
 @dataclass
@@ -322,6 +336,11 @@ def score(docs: DataFrame, v: Vocabulary, model: Network, counts: DataFrame | No
                 if counts_given:
                     at = np.flatnonzero(word >= known)
                     lp[at] -= mass[word[at] - known]
+                    if len(v.common):
+                        k = np.minimum(np.searchsorted(v.common, w.hash[at]), len(v.common) - 1)
+                        hit = v.common[k] == w.hash[at]
+                        lp[at[hit]] += v.log_c[k[hit]]
+                        at = at[~hit]
                     doc = w.doc()[at]
                     order = np.lexsort((w.hash[at], doc))
                     rare, doc = w.hash[at][order], doc[order]

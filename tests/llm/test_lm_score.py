@@ -122,6 +122,18 @@ def test_words_share_their_buckets(spark):
     assert sum(share(w) for w in total) + empty == pytest.approx(1, rel=1e-4)
 
 
+@pytest.mark.parametrize("common", [0, 30])
+def test_counts_that_go_along_and_joined_ones_score_alike(spark, common):
+    """Some rare words' counts from the vocabulary, the others' by the join: as with all from the vocabulary."""
+    d = spark.createDataFrame([(i, " ".join(f"w{k * k % (i + 7)}" for k in range(40))) for i in range(60)], "doc_id long, text string")
+    counts = L.lexicon(d)
+    every, some = (L.vocabulary(d, 2, 4, 4, counts=counts, common=n) for n in (1 << 16, common))
+    assert len(some.common) <= common and len(every.common) > len(some.common) and (len(some.common) > 0) == (common > 0)
+    net = L.Network.start(every, dim=3, hidden=4)
+    got = [{r.doc_id: r.log_p for r in L.score(d, v, net, counts).collect()} for v in (every, some)]
+    assert len(got[0]) == 60 and all(got[1][k] == pytest.approx(x, abs=1e-4) for k, x in got[0].items())
+
+
 def test_documents_that_occur_twice_score_higher(spark):
     rng = np.random.default_rng(3)
     text = lambda: " ".join("".join(rng.choice(list("abcdefghijklm"), 4)) if k % 2 else "the" for k in range(200))
